@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import bpe, mixing, quality
+from quarrymill.llm import bpe, media, mixing, quality, tokenfiles
 from quarrymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,9 @@ def _over(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_media_fingerprints": _over("documents", media.digest),
         "op4_quality_rules": _over("documents", quality.digest),
+        "op5_token_files": _over("documents", tokenfiles.digest),
         "op6_source_mixing": _over("documents", mixing.digest),
         "op8_byte_bpe": _over("documents", bpe.digest),
     }
