@@ -24,3 +24,20 @@ def session(app: str = "quarrymill", cpus: int | None = None, **conf: str) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, unless their path has it already. Once a Spark context."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_quarrymill_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as tmp:
+        source = shutil.copytree(root / "quarrymill", Path(tmp) / "src" / "quarrymill", ignore=shutil.ignore_patterns("__pycache__"))
+        made = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="quarrymill-")) / "quarrymill"), "zip", source.parent)
+    context.addPyFile(made)
+    context._quarrymill_shipped = True
