@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import bpe, media, mixing, quality, tokenfiles
+from quarrymill.llm import bpe, media, mixing, quality, substrings, tokenfiles
 from quarrymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op5_token_files": _over("documents", tokenfiles.digest),
         "op6_source_mixing": _over("documents", mixing.digest),
         "op8_byte_bpe": _over("documents", bpe.digest),
+        "op9_substring_dedup": _over("documents", substrings.digest),
     }
 
 
