@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import bpe, jaccard, media, mixing, quality, substrings, tokenfiles
+from quarrymill.llm import bpe, htmltext, jaccard, langid, media, mixing, quality, substrings, tokenfiles
 from quarrymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,13 @@ def _over(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_text": _over("pages", htmltext.extract),
         "op2_ngram_jaccard": _over("documents", jaccard.digest),
         "op3_media_fingerprints": _over("documents", media.digest),
         "op4_quality_rules": _over("documents", quality.digest),
         "op5_token_files": _over("documents", tokenfiles.digest),
         "op6_source_mixing": _over("documents", mixing.digest),
+        "op7_language_id": _over("documents", langid.digest),
         "op8_byte_bpe": _over("documents", bpe.digest),
         "op9_substring_dedup": _over("documents", substrings.digest),
     }
