@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import bpe, htmltext, jaccard, langid, media, mixing, quality, substrings, tokenfiles
+from quarrymill.llm import bpe, htmltext, jaccard, langid, lm, media, mixing, quality, substrings, tokenfiles
 from quarrymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op7_language_id": _over("documents", langid.digest),
         "op8_byte_bpe": _over("documents", bpe.digest),
         "op9_substring_dedup": _over("documents", substrings.digest),
+        "op10_lm_scoring": _over("documents", lm.digest),
     }
 
 
