@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from quarrymill.llm import textkernel as tk
 from quarrymill.llm.common import partitions
 from quarrymill.llm.components import components
-from quarrymill.llm.packing import pack, runs, unpack
+from quarrymill.llm.packing import pack, release, runs, unpack
 from quarrymill.scratch import materialize
 
 #: Signatures held by a task before it sorts and sends them.
-HELD = 1_500_000
+HELD = 1_000_000
 #: A signature with more sets than this in one task makes a star there.
 LOCAL_STAR = 64
 #: A family's blocks.
@@ -184,6 +184,7 @@ def _tasks(k: int, num: int, den: int, buckets: int, local_star: int):
             if len(mine):
                 rows.append((b, -1, pack(signs[mine], sets[mine], starred[mine], raw=(0, 1))))
         yield from _sent(rows)
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, turn = [], 0, 0
@@ -250,6 +251,7 @@ def _meet(table: pa.Table) -> pa.Table:
     if not out:
         out = [(np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool))]
     kind, a, b, c, known = (np.concatenate(x) for x in zip(*out, strict=True))
+    release()
     return pa.Table.from_arrays([pa.array(kind), pa.array(a, mask=~known), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
 
 
@@ -301,13 +303,19 @@ class _Trie:
                         return name
                 continue
             own, mine, rest = keys[level], grams[level], left[level]
+            likeliest = None
             for raw, below in node.children.items():
                 if below.most * den < n * num or below.least * num > n * den:
                     continue
                 more = overlap + (len(mine) if raw == own else len(mine & below.grams) if mine and below.grams else 0)
                 # the least overlap that a set of this subtree needs, against the most that it can still have
                 if (more + min(rest, below.longest)) * (num + den) >= num * (n + below.least):
-                    stack.append((below, level + 1, more))
+                    if raw == own:
+                        likeliest = (below, level + 1, more)
+                    else:
+                        stack.append((below, level + 1, more))
+            if likeliest:  # looked into first
+                stack.append(likeliest)
         return None
 
 
@@ -368,6 +376,8 @@ def _join_families(num: int, den: int, known: bool):
                 skip.append(group)
         found = link_family(names, sets, num, den, skip if known else None)
         a, b = zip(*found, strict=True) if found else ((), ())
+        if len(names) > 100:
+            release()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,13 +431,6 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.groupBy("set").agg(F.first("grams").alias("grams"))
 
 
-def _blocks(members: DataFrame, block_sets: int, block_grams: int) -> DataFrame:
-    """members (family, set, grams) with the number of blocks that their family needs."""
-    need = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("grams") / 8).alias("g"))
-    need = need.select("family", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("g") / block_grams)).cast("int").alias("blocks"))
-    return members.join(need, "family")
-
-
 def _joined(rows: DataFrame, num: int, den: int, known: bool) -> DataFrame:
     n = 2 * partitions(rows.sparkSession)
     dealt = rows.repartition(n, "family", "block").sortWithinPartitions("family", "block", "set")
@@ -438,7 +441,8 @@ def _complete(groups: DataFrame, links: DataFrame, sets: DataFrame, num: int, de
     """Links that stars and blocks may have missed; None if there are none to look for.
 
     groups: (family, set), all members. Those whose members are one component are done. In the others, members outside
-    the largest component are joined with all: every pair that could still matter has one of them.
+    the largest component are joined with all: every pair that could still matter has one of them. Groups with the
+    same largest component are taken together, so that a set which shares many signatures with it comes once.
     """
     if not groups.limit(1).count():
         return None
@@ -446,13 +450,15 @@ def _complete(groups: DataFrame, links: DataFrame, sets: DataFrame, num: int, de
     placed = groups.join(roots, groups["set"] == roots["node"], "left").select("family", "set", F.coalesce("root", "set").alias("known"))
     sizes = placed.groupBy("family", "known").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = materialize(placed.join(largest, "family").join(sets, "set").select("family", "set", "known", "grams", (F.col("known") != F.col("main")).alias("outside")), "open")
+    open_ = placed.join(largest, "family").select(F.col("main").alias("family"), "set", "known").distinct()
+    open_ = materialize(open_.withColumn("outside", F.col("known") != F.col("family")), "open")
     if not open_.limit(1).count():
         return None
-    need = open_.groupBy("family").agg(
-        *[F.greatest(F.lit(1), F.ceil(F.count_if(w) * 2 / block_sets), F.ceil(F.sum(F.when(w, F.length("grams") / 8).otherwise(0)) * 2 / block_grams)).cast("int").alias(c) for c, w in (("i_n", F.lit(True)), ("l_n", F.col("outside")))]
-    )
-    rows = open_.join(need, "family")
+    open_ = materialize(open_.join(sets, "set"), "open")
+    cut = lambda w: F.greatest(
+        F.lit(1), F.ceil(F.count_if(w) * 2 / block_sets), F.ceil(F.sum(F.when(w, F.length("grams") / 8).otherwise(0)) * 2 / block_grams)
+    ).cast("int")
+    rows = open_.join(open_.groupBy("family").agg(cut(F.lit(True)).alias("i_n"), cut(F.col("outside")).alias("l_n")), "family")
     spot = F.xxhash64("set")
     every = rows.withColumn("i", F.pmod(spot, F.col("i_n"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("l_n") - 1)))
     outside = rows.where("outside").withColumn("l", F.pmod(spot, F.col("l_n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)))
@@ -473,15 +479,18 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_se
     table = found.where(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("set"))
     stars = found.where((F.col("kind") == _STAR) & (F.col("a") != F.col("b"))).select(F.col("a").alias("set"), F.col("b").alias("family")).distinct()
     members = stars.unionByName(stars.select(F.col("family").alias("set"), "family").distinct())
-    members = materialize(members, "families")
-    sets = materialize(_sets_of(docs, members.select("set").distinct(), n), "sets")
-    placed = _blocks(members.join(sets, "set"), block_sets, block_grams)
+    size = table.where("set IS NOT NULL").groupBy("set").agg(F.first("n_shingles").alias("n"))
+    members = members.join(size, "set")
+    need = members.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
+    need = need.select("family", F.greatest(F.ceil(F.col("c") / block_sets), F.ceil(F.col("g") / block_grams)).cast("int").alias("blocks"))
+    members = materialize(members.join(need, "family").select("family", "set", "blocks"), "families")
+    sets = _sets_of(docs, members.select("set").distinct(), n)
     turn = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     dealt = F.when(F.col("set") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(turn))
-    split = placed.withColumn("block", F.explode(dealt)).withColumn("known", F.lit(0).cast("long"))
-    links = materialize(_joined(split.select("family", F.col("block").cast("string").alias("block"), "set", "grams", "known"), num, den, False), "links")
+    split = members.withColumn("block", F.explode(dealt)).withColumn("block", F.col("block").cast("string")).join(sets, "set").withColumn("known", F.lit(0).cast("long"))
+    links = materialize(_joined(split, num, den, False), "links")
     hot = found.where(F.col("kind") == _GROUP).select(F.col("a").alias("family"), F.col("b").alias("set")).distinct()
-    large = placed.where("blocks > 1").select("family", "set")
+    large = members.where("blocks > 1").select("family", "set")
     more = _complete(materialize(hot.unionByName(large), "groups"), links, sets, num, den, block_sets, block_grams)
     if more is not None:
         links = links.unionByName(more)
