@@ -87,23 +87,30 @@ def decode_column(docs: DataFrame, ranks: str | None = None, ids: str = "ids", i
     return docs.withColumn(into, raw(F.col(ids)))
 
 
-def digest(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Per row doc_id, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one visit to a Python worker."""
+def digest(docs: DataFrame, ranks: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """The `keep` columns, n_tokens, ids (if asked for), ids_sha256 and decoded_sha256 of each row.
+
+    Texts are encoded and decoded in one visit to a Python worker.
+    """
     path = ranks or default_ranks()
+    made = [("n_tokens", "long", pa.int64()), *[("ids", "array<int>", pa.list_(pa.int32()))] * with_ids]
+    made += [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    names = [*keep, *(m[0] for m in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        names = [str(i) for i in range(enc.max_token_value + 1)]
-        for batch in batches:
-            n, ids_sha, raw_sha = [], [], []
-            for text in batch.column("text"):
-                ids = encode(enc, text.as_py() or "")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        digits = [str(i) for i in range(enc.max_token_value + 1)]
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                rows = []
+                for text in batch.column("text"):
+                    ids = encode(enc, text.as_py() or "")
+                    shas = [hashlib.sha256(x).hexdigest() for x in (" ".join([digits[i] for i in ids]).encode(), enc.decode_bytes(ids))]
+                    rows.append((len(ids), *[ids] * with_ids, *shas))
+                columns = [pa.array(c, m[2]) for c, m in zip(zip(*rows, strict=True), made, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names)
+
+    kept = docs.select(*keep).schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{m[0]} {m[1]}" for m in made)])
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

@@ -3,7 +3,8 @@
 Pass one labels each block by itself: markup that is never part of an article (menus, page headers and footers,
 asides, forms, notices, adverts, reader comments) and dense links are bad; blocks of the page's article, and long
 blocks with many function words, are good; the rest, mostly short, is undecided. Pass two gives undecided blocks the
-label that their nearest decided neighbours share; where these differ, the nearer one's, counted in words.
+label that their nearest decided neighbours share; where these differ, the nearer one's, counted in words; of equally
+near ones a heading takes the later and other blocks the earlier.
 
 Defined results: null and empty html give an empty text; html without any good block gives an empty text; character
 references are decoded once; comments, scripts and styles that are never closed reach to the end; repeated rows give
@@ -162,10 +163,7 @@ def classify(found: list[Block]) -> list[Block]:
         if b.label != OPEN:
             labels.append(b.label)
         elif left == right:
-            labels.append(left or BAD)
-        elif left is None or right is None:
-            # at the page's edge a heading may open an article, other short blocks are no part of it
-            labels.append((left or right) if b.heading else BAD)
+            labels.append(left)
         elif far_left == far_right:
             labels.append(right if b.heading else left)
         else:
@@ -175,9 +173,9 @@ def classify(found: list[Block]) -> list[Block]:
     return found
 
 
-def _neighbours(found: list[Block]) -> list[tuple[str | None, int]]:
-    """Each block's nearest decided block before it: label and words between."""
-    out, label, far = [], None, 0
+def _neighbours(found: list[Block]) -> list[tuple[str, int]]:
+    """Each block's nearest decided block before it: label and words between. The page's edge counts as a bad one."""
+    out, label, far = [], BAD, 0
     for b in found:
         out.append((label, far))
         label, far = (b.label, 0) if b.label != OPEN else (label, far + b.n_words)

@@ -67,7 +67,7 @@ def _grams(letters: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     sixteen, tag = np.uint64(16), np.uint64(48)
     one = np.flatnonzero(some)
     two = np.flatnonzero(some[:-1] | some[1:])
-    three = np.flatnonzero(some[1:-1] & (some[:-2] | some[2:]))
+    three = np.flatnonzero(some[1:-1])
     codes = [
         letters[one] | (np.uint64(1) << tag),
         letters[two] << sixteen | letters[two + 1] | (np.uint64(2) << tag),
@@ -158,7 +158,7 @@ def distances(data: np.ndarray, offsets: np.ndarray, profiles: dict[str, np.ndar
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), size: int = PROFILE) -> DataFrame:
     """The `keep` columns of docs, lang_pred and score: how much nearer the language is than the next, 0 to 1."""
     names = list(profiles)
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
