@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.plans import evaluation
+from quarrymill.plans import corpus, evaluation, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (evaluation,)
+_MODULES = (evaluation, corpus, texts)
 
 
 def queries() -> dict[str, Query]:

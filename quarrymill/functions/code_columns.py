@@ -5,11 +5,15 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymill.functions import code
 from quarrymill.scratch import materialize
 
 FINDING = "struct<check:string,severity:string,line:int,column:int,message:string>"
+# types as objects: text types need a session, and this module may be imported before there is one
+_ROW = T.StructType([T.StructField(n, t) for n, t in (("check", T.StringType()), ("severity", T.StringType()), ("line", T.IntegerType()), ("column", T.IntegerType()), ("message", T.StringType()))])
+_PATCH = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 _FINDINGS = pa.list_(pa.struct([("check", pa.string()), ("severity", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("message", pa.string())]))
 _PATCHED = pa.struct([("ok", pa.bool_()), ("text", pa.string()), ("error", pa.string())])
 
@@ -21,47 +25,47 @@ def _each(function, kind: pa.DataType):
     return run
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def py_parses(source: pa.Array) -> pa.Array:
     return _each(code.parses, pa.bool_())(source)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def norm_code(source: pa.Array) -> pa.Array:
     return _each(code.token_form, pa.string())(source)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def struct_code(source: pa.Array) -> pa.Array:
     return _each(code.structure_form, pa.string())(source)
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def changed_lines(before: pa.Array, after: pa.Array) -> pa.Array:
     return _each(lambda a, b: None if a is None or b is None else code.changed_lines(a, b), pa.int64())(before, after)
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def vulnerable_lines(before: pa.Array, after: pa.Array) -> pa.Array:
     return _each(lambda a, b: None if a is None or b is None else code.edited_lines(a, b), pa.list_(pa.int64()))(before, after)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def make_patch(before: pa.Array, after: pa.Array) -> pa.Array:
     return _each(lambda a, b: None if a is None or b is None else code.make_patch(a, b), pa.string())(before, after)
 
 
-@F.arrow_udf("struct<ok:boolean,text:string,error:string>")
+@F.arrow_udf(_PATCH)
 def apply_patch(before: pa.Array, patch: pa.Array) -> pa.Array:
     return _each(lambda a, b: vars(code.apply_patch(a, b)), _PATCHED)(before, patch)
 
 
-@F.arrow_udf("struct<ok:boolean,text:string,error:string>")
+@F.arrow_udf(_PATCH)
 def extract_code(raw: pa.Array, prompt: pa.Array) -> pa.Array:
     return _each(lambda a, b: vars(code.extract_code(a, b)), _PATCHED)(raw, prompt)
 
 
-@F.arrow_udf(f"array<{FINDING}>")
+@F.arrow_udf(T.ArrayType(_ROW))
 def code_findings(source: pa.Array) -> pa.Array:
     """Null where the source does not parse."""
     return _each(code.findings, _FINDINGS)(source)
@@ -74,7 +78,7 @@ FUNCTIONS = {
 }
 
 
-@F.udtf(returnType="check string, severity string, line int, column int, message string")
+@F.udtf(returnType=_ROW)
 class ScanFindings:
     """Table function: a row for each finding of a source text."""
 

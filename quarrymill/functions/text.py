@@ -66,7 +66,8 @@ def terms_found(text: Column, terms: list[str]) -> Column:
 def fenced_code(text: Column) -> Column:
     """The first fenced block, else the text without a leading label."""
     block = F.regexp_extract(text, r"(?is)```(?:python)?\s*(.*?)```", 1)
-    body = F.when(text.rlike(r"(?is)```(?:python)?\s*.*?```"), F.trim(block)).otherwise(F.trim(text))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    body = F.when(text.rlike(r"(?is)```(?:python)?\s*.*?```"), bare(block)).otherwise(bare(text))
     return F.regexp_replace(body, r"(?i)^\s*(?:python\s+code|code)\s*:\s*", "")
 
 
@@ -143,6 +144,7 @@ def has_schema(text: Column, fields: dict[str, str]) -> Column:
     """Whether a JSON object has exactly these fields with these types (STRING, BOOLEAN, BIGINT, ARRAY<BIGINT>)."""
     value = F.try_parse_json(text)
     keys = F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(k) for k in sorted(fields)])
+
     def typed(key: str, kind: str) -> Column:
         found = F.schema_of_variant(F.try_variant_get(value, f"$.{key}", "variant"))
         return found.isin(kind, "ARRAY<VOID>") if kind.startswith("ARRAY") else found == kind
