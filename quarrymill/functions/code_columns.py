@@ -94,16 +94,16 @@ def register_udfs(spark: SparkSession) -> None:
     spark.udtf.register("scan_findings", ScanFindings)
 
 
-def finding_counts(found: Column) -> Column:
-    """map<check, count> of an array of findings; empty for null."""
-    checks = F.transform(F.coalesce(found, F.array().cast(f"array<{FINDING}>")), lambda x: x["check"])
-    kinds = F.array_distinct(checks)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(checks, lambda x: x == k))))
+@F.arrow_udf(T.MapType(T.StringType(), T.LongType()))
+def finding_counts(source: pa.Array) -> pa.Array:
+    """Findings by check; an empty map for code that does not parse."""
+    return pa.array([list(code.finding_counts(x).items()) for x in source.to_pylist()], pa.map_(pa.string(), pa.int64()))
 
 
 def no_more_findings(before: Column, after: Column) -> Column:
     """No check has more findings after than before; true if there is none after."""
-    return F.forall(F.map_keys(after), lambda k: F.element_at(after, k) <= F.coalesce(F.try_element_at(before, k), F.lit(0)))
+    more = F.map_zip_with(before, after, lambda _, b, a: F.coalesce(a, F.lit(0)) > F.coalesce(b, F.lit(0)))
+    return F.size(F.map_filter(more, lambda _, x: x)) == 0
 
 
 def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:

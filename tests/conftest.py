@@ -10,7 +10,8 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
+HERE = [ROOT, f"{ROOT}/tests", f"{ROOT}/tests/llm"]  # workers unpickle what tests define
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (*HERE, os.environ.get("PYTHONPATH", "")) if x)
 
 
 @pytest.fixture(scope="session")
