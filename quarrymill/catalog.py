@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.plans import corpus, evaluation, texts
+from quarrymill.plans import corpus, evaluation, labs, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (evaluation, corpus, texts)
+_MODULES = (evaluation, corpus, texts, labs)
 
 
 def queries() -> dict[str, Query]:

@@ -91,12 +91,14 @@ def normalise_status(rows: DataFrame, gaps: list[str]) -> DataFrame:
     broke = ~done & ~gap & error.endswith("test result CSV was not produced.")
     status = F.when(done | broke, "complete").when(gap, "upstream_fixture_missing").otherwise("infrastructure")
     result = F.when(broke, F.when(F.col("compilable"), "error").otherwise("SyntaxError"))
-    out = rows.withColumn("status", status)
+    # what rests on the old status is settled before the new one takes its place
+    out = rows.withColumns({"_broke": broke, "_result": result, "_status": status}).withColumn("status", F.col("_status"))
+    broke, result = F.col("_broke"), F.col("_result")
     for c in ("test_correctness", "test_vulnerability"):
         out = out.withColumn(c, F.coalesce(result, F.col(c)))
     for c in ("functional_pass", "security_test_pass", "secure_functional_pass"):
         out = out.withColumn(c, F.when(broke, F.lit(False)).otherwise(F.coalesce(c, F.lit(False))))
-    return out
+    return out.drop("_broke", "_result", "_status")
 
 
 def check_samples(rows: DataFrame, prompts: DataFrame, samples: int) -> None:
