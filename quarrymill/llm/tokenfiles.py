@@ -12,7 +12,9 @@ own, ordered by content; an empty table gives empty files and an empty result; o
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +31,8 @@ END_ID = 1
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1024, 16_384, 65_536
 #: A block is closed beyond so many bytes of frames.
 BLOCK_BYTES = 4 << 20
-#: Encoded words kept by a worker; the memo is emptied beyond.
-MEMO_WORDS, MEMO_WORD_BYTES = 400_000, 64
+#: Encoded words kept by a worker, twice so many at most.
+MEMO_WORDS, MEMO_WORD_BYTES = 300_000, 64
 
 
 def default_tokenizer() -> str:
@@ -39,35 +41,96 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The character that byte-level tokenizers write for each byte: itself if printable, else one from 256 onward."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in set(shown) else chr(next(spare)) for b in range(256)]
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, word by word, remembering words.
 
     The tokenizer drops white space and no token of it crosses white space, so a text's ids are those of its words in
     turn. Only ASCII white space parts words here (a subset of what the tokenizer drops), the rest it handles itself.
+    A new word of Latin letters with ASCII punctuation around it is what the tokenizer splits into these parts; they
+    are remembered in lower case, and go to the library's model as it writes them. All other words go to it whole.
     """
 
+    #: Letters whose lower case is one composed letter, in the first Latin blocks.
+    _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*)([!-&(-/:-@\\[-`{-~]*)")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.memo, self.old = _Memo(self), {}
+        self.parts, self.old_parts = {"": b""}, {}
+        self.letters = {i: c for i, c in enumerate(_byte_letters())}
+        self.stops = {x: _packed(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids) for x in (b",", b".")}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of letters alone or of punctuation alone, in lower case."""
+        got = self.old_parts.get(part)
+        if got is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = _packed([t.id for t in self.model.tokenize(shown)])
+        self.parts[part] = got
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        memo, low = self.memo, word.lower()  # of ASCII letters; the tokenizer takes both cases alike
+        if low[-1:] in (b",", b".") and low[-2:-1].isalnum():
+            got, end = memo.get(low[:-1]), self.stops[low[-1:]]
+            if got is not None and b"<|" not in word:
+                return got + end
+        elif low != word and (got := memo.get(low)) is not None and b"<|" not in word:
+            return got
+        text, parts = word.decode(), self.parts
+        m = self._PLAIN.fullmatch(text)
+        if m is None or "<|" in text:
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        letters, rest = m[1].lower(), m[2]
+        if not rest:
+            return self._part(letters)
+        a = parts.get(letters)
+        if a is None:
+            a = self._part(letters)
+        b = parts.get(rest)
+        if b is None:
+            b = self._part(rest)
+        return a + b
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for ws in split for w in ws if w not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memo[word] = np.asarray(got.ids, "<u4").tobytes()
-        for ws in split:
-            yield b"".join([memo[w] for w in ws])
-        for w in new:
-            if len(w) > MEMO_WORD_BYTES:
-                del memo[w]
+        for text in texts:
+            if len(self.memo) > MEMO_WORDS:  # the young become old, the old are forgotten unless asked for again
+                self.memo, self.old = _Memo(self), self.memo
+            if len(self.parts) > MEMO_WORDS:
+                self.parts, self.old_parts = {"": b""}, self.parts
+            yield b"".join(map(self.memo.__getitem__, text.split()))
+
+
+class _Memo(dict):
+    """Words to ids; a new word is encoded when it is first asked for."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.encoder.old.get(word)
+        if got is None:
+            got = self.encoder._word(word)
+        if len(word) <= MEMO_WORD_BYTES:
+            self[word] = got
+        return got
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -76,13 +139,13 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[bytes]]]:
-    """Parts of a batch of about 1 MB of text."""
+    """Parts of a batch of about 4 MB of text."""
     column = batch.column("text").cast(pa.binary())
     start, size, part = 0, 0, []
     for i, x in enumerate(column):
         part.append(x.as_py() or b"")
         size += len(part[-1])
-        if size >= 1 << 20:
+        if size >= 4 << 20:
             yield slice(start, i + 1), part
             start, size, part = i + 1, 0, []
     if part:
@@ -140,7 +203,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     raw = train_dictionary(docs, tokenizer)
     key = dict_hash(raw)
     spark.createDataFrame([(key, raw)], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    n = 3 * partitions(spark)
+    n = 2 * partitions(spark)
     cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10 * n))).first()[0] if n > 1 else None
     bounds = np.unique(np.asarray(cuts or [], np.int64))
 
@@ -188,7 +251,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     kinds = [pa.int32(), pa.int32(), i64, i64, i64, i64, pa.string(), pa.list_(i64), pa.list_(i64), pa.list_(i64), pa.binary()]
     names = [x.split()[0] for x in _BLOCK.split(", ")]
     coded = docs.select("doc_id", "text").mapInArrow(frames, "part int, doc_id long, n long, tie long, frame binary")
-    ordered = coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "n", "tie")
+    ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n", "tie")
     ordered.mapInArrow(blocks, _BLOCK).write.parquet(f"{path}/blocks")
     sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     starts = np.concatenate([[0], np.cumsum([r.n for r in sums])])[:-1] if sums else []
