@@ -81,9 +81,12 @@ def measures(docs: DataFrame) -> DataFrame:
         "_lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     )
     length = F.length(text)
+    # A filter on a measure must not be pushed below this projection: it would carry the expressions along, and the split
+    # into words would run once for every word. Spark leaves projections alone that are not deterministic.
+    fence = F.monotonically_increasing_id() * 0
     counted = held.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
+            "n_words": F.size("_w").cast("long") + fence,
             "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
             "n_symbols": (length - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
