@@ -40,11 +40,11 @@ from quarrymill.llm.packing import pack, release, runs, unpack
 from quarrymill.scratch import materialize
 
 #: Signatures held by a task before it sorts and sends them.
-HELD = 1_000_000
+HELD = 600_000
 #: A signature with more sets than this in one task makes a star there.
 LOCAL_STAR = 64
 #: A family's blocks.
-BLOCK_SETS, BLOCK_GRAMS = 2000, 4_000_000
+BLOCK_SETS, BLOCK_GRAMS = 2000, 1_500_000
 #: Bits of the filter that tells which sets are in any family (8 MB, whatever the data; false positives do no harm).
 FILTER_BITS = 26
 
@@ -376,8 +376,6 @@ def _join_families(num: int, den: int, known: bool):
                 skip.append(group)
         found = link_family(names, sets, num, den, skip if known else None)
         a, b = zip(*found, strict=True) if found else ((), ())
-        if len(names) > 100:
-            release()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +388,12 @@ def _join_families(num: int, den: int, known: bool):
                         yield links(held)
                     now, held = (family, block), []
                 held.append((name, grams, group))
+            del cols
+            release()
         if len(held) > 1:
             yield links(held)
+        held = []
+        release()
 
     return run
 
@@ -426,6 +428,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         values.append(grams[bounds[i] : bounds[i + 1]].tobytes())
                 if names:
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], ["set", "grams"])
+            release()
 
     found = docs.select("text").mapInArrow(run, "set long, grams binary")
     return found.groupBy("set").agg(F.first("grams").alias("grams"))
@@ -509,7 +512,7 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Rows of null id stay.
     """
-    gone = classes(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(classes(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
     if left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import textkernel as tk
 from quarrymill.llm.common import partitions
-from quarrymill.llm.packing import pack, runs, unpack
+from quarrymill.llm.packing import pack, release, runs, unpack
 
 WINDOW = 20
 #: Windows held by a task before it sorts and sends them.
-HELD = 2_000_000
+HELD = 600_000
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -99,6 +99,8 @@ def _windows(window: int, buckets: int):
                 rows.append((b, False, data))
         for k in range(0, len(rows), 64):
             yield _row_batch(rows[k : k + 64])
+        del hashes, doc, home, pos, order, source, keep, rows
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -151,6 +153,8 @@ def _look_up(batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
         if later.any():
             s = source[later]
             out += list(_by_home(home[later], doc[later], pos[later], doc[s], pos[s]))
+        del held, hashes, doc, home, pos, order, source
+    release()
     return pa.Table.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["home", "marks"])
 
 
@@ -205,7 +209,7 @@ def _kept(table: pa.Table, marks: pa.Table, text: str, doc_id: str, window: int)
 
 def _together(docs: DataFrame, columns: list[str], window: int, finish, schema: str) -> DataFrame:
     """Texts and their marks meet by home; finish(table, marks) makes the rows."""
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets = 3 * partitions(docs.sparkSession)
     marks = _marked(_with_home(docs.select("doc_id", "text"), buckets, "home"), window, buckets)
     left = _with_home(docs.select(*columns), buckets, "_home").groupBy("_home")
     return left.cogroup(marks.groupBy("home")).applyInArrow(finish, schema)
@@ -216,6 +220,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
         texts = [x[2].decode() for x in _kept(table, marks, "text", "doc_id", window)]
+        release()
         table = table.drop_columns("_home")
         table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
         if "n_chars" in table.column_names:
@@ -242,6 +247,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
         rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept(table, marks, "text", "doc_id", window)]
         n, gone, sha = zip(*rows, strict=True) if rows else ((), (), ())
+        release()
         columns = [table.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
         return pa.Table.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
