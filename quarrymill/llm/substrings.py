@@ -176,8 +176,8 @@ def _marked(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(_look_up, "home int, marks binary")
 
 
-def _with_home(docs: DataFrame, buckets: int, name: str) -> DataFrame:
-    return docs.withColumn(name, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+def _with_home(docs: DataFrame, homes: int, name: str) -> DataFrame:
+    return docs.withColumn(name, F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int"))
 
 
 def _spans(marks: pa.Table, window: int):
@@ -209,9 +209,10 @@ def _kept(table: pa.Table, marks: pa.Table, text: str, doc_id: str, window: int)
 
 def _together(docs: DataFrame, columns: list[str], window: int, finish, schema: str) -> DataFrame:
     """Texts and their marks meet by home; finish(table, marks) makes the rows."""
-    buckets = 3 * partitions(docs.sparkSession)
-    marks = _marked(_with_home(docs.select("doc_id", "text"), buckets, "home"), window, buckets)
-    left = _with_home(docs.select(*columns), buckets, "_home").groupBy("_home")
+    # every block of the index may have something for every home: the fewer homes, the fewer and larger the messages
+    homes = partitions(docs.sparkSession)
+    marks = _marked(_with_home(docs.select("doc_id", "text"), homes, "home"), window, 2 * homes)
+    left = _with_home(docs.select(*columns), homes, "_home").groupBy("_home")
     return left.cogroup(marks.groupBy("home")).applyInArrow(finish, schema)
 
 
