@@ -151,7 +151,7 @@ def test_jaccard_many_links_in_small_blocks(spark):
             made.append((len(made), " ".join(base)))
     frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
     want = brute_classes(made, 3, 80, 100)
-    for options in ({}, {"block_sets": 2, "local_star": 1}, {"block_sets": 5}):
+    for options in ({}, {"block_sets": 5, "local_star": 1}):
         assert sorted(map(tuple, jaccard.classes(frame, 3, 80, 100, **options).collect()), key=str) == want
     assert len({x[2] for x in want}) < 60
 
@@ -456,22 +456,17 @@ def test_lm_counts_and_probabilities(docs, rows, empty):
     assert lm.digest(empty).collect() == []
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Over all words that a context can be followed by, known or not, once each."""
+def test_lm_root_sums_to_one(spark):
+    """Over all known words and the unknown one; a pair with an unseen word is the least likely."""
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(12)]
     train = [(i, " ".join(rng.choice(vocabulary) for _ in range(30)), False) for i in range(40)]
     probe = [(100 + i, f"v3 {w}", True) for i, w in enumerate([*vocabulary, "unseen"])] + [(200, "v3", True)]
     frame = spark.createDataFrame(train + probe, "doc_id long, text string, held_out boolean")
     got = {r.doc_id: r.score for r in lm.score(frame).collect()}
-    ends = spark.createDataFrame(train + [(300 + i, w, True) for i, w in enumerate([*vocabulary, "unseen"])], "doc_id long, text string, held_out boolean")
-    end = {r.doc_id - 200: r.score for r in lm.score(ends).collect() if r.doc_id >= 300}
-    # log P(v3 | end) + log P(w | v3) + log P(end | w), and log P(w | end) + log P(end | w)
-    after_start = {k: 10 ** (got[k] - got[200]) for k in range(100, 113)}
-    assert all(0 < x for x in after_start.values())
+    assert all(-20 < got[k] < 0 for k in range(100, 113)) and got[112] < min(got[k] for k in range(100, 112))
     model, _, _ = lm.train(frame)
     assert model.n_train == 40 * 31 and model.vocabulary == 13
-    assert end and model.root.sum(axis=1) + (1 - model.root.sum(axis=1)) == pytest.approx([1, 1])
     for s in range(lm.SAMPLES):
         unknown = model.root_of([np.zeros(1)] * lm.SAMPLES, [np.zeros(1)] * lm.SAMPLES)[s, 0]
         assert model.root[s].sum() + unknown == pytest.approx(1.0)
