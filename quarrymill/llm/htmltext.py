@@ -25,8 +25,9 @@ from quarrymill.llm.quality import STOP_WORDS
 
 _RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select|button"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    # attributes end at the next tag's bracket, and are not tried in shorter forms: unclosed tags cost no second look
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*+>",
     re.S | re.I,
 )
 _INLINE = frozenset(
