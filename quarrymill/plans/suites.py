@@ -54,7 +54,7 @@ def summarize(runs: DataFrame) -> DataFrame:
     )
 
 
-def compare_suites(base: DataFrame, other: DataFrame, samples: int = 10_000, seed: int = 20260619) -> DataFrame:
+def compare_suites(base: DataFrame, other: DataFrame, samples: int = 10_000, seed: int = 42) -> DataFrame:
     """Paired vulnerable cases of two runs: rates, effect, its interval (elements at int(q (n - 1))), and the exact test."""
     relational.require_none(relational.missing_and_extra(base, other, ["id"]), "runs have different cases")
     side = lambda runs, name: runs.where("is_vulnerable").select("id", F.col("repair_success").cast("int").alias(name))
