@@ -1,9 +1,9 @@
 """Language-model scores from a hierarchical Pitman-Yor model of word pairs.
 
 Each word is the context of the next: contexts are restaurants that share one parent, the root, whose base is uniform
-over the vocabulary and one unknown word. Seatings are sampled by Gibbs: for each dish of a restaurant the number of
-tables given all else, in steps between neighbouring numbers, weighed by generalised Stirling numbers (exact up to
-STIRLING customers, beyond by their scaling law). Tables of contexts are the root's customers. A pair's probability is
+over the vocabulary and one unknown word. Seatings are sampled by Gibbs, from likely numbers of tables on: for each dish
+of a restaurant the number of tables given all else, in steps of all scales, weighed by generalised Stirling numbers
+(exact up to STIRLING customers, beyond by their saddle point). Tables of contexts are the root's customers. A pair's probability is
 the average of its predictive probability over SAMPLES seatings; a text's score is the sum of their logarithms.
 
 How it is spread. Counts of pairs go to buckets of contexts as packed arrays, summed by task before. A bucket seats
@@ -198,7 +198,7 @@ def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, int]:
 
 @lru_cache(maxsize=4)
 def _stirling(discount: float) -> np.ndarray:
-    """ratio[c, t] = S(c, t + 1) / S(c, t) of generalised Stirling numbers, for c up to STIRLING."""
+    """Logarithms of generalised Stirling numbers S(c, t), for c up to STIRLING; -inf where there are none."""
     s = np.full((STIRLING + 1, STIRLING + 2), -np.inf)
     s[1, 1] = 0.0
     for c in range(1, STIRLING):
@@ -206,38 +206,102 @@ def _stirling(discount: float) -> np.ndarray:
         with np.errstate(divide="ignore"):
             stay = np.where(c - t * discount > 0, np.log(np.maximum(c - t * discount, 1e-300)), -np.inf) + s[c, t]
         s[c + 1, t] = np.logaddexp(s[c, t - 1], stay)
-    with np.errstate(invalid="ignore"):
-        ratio = np.exp(s[:, 1:] - s[:, :-1])
-    return np.nan_to_num(ratio, nan=0.0, posinf=0.0)
+    return s
 
 
-def _ratio(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _saddle(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many customers: log(t / c), log f and log(a / c), all ascending but f, with S(c, t + 1) / S(c, t) = f / (t * discount).
+
+    S(c, t) is c! / (t! discount ** t) times the coefficient of z ** c in f(z) ** t, f(z) = 1 - (1 - z) ** discount; the
+    saddle point z of that coefficient depends on t / c alone. a = t * discount / f: tables open at odds a to f.
+    """
+    x = np.linspace(100.0, -12.0, 6001)  # logit of z; t / c ascends
+    log_z, log_rest = -np.logaddexp(0, -x), -np.logaddexp(0, x)
+    log_f = np.log(-np.expm1(discount * log_rest))
+    at = log_f + (1 - discount) * log_rest - log_z - np.log(discount)
+    return at, log_f, (1 - discount) * log_rest - log_z
+
+
+@lru_cache(maxsize=4)
+def _short_of(discount: float) -> np.ndarray:
+    """What the saddle point lacks of log(S(STIRLING, t + 1) / S(STIRLING, t)), by t; of c customers it is less by c ** discount, as is t."""
+    t = np.arange(1, STIRLING * 7 // 8)
+    at, log_f, _ = _saddle(discount)
+    return np.diff(_stirling(discount)[STIRLING, 1 : len(t) + 2]) - np.interp(np.log((t + 0.5) / STIRLING), at, log_f) + np.log(discount * t)
+
+
+def _lack(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    lack, scale = _short_of(discount), (STIRLING / c) ** discount
+    return scale * np.interp(t * scale, np.arange(1, len(lack) + 1), lack)
+
+
+def _log_sum(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log(x) + log(x + 1) + ... of n terms, by their middle; exact for one term, good for n up to x."""
+    middle = x + (n - 1) / 2
+    square = (n * n - 1.0) / (12 * middle * middle)
+    return n * (np.log(middle) - square / 2 - square * (3.0 * n * n - 7) / (80 * middle * middle))
+
+
+def _log_ratio(c: np.ndarray, t: np.ndarray, step: np.ndarray, discount: float) -> np.ndarray:
+    """log(S(c, t + step) / S(c, t))."""
     table = _stirling(discount)
+    out = np.empty(len(c))
     small = c <= STIRLING
-    # of many customers: t times the ratio depends on tables per customers ** discount alone
-    scaled = np.where(small, t, np.maximum(1, np.rint(t * (STIRLING / np.maximum(c, 1)) ** discount))).astype(np.int64)
-    found = table[np.minimum(c, STIRLING), np.minimum(scaled, STIRLING)]
-    return np.where(small, found, found * scaled / np.maximum(t, 1))
+    k, n, s = c[small], t[small], step[small]
+    out[small] = table[k, n + s] - table[k, n]
+    k, n, s = c[~small], t[~small], step[~small]
+    at, log_f, _ = _saddle(discount)
+    out[~small] = s * (np.interp(np.log((n + s / 2) / k), at, log_f) - np.log(discount) + _lack(k, n + (s - 1) / 2, discount)) - _log_sum(n, s)
+    return out
+
+
+def seated(c: np.ndarray, of: np.ndarray, spread: np.ndarray, parent: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Likely numbers of tables to start from: each dish's given its restaurant's tables, and these as their sum."""
+    customers = np.bincount(of, c, len(spread)) * spread
+    low = np.log(np.maximum(1, np.bincount(of, np.minimum(c, 1), len(spread)) * spread))
+    high = np.log(np.maximum(1, customers))
+    at, _, opening = _saddle(discount)
+    free = np.flatnonzero(c > 1)
+    mine, k, share = of[free], c[free], np.log(parent[free] / c[free])
+    once = np.bincount(of, c == 1, len(spread))
+
+    def tables(total: np.ndarray) -> np.ndarray:
+        fit = k * np.exp(np.interp(np.log(strength + discount * np.exp(total))[mine] + share, opening, at))
+        return np.minimum(fit * (1 + _lack(k, fit, discount)) + 1, k)  # where odds are even, and one more: the mean of skew odds
+
+    for _ in range(16):
+        middle = (low + high) / 2
+        more = (np.bincount(mine, tables(middle), len(spread)) + once) * spread > np.exp(middle)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    t = np.minimum(c, 1)
+    t[free] = np.rint(tables((low + high) / 2))
+    return t
 
 
-def gibbs(c: np.ndarray, t: np.ndarray, of: np.ndarray, spread: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng, sweeps: int) -> np.ndarray:
+def gibbs(
+    c: np.ndarray, t: np.ndarray, of: np.ndarray, spread: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng, sweeps: int, reach: np.ndarray | None = None
+) -> np.ndarray:
     """Numbers of tables after so many sweeps over all dishes with two customers or more.
 
     c, t: customers and tables of each dish; of: its restaurant; spread: how many times a restaurant's tables seen here
-    it has in all; parent: the parent's probability of the dish.
+    it has in all; parent: the parent's probability of the dish; reach: the longest step, 1 if not given. Steps are of
+    all scales up to the reach, drawn whatever t is, and each is between two numbers by their odds.
     """
     t = t.copy()
     free = np.flatnonzero(c > 1)
     total = np.bincount(of, t, len(spread))
+    scale = np.zeros(len(c)) if reach is None else np.log(np.maximum(1, reach))
     for _ in range(sweeps):
         halves = rng.integers(0, 2, len(free)).astype(bool)
         for mine in (free[halves], free[~halves]):
-            low = t[mine] - rng.integers(0, 2, len(mine))
-            ok = (low >= 1) & (low < c[mine])
-            mine, low = mine[ok], low[ok]
+            step = np.exp(rng.random(len(mine)) * scale[mine]).astype(np.int64)
+            low = t[mine] - rng.integers(0, 2, len(mine)) * step
+            ok = (low >= 1) & (low + step <= c[mine])
+            mine, low, step = mine[ok], low[ok], step[ok]
             rest = total[of[mine]] * spread[of[mine]] - t[mine] + low
-            odds = (strength + discount * rest) * parent[mine] * _ratio(c[mine], low, discount)
-            new = low + (rng.random(len(mine)) * (1 + odds) < odds)
+            odds = step * np.log(discount * parent[mine]) + _log_sum(strength / discount + rest, step) + _log_ratio(c[mine], low, step, discount)
+            new = low + step * (rng.random(len(mine)) < 1 / (1 + np.exp(-np.clip(odds, -700, 700))))
             total += np.bincount(of[mine], new - t[mine], len(spread))
             t[mine] = new
     return t
@@ -245,9 +309,10 @@ def gibbs(c: np.ndarray, t: np.ndarray, of: np.ndarray, spread: np.ndarray, pare
 
 def _seatings(c, of, spread, parent, discount, strength, seed: int) -> list[np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    t, out = np.minimum(c, 1), []
+    reach = seated(c, of, spread, parent, discount, strength)
+    t, out = reach, []
     for k in range(SAMPLES):
-        t = gibbs(c, t, of, spread, parent, discount, strength, rng, THIN if k else BURN_IN)
+        t = gibbs(c, t, of, spread, parent, discount, strength, rng, THIN if k else BURN_IN, reach)
         out.append(t)
     return out
 

@@ -503,3 +503,35 @@ def test_gibbs_samples_the_posterior():
     t = lm.gibbs(many_c, np.ones(2 * n, np.int64), of, np.ones(n), many_p, d, strength, np.random.default_rng(0), 60)
     assert t.min() >= 1 and (t <= many_c).all()
     assert t.sum() / n == pytest.approx(mean, rel=0.05)
+
+
+def test_seatings_have_as_many_tables_as_the_posterior():
+    """Production sweeps: two dishes against the exact mean, and many of up to a million customers against long runs."""
+    d, strength = lm.DISCOUNT, lm.STRENGTH
+    weight = []
+    for c, p in ((200, 0.05), (800, 0.95)):
+        s = np.full(c + 2, -np.inf)
+        s[1] = 0.0
+        for n in range(1, c):
+            t = np.arange(1, n + 2)
+            s[t] = np.logaddexp(s[t - 1], s[t] + np.log(np.maximum(n - t * d, 1e-300)))
+        weight.append(s[1:-1] + np.arange(1, c + 1) * math.log(p))
+    rise = np.array([math.lgamma(strength / d + t) + t * math.log(d) for t in range(1, 1001)])
+    log = weight[0][:, None] + weight[1] + rise[np.add.outer(np.arange(1, 201), np.arange(1, 801)) - 1]
+    share = np.exp(log - log.max())
+    want = (share.sum(1) @ np.arange(1, 201)) / share.sum(), (share.sum(0) @ np.arange(1, 801)) / share.sum()
+    n = 400
+    of = np.repeat(np.arange(n), 2)
+    for t in lm._seatings(np.tile([200, 800], n), of, np.ones(n), np.tile([0.05, 0.95], n), d, strength, 1):
+        assert t[::2].mean() == pytest.approx(want[0], rel=0.15) and t[1::2].mean() == pytest.approx(want[1], rel=0.15)
+    zipf = 1 / np.arange(1, 5001)
+    zipf /= zipf.sum()
+    for total in (10**4, 10**6, 10**7):  # the commonest dish has a tenth
+        c = np.random.default_rng(3).multinomial(total, zipf)
+        c, p = c[c > 0], zipf[c > 0]
+        of = np.zeros(len(c), np.int64)
+        start = lm.seated(c, of, np.ones(1), p, d, strength)
+        long = lm.gibbs(c, start, of, np.ones(1), p, d, strength, np.random.default_rng(7), 600, start)
+        for t in lm._seatings(c, of, np.ones(1), p, d, strength, 5):
+            assert t.min() >= 1 and (t <= c).all() and t.max() > 100
+            assert t.sum() == pytest.approx(long.sum(), rel=0.1) and t[:20].sum() == pytest.approx(long[:20].sum(), rel=0.1)
