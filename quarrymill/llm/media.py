@@ -3,6 +3,8 @@
 The transform is in fixed point: samples and windowed sines are small whole numbers whose sums 32-bit floats hold
 exactly, so a sound has the same peaks wherever and beside whatever it is computed.
 
+A sound is heard with HOP samples of silence before and after it, so that the shortest has three frames.
+
 Defined results: a null text is empty, and an empty one is 192 spaces; equal texts give equal values; an empty table
 gives an empty result; other columns are not touched.
 """
@@ -95,9 +97,10 @@ def peak_pairs(spectrum: np.ndarray, first_frame: int = 0) -> tuple[np.ndarray,
 def fingerprint(samples: bytes) -> np.ndarray:
     """Time-coded fingerprints of one sound: frame << 16 | code, ascending.
 
-    Long sounds are transformed in overlapping parts: a part's last AHEAD frames only serve as partners.
+    Frame 0 begins HOP samples before the sound. Long sounds are transformed in overlapping parts: a part's last AHEAD
+    frames only serve as partners.
     """
-    data = np.frombuffer(samples, np.uint8)
+    data = np.pad(np.frombuffer(samples, np.uint8), HOP, constant_values=128)
     n_frames = (len(data) - FRAME) // HOP + 1
     step = max(1, CHUNK // HOP)
     found = []

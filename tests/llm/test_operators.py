@@ -213,6 +213,13 @@ def test_media_round_trip(docs, rows, empty):
     assert media.digest(empty).collect() == []
 
 
+def test_short_sounds_have_fingerprints():
+    """Of at most 192 bytes: none is empty, and different texts differ."""
+    texts = ["", "short", "a somewhat longer line of text", "Numbers: 1, 2, 3 and 4", "x" * 150, "the quick brown fox jumps over the lazy dog " * 4]
+    marks = [tuple(media.fingerprint(media.payload(t.encode()))) for t in texts]
+    assert all(marks) and len(set(marks)) == len(texts)
+
+
 def test_long_sounds_have_the_fingerprints_of_whole_ones(monkeypatch):
     sound = np.random.default_rng(2).integers(32, 127, 192 * 100, dtype=np.uint8).tobytes()
     whole = media.fingerprint(sound)
