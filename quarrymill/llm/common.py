@@ -27,3 +27,14 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that docs has no column of, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

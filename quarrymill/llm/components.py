@@ -9,7 +9,8 @@ from quarrymill.scratch import materialize
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    """What tells two rounds' edges apart: how many, and their hashes combined without a sum that could overflow."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

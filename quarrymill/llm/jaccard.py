@@ -6,10 +6,11 @@ both. So each set signs the content of each segment, and only sets with a common
 class of sizes; a set signs for its own class and for the one below. If more segments of a set are empty than P
 allows for, it signs another cut as well, until one has few enough: no link is lost.
 
-How they are joined. Sets with a common signature go to the family of the smallest of them. A family is a trie per
-component found so far: level by level the segments of the sorted n-grams, sets with equal segments sharing nodes
-and their partial overlap with the set that is looked up; subtrees are left when the overlap so far and the n-grams
-that remain on either side cannot reach the threshold, or sizes cannot.
+How they are joined. Sets with a common signature go to the family of the smallest of them. A family is one trie:
+level by level the segments of the sorted n-grams, sets with equal segments sharing nodes and their partial overlap
+with the sets that are looked up (several at once, as columns); subtrees are left when the overlap so far and the
+n-grams that remain on either side cannot reach the threshold, when sizes cannot, or when all of a subtree is in the
+looked-up set's component.
 
 Skew. Equal sets are one set from the start. A signature that many sets of one task share makes a star there and then
 and sends its centre only. Families beyond BLOCK_SETS sets or BLOCK_GRAMS n-grams are split into blocks that share
@@ -20,7 +21,8 @@ n-grams are compared by 64-bit hash, equal sets by a 64-bit sum over them.
 
 Defined results: null and blank texts have no n-grams and link with nothing; a text with fewer words than n has its
 whole sequence as one n-gram; repeated rows link with each other; a null id is ignored as a component's name unless
-there is no other; an empty table gives an empty result; further columns pass through drop_near_copies() untouched.
+there is no other; an empty table gives an empty result; further columns pass through drop_near_copies() untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm import textkernel as tk
-from quarrymill.llm.common import partitions
+from quarrymill.llm.common import fresh, partitions
 from quarrymill.llm.components import components
 from quarrymill.llm.packing import pack, release, runs, unpack
 from quarrymill.scratch import materialize
@@ -255,111 +257,148 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(kind), pa.array(a, mask=~known), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
 
 
-class _Node:
-    __slots__ = ("children", "grams", "least", "longest", "most", "sets")
-
-    def __init__(self, grams: frozenset):
-        self.children: dict[bytes, _Node] = {}
-        self.grams, self.sets = grams, []
-        self.least, self.most, self.longest = 1 << 62, 0, 0
-
-
 class _Trie:
-    """Sets cut at the same places of the hash range, level by level."""
+    """Sets as paths of segments of the hash range, level by level, sets with equal segments sharing nodes.
 
-    def __init__(self, levels_log2: int, num: int, den: int):
-        self.log2, self.num, self.den, self.root = levels_log2, num, den, _Node(frozenset())
+    n-grams that no other set of the family has cannot overlap: they count for sizes and are on no path. A level's
+    nodes lie in order, each with the place of its parent, its segment, and the sizes and remaining n-grams of the
+    sets below it.
+    """
 
-    def cut(self, grams: np.ndarray) -> tuple[list[bytes], list[frozenset], list[int]]:
-        """Segments as bytes and as sets, and how many n-grams are left after each."""
-        if self.log2:
-            edges = np.searchsorted(grams >> _U(64 - self.log2), np.arange((1 << self.log2) + 1).astype(np.uint64))
-        else:
-            edges = np.array([0, len(grams)])
-        raw, values, e = grams.tobytes(), grams.tolist(), edges.tolist()
-        spans = list(zip(e[:-1], e[1:], strict=True))
-        return [raw[8 * a : 8 * b] for a, b in spans], [frozenset(values[a:b]) for a, b in spans], [len(values) - b for _, b in spans]
-
-    def insert(self, cut, n: int, name: int) -> None:
-        node = self.root
-        for raw, grams, left in zip(*cut, strict=True):
-            below = node.children.get(raw)
-            if below is None:
-                below = node.children[raw] = _Node(grams)
-            node = below
-            node.least, node.most, node.longest = min(node.least, n), max(node.most, n), max(node.longest, left)
-        node.sets.append((n, name))
-
-    def find(self, cut, n: int) -> int | None:
-        """Any set that links with the one looked up."""
-        keys, grams, left = cut
-        num, den, depth = self.num, self.den, len(keys)
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, level, overlap = stack.pop()
-            if level == depth:
-                for m, name in node.sets:
-                    if den * overlap >= num * (n + m - overlap):
-                        return name
-                continue
-            own, mine, rest = keys[level], grams[level], left[level]
-            likeliest = None
-            for raw, below in node.children.items():
-                if below.most * den < n * num or below.least * num > n * den:
-                    continue
-                more = overlap + (len(mine) if raw == own else len(mine & below.grams) if mine and below.grams else 0)
-                # the least overlap that a set of this subtree needs, against the most that it can still have
-                if (more + min(rest, below.longest)) * (num + den) >= num * (n + below.least):
-                    if raw == own:
-                        likeliest = (below, level + 1, more)
-                    else:
-                        stack.append((below, level + 1, more))
-            if likeliest:  # looked into first
-                stack.append(likeliest)
-        return None
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den, n = num, den, len(sets)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        grams, of = np.concatenate(sets), np.repeat(np.arange(n), self.size)
+        order = np.argsort(grams)
+        _, count = runs(grams[order])
+        shared, ids = np.zeros(len(grams), bool), np.empty(len(grams), np.int64)
+        shared[order] = np.repeat(count > 1, count)
+        ids[order] = np.repeat(np.cumsum(count > 1) - 1, count)
+        self.n_ids = int((count > 1).sum())
+        grams, of, self.ids = grams[shared], of[shared], ids[shared]
+        # a level for some n-grams, and no more levels than tell the sets apart
+        log2 = max(0, min(int(self.size.max(initial=1)) // 8, n // 2, 256).bit_length() - 1)
+        self.levels = levels = 1 << log2
+        part = (grams >> _U(64 - log2)).astype(np.int64) if log2 else np.zeros(len(grams), np.int64)
+        cells = np.searchsorted(of * levels + part, np.arange(n * levels + 1))
+        content = (_sum_by(tk.mix(grams ^ _SEED), cells) + np.diff(cells).astype(np.uint64)).reshape(n, levels)
+        filled = np.diff(cells).reshape(n, levels)
+        self.of_set = np.searchsorted(of, np.arange(n + 1))
+        self.rest = filled[:, ::-1].cumsum(axis=1)[:, ::-1] - filled  # n-grams after each level
+        self.order = np.lexsort(content.T[::-1])  # sets as leaves, in order of their paths
+        content, size, rest = content[self.order], self.size[self.order], self.rest[self.order]
+        new = np.ones((n, levels), bool)
+        new[1:] = np.logical_or.accumulate(content[1:] != content[:-1], axis=1)
+        node = np.cumsum(new, axis=0) - 1
+        self.leaf = node[:, -1]
+        self.nodes = []
+        for level in range(levels):
+            at = np.flatnonzero(new[:, level])
+            _, first, segment = np.unique(content[at, level], return_index=True, return_inverse=True)
+            cell = self.order[at[first]] * levels + level
+            parent = node[at, level - 1] if level else np.zeros(len(at), np.int64)
+            low, high, left = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(rest[:, level], at)
+            self.nodes.append((at, parent, segment, cells[cell], cells[cell + 1], low, high, left))
+
+    def find(self, queries: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, sets) that link, of different labels; some pairs of one label may be among them."""
+        num, den, q = self.num, self.den, len(queries)
+        mask = np.zeros((self.n_ids, q), np.int32)
+        for j, s in enumerate(queries):
+            mask[self.ids[self.of_set[s] : self.of_set[s + 1]], j] = 1
+        size, own, leaves = self.size[queries], label[queries], label[self.order]
+        alive, overlap = np.zeros(1, np.int64), np.zeros((1, q), np.int32)
+        for level, (at, parent, segment, start, end, low, high, left) in enumerate(self.nodes):
+            spot = np.full(int(parent[-1]) + 1, -1)
+            spot[alive] = np.arange(len(alive))
+            child = np.flatnonzero(spot[parent] >= 0)
+            least, most = np.minimum.reduceat(leaves, at)[child], np.maximum.reduceat(leaves, at)[child]
+            used, place = np.unique(segment[child], return_inverse=True)
+            length = end[used] - start[used]
+            more = np.zeros((len(used), q), np.int32)
+            full = np.flatnonzero(length > 0)
+            if len(full):
+                ends = np.cumsum(length[full])
+                pick = np.arange(ends[-1]) + np.repeat(start[used[full]] - ends + length[full], length[full])
+                more[full] = np.add.reduceat(mask[self.ids[pick]], ends - length[full], axis=0)
+            overlap = overlap[spot[parent[child]]] + more[place]
+            # the least overlap that a set of this subtree needs, against the most that it can still have
+            most_yet = overlap + np.minimum(self.rest[queries, level].astype(np.int32), left[child].astype(np.int32)[:, None])
+            live = most_yet * np.int64(num + den) >= num * (size + low[child][:, None])
+            live &= (high[child] * den)[:, None] >= size * num
+            live &= (low[child] * num)[:, None] <= size * den
+            live &= (least != most)[:, None] | (least[:, None] != own)
+            keep = np.flatnonzero(live.any(axis=1))
+            if not len(keep):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            alive, overlap = child[keep], overlap[keep]
+        spot = np.full(len(self.nodes[-1][0]), -1)
+        spot[alive] = np.arange(len(alive))
+        rows = np.flatnonzero(spot[self.leaf] >= 0)
+        sets = self.order[rows]
+        both = overlap[spot[self.leaf[rows]]]
+        hit, j = np.nonzero(den * both.astype(np.int64) >= num * (self.size[sets][:, None] + size - both))
+        return queries[j], sets[hit]
+
+
+#: Sets looked up in a trie at a time, and cells of the table that tells which n-grams they have.
+LOOK_UP, LOOK_UP_CELLS = 64, 8_000_000
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Labels once a's and b's are one, pair by pair; and which pairs joined two."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    joined = []
+    for i, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            joined.append(i)
+    if joined:
+        new = np.arange(len(label))
+        for x in parent:
+            new[x] = top(x)
+        label = new[label]
+    return label, joined
 
 
 def link_family(names: list[int], sets: list[np.ndarray], num: int, den: int, skip: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect all that are connected among a family's sets, one per pair of components joined.
 
+    All sets are in one trie. Sets outside the largest component found so far are looked up in it, some at a time, until
+    none is left that was not: of every pair one was looked up, or both are in the largest component. Subtrees whose
+    sets are all in one's own component are left as well.
+
     skip: components known beforehand; members of one are not compared with each other.
     """
-    order = sorted(range(len(names)), key=lambda i: (len(sets[i]), names[i]))
-    longest = max((len(s) for s in sets), default=1)
-    log2 = max(0, (longest // 6).bit_length())
-    parts: list[list[_Trie]] = []  # a component's tries
-    of_known: dict[int, int] = {}
-    links = []
-    for i in order:
-        grams, n = sets[i], len(sets[i])
-        cut = None
-        known = None if skip is None else of_known.get(skip[i])
-        hit = [] if known is None else [known]
-        for p, tries in enumerate(parts):
-            if p == known or not tries:
-                continue
-            for trie in tries:
-                cut = cut or trie.cut(grams)
-                other = trie.find(cut, n)
-                if other is not None:
-                    links.append((names[i], other))
-                    hit.append(p)
-                    break
-        if not hit:
-            parts.append([_Trie(log2, num, den)])
-            hit = [len(parts) - 1]
-        home = hit[0]
-        for p in hit[1:]:
-            parts[home] += parts[p]
-            parts[p] = []
-            for key, value in of_known.items():
-                if value == p:
-                    of_known[key] = home
-        if skip is not None:
-            of_known[skip[i]] = home
-        trie = parts[home][0]
-        trie.insert(cut or trie.cut(grams), n, names[i])
-    return links
+    n = len(names)
+    label = np.arange(n) if skip is None else np.unique(np.array(skip), return_index=True, return_inverse=True)[1:]
+    if skip is not None:
+        label = label[0][label[1]]
+    trie = _Trie(sets, num, den)
+    most = int(max(1, min(LOOK_UP, LOOK_UP_CELLS // max(1, trie.n_ids))))
+    done, links, some = np.zeros(n, bool), [], 1
+    by_size = np.argsort(trie.size, kind="stable")
+    while True:
+        main = np.bincount(label).argmax()
+        left = by_size[~done[by_size] & (label[by_size] != main)]
+        if not len(left):
+            return links
+        if some < most:  # the middle ones of each part, so that the largest component is soon found
+            take = left[(np.arange(some) * 2 + 1) * len(left) // (2 * some)] if len(left) > some else left
+        else:
+            take = left[:most]
+        a, b = trie.find(np.unique(take), label)
+        label, joined = _merged(label, a, b)
+        links += [(names[a[i]], names[b[i]]) for i in joined]
+        done[take] = True
+        some = min(most, some * 4)
 
 
 def _join_families(num: int, den: int, known: bool):
@@ -512,11 +551,12 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Rows of null id stay.
     """
-    gone = materialize(classes(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone_id, turn = fresh(docs, "_gone", "_turn")
+    gone = materialize(classes(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    left = docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
-    if left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.withColumn("_turn", F.row_number().over(order)).where("doc_id IS NULL OR _turn = 1").drop("_turn")
+    if left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        left = left.withColumn(turn, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(turn) == 1)).drop(turn)
     return left
 
 
