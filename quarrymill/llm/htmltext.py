@@ -1,14 +1,16 @@
 """Main text of web pages by two passes over their blocks.
 
-Pass one labels each block by itself: markup that is never part of an article (menus, page headers and footers,
-asides, forms, notices, adverts, reader comments) and dense links are bad; blocks of the page's article, and long
-blocks with many function words, are good; the rest, mostly short, is undecided. Pass two gives undecided blocks the
-label that their nearest decided neighbours share; where these differ, the nearer one's, counted in words; of equally
-near ones a heading takes the later and other blocks the earlier.
+Pass one labels each block by itself. Dense links make it bad; LONG_WORDS words or more with many function words make
+it good, with few of them bad; the rest, mostly short, is open. Markup is evidence beside that: menus, page headers and
+footers, asides, forms, notices, adverts and reader comments are bad whatever they say; on a page that marks its
+article, what stands beside the article is bad too, and long blocks within it without function words stay open.
+Pass two gives open blocks the label that their nearest decided neighbours share; where these differ, the nearer one's,
+counted in words; of equally near ones a heading takes the later and other blocks the earlier. A page's edges count as
+bad neighbours; blocks of an article look for neighbours within it, and are good if it has no decided block.
 
 Defined results: null and empty html give an empty text; html without any good block gives an empty text; character
 references are decoded once; comments, scripts and styles that are never closed reach to the end; repeated rows give
-equal texts; an empty table gives an empty result; further columns are not touched.
+equal texts; very long pages are read whole; an empty table gives an empty result; further columns are not touched.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ _STOPS = frozenset(STOP_WORDS)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Thresholds of pass one.
-LONG_WORDS, STOP_DENSITY, LINK_DENSITY = 20, 0.15, 0.5
+LONG_WORDS, STOP_DENSITY, FEW_STOPS, LINK_DENSITY = 12, 0.15, 0.05, 0.5
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
@@ -148,35 +150,54 @@ def _unwanted(rest: str) -> bool:
     return any(_NAMES.search(re.sub(r"\b(?:with|has|no|without)[-_]\w+", "", a or b or c)) for a, b, c in _ATTRIBUTE.findall(rest))
 
 
+def first_pass(b: Block, has_article: bool) -> str:
+    """A block's label by itself.
+
+    Length and densities decide; markup is evidence beside them: what is never text is bad whatever it says, and so is
+    what stands beside the article of a page that marks one, while within it a long block without function words (of a
+    language that is not listed, say) stays open.
+    """
+    if b.never or (has_article and not b.article):
+        return BAD
+    if b.link_density > LINK_DENSITY:
+        return BAD if b.n_links > 1 or not b.article else OPEN
+    if b.n_words >= LONG_WORDS and b.stop_density >= STOP_DENSITY:
+        return GOOD
+    if b.n_words >= LONG_WORDS and b.stop_density < FEW_STOPS and not b.article:
+        return BAD
+    return OPEN
+
+
 def classify(found: list[Block]) -> list[Block]:
-    """Both passes."""
+    """Both passes. Neighbours of an article's blocks are those of the article."""
     has_article = any(b.article and not b.never for b in found)
     for b in found:
-        if b.never or (has_article and not b.article) or (b.n_links > 1 and b.link_density > LINK_DENSITY):
-            b.label = BAD
-        elif b.link_density > LINK_DENSITY:
-            b.label = OPEN if has_article else BAD
-        elif has_article or (b.n_words >= LONG_WORDS and b.stop_density >= STOP_DENSITY):
-            b.label = GOOD
-    before, after = _neighbours(found), _neighbours(found[::-1])[::-1]
-    labels = []
-    for b, (left, far_left), (right, far_right) in zip(found, before, after, strict=True):
-        if b.label != OPEN:
-            labels.append(b.label)
-        elif left == right:
-            labels.append(left)
-        elif far_left == far_right:
-            labels.append(right if b.heading else left)
-        else:
-            labels.append(left if far_left < far_right else right)
-    for b, label in zip(found, labels, strict=True):
+        b.label = first_pass(b, has_article)
+    inside = [b for b in found if b.article and not b.never] if has_article else found
+    edge = OPEN if has_article else BAD
+    before, after = _neighbours(inside, edge), _neighbours(inside[::-1], edge)[::-1]
+    labels = [second_pass(b, *left, *right) for b, left, right in zip(inside, before, after, strict=True)]
+    for b, label in zip(inside, labels, strict=True):
         b.label = label
     return found
 
 
-def _neighbours(found: list[Block]) -> list[tuple[str, int]]:
-    """Each block's nearest decided block before it: label and words between. The page's edge counts as a bad one."""
-    out, label, far = [], BAD, 0
+def second_pass(b: Block, left: str, far_left: int, right: str, far_right: int) -> str:
+    """An open block's label by its nearest decided neighbours; an article without any decided block is good."""
+    if b.label != OPEN:
+        return b.label
+    if left == right:
+        return GOOD if left == OPEN else left
+    if OPEN in (left, right):
+        return left if right == OPEN else right
+    if far_left == far_right:
+        return right if b.heading else left
+    return left if far_left < far_right else right
+
+
+def _neighbours(found: list[Block], edge: str) -> list[tuple[str, int]]:
+    """Each block's nearest decided block before it: label and words between; `edge` where there is none."""
+    out, label, far = [], edge, 0
     for b in found:
         out.append((label, far))
         label, far = (b.label, 0) if b.label != OPEN else (label, far + b.n_words)
