@@ -1,18 +1,23 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The reference is the whole collection in order of doc_id. It is indexed in blocks: each block holds, for a range of
-hashes of `window` consecutive words, the place where each window starts first. Every document is looked up in every
-block. What comes back - for each of its windows that starts earlier, where - is parsed greedily into factors: the
-longest stretch that continues one earlier place. A factor of at least `window` words is a duplicate span; where the
-source changes, windows that lie across the boundary of two factors have sources of their own in the index, so spans
-are exact at boundaries too. Windows are judged on the input, not on what is left of it.
+The reference is the collection itself in order of doc_id, each sequence of `window` words at the place where it starts
+first. It is indexed in blocks: a task's run of documents, and then, over all documents, ranges of the windows' hashes.
+Every document is looked up in every block. A window has one place in a block, so the longest match from a word on is
+found by following that place: parsing goes greedily from left to right, a factor lasting as long as the next window's
+place is the next one. Factors of at least `window` words are duplicate spans and are what is cut. At factor boundaries
+the windows that lie across are looked up as well and begin factors of their own, which may overlap the ones beside
+them, so spans are exact there. (A factor also ends where one block's place gives way to another's; spans do not.)
+Windows are judged on the input, not on what is left of it.
 
 Windows are compared by 64-bit hash. Each task sends a window once however often it sees it (the later ones are
-known to be duplicates there and then), so that a passage in a third of all documents makes one record a task.
-
-Defined results: null and blank texts have no words and lose none; texts shorter than a window lose none; repeated
-rows of one id lose the same words, none because of each other (an id stands for one text); a null id sorts first;
-an empty table gives an empty result; further columns pass through dedup() untouched, whatever their names.
+known to be duplicates there and then), so that a passage in a third of all documents makes one record a task. Texts
+and their spans meet in groups of about HOME_BYTES, however many partitions there are.
+
+Defined results: null and blank texts have no words and lose none; texts shorter than a window lose none. Rows are told
+apart by id and text: rows with equal id and text are one document and lose the same words, none because of each other;
+other texts of the same id are documents of their own, in order of their texts' xxhash64 (31 bits of it). A null id is no
+name: null ids come before all ids above -2^62, in order of their texts' xxhash64. An empty table gives an empty result;
+further columns pass through dedup() untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,35 +32,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import textkernel as tk
-from quarrymill.llm.common import partitions
+from quarrymill.llm.common import fresh, partitions
 from quarrymill.llm.packing import pack, release, runs, unpack
 
 WINDOW = 20
 #: Windows held by a task before it sorts and sends them.
 HELD = 600_000
-_NULL_ID = np.iinfo(np.int64).min
+#: Bytes of text in a group that meets its spans in one task.
+HOME_BYTES = 48 << 20
+_NULL_ID = -(1 << 63)
+
+
+def _named(docs: DataFrame, homes: int, doc: str, tie: str, home: str) -> DataFrame:
+    """docs with what tells its rows apart and orders them (doc, tie), and the group that each row meets its spans in."""
+    digest = F.xxhash64("text")
+    docs = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID) + F.shiftrightunsigned(digest, 2)))
+    docs = docs.withColumn(tie, F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.pmod(digest, F.lit((1 << 31) - 2))).cast("int"))
+    both = F.col(doc).bitwiseXOR(F.col(tie).cast("long"))
+    return docs.withColumn(home, F.pmod(both.bitwiseXOR(F.shiftrightunsigned(both, 17)), F.lit(homes)).cast("int"))
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(int(_NULL_ID)).to_numpy(zero_copy_only=False)
+def _home_of(doc: np.ndarray, tie: np.ndarray, homes: int) -> np.ndarray:
+    both = doc ^ tie.astype(np.int64)
+    return (both ^ (both.view(np.uint64) >> np.uint64(17)).view(np.int64)) % homes
 
 
-def _pack_marks(doc, pos, ref, ref_pos) -> bytes:
-    at, n = runs(doc)
-    return pack(doc[at], n.astype(np.uint32), pos, ref, ref_pos)
+def _longs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+
+
+def _pack_marks(doc, tie, pos, ref, ref_pos) -> bytes:
+    at, n = _rows(doc, tie)
+    return pack(doc[at], tie[at], n.astype(np.uint32), pos, ref, ref_pos)
 
 
 def _unpack_marks(blob: bytes) -> tuple[np.ndarray, ...]:
-    doc, n, pos, ref, ref_pos = unpack(blob)
-    return np.repeat(doc, n), pos, ref, ref_pos
+    doc, tie, n, pos, ref, ref_pos = unpack(blob)
+    return np.repeat(doc, n), np.repeat(tie, n), pos, ref, ref_pos
 
 
-def _by_home(home, doc, pos, ref, ref_pos) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((pos, doc, home))
-    home, doc, pos, ref, ref_pos = (x[order] for x in (home, doc, pos, ref, ref_pos))
+def _rows(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of one document begins, and how long it is."""
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])) + 1])
+    return at, np.diff(np.append(at, len(doc)))
+
+
+def _by_home(doc, tie, pos, ref, ref_pos, homes: int) -> Iterator[tuple[int, bytes]]:
+    home = _home_of(doc, tie, homes)
+    order = np.lexsort((pos, tie, doc, home))
+    home, doc, tie, pos, ref, ref_pos = (x[order] for x in (home, doc, tie, pos, ref, ref_pos))
     for at, n in zip(*runs(home), strict=True):
         s = slice(at, at + n)
-        yield int(home[at]), _pack_marks(doc[s], pos[s], ref[s], ref_pos[s])
+        yield int(home[at]), _pack_marks(doc[s], tie[s], pos[s], ref[s], ref_pos[s])
+
+
+def _later(doc, tie, pos, source) -> np.ndarray:
+    """Windows that are not at their source's place: equal rows have windows at one and the same place."""
+    return (doc != doc[source]) | (tie != tie[source]) | (pos != pos[source])
 
 
 _ROWS = "bucket int, marks boolean, data binary"
@@ -66,26 +101,25 @@ def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], ["bucket", "marks", "data"])
 
 
-def _windows(window: int, buckets: int):
+def _windows(window: int, buckets: int, homes: int):
     """Tasks' side: windows by bucket of their hash, and marks for those seen before in the same task."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes, doc, home, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        if np.any(doc[1:] < doc[:-1]):
-            order = np.argsort(doc, kind="stable")
-            hashes, doc, home, pos = hashes[order], doc[order], home[order], pos[order]
-        order = np.argsort(hashes, kind="stable")  # equal windows stay in order of (doc, pos)
+        hashes, doc, tie, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        if np.any((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (tie[1:] != tie[:-1]))):
+            order = np.lexsort((tie, doc))
+            hashes, doc, tie, pos = hashes[order], doc[order], tie[order], pos[order]
+        order = np.argsort(hashes, kind="stable")  # equal windows stay in order of (doc, tie, pos)
         at, n = runs(hashes[order])
         first = np.zeros(len(hashes), bool)
         first[order[at]] = True
         source = np.empty(len(hashes), np.int64)
         source[order] = np.repeat(order[at], n)
-        # an id's repeated rows have windows at one and the same place: those are no earlier starts
-        later = ~first & ((doc != doc[source]) | (pos != pos[source]))
+        later = ~first & _later(doc, tie, pos, source)
         rows = []
         if later.any():
             s = source[later]
-            rows += [(b, True, x) for b, x in _by_home(home[later], doc[later], pos[later], doc[s], pos[s])]
+            rows += [(b, True, x) for b, x in _by_home(doc[later], tie[later], pos[later], doc[s], pos[s], homes)]
         keep = np.flatnonzero(first)
         bucket = (hashes[keep] % np.uint64(buckets)).astype(np.int64)
         order, cut = tk.parts_of(bucket, buckets)
@@ -93,19 +127,18 @@ def _windows(window: int, buckets: int):
         for b in range(buckets):
             mine = keep[cut[b] : cut[b + 1]]
             if len(mine):
-                d = doc[mine]
-                start, count = runs(d)
-                data = pack(hashes[mine], d[start], home[mine][start], count.astype(np.uint32), pos[mine], raw=(0,))
-                rows.append((b, False, data))
+                d, t = doc[mine], tie[mine]
+                start, count = _rows(d, t)
+                rows.append((b, False, pack(hashes[mine], d[start], t[start], count.astype(np.uint32), pos[mine], raw=(0,))))
         for k in range(0, len(rows), 64):
             yield _row_batch(rows[k : k + 64])
-        del hashes, doc, home, pos, order, source, keep, rows
+        del hashes, doc, tie, pos, order, source, keep, rows
         release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids, homes = _ids(batch.column("doc_id")), batch.column("home").to_numpy(zero_copy_only=False)
+            docs, ties = _longs(batch.column("doc")), _longs(batch.column("tie"))
             for rows, data, offsets in tk.chunks(batch):
                 w = tk.words(data, offsets, lower=False)
                 if len(w.starts) < window:
@@ -113,8 +146,8 @@ def _windows(window: int, buckets: int):
                 hashes = tk.shingle(w.hashes, window)
                 whole = np.flatnonzero(w.doc[: len(hashes)] == w.doc[window - 1 :])
                 if len(whole):
-                    doc = w.doc[whole]
-                    held.append((hashes[whole], ids[rows][doc], homes[rows][doc], (whole - w.bounds[doc]).astype(np.uint32)))
+                    of = w.doc[whole]
+                    held.append((hashes[whole], docs[rows][of], ties[rows][of], (whole - w.bounds[of]).astype(np.uint32)))
                     size += len(whole)
                 if size >= HELD:
                     yield from flush(held)
@@ -125,59 +158,51 @@ def _windows(window: int, buckets: int):
     return run
 
 
-def _look_up(batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
+def _look_up(homes: int):
     """A block of the index: first starts of its windows, and marks for all later ones by their document's home."""
-    rows: list[tuple] = []
-    held = []
-    for mark, data in zip(batches.column("marks").to_pylist(), batches.column("data").to_pylist(), strict=True):
-        if mark:
-            rows.append(data)
-        else:
-            held.append(unpack(data))
-    key = batches.column("bucket")[0].as_py()
-    out = [(key, data) for data in rows]
-    if held:
-        hashes = np.concatenate([h[0] for h in held])
-        doc, home = (np.concatenate([np.repeat(h[i], h[3]) for h in held]) for i in (1, 2))
-        pos = np.concatenate([h[4] for h in held])
-        order = np.argsort(hashes)
-        at, n = runs(hashes[order])
-        again = np.repeat(n > 1, n)
-        order = order[again]
-        hashes, doc, home, pos = hashes[order], doc[order], home[order], pos[order]
-        order = np.lexsort((pos, doc, hashes))
-        hashes, doc, home, pos = hashes[order], doc[order], home[order], pos[order]
-        at, n = runs(hashes)
-        source = np.repeat(at, n)
-        later = (doc != doc[source]) | (pos != pos[source])
-        if later.any():
-            s = source[later]
-            out += list(_by_home(home[later], doc[later], pos[later], doc[s], pos[s]))
-        del held, hashes, doc, home, pos, order, source
-    release()
-    return pa.Table.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["home", "marks"])
 
+    def run(table: pa.Table) -> pa.Table:
+        out, held = [], []
+        key = table.column("bucket")[0].as_py()
+        for mark, data in zip(table.column("marks").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if mark:
+                out.append((key, data))
+            else:
+                held.append(unpack(data))
+        if held:
+            hashes = np.concatenate([h[0] for h in held])
+            doc, tie = (np.concatenate([np.repeat(h[i], h[3]) for h in held]) for i in (1, 2))
+            pos = np.concatenate([h[4] for h in held])
+            order = np.argsort(hashes)
+            at, n = runs(hashes[order])
+            order = order[np.repeat(n > 1, n)]
+            hashes, doc, tie, pos = hashes[order], doc[order], tie[order], pos[order]
+            order = np.lexsort((pos, tie, doc, hashes))
+            hashes, doc, tie, pos = hashes[order], doc[order], tie[order], pos[order]
+            at, n = runs(hashes)
+            source = np.repeat(at, n)
+            later = _later(doc, tie, pos, source)
+            if later.any():
+                s = source[later]
+                out += list(_by_home(doc[later], tie[later], pos[later], doc[s], pos[s], homes))
+            del held, hashes, doc, tie, pos, order, source
+        release()
+        return pa.Table.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["home", "marks"])
+
+    return run
 
-def parse(doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Greedy factors of documents: doc, start, length in words, ref, ref_start; in order of (doc, start)."""
-    order = np.lexsort((pos, doc))
-    doc, pos, ref, ref_pos = doc[order], pos[order].astype(np.int64), ref[order], ref_pos[order].astype(np.int64)
+
+def parse(doc, tie, pos, ref, ref_pos, window: int) -> tuple[np.ndarray, ...]:
+    """Greedy factors of documents: doc, tie, start, length in words, ref, ref_start; in order of (doc, tie, start)."""
+    order = np.lexsort((pos, tie, doc))
+    doc, tie, ref = doc[order], tie[order], ref[order]
+    pos, ref_pos = pos[order].astype(np.int64), ref_pos[order].astype(np.int64)
     if not len(doc):
-        return doc, pos, pos, ref, ref_pos
-    goes_on = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (ref[1:] == ref[:-1]) & (ref_pos[1:] == ref_pos[:-1] + 1)
+        return doc, tie, pos, pos, ref, ref_pos
+    goes_on = (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (pos[1:] == pos[:-1] + 1) & (ref[1:] == ref[:-1]) & (ref_pos[1:] == ref_pos[:-1] + 1)
     at = np.concatenate([[0], np.flatnonzero(~goes_on) + 1])
     n = np.diff(np.append(at, len(doc)))
-    return doc[at], pos[at], n + window - 1, ref[at], ref_pos[at]
-
-
-def _marked(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Rows (home, marks) for documents (doc_id, text, home)."""
-    sent = docs.select("doc_id", "text", "home").mapInArrow(_windows(window, buckets), _ROWS)
-    return sent.groupBy("bucket").applyInArrow(_look_up, "home int, marks binary")
-
-
-def _with_home(docs: DataFrame, homes: int, name: str) -> DataFrame:
-    return docs.withColumn(name, F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int"))
+    return doc[at], tie[at], pos[at], n + window - 1, ref[at], ref_pos[at]
 
 
 def _spans(marks: pa.Table, window: int):
@@ -185,44 +210,50 @@ def _spans(marks: pa.Table, window: int):
     parts = [_unpack_marks(x) for x in marks.column("marks").to_pylist()]
     if not parts:
         empty = np.zeros(0, np.int64)
-        return parse(empty, empty, empty, empty, window)
+        return parse(empty, empty, empty, empty, empty, window)
     return parse(*(np.concatenate(x) for x in zip(*parts, strict=True)), window)
 
 
-def _kept(table: pa.Table, marks: pa.Table, text: str, doc_id: str, window: int) -> Iterator[tuple[int, int, bytes]]:
+def _kept(table: pa.Table, marks: pa.Table, names: list[str], window: int) -> Iterator[tuple[int, int, bytes]]:
     """Per row of table: words, removed words, and the kept words joined by one space."""
-    fdoc, fstart, fn, _, _ = _spans(marks, window)
+    doc, tie, start, n, _, _ = _spans(marks, window)
+    at, count = _rows(doc, tie)
+    of = {key: (a, a + k) for key, a, k in zip(zip(doc[at].tolist(), tie[at].tolist(), strict=True), at.tolist(), count.tolist(), strict=True)}
     for batch in table.combine_chunks().to_batches():
-        ids = _ids(batch.column(doc_id))
-        for doc, value in zip(ids, batch.column(text).cast(pa.binary()), strict=True):
+        keys = zip(batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist(), strict=True)
+        for key, value in zip(keys, batch.column("text").cast(pa.binary()), strict=True):
             words = (value.as_py() or b"").split()
-            a, b = np.searchsorted(fdoc, doc, "left"), np.searchsorted(fdoc, doc, "right")
-            if a == b:
+            if key not in of:
                 yield len(words), 0, b" ".join(words)
                 continue
+            a, b = of[key]
             edge = np.zeros(len(words) + 1, np.int32)
-            np.add.at(edge, fstart[a:b], 1)
-            np.add.at(edge, fstart[a:b] + fn[a:b], -1)
+            np.add.at(edge, start[a:b], 1)
+            np.add.at(edge, start[a:b] + n[a:b], -1)
             stays = np.cumsum(edge[:-1]) == 0
             yield len(words), int(len(words) - stays.sum()), b" ".join(compress(words, stays))
 
 
-def _together(docs: DataFrame, columns: list[str], window: int, finish, schema: str) -> DataFrame:
-    """Texts and their marks meet by home; finish(table, marks) makes the rows."""
+def _together(docs: DataFrame, columns: list[str], window: int, finish, schema) -> DataFrame:
+    """Texts and their marks meet by home; finish(table, marks, names of doc, tie and home) makes the rows."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    names = fresh(docs, "_doc", "_tie", "_home")
     # every block of the index may have something for every home: the fewer homes, the fewer and larger the messages
-    homes = partitions(docs.sparkSession)
-    marks = _marked(_with_home(docs.select("doc_id", "text"), homes, "home"), window, 2 * homes)
-    left = _with_home(docs.select(*columns), homes, "_home").groupBy("_home")
-    return left.cogroup(marks.groupBy("home")).applyInArrow(finish, schema)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    homes = max(partitions(docs.sparkSession), -(-int(size) // HOME_BYTES))
+    docs = _named(docs, homes, *names)
+    sent = docs.select("text", F.col(names[0]).alias("doc"), F.col(names[1]).alias("tie")).mapInArrow(_windows(window, 2 * homes, homes), _ROWS)
+    marks = sent.groupBy("bucket").applyInArrow(_look_up(homes), "home int, marks binary")
+    return docs.groupBy(names[2]).cogroup(marks.groupBy("home")).applyInArrow(lambda table, found: finish(table, found, names), schema)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with text replaced by the kept words, joined by one space, and n_chars (if there) by its length."""
 
-    def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
-        texts = [x[2].decode() for x in _kept(table, marks, "text", "doc_id", window)]
+    def finish(table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Table:
+        texts = [x[2].decode() for x in _kept(table, marks, names, window)]
         release()
-        table = table.drop_columns("_home")
+        table = table.drop_columns(names)
         table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
         if "n_chars" in table.column_names:
             table = table.set_column(table.column_names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], pa.int64()))
@@ -235,18 +266,20 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The duplicate spans: doc_id, start and n_words of each factor, and where it starts earlier (ref_id, ref_start)."""
 
-    def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
-        names = ["doc_id", "start", "n_words", "ref_id", "ref_start"]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in _spans(marks, window)], names)
+    def finish(table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Table:
+        doc, tie, start, n, ref, ref_start = _spans(marks, window)
+        columns = [pa.array(doc, pa.int64(), mask=tie == 0), *[pa.array(x, pa.int64()) for x in (start, n)]]
+        columns += [pa.array(ref, pa.int64(), mask=ref < -(1 << 62)), pa.array(ref_start, pa.int64())]
+        return pa.Table.from_arrays(columns, ["doc_id", "start", "n_words", "ref_id", "ref_start"])
 
-    return _together(docs, ["doc_id"], window, finish, "doc_id long, start long, n_words long, ref_id long, ref_start long")
+    return _together(docs, ["doc_id", "text"], window, finish, "doc_id long, start long, n_words long, ref_id long, ref_start long")
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
 
-    def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
-        rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept(table, marks, "text", "doc_id", window)]
+    def finish(table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Table:
+        rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept(table, marks, names, window)]
         n, gone, sha = zip(*rows, strict=True) if rows else ((), (), ())
         release()
         columns = [table.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
