@@ -32,12 +32,11 @@ HELD = 1_000_000
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Lower-case code of each letter of the basic plane, 0 for all else."""
-    out = np.zeros(1 << 16, np.uint16)
-    for c in range(1 << 16):
+    """Lower-case code of each letter, 0 for all other code points."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         if (x := chr(c)).isalpha():
-            low = ord(x.lower()[0])
-            out[c] = low if low < 1 << 16 else c
+            out[c] = ord(x.lower()[0])
     return out
 
 
@@ -49,9 +48,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     # a code point's first byte is where UTF-8 has no continuation
     begins = np.cumsum((raw & 0xC0) != 0x80)
     ends = np.concatenate([[0], begins])[offsets]
-    letters = _letters()[np.minimum(points, 0xFFFF)].copy()
-    for i in np.flatnonzero(points > 0xFFFF):
-        letters[i] = points[i] & 0xFFFF if chr(points[i]).isalpha() else 0
+    letters = _letters()[points]
     # a gap after each text
     n = np.diff(ends)
     text = np.repeat(np.arange(len(n)), n)
@@ -61,18 +58,34 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return spaced, of
 
 
+#: The first slot of a pair's number where letters need 21 bits: no code point.
+_NONE = np.uint64(0x1FFFFF)
+
+
 def _grams(letters: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of 1 to 3 letters as numbers below 2 ** 50, and their texts. Edges of words count, gaps do not."""
+    """n-grams of 1 to 3 letters as numbers, and their texts. Edges of words count, gaps do not.
+
+    Numbers are below 2 ** 50 (16 bits a letter) unless a letter lies beyond the basic plane, and from 2 ** 63 on (21
+    bits a letter) if one does.
+    """
     some = letters != 0
-    sixteen, tag = np.uint64(16), np.uint64(48)
+    tag = np.uint64(48)
     one = np.flatnonzero(some)
     two = np.flatnonzero(some[:-1] | some[1:])
     three = np.flatnonzero(some[1:-1])
-    codes = [
-        letters[one] | (np.uint64(1) << tag),
-        letters[two] << sixteen | letters[two + 1] | (np.uint64(2) << tag),
-        letters[three] << np.uint64(32) | letters[three + 1] << sixteen | letters[three + 2] | (np.uint64(3) << tag),
-    ]
+    parts = [(letters[one],), (letters[two], letters[two + 1]), (letters[three], letters[three + 1], letters[three + 2])]
+    codes = []
+    far = bool((letters > 0xFFFF).any())
+    for k, part in enumerate(parts, 1):
+        code = np.full(len(part[0]), np.uint64(k) << tag)
+        for i, x in enumerate(part):
+            code |= x << np.uint64(16 * (k - 1 - i))
+        if far:
+            wide = np.full(len(code), (np.uint64(1) << np.uint64(63)) | (_NONE << np.uint64(42) if k == 2 else np.uint64(0)))
+            for i, x in enumerate(part):
+                wide |= x << np.uint64(21 * (k - 1 - i))
+            code = np.where(np.max(part, axis=0) > 0xFFFF, wide, code)
+        codes.append(code)
     # the letter, not the gap before it, tells the text
     texts = [of[one], np.where(some[two], of[two], of[np.minimum(two + 1, len(of) - 1)]), of[three + 1]]
     return np.concatenate(codes), np.concatenate(texts)
@@ -83,6 +96,11 @@ def _counts(data: np.ndarray, offsets: np.ndarray, key: np.ndarray | None = None
     letters, of = _codes(data, offsets)
     grams, texts = _grams(letters, of)
     owner = texts if key is None else key[texts]
+    if len(grams) and grams.max() >> np.uint64(50):  # letters beyond the basic plane
+        order = np.lexsort((grams, owner))
+        owner, grams = owner[order], grams[order]
+        at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])))
+        return owner[at].astype(np.int64), grams[at], np.diff(np.append(at, len(grams)))
     packed = np.sort(owner.astype(np.uint64) << np.uint64(50) | grams)
     at, n = runs(packed)
     packed = packed[at]
@@ -99,7 +117,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarr
 def train(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles of the languages in docs (text, lang): their most frequent n-grams, most frequent first.
 
-    All texts are counted, by task and then by Spark; only profiles (size n-grams a language) reach the driver.
+    All texts are counted, by task and then by Spark; only profiles (size n-grams a language) reach the driver and are
+    sent to tasks: 3 KB a language, so the number of different `lang` values bounds them, not that of texts.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +129,7 @@ def train(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
             for lang, parts in held.items():
                 grams, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 total = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(total)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(total)], ["lang", "gram", "n"])
 
         for batch in batches:
             langs = batch.column("lang").cast(pa.string()).to_numpy(zero_copy_only=False)
@@ -127,12 +146,12 @@ def train(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
         yield from send()
 
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(sums, "lang string, gram long, n long")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram")
     top = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     found: dict[str, list[tuple[int, int]]] = {}
     for r in top.select("lang", "gram", "rank").collect():
         found.setdefault(r.lang, []).append((r.rank, r.gram))
-    return {k: np.array([g for _, g in sorted(v)], np.uint64) for k, v in sorted(found.items())}
+    return {k: np.array([g for _, g in sorted(v)], np.int64).view(np.uint64) for k, v in sorted(found.items())}
 
 
 def distances(data: np.ndarray, offsets: np.ndarray, profiles: dict[str, np.ndarray], size: int = PROFILE) -> tuple[np.ndarray, np.ndarray]:
