@@ -11,6 +11,7 @@ own, ordered by content; an empty table gives empty files and an empty result; o
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -48,8 +49,38 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(spare)) for b in range(256)]
 
 
+#: What a tokenizer file has to say of normalising and splitting for words to be encoded one by one (fixed values).
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def _is_wordwise(path: str) -> bool:
+    """Whether the file is of the kind that WordEncoder takes apart: a BPE model behind the steps above."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return plain and all(spec.get(k) == v for k, v in _WORDWISE.items()) and all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
+
+
 class WordEncoder:
-    """Encodes texts with the tokenizers library, word by word, remembering words.
+    """Encodes texts with the tokenizers library, word by word, remembering words; whole texts if the file is of another kind.
 
     The tokenizer drops white space and no token of it crosses white space, so a text's ids are those of its words in
     turn. Only ASCII white space parts words here (a subset of what the tokenizer drops), the rest it handles itself.
@@ -64,7 +95,9 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.wordwise = Tokenizer.from_file(path), _is_wordwise(path)
+        if not self.wordwise:
+            return
         self.model = self.tokenizer.model
         self.memo, self.old = _Memo(self), {}
         self.parts, self.old_parts = {"": b""}, {}
@@ -105,6 +138,10 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.wordwise:
+            for text in texts:
+                yield _packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+            return
         for text in texts:
             if len(self.memo) > MEMO_WORDS:  # the young become old, the old are forgotten unless asked for again
                 self.memo, self.old = _Memo(self), self.memo
