@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns
 of documents; the last returns the token ids of each document that the mix takes, as often as it takes it.
+
+Defined results: null and blank texts have no words, so the first stage rejects them. Repeated rows are near copies of
+each other: of an id's rows one stays (that of the longest text). Rows of null id have no name to be dropped by, so the
+second stage keeps them; the third cuts what they share with earlier rows. Null sources are one source, last in order;
+null languages mean nothing. Very long texts pass whole. An empty table gives an empty result. Further columns reach
+the fourth stage untouched, whatever their names, but n_chars, which follows the text.
 """
 
 from __future__ import annotations
