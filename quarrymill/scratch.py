@@ -9,15 +9,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset (tests, local runs)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own, but on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
-        found = tempfile.mkdtemp(prefix="quarrymill-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrymill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/quarrymill/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -37,7 +38,15 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     # what was shuffled for it is not needed again: let Spark's cleaner see that now, not when the heap is full
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a materialized table that nothing will read again."""
+    path = table._scratch_path
+    discard(_written.pop(path), path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -49,7 +58,7 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             discard(spark, path)
         except Exception:  # the session has ended; the folder's owner removes it
