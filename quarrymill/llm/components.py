@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.scratch import materialize
+from quarrymill.scratch import forget, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,6 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         new = _state(after)
+        forget(now)
         now, done, state = after, new == state, new
         if done:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,20 +1,24 @@
 """Language-model scores from a hierarchical Pitman-Yor model of word pairs.
 
 Each word is the context of the next: contexts are restaurants that share one parent, the root, whose base is uniform
-over the vocabulary and one unknown word. Seatings are sampled by Gibbs, from likely numbers of tables on: for each dish
-of a restaurant the number of tables given all else, in steps of all scales, weighed by generalised Stirling numbers
-(exact up to STIRLING customers, beyond by their saddle point). Tables of contexts are the root's customers. A pair's probability is
-the average of its predictive probability over SAMPLES seatings; a text's score is the sum of their logarithms.
-
-How it is spread. Counts of pairs go to buckets of contexts as packed arrays, summed by task before. A bucket seats
-its restaurants and sends each word's customers and tables to the word's owner, who seats the root's part and answers
-the buckets that asked. Then tokens go to the buckets and sums of logarithms come back to documents. The FREQUENT
-commonest words are broadcast with their counts (a bound that does not grow with the data), so that tokens shrink to
-two bytes or so each; the HOT_CONTEXTS commonest contexts are dealt out pair by pair, not kept in one bucket, and the
-HOT_PAIRS commonest pairs are scored in place. Words and pairs beyond these lists take the way by buckets, exactly.
-
-Words and pairs are known by 64-bit hashes; logarithms are summed as whole numbers of 1e-8, so sums do not depend on
-their order.
+over the vocabulary and one unknown word; tables of contexts are the root's customers. Seatings are sampled by Gibbs, in
+ROUNDS that alternate: contexts given the root's probabilities, then the root given the contexts' tables. For each dish
+of a restaurant the number of tables is drawn given all else, in steps of all scales, weighed by generalised Stirling
+numbers (exact up to STIRLING customers, beyond by their saddle point), from likely numbers on. A pair's probability is
+the average of its predictive probability over the last SAMPLES rounds; a text's score is the sum of their logarithms.
+
+How it is spread. Counts of pairs go to buckets of contexts as packed arrays, summed by task before. In each round a
+bucket seats its restaurants and sends each word's tables to the word's owner, who adds them up, seats the root's part
+and answers the buckets that asked. Then tokens go to the buckets and sums of logarithms come back to documents. The
+FREQUENT commonest words are broadcast with their counts (a bound that does not grow with the data), so that tokens
+shrink to two bytes or so each; contexts of HOT_CUSTOMERS or more are dealt out pair by pair, not kept in one bucket, and
+pairs that are a 2 ** -17th of all or more (so at most 2 ** 17) are scored in place. Words and pairs beyond these lists
+take the way by buckets, exactly.
+
+Draws are hashes of word, pair, round and sweep, so neither the number of buckets nor that of partitions changes a
+score. The root and hot contexts, which are in many buckets, are sampled given their numbers of tables in the round
+before, exact sums over all buckets; other restaurants given their present ones. Words and pairs are known by 64-bit
+hashes; logarithms are summed as whole numbers of 1e-8, so sums do not depend on their order.
 
 Defined results: null and blank texts consist of the end token; held-out texts teach nothing; without training texts
 all counts are 0 and the model is uniform over one word; repeated rows get equal scores and each counts in training;
@@ -37,18 +41,20 @@ from quarrymill.llm import textkernel as tk
 from quarrymill.llm.common import partitions
 from quarrymill.llm.langid import held_out
 from quarrymill.llm.packing import pack, release, runs, unpack
-from quarrymill.scratch import materialize
+from quarrymill.scratch import forget, materialize
 
-#: Commonest words and pairs that every task knows, and contexts dealt out pair by pair.
-FREQUENT, HOT_PAIRS, HOT_CONTEXTS = 262_143, 65_536, 256
+#: Commonest words, which every task knows; a pair that is such a part of all tokens (2 to the minus) is known as well.
+FREQUENT, HOT_PAIR_LOG2 = 262_143, 17
+#: A context of so many customers is dealt out pair by pair.
+HOT_CUSTOMERS = 200_000
 #: Tokens held by a task before it sorts and sends them.
 HELD = 700_000
-#: Tokens of a bucket, if there are enough for all partitions.
-BUCKET_TOKENS = 500_000
+#: Tokens of a bucket.
+BUCKET_TOKENS = 1_500_000
 #: Discount and strength of contexts and root.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0, 0.6, 1.0
-#: Sweeps before the first sample and between samples; samples averaged.
-BURN_IN, THIN, SAMPLES = 5, 2, 2
+#: Rounds of contexts and root, sweeps over a restaurant in each, and last rounds that are averaged.
+ROUNDS, SWEEPS, SAMPLES = 3, 4, 2
 STIRLING = 256
 
 _U = np.uint64
@@ -57,7 +63,7 @@ _END = int(tk.mix(np.array([0x5EED], np.uint64))[0])
 _UNIT = 1e8
 
 _ROWS = "key long, kind int, data binary"
-_PAIRS, _MODEL, _SUMS, _CONTEXT, _HOT, _ANSWER, _COMMON, _TOTAL, _TOKENS, _SCORES, _DOCS = range(11)
+_PAIRS, _STATE, _ONCE, _SUMS, _CONTEXT, _HOT, _ANSWER, _COMMON, _TOTAL, _TOKENS, _SCORES, _DOCS = range(12)
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +153,18 @@ def _flags(batch: pa.RecordBatch) -> np.ndarray:
     return ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, int]:
-    """The commonest words of the training texts, and the number of all tokens. All texts are counted; `most` words reach the driver."""
+@dataclass
+class _Sizes:
+    """Of the whole table: all tokens, those of training, and distinct ones in training."""
+
+    tokens: int
+    n_train: int
+    vocabulary: int
+
+
+def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, _Sizes]:
+    """The commonest words of the training texts, and sizes. All texts are counted; `most` words reach the driver."""
     buckets = partitions(docs.sparkSession)
-    some = max(64, 4 * most // buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, total = [], 0, 0
@@ -183,17 +197,19 @@ def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, int]:
         at, _ = runs(words[order])
         total = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
         words = words[order][at]
-        best = np.lexsort((words, -total))[:some]
-        word, count = np.append(words[best].view(np.int64), 0), np.append(total[best], tokens)
-        return pa.Table.from_arrays([pa.array(word), pa.array(count), pa.array(np.arange(len(word)) < len(best))], ["word", "n", "is_word"])
+        best = np.lexsort((words, -total))[:most]
+        word = np.concatenate([words[best].view(np.int64), np.zeros(3, np.int64)])
+        count = np.concatenate([total[best], [tokens, total.sum(), len(total)]])
+        kind = np.concatenate([np.zeros(len(best), np.int32), np.arange(1, 4, dtype=np.int32)])
+        return pa.Table.from_arrays([pa.array(word), pa.array(count), pa.array(kind)], ["word", "n", "kind"])
 
     sent = docs.select("text", "held_out").mapInArrow(count, _ROWS)
-    found = materialize(sent.groupBy("key").applyInArrow(top, "word long, n long, is_word boolean"), "common")
-    tokens = found.where("NOT is_word").agg(F.sum("n")).first()[0] or 0
-    rows = found.where("is_word").orderBy(F.desc("n"), "word").limit(most).toArrow()
+    found = materialize(sent.groupBy("key").applyInArrow(top, "word long, n long, kind int"), "common")
+    sums = {r.kind: int(r.n) for r in found.where("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    rows = found.where("kind = 0").orderBy(F.desc("n"), "word").limit(most).toArrow()
     words = rows.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    return _Words(words[order], order, rows.column("n").to_numpy()), tokens
+    return _Words(words[order], order, rows.column("n").to_numpy()), _Sizes(*(sums.get(k, 0) for k in (1, 2, 3)))
 
 
 @lru_cache(maxsize=4)
@@ -256,73 +272,76 @@ def _log_ratio(c: np.ndarray, t: np.ndarray, step: np.ndarray, discount: float)
     return out
 
 
-def seated(c: np.ndarray, of: np.ndarray, spread: np.ndarray, parent: np.ndarray, discount: float, strength: float) -> np.ndarray:
-    """Likely numbers of tables to start from: each dish's given its restaurant's tables, and these as their sum."""
-    customers = np.bincount(of, c, len(spread)) * spread
-    low = np.log(np.maximum(1, np.bincount(of, np.minimum(c, 1), len(spread)) * spread))
-    high = np.log(np.maximum(1, customers))
+def _hash_draws(key: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits for each key; the same whenever key and salt are."""
+    return tk.mix(key + tk.mix(np.array([salt + 1], np.uint64) * _U(0x9E3779B97F4A7C15)))
+
+
+def _unit(bits: np.ndarray) -> np.ndarray:
+    return (bits >> _U(11)) * 2.0**-53
+
+
+def seated(c: np.ndarray, of: np.ndarray, parent: np.ndarray, discount: float, strength: float, more: np.ndarray, frozen: np.ndarray) -> np.ndarray:
+    """Likely numbers of tables to start from: each dish's given its restaurant's tables, and these as their sum.
+
+    c: customers of each dish, two or more; of: its restaurant; parent: the parent's probability of the dish; more: a
+    restaurant's tables of dishes of one customer; frozen: a restaurant's tables in all where not all of it is here, nan
+    where it is.
+    """
+    n = len(more)
+    low = np.log(np.maximum(1, np.bincount(of, minlength=n) + more))
+    high = np.log(np.maximum(1, np.bincount(of, c, n) + more))
     at, _, opening = _saddle(discount)
-    free = np.flatnonzero(c > 1)
-    mine, k, share = of[free], c[free], np.log(parent[free] / c[free])
-    once = np.bincount(of, c == 1, len(spread))
+    share = np.log(parent / c)
 
     def tables(total: np.ndarray) -> np.ndarray:
-        fit = k * np.exp(np.interp(np.log(strength + discount * np.exp(total))[mine] + share, opening, at))
-        return np.minimum(fit * (1 + _lack(k, fit, discount)) + 1, k)  # where odds are even, and one more: the mean of skew odds
+        fit = c * np.exp(np.interp(np.log(strength + discount * np.exp(total))[of] + share, opening, at))
+        return np.minimum(fit * (1 + _lack(c, fit, discount)) + 1, c)  # where odds are even, and one more: the mean of skew odds
 
-    for _ in range(16):
+    for _ in range(12):
         middle = (low + high) / 2
-        more = (np.bincount(mine, tables(middle), len(spread)) + once) * spread > np.exp(middle)
-        low, high = np.where(more, middle, low), np.where(more, high, middle)
-    t = np.minimum(c, 1)
-    t[free] = np.rint(tables((low + high) / 2))
-    return t
+        above = np.bincount(of, tables(middle), n) + more > np.exp(middle)
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    total = np.where(np.isnan(frozen), (low + high) / 2, np.log(np.maximum(1, np.nan_to_num(frozen))))
+    return np.rint(tables(total)).astype(np.int64)
 
 
 def gibbs(
-    c: np.ndarray, t: np.ndarray, of: np.ndarray, spread: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng, sweeps: int, reach: np.ndarray | None = None
-) -> np.ndarray:
-    """Numbers of tables after so many sweeps over all dishes with two customers or more.
+    c: np.ndarray, t: np.ndarray, of: np.ndarray, parent: np.ndarray, discount: float, strength: float, more: np.ndarray, frozen: np.ndarray,
+    key: np.ndarray, salt: int, sweeps: int, reach: np.ndarray | None = None,
+) -> np.ndarray:
+    """Numbers of tables after so many sweeps; arguments as in seated(), and t: the numbers so far.
 
-    c, t: customers and tables of each dish; of: its restaurant; spread: how many times a restaurant's tables seen here
-    it has in all; parent: the parent's probability of the dish; reach: the longest step, 1 if not given. Steps are of
-    all scales up to the reach, drawn whatever t is, and each is between two numbers by their odds.
+    key and salt: what draws are made from; reach: the longest step, 1 if not given. Steps are of all scales up to the
+    reach, drawn whatever t is, and each is between two numbers by their odds. Halves of the dishes move at a time.
     """
-    t = t.copy()
-    free = np.flatnonzero(c > 1)
-    total = np.bincount(of, t, len(spread))
+    t, start, n = t.copy(), t, len(more)
+    total = np.bincount(of, t, n) + more
+    whole = np.isnan(frozen)[of]
     scale = np.zeros(len(c)) if reach is None else np.log(np.maximum(1, reach))
-    for _ in range(sweeps):
-        halves = rng.integers(0, 2, len(free)).astype(bool)
-        for mine in (free[halves], free[~halves]):
-            step = np.exp(rng.random(len(mine)) * scale[mine]).astype(np.int64)
-            low = t[mine] - rng.integers(0, 2, len(mine)) * step
+    for sweep in range(sweeps):
+        first, second = (_hash_draws(key, (salt * 64 + sweep) * 2 + i) for i in range(2))
+        for half in range(2):
+            mine = np.flatnonzero((first & _U(1)) == half)
+            step = np.exp(_unit(first[mine]) * scale[mine]).astype(np.int64)
+            low = t[mine] - ((first[mine] >> _U(1)) & _U(1)).astype(np.int64) * step
             ok = (low >= 1) & (low + step <= c[mine])
             mine, low, step = mine[ok], low[ok], step[ok]
-            rest = total[of[mine]] * spread[of[mine]] - t[mine] + low
+            others = np.where(whole[mine], total[of[mine]] - t[mine], frozen[of[mine]] - start[mine])
+            rest = np.maximum(0, others) + low
             odds = step * np.log(discount * parent[mine]) + _log_sum(strength / discount + rest, step) + _log_ratio(c[mine], low, step, discount)
-            new = low + step * (rng.random(len(mine)) < 1 / (1 + np.exp(-np.clip(odds, -700, 700))))
-            total += np.bincount(of[mine], new - t[mine], len(spread))
+            new = low + step * (_unit(second[mine]) < 1 / (1 + np.exp(-np.clip(odds, -700, 700))))
+            total += np.bincount(of[mine], new - t[mine], n)
             t[mine] = new
     return t
 
 
-def _seatings(c, of, spread, parent, discount, strength, seed: int) -> list[np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(seed))
-    reach = seated(c, of, spread, parent, discount, strength)
-    t, out = reach, []
-    for k in range(SAMPLES):
-        t = gibbs(c, t, of, spread, parent, discount, strength, rng, THIN if k else BURN_IN, reach)
-        out.append(t)
-    return out
-
-
-def _bucket(u: np.ndarray, pair: np.ndarray, buckets: int) -> np.ndarray:
+def _bucket(u: np.ndarray, pair: np.ndarray, buckets: int, n_hot: int) -> np.ndarray:
     """Of pairs: by context, those of hot contexts by pair."""
-    return (np.where(u < HOT_CONTEXTS, pair, tk.mix(u)) % _U(buckets)).astype(np.int64)
+    return (np.where(u < n_hot, pair, tk.mix(u)) % _U(buckets)).astype(np.int64)
 
 
-def _count_pairs(words: _Words, buckets: int):
+def _count_pairs(words: _Words, buckets: int, n_hot: int):
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         u, w, learn = (np.concatenate(x) for x in zip(*held, strict=True))
         pair = _pair(u, w)
@@ -331,7 +350,7 @@ def _count_pairs(words: _Words, buckets: int):
         c = np.add.reduceat(learn[order].astype(np.int64), at)
         first = order[at]
         u, w, pair, also = u[first], w[first], pair[first], c < n
-        order, cut = tk.parts_of(_bucket(u, pair, buckets), buckets)
+        order, cut = tk.parts_of(_bucket(u, pair, buckets, n_hot), buckets)
         rows = []
         for b in range(buckets):
             m = order[cut[b] : cut[b + 1]]
@@ -361,11 +380,73 @@ def _count_pairs(words: _Words, buckets: int):
     return run
 
 
-def _seat(words: _Words, buckets: int, n_train: int):
-    """A bucket's restaurants: the model's part that scoring needs, sums for the words' owners, hot contexts and pairs."""
-    some = max(16, 2 * HOT_PAIRS // buckets)
-    share = words.counts / max(1, n_train)
+@dataclass
+class _Bucket:
+    """A bucket's restaurants. Dishes of one customer have one table; the others, `free`, are sampled."""
+
+    words: np.ndarray  # all words of the bucket's pairs
+    word_customers: np.ndarray
+    word_single: np.ndarray  # of these the tables of dishes of one customer
+    contexts: np.ndarray
+    customers: np.ndarray
+    single: np.ndarray
+    n_free: np.ndarray
+    word_of: np.ndarray  # of free dishes: place in words
+    c: np.ndarray
+    t: list[np.ndarray]  # by round, the present one last
+
+    def pack(self) -> bytes:
+        words, contexts = _short(self.words), _short(self.contexts)
+        rest = (self.word_customers, self.word_single, self.customers, self.single, self.n_free, self.word_of.astype(np.uint32), self.c, *self.t)
+        return pack(*words, *contexts, *rest, raw=(1, 3))
+
+    @classmethod
+    def unpack(cls, x: list[np.ndarray]) -> _Bucket:
+        return cls(_long(x[0], x[1]), x[4], x[5], _long(x[2], x[3]), x[6], x[7], x[8], x[9].astype(np.int64), x[10], x[11:])
+
+    @property
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.contexts)), self.n_free)
+
+    @property
+    def pairs(self) -> np.ndarray:
+        return _pair(np.repeat(self.contexts, self.n_free), self.words[self.word_of])
+
+    def tables(self, t: np.ndarray) -> np.ndarray:
+        """Tables of each context."""
+        return self.single + np.bincount(self.of, t, len(self.contexts)).astype(np.int64)
+
+    def frozen(self, hot_tables: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.contexts), np.nan)
+        hot = self.contexts < len(hot_tables)
+        out[hot] = hot_tables[self.contexts[hot].astype(np.int64)]
+        return out
+
+    def messages(self, key: int, buckets: int, n_hot: int) -> list[tuple]:
+        """Words' customers and tables for their owners, and hot contexts' tables for theirs."""
+        tables = self.word_single + np.bincount(self.word_of, self.t[-1], len(self.words)).astype(np.int64)
+        rows = []
+        order, cut = tk.parts_of((tk.mix(self.words) % _U(buckets)).astype(np.int64), buckets)
+        for b in range(buckets):
+            m = order[cut[b] : cut[b + 1]]
+            if len(m):
+                short, rare = _short(self.words[m])
+                rows.append((b, _SUMS, pack(np.array([key]), short, rare, self.word_customers[m], tables[m], raw=(2,))))
+        hot = np.flatnonzero(self.contexts < n_hot)
+        order, cut = tk.parts_of((tk.mix(self.contexts[hot]) % _U(buckets)).astype(np.int64), buckets)
+        tables = self.tables(self.t[-1])
+        for b in range(buckets):
+            m = hot[order[cut[b] : cut[b + 1]]]
+            if len(m):
+                rows.append((b, _CONTEXT, pack(self.contexts[m].astype(np.int64), tables[m])))
+        return rows
+
+
+def _seat(words: _Words, sizes: _Sizes, buckets: int, n_hot: int):
+    """Round 0 of a bucket's restaurants, from pairs on."""
+    share = words.counts / max(1, sizes.n_train)
     rare_share = float(share[-1]) / 2 if len(share) else 1.0
+    hot_tables = words.counts[:n_hot] ** 0.8  # a guess for this round; the next has their sum
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
@@ -379,77 +460,104 @@ def _seat(words: _Words, buckets: int, n_train: int):
         c = np.add.reduceat(c[order].astype(np.int64), at)
         also = np.maximum.reduceat(also[order], at)
         u, w, pair = u[order][at], w[order][at], pair[at]
+        once = np.sort(pair[(c == 1) & also])
         order = np.argsort(u, kind="stable")
-        u, w, pair, c, also = u[order], w[order], pair[order], c[order], also[order]
+        u, w, pair, c = u[order], w[order], pair[order], c[order]
         at, n = runs(u)
         of = np.repeat(np.arange(len(at)), n)
-        parent = np.where(w < _RARE, share[np.minimum(w, max(0, len(share) - 1)).astype(np.int64)] if len(share) else 1.0, rare_share)
-        names = u[at]
-        spread = np.where(names < HOT_CONTEXTS, buckets, 1).astype(np.float64)
-        seats = _seatings(c, of, spread, parent, DISCOUNT, STRENGTH, key)
-        rows = []
-        customers = np.bincount(of, c, len(at)).astype(np.int64)
-        tables = [np.bincount(of, t, len(at)).astype(np.int64) for t in seats]
-        # what scoring needs: pairs seen once in training are told by their only text
-        keep = (c > 1) | ((c == 1) & also)
-        own = np.argsort(pair[keep])
-        cold = names >= HOT_CONTEXTS
-        model = [x[cold] for x in (names, customers, *tables)] + [x[keep][own] for x in (pair, c, *seats)]
-        rows.append((key, _MODEL, pack(*model[:1], *[x.astype(np.uint32) for x in model[1:4]], model[4], *[x.astype(np.uint32) for x in model[5:]], raw=(0, 4))))
-        if not cold.all():
-            rows.append((key, _CONTEXT, pack(names[~cold].astype(np.int64), *[x[~cold] for x in tables])))
-        common = np.flatnonzero((u < _RARE) & (w < _RARE) & (c >= 16))
-        common = common[np.lexsort((pair[common], -c[common]))][:some]
-        if len(common):
-            rows.append((key, _HOT, pack(pair[common], u[common], w[common], c[common], *[t[common] for t in seats], *[t[of[common]] for t in tables], raw=(0,))))
-        order = np.argsort(w, kind="stable")
-        at, _ = runs(w[order])
-        sums = [np.add.reduceat(x[order], at) for x in (c, *seats)]
-        named = w[order][at]
-        owner = (tk.mix(named) % _U(buckets)).astype(np.int64)
-        order, cut = tk.parts_of(owner, buckets)
-        for b in range(buckets):
-            m = order[cut[b] : cut[b + 1]]
-            if len(m):
-                short, rare = _short(named[m])
-                rows.append((b, _SUMS, pack(np.array([key], np.int32), short, rare, *[x[m].astype(np.uint32) for x in sums], raw=(2,))))
+        named, word_of = np.unique(w, return_inverse=True)
+        count = lambda x, weight, size: np.bincount(x, weight, size).astype(np.int64)
+        free = c > 1
+        held = _Bucket(
+            named, count(word_of, c, len(named)), count(word_of, c == 1, len(named)), u[at], count(of, c, len(at)),
+            count(of, c == 1, len(at)), count(of, free, len(at)), word_of[free], c[free], [],
+        )
+        known = np.minimum(named, _U(max(0, len(share) - 1))).astype(np.int64)
+        guess = np.where(named < _RARE, share[known] if len(share) else 1.0, rare_share)[held.word_of]
+        frozen = held.frozen(hot_tables)
+        where = (held.c, held.of, guess, DISCOUNT, STRENGTH, held.single.astype(float), frozen)
+        t = seated(*where)
+        held.t = [gibbs(held.c, t, *where[1:], pair[free], 0, SWEEPS, t)]
+        rows = [(key, _STATE, held.pack()), (key, _ONCE, pack(once, raw=(0,))), *held.messages(key, buckets, n_hot)]
+        release()
+        return _table(rows)
+
+    return run
+
+
+def _reseat(model, k: int, buckets: int):
+    """Round k of a bucket's restaurants, given the root of the round before."""
+    last = k == ROUNDS - 1
+
+    def run(table: pa.Table) -> pa.Table:
+        m: Model = model.value
+        found = _of_kind(table)
+        if _STATE not in found:  # no pair of the bucket was ever seen in training
+            return _table([])
+        key, held = table.column("key")[0].as_py(), _Bucket.unpack(found[_STATE][0])
+        root = m.root_of_words(held.words, m.answered(found.get(_ANSWER, []), k - 1), k - 1)
+        t, pair = held.t[-1], held.pairs
+        where = (held.of, root[held.word_of], DISCOUNT, STRENGTH, held.single.astype(float), held.frozen(m.context_tables[k - 1]))
+        held.t = [*held.t[-SAMPLES + 1 :], gibbs(held.c, t, *where, pair, k, SWEEPS, t)]
+        rows = [(key, _STATE, held.pack()), *held.messages(key, buckets, m.n_hot)]
+        if last:
+            u, w = np.repeat(held.contexts, held.n_free), held.words[held.word_of]
+            hot = np.flatnonzero((u < _RARE) & (w < _RARE) & (held.c >= max(16, m.n_train >> HOT_PAIR_LOG2)))
+            if len(hot):
+                tables = [held.tables(t)[held.of[hot]] for t in held.t]
+                rows.append((key, _HOT, pack(pair[hot], u[hot], w[hot], held.c[hot], *[t[hot] for t in held.t], *tables, raw=(0,))))
         release()
         return _table(rows)
 
     return run
 
 
-def _own(buckets: int, vocabulary: int):
+def root_tables(word: np.ndarray, customers: np.ndarray, k: int, total: float, vocabulary: int) -> np.ndarray:
+    """The root's tables of words in round k, given its tables in the round before."""
+    out = np.minimum(customers, 1)
+    free = np.flatnonzero(customers > 1)
+    c, base = customers[free], np.full(len(free), 1.0 / (vocabulary + 1))
+    where = (np.zeros(len(free), np.int64), base, ROOT_DISCOUNT, ROOT_STRENGTH, np.zeros(1), np.array([total]))
+    if len(free):
+        t = seated(c, *where)
+        out[free] = gibbs(c, t, *where, tk.mix(word[free]), ROUNDS + k, SWEEPS, t)
+    return out
+
+
+def _own(buckets: int, k: int, total: float, vocabulary: int):
     """A word's owner: its customers at the root and its tables there, for the buckets that have the word."""
 
     def run(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        parts = [(x[0][0], _long(x[1], x[2]), x[3:]) for x in _of_kind(table)[_SUMS]]
-        source = np.concatenate([np.full(len(w), s, np.int64) for s, w, _ in parts])
-        word = np.concatenate([w for _, w, _ in parts])
-        sums = _joined([x for _, _, x in parts])
-        order = np.lexsort((source, word))
-        source, word, sums = source[order], word[order], [x[order].astype(np.int64) for x in sums]
-        at, n = runs(word)
-        of = np.repeat(np.arange(len(at)), n)
-        total = [np.add.reduceat(x, at) for x in sums]
-        word = word[at]
-        tables = []
-        for k, customers in enumerate(total[1:]):
-            base = np.full(len(at), 1.0 / (vocabulary + 1))
-            tables.append(_seatings(customers, np.zeros(len(at), np.int64), np.array([float(buckets)]), base, ROOT_DISCOUNT, ROOT_STRENGTH, key * 31 + k)[-1])
-        rows = [(key, _TOTAL, pack(np.array([(total[0] > 0).sum(), *[x.sum() for x in total], *[x.sum() for x in tables]], np.int64)))]
-        rare = word >= _RARE
-        if not rare.all():
-            rows.append((key, _COMMON, pack(*[x[~rare].astype(np.int64) for x in (word, *total, *tables)])))
-        asked = rare[of]
-        source, of = source[asked], of[asked]
-        order, cut = tk.parts_of(source, buckets)
-        of = of[order]
-        for b in range(buckets):
-            m = of[cut[b] : cut[b + 1]]
-            if len(m):
-                rows.append((b, _ANSWER, pack(word[m], *[x[m].astype(np.uint32) for x in (*total, *tables)], raw=(0,))))
+        key, found = table.column("key")[0].as_py(), _of_kind(table)
+        rows = []
+        if _CONTEXT in found:
+            context, tables = _joined(found[_CONTEXT])
+            names, at = np.unique(context, return_inverse=True)
+            rows.append((key, _CONTEXT, pack(names, np.bincount(at, tables).astype(np.int64))))
+        if _SUMS in found:
+            parts = [(x[0][0], _long(x[1], x[2]), x[3:]) for x in found[_SUMS]]
+            source = np.concatenate([np.full(len(w), s, np.int64) for s, w, _ in parts])
+            word = np.concatenate([w for _, w, _ in parts])
+            sums = _joined([x for _, _, x in parts])
+            order = np.lexsort((source, word))
+            source, word, sums = source[order], word[order], [x[order] for x in sums]
+            at, n = runs(word)
+            of = np.repeat(np.arange(len(at)), n)
+            count, customers = (np.add.reduceat(x, at) for x in sums)
+            word = word[at]
+            tables = root_tables(word, customers, k, total, vocabulary)
+            rows.append((key, _TOTAL, pack(np.array([customers.sum(), tables.sum()], np.int64))))
+            rare = word >= _RARE
+            if not rare.all():
+                rows.append((key, _COMMON, pack(*[x[~rare].astype(np.int64) for x in (word, count, customers, tables)])))
+            asked = rare[of]
+            source, of = source[asked], of[asked]
+            order, cut = tk.parts_of(source, buckets)
+            of = of[order]
+            for b in range(buckets):
+                m = of[cut[b] : cut[b + 1]]
+                if len(m):
+                    rows.append((b, _ANSWER, pack(np.array([k]), word[m], count[m], customers[m], tables[m], raw=(1,))))
         return _table(rows)
 
     return run
@@ -457,25 +565,45 @@ def _own(buckets: int, vocabulary: int):
 
 @dataclass
 class Model:
-    """What every task of scoring knows."""
+    """What every task of sampling and scoring knows."""
 
     words: _Words
     n_train: int
     vocabulary: int
-    root_customers: np.ndarray  # by sample
+    n_hot: int
+    root_customers: np.ndarray  # by round
     root_tables: np.ndarray
     counts: np.ndarray  # of common words by rank
-    root: np.ndarray  # the root's probability of common words, by sample and rank
-    context_tables: np.ndarray  # of hot contexts, by sample and rank
+    root: np.ndarray  # the root's probability of common words, by round and rank
+    context_tables: np.ndarray  # of hot contexts, by round and rank
     hot_pairs: np.ndarray
     hot_logs: np.ndarray
 
-    def root_of(self, customers: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
-        top = ROOT_STRENGTH + self.root_customers
-        base = (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_tables) / (self.vocabulary + 1)
-        return np.stack([(np.maximum(0.0, c - ROOT_DISCOUNT * t) + base[s]) / top[s] for s, (c, t) in enumerate(zip(customers, tables, strict=True))])
-
-    def log(self, c, seats: list, customers, tables: list, root: np.ndarray) -> np.ndarray:
+    def root_of(self, customers: np.ndarray, tables: np.ndarray, k: int) -> np.ndarray:
+        """The root's probability of words of so many customers and tables, in round k."""
+        base = (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_tables[k]) / (self.vocabulary + 1)
+        return (np.maximum(0.0, customers - ROOT_DISCOUNT * tables) + base) / (ROOT_STRENGTH + self.root_customers[k])
+
+    def answered(self, answers: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words that owners told of in round k, in order: their hashes, training counts, and the root's probabilities."""
+        mine = [x[1:] for x in answers if x[0][0] == k]
+        if not mine:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        word, count, customers, tables = _joined(mine)
+        order = np.argsort(word)
+        return word[order], count[order], self.root_of(customers, tables, k)[order]
+
+    def root_of_words(self, words: np.ndarray, answered: tuple, k: int) -> np.ndarray:
+        """The root's probability: common words' as known, others' as answered, unknown ones' else."""
+        out = np.full(len(words), self.root_of(np.zeros(1), np.zeros(1), k)[0])
+        common = words < _RARE
+        out[common] = self.root[k][words[common].astype(np.int64)]
+        if len(answered[0]):
+            at, there = _find(answered[0], words[~common])
+            out[~common] = np.where(there, answered[2][at], out[~common])
+        return out
+
+    def log(self, c, seats: list, customers, tables: list, root: list) -> np.ndarray:
         """Logarithm of the average predictive probability, in units."""
         p = 0.0
         for s in range(SAMPLES):
@@ -487,42 +615,62 @@ class Model:
         return np.rint(_UNIT * np.log10((c + 1) / (self.n_train + self.vocabulary + 1))).astype(np.int64)
 
 
+#: The rounds that are averaged.
+SAMPLED = range(ROUNDS - SAMPLES, ROUNDS)
+
+
 def _collected(found: DataFrame, kind: int) -> list[list[np.ndarray]]:
     """Rows of a kind whose number and size are bounded by a parameter or by the number of buckets."""
     return [unpack(bytes(r.data)) for r in found.where(F.col("kind") == kind).select("data").collect()]
 
 
-def train(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Model, DataFrame, int]:
+def train(docs: DataFrame, frequent: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS, hot_customers: int = HOT_CUSTOMERS) -> tuple[Model, DataFrame, int]:
     """The model from docs (text, held_out): what tasks know, and rows for buckets. frequent: words to broadcast, at most FREQUENT."""
-    words, tokens = common_words(docs, frequent)
-    # a bucket for so many tokens; buckets send to each other, so small tables get few
-    buckets = max(1, min(4 * partitions(docs.sparkSession), -(-tokens // BUCKET_TOKENS)))
-    about = int(words.counts.sum())  # the parent's first guess; the exact number comes with the sums
-    pairs = docs.select("text", "held_out").mapInArrow(_count_pairs(words, buckets), _ROWS)
-    seated = materialize(pairs.groupBy("key").applyInArrow(_seat(words, buckets, max(1, about)), _ROWS), "seated")
-    owned = materialize(seated.where(F.col("kind") == _SUMS).groupBy("key").applyInArrow(_own(buckets, max(1, about)), _ROWS), "owned")
-    totals = np.sum([x[0] for x in _collected(owned, _TOTAL)] or [np.zeros(2 + 2 * SAMPLES, np.int64)], axis=0)
+    spark = docs.sparkSession
+    words, sizes = common_words(docs, frequent)
+    buckets = max(1, -(-sizes.tokens // bucket_tokens))
+    n_hot = int((words.counts >= hot_customers).sum())
+    n = len(words.counts)
     model = Model(
-        words, int(totals[1]), int(totals[0]), totals[2 : 2 + SAMPLES].astype(float), totals[2 + SAMPLES :].astype(float),
-        np.zeros(len(words.counts), np.int64), np.zeros((SAMPLES, len(words.counts))), np.zeros((SAMPLES, HOT_CONTEXTS)),
-        np.zeros(0, np.uint64), np.zeros(0, np.int64),
+        words, sizes.n_train, sizes.vocabulary, n_hot, np.zeros(ROUNDS), np.zeros(ROUNDS), words.counts.astype(np.int64),
+        np.zeros((ROUNDS, n)), np.zeros((ROUNDS, n_hot)), np.zeros(0, np.uint64), np.zeros(0, np.int64),
     )
-    if common := _collected(owned, _COMMON):
-        rank, c, *rest = _joined(common)
-        model.counts[rank] = c
-        model.root[:, rank] = model.root_of(rest[:SAMPLES], rest[SAMPLES:])
-    for names, *tables in _collected(seated, _CONTEXT):
-        for s, t in enumerate(tables):
-            model.context_tables[s, names] += t
-    if hot := _collected(seated, _HOT):
+    pairs = docs.select("text", "held_out").mapInArrow(_count_pairs(words, buckets, n_hot), _ROWS)
+    seats = pairs.groupBy("key").applyInArrow(_seat(words, sizes, buckets, n_hot), _ROWS)
+    total, answers, once, before = 1.3 * sizes.vocabulary, [], None, []
+    for k in range(ROUNDS):
+        seats = materialize(seats, "seated")
+        for table in before:  # of the round before, which is settled
+            forget(table)
+        if once is None:
+            once = materialize(seats.where(F.col("kind") == _ONCE), "once")
+        sums = seats.where(F.col("kind").isin(_SUMS, _CONTEXT))
+        owned = materialize(sums.groupBy("key").applyInArrow(_own(buckets, k, total, sizes.vocabulary), _ROWS), "owned")
+        before = [seats] if k in SAMPLED else [seats, owned]
+        model.root_customers[k], model.root_tables[k] = np.sum([x[0] for x in _collected(owned, _TOTAL)] or [np.zeros(2)], axis=0)
+        total = float(model.root_tables[k])
+        if common := _collected(owned, _COMMON):
+            rank, _, customers, tables = _joined(common)
+            model.root[k, rank] = model.root_of(customers, tables, k)
+        for names, tables in _collected(owned, _CONTEXT):
+            model.context_tables[k, names] = tables
+        answers.append(owned.where(F.col("kind") == _ANSWER))
+        state = seats.where(F.col("kind") == _STATE)
+        if k + 1 < ROUNDS:
+            shared = spark.sparkContext.broadcast(model)
+            seats = state.unionByName(answers[-1]).groupBy("key").applyInArrow(_reseat(shared, k + 1, buckets), _ROWS)
+    if hot := _collected(seats, _HOT):
         pair, u, w, c, *rest = _joined(hot)
-        best = np.lexsort((pair, -c))[:HOT_PAIRS]
-        best = best[np.argsort(pair[best])]
-        pair, u, w, c, rest = pair[best], u[best].astype(np.int64), w[best].astype(np.int64), c[best], [x[best] for x in rest]
-        split = u < HOT_CONTEXTS
-        tables = [np.where(split, model.context_tables[s][np.minimum(u, HOT_CONTEXTS - 1)], rest[SAMPLES + s]) for s in range(SAMPLES)]
-        model.hot_pairs, model.hot_logs = pair, model.log(c, rest[:SAMPLES], model.counts[u], tables, model.root[:, w])
-    rows = seated.where(F.col("kind") == _MODEL).unionByName(owned.where(F.col("kind") == _ANSWER))
+        order = np.argsort(pair)
+        pair, u, w, c, rest = pair[order], u[order].astype(np.int64), w[order].astype(np.int64), c[order], [x[order] for x in rest]
+        split = u < n_hot
+        tables = [rest[SAMPLES + s].astype(float) for s in range(SAMPLES)]
+        for s, k in enumerate(SAMPLED):
+            tables[s][split] = model.context_tables[k][u[split]]
+        model.hot_pairs, model.hot_logs = pair, model.log(c, rest[:SAMPLES], model.counts[u], tables, [model.root[k, w] for k in SAMPLED])
+    rows = state.unionByName(once)
+    for k in SAMPLED:
+        rows = rows.unionByName(answers[k])
     return model, rows, buckets
 
 
@@ -566,7 +714,7 @@ def _send_tokens(model, buckets: int):
             log = np.where(hot, m.hot_logs[at], 0) if len(m.hot_pairs) else np.zeros(len(w), np.int64)
             rows = [(part, _DOCS, pack(ids, known, learn, n)), _sums(doc, [seen, base, log], part)]
             rest = np.flatnonzero(~hot)
-            order, cut = tk.parts_of(_bucket(u[rest], pair[rest], buckets), buckets)
+            order, cut = tk.parts_of(_bucket(u[rest], pair[rest], buckets, m.n_hot), buckets)
             rest = rest[order]
             for b in range(buckets):
                 mine = rest[cut[b] : cut[b + 1]]
@@ -606,37 +754,42 @@ def _score_bucket(model):
             return table.select(["key", "kind", "data"])
         found = _of_kind(table)
         rows = []
-        names, customers, *more = found[_MODEL][0] if _MODEL in found else [np.zeros(0, np.uint64)] * (4 + 2 * SAMPLES)
-        tables, (pairs, pair_c, *seats) = more[:SAMPLES], more[SAMPLES:]
-        if _ANSWER in found:
-            answer = _joined(found[_ANSWER])
-            order = np.argsort(answer[0])
-            word, word_c, *rest = (x[order] for x in answer)
-            word_root = m.root_of(rest[:SAMPLES], rest[SAMPLES:])
-        else:
-            word, word_c, word_root = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((SAMPLES, 0))
+        empty = np.zeros(0, np.uint64)
+        names, customers, tables = empty, empty, [empty] * SAMPLES
+        pairs, pair_c, seats = [empty], [empty.astype(np.int64)], [[empty.astype(np.int64)] for _ in range(SAMPLES)]
+        if _STATE in found:
+            held = _Bucket.unpack(found[_STATE][0])
+            cold = held.contexts >= m.n_hot
+            names, customers, tables = held.contexts[cold], held.customers[cold], [held.tables(t)[cold] for t in held.t]
+            pairs, pair_c, seats = [held.pairs], [held.c], [[t] for t in held.t]
+        for (once,) in found.get(_ONCE, []):
+            pairs.append(once)
+            for x in (pair_c, *seats):
+                x.append(np.ones(len(once), np.int64))
+        pairs, pair_c, seats = np.concatenate(pairs), np.concatenate(pair_c), [np.concatenate(x) for x in seats]
+        order = np.argsort(pairs)
+        pairs, pair_c, seats = pairs[order], pair_c[order], [x[order] for x in seats]
+        answered = [m.answered(found.get(_ANSWER, []), k) for k in SAMPLED]
+        word, word_c, _ = answered[-1]
         for part, docs, learn, n, us, ur, ws, wr in found.get(_TOKENS, []):
             u, w = _long(us, ur), _long(ws, wr)
             doc, learn = np.repeat(np.cumsum(docs.astype(np.int64)), n), np.repeat(learn, n)
             at, there = _find(pairs, _pair(u, w))
             # a training text's pair that is not in the model occurs there and nowhere else
-            once = learn.astype(np.int64)
-            c = np.where(there, pair_c[at], once) if len(pairs) else once
-            t = [np.where(there, s[at], once) if len(pairs) else once for s in seats]
+            alone = learn.astype(np.int64)
+            c = np.where(there, pair_c[at], alone) if len(pairs) else alone
+            t = [np.where(there, s[at], alone) if len(pairs) else alone for s in seats]
             at, there = _find(names, u)
             cu = np.where(there, customers[at], 0).astype(np.int64) if len(names) else np.zeros(len(u), np.int64)
             tu = [np.where(there, x[at], 0).astype(np.int64) if len(names) else np.zeros(len(u), np.int64) for x in tables]
-            hot = np.flatnonzero(u < HOT_CONTEXTS)
+            hot = np.flatnonzero(u < m.n_hot)
             hot_u = u[hot].astype(np.int64)
             cu[hot] = m.counts[hot_u]
-            for s in range(SAMPLES):
-                tu[s][hot] = m.context_tables[s][hot_u]
+            for s, k in enumerate(SAMPLED):
+                tu[s][hot] = m.context_tables[k][hot_u]
+            root = [m.root_of_words(w, x, k) for x, k in zip(answered, SAMPLED, strict=True)]
             rare = w >= _RARE
-            root = np.empty((SAMPLES, len(w)))
-            root[:, ~rare] = m.root[:, w[~rare].astype(np.int64)]
             at, there = _find(word, w[rare])
-            unknown = m.root_of([np.zeros(1)] * SAMPLES, [np.zeros(1)] * SAMPLES)
-            root[:, rare] = np.where(there, word_root[:, at], unknown) if len(word) else unknown
             cw = np.where(there, word_c[at], 0).astype(np.int64) if len(word) else np.zeros(len(at), np.int64)
             known, base = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
             known[rare], base[rare] = cw > 0, m.base(cw)
@@ -670,10 +823,10 @@ def _gather(n_train: int):
     return run
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text, held_out)."""
     spark = docs.sparkSession
-    model, rows, buckets = train(docs, frequent)
+    model, rows, buckets = train(docs, **options)
     shared = spark.sparkContext.broadcast(model)
     sent = docs.select("doc_id", "text", "held_out").mapInArrow(_send_tokens(shared, buckets), _ROWS)
     scored = sent.unionByName(rows).groupBy("key").applyInArrow(_score_bucket(shared), _ROWS)

@@ -106,6 +106,63 @@ def test_html_undecided_blocks_follow_nearest():
     assert [b.label for b in htmltext.classify([bad, short(2), short(9), good, short(1), good])] == ["bad", "bad", "good", "good", "good", "good"]
 
 
+def brute_labels(found):
+    """Both passes, block by block, looking at all others."""
+    marked = any(b.article and not b.never for b in found)
+
+    def alone(b):
+        if b.never or (marked and not b.article):
+            return "bad"
+        if b.link_density > 0.5:
+            return "open" if b.article and b.n_links < 2 else "bad"
+        if b.n_words < 12:
+            return "open"
+        return "good" if b.stop_density >= 0.15 else "bad" if b.stop_density < 0.05 and not b.article else "open"
+
+    first = [alone(b) for b in found]
+    out = []
+    for i, b in enumerate(found):
+        mine = [j for j in range(len(found)) if j != i and first[j] != "open" and (not marked or (found[j].article and not found[j].never))]
+        left, right = max((j for j in mine if j < i), default=None), min((j for j in mine if j > i), default=None)
+        far = lambda j: sum(x.n_words for x in found[min(i, j) + 1 : max(i, j)] if not marked or (x.article and not x.never))
+        edge = [(sum(x.n_words for x in part), "bad") for part in (found[:i], found[i + 1 :])]
+        near = [(far(j), first[j]) if j is not None else None if marked else e for j, e in zip((left, right), edge, strict=True)]
+        if first[i] != "open":
+            out.append(first[i])
+        elif None in near:
+            out.append(next((x[1] for x in near if x), "good"))
+        elif near[0][0] == near[1][0]:
+            out.append(near[b.heading][1])
+        else:
+            out.append(min(near)[1])
+    return out
+
+
+def test_html_labels_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(600):
+        article = rng.random() < 0.5
+        found = [
+            htmltext.Block("x", rng.choice([1, 2, 3, 3, 8, 12, 30]), rng.choice([0.0, 0.1, 0.3]), rng.choice([0.0, 0.0, 0.0, 0.9]), rng.choice([0, 1, 3]), rng.random() < 0.15, article and rng.random() < 0.7, rng.random() < 0.2)
+            for _ in range(rng.randrange(1, 12))
+        ]
+        want = brute_labels(found)
+        assert [b.label for b in htmltext.classify(found)] == want
+
+
+def test_html_needs_no_article_tag(spark):
+    """The same page with and without the tag; prose beside the article, long pages, and columns of any name."""
+    prose = "It was the best of times and it was the worst of times for all of us who were there to see it."
+    body = f"<h1>A title</h1><p>{prose}</p><p>Short.</p><p>{prose}</p>"
+    page = "<nav><a href=/>Home</a> <a href=/b>B</a></nav>{0}<footer>Imprint of the house</footer>"
+    want = f"A title {prose} Short. {prose}"
+    pages = [page.format(f"<article>{body}</article>"), page.format(f"<div>{body}</div>"), page.format(f"<article>{body}</article><div><p>{prose}</p></div>")]
+    pages.append(page.format(f"<article>{f'<p>{prose}</p>' * 20_000}</article>"))
+    rows = [(i, p, "u", "clash") for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id int, html string, url string, text string")).collect()}
+    assert got == {0: want, 1: want, 2: want, 3: " ".join([prose] * 20_000)}
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -194,6 +251,21 @@ def test_drop_near_copies_keeps_one_of_each(docs, rows, empty):
     assert jaccard.classes(empty).collect() == []
 
 
+def test_drop_near_copies_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y"), (3, "other words are in this one", 9, "z"), (3, "other words are in this one", 9, "z"), (None, "a b c d e f", 1, "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _gone int, `_TURN` string")
+    got = jaccard.drop_near_copies(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+
+
+def test_components_state_does_not_overflow(spark):
+    from quarrymill.llm.components import _state
+
+    edges = spark.range(20_000_000).selectExpr("id AS u", "id + 1 AS v")
+    assert _state(edges)[0] == 20_000_000 and _state(edges) == _state(edges) != _state(edges.limit(19_999_999))
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -296,6 +368,22 @@ def test_words_encode_as_whole_texts():
         assert np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+def test_other_tokenizers_encode_whole_texts(docs, rows, spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encode = Tokenizer.from_file(name), tokenfiles.WordEncoder(name)
+    assert not encode.wordwise and tokenfiles.WordEncoder(tokenfiles.default_tokenizer()).wordwise
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 5000]
+    for t, g in zip(texts, encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    path = tokenfiles.write(docs.where("doc_id < 5"), str(tmp_path / "other"), tokenizer=name)
+    text_of = {r[0]: r[1] or "" for r in rows}
+    for r in tokenfiles.read(spark, path).collect():
+        assert list(np.frombuffer(r.ids, "<u4")) == [*tok.encode(text_of[r.doc_id], add_special_tokens=False).ids, 1]
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -338,6 +426,28 @@ def test_mixing_comes_near_targets(spark):
     assert all(abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.1 for r in sums)
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i if i % 10 else None, f"w{i} " * (1 + i % 7), "ab"[i % 2], i, i, i, i, i, i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, Source_Size int, target int, copies int, _copy int, _source int")
+    got = mixing.expand(frame)
+    assert got.columns == frame.columns
+    left = Counter(tuple(r) for r in got.collect())
+    assert set(left) <= set(rows) and max(left.values()) <= 2
+    mixed = mixing.mix(frame)
+    assert mixed.columns == [*frame.columns, "size_", "source_size_", "target_", "copies_"]
+    assert left == Counter({tuple(r)[:9]: r.copies_ for r in mixed.collect() if r.copies_})
+    # rows without an id do not share one draw
+    nameless = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('w', id) AS text", "CASE WHEN id % 4 = 0 THEN 'a' ELSE 'b' END AS source")
+    assert {r.copies for r in mixing.mix(nameless).where("source = 'b'").collect()} == {1, 2}
+
+
+def test_mixing_targets_of_huge_sources(spark):
+    sizes = {f"s{i:03}": 10**14 + i for i in range(300)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = fill(sizes)
+    assert all(got[s] == pytest.approx(want[s]) for s in sizes)
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -360,13 +470,25 @@ def test_language_profiles(spark, docs, empty):
     assert {r.lang_pred for r in langid.digest(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_language_counts_agree_with_brute_force():
-    texts = ["Ab ab", "é日x", "", "q", "😀 a1b"]
+def test_letters_beyond_the_basic_plane(spark):
+    """They are letters, and none is taken for another one."""
+    made = [(i, t, lang) for i, (t, lang) in enumerate([("𐐨𐐩 𐐪𐐫", "dd"), ("aä bb", "en"), ("\U00020061\U00020062", "hh")] * 30)]
+    made += [(1000, "𠀀", None), (1001, "😀", None), (1002, "𐐀𐐁", None), (1003, "\U00020061", None), (1004, "a", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.digest(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()}
+    assert got[1000] != "und" and [got[i] for i in (1001, 1002, 1003, 1004)] == ["und", "dd", "hh", "en"]
+
+
+@pytest.mark.parametrize("far", [0, 3])
+def test_language_counts_agree_with_brute_force(far):
+    texts = ["Ab ab", "é日x", "", "q", "😀 a1b"] + ["𠀀", "a𐐀𝒳 b𠀀b", "A\U00020041"][:far]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
     owner, grams, n = langid._counts(data, offsets)
     want = Counter()
-    code = lambda g: (len(g) << 48) | sum((0 if c == "_" else ord(c)) << 16 * (len(g) - 1 - i) for i, c in enumerate(g))
+    points = lambda g: [0 if c == "_" else ord(c) for c in g]
+    near = lambda p: (len(p) << 48) | sum(c << 16 * (len(p) - 1 - i) for i, c in enumerate(p))
+    wide = lambda p: (1 << 63) | (0x1FFFFF << 42 if len(p) == 2 else 0) | sum(c << 21 * (len(p) - 1 - i) for i, c in enumerate(p))
+    code = lambda g: near(points(g)) if max(points(g)) < 1 << 16 else wide(points(g))
     for i, t in enumerate(texts):
         for w in re.findall(r"[^\W\d_]+", t.lower()):
             p = f"_{w}_"
@@ -405,38 +527,68 @@ def test_byte_bpe(docs, rows, empty, monkeypatch):
 
 
 def brute_spans(rows, window):
+    """By (id, text): words, removed words and the kept text."""
+    import xxhash
+
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    place = lambda d, t: (d is not None, d or 0, signed(digest(t)) % ((1 << 31) - 2) if d is not None else digest(t) >> 2)
+    order = sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: place(*x))
     first = {}
-    order = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows})
-    for _, d, t in order:
+    for d, t in order:
         w = words(t)
         for i in range(len(w) - window + 1):
-            first.setdefault(tuple(w[i : i + window]), (d, i))
+            first.setdefault(tuple(w[i : i + window]), (d, t, i))
     out = {}
-    for known, d, t in order:
+    for d, t in order:
         w = words(t)
-        gone = {j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] != (d, i) for j in range(i, i + window)}
-        out[d if known else None] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+        gone = {j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] != (d, t, i) for j in range(i, i + window)}
+        out[d, t] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
     return out
 
 
+@pytest.fixture(scope="module")
+def clashes(spark, rows):
+    """Ids with other texts, texts of null ids, and columns of the names that the operator would like to use."""
+    long = " ".join(f"z{i}" for i in range(30))
+    more = [(1, long), (2, long), (2, "short text here"), (2, f"{long} and more"), (None, long), (None, f"so {long}"), (None, long), (3, None), (3, "")]
+    made = [(r[0], r[1], 1, "h", None) for r in rows] + [(d, t, 2, "h", None) for d, t in more]
+    return made, spark.createDataFrame(made, "doc_id long, text string, n_chars int, _home string, `_DOC` string").repartition(4)
+
+
 @pytest.mark.parametrize("window", [20, 3])
-def test_substring_dedup(docs, rows, window):
-    some = [r for r in rows if r[0] is not None]
-    want = brute_spans(some, window)
-    frame = docs.where("doc_id IS NOT NULL")
+def test_substring_dedup(clashes, window):
+    made, frame = clashes
+    want = brute_spans(made, window)
     got = substrings.digest(frame, window).collect()
-    assert len(got) == len(some)
-    for r in got:
-        n, gone, kept = want[r.doc_id]
-        assert tuple(r)[1:] == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+    tell = lambda d, n, gone, kept: (str(d), n, gone, hashlib.sha256(kept.encode()).hexdigest())
+    assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == sorted(tell(r[0], *want[r[0], r[1] or ""]) for r in made)
     if window == 20:
         out = substrings.dedup(frame)
-        assert out.columns == docs.columns
-        assert all(r.text == want[r.doc_id][2] and r.n_chars == len(r.text) and r.size == "clash" for r in out.collect())
-        for f in substrings.factors(frame).collect():
-            texts = {r[0]: words(r[1]) for r in some}
-            assert texts[f.doc_id][f.start : f.start + f.n_words] == texts[f.ref_id][f.ref_start : f.ref_start + f.n_words]
-            assert f.n_words >= 20 and (f.ref_id, f.ref_start) < (f.doc_id, f.start)
+        assert out.columns == frame.columns
+        found = sorted((str(r.doc_id), r.text, r.n_chars, r["_home"]) for r in out.collect())
+        kept = [(r[0], want[r[0], r[1] or ""][2]) for r in made]
+        assert found == sorted((str(d), t, len(t), "h") for d, t in kept)
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_substring_factors_are_earlier_matches(docs, rows, tasks):
+    """In one task, where all is one block, they are the longest ones too."""
+    some = {r[0]: words(r[1]) for r in rows if r[0] is not None}
+    want = brute_spans([r for r in rows if r[0] is not None], 20)
+    gone = defaultdict(set)
+    for f in substrings.factors(docs.where("doc_id IS NOT NULL").coalesce(tasks)).collect():
+        mine, theirs, end, ref_end = some[f.doc_id], some[f.ref_id], f.start + f.n_words, f.ref_start + f.n_words
+        assert mine[f.start : end] == theirs[f.ref_start : ref_end]
+        assert f.n_words >= 20 and (f.ref_id, f.ref_start) < (f.doc_id, f.start)
+        if tasks == 1 and end < len(mine):
+            assert first_place(some, mine[end - 19 : end + 1]) != (f.ref_id, ref_end - 19)
+        gone[f.doc_id].update(range(f.start, end))
+    assert {d: len(gone[d]) for d in some} == {d: next(x[1] for (i, _), x in want.items() if i == d) for d in some}
+
+
+def first_place(texts, window):
+    return next((d, i) for d in sorted(texts) for i in range(len(texts[d]) - 19) if texts[d][i : i + 20] == window)
 
 
 def test_substring_dedup_of_nothing(docs, empty):
@@ -474,23 +626,115 @@ def test_lm_root_sums_to_one(spark):
     assert all(-20 < got[k] < 0 for k in range(100, 113)) and got[112] < min(got[k] for k in range(100, 112))
     model, _, _ = lm.train(frame)
     assert model.n_train == 40 * 31 and model.vocabulary == 13
-    for s in range(lm.SAMPLES):
-        unknown = model.root_of([np.zeros(1)] * lm.SAMPLES, [np.zeros(1)] * lm.SAMPLES)[s, 0]
-        assert model.root[s].sum() + unknown == pytest.approx(1.0)
+    for k in range(lm.ROUNDS):
+        unknown = model.root_of(np.zeros(1), np.zeros(1), k)[0]
+        assert model.root[k].sum() + unknown == pytest.approx(1.0)
+
+
+def by_text(frame):
+    return sorted(map(str, frame.collect()))
 
 
 def test_lm_ways_agree(docs):
-    """Common words and pairs scored in place, or all by way of their buckets."""
+    """Common words and pairs scored in place, or all by way of their buckets; hot contexts whole, or dealt out."""
     from pyspark.sql import functions as F
 
     frame = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)))
     a = {r.doc_id: r for r in lm.score(frame).collect()}
-    b = {r.doc_id: r for r in lm.score(frame, frequent=5).collect()}
-    for k, r in a.items():
-        assert (r.n_known, r.n_tokens) == (b[k].n_known, b[k].n_tokens)
-        assert r.base_score == pytest.approx(b[k].base_score)
-    # the parent's first guess differs, so seatings do
-    assert sum(r.score for r in a.values()) == pytest.approx(sum(r.score for r in b.values()), rel=0.1)
+    for options, near in (({"frequent": 5}, 0.1), ({"hot_customers": 50, "bucket_tokens": 2000}, 0.02)):
+        b = {r.doc_id: r for r in lm.score(frame, **options).collect()}
+        for k, r in a.items():
+            assert (r.n_known, r.n_tokens) == (b[k].n_known, b[k].n_tokens)
+            assert r.base_score == pytest.approx(b[k].base_score)
+        # of words that are not broadcast the first guess differs, and of hot contexts what draws are given
+        assert sum(r.score for r in a.values()) == pytest.approx(sum(r.score for r in b.values()), rel=near)
+
+
+def test_lm_scores_do_not_depend_on_the_cluster(spark, docs):
+    """As many buckets and partitions as may be: equal scores, whether contexts are hot or not."""
+    from pyspark.sql import functions as F
+
+    frame = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)))
+    tokens = lm.common_words(frame)[1].tokens
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    for hot in (200_000, 50):
+        want = None
+        for buckets, partitions in ((1, 3), (2, 2), (8, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            try:
+                got = by_text(lm.score(frame.repartition(partitions), bucket_tokens=-(-tokens // buckets), hot_customers=hot))
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", width)
+            want = want or got
+            assert got == want
+
+
+def brute_probabilities(texts, probes, vocabulary, sweeps, rng):
+    """The model by its definition: customers reseated one by one, contexts and root in turn; averaged predictive probabilities."""
+    d, a, rd, ra = lm.DISCOUNT, lm.STRENGTH, lm.ROOT_DISCOUNT, lm.ROOT_STRENGTH
+    seats, root = defaultdict(lambda: defaultdict(list)), defaultdict(list)
+    size = lambda r: sum(sum(x) for x in r.values())
+    tables = lambda r: sum(len(x) for x in r.values())
+    root_p = lambda w: (sum(root[w]) - rd * len(root[w]) + (ra + rd * tables(root)) / (vocabulary + 1)) / (ra + size(root))
+    chance = lambda u, w: (sum(seats[u][w]) - d * len(seats[u][w]) + (a + d * tables(seats[u])) * root_p(w)) / (a + size(seats[u]))
+
+    def sit(restaurant, dish, discount, new):
+        weight = [n - discount for n in restaurant[dish]] + [new]
+        at = rng.choices(range(len(weight)), weight)[0]
+        if at == len(restaurant[dish]):
+            restaurant[dish].append(1)
+            return True
+        restaurant[dish][at] += 1
+        return False
+
+    def leave(restaurant, dish):
+        at = rng.choices(range(len(restaurant[dish])), restaurant[dish])[0]
+        restaurant[dish][at] -= 1
+        if not restaurant[dish][at]:
+            del restaurant[dish][at]
+            return True
+        return False
+
+    def add(u, w):
+        if sit(seats[u], w, d, (a + d * tables(seats[u])) * root_p(w)):
+            sit(root, w, rd, (ra + rd * tables(root)) / (vocabulary + 1))
+
+    pairs = [p for t in texts for p in zip(["end", *t[:-1]], t, strict=True)]
+    for p in pairs:
+        add(*p)
+    total = [0.0] * len(probes)
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if leave(seats[u], w):
+                leave(root, w)
+            add(u, w)
+        if sweep >= sweeps // 3:
+            total = [x + chance(u, w) for x, (u, w) in zip(total, probes, strict=True)]
+    return [x / (sweeps - sweeps // 3) for x in total]
+
+
+def test_lm_probabilities_agree_with_brute_force(spark):
+    """A small corpus: probabilities of pairs against customers that are reseated one by one."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(9)]
+    follow = {v: rng.choices(vocabulary, k=3) for v in vocabulary}
+
+    def text():
+        out = [rng.choice(vocabulary)]
+        while len(out) < 15:
+            out.append(rng.choice(follow[out[-1]]) if rng.random() < 0.8 else rng.choice(vocabulary))
+        return out
+
+    texts = [text() for _ in range(12)]
+    probes = [text()[:2] for _ in range(40)] + [["v1", "unseen"], ["unseen", "v2"]]
+    rows = [(i, " ".join(t), False) for i, t in enumerate(texts)] + [(100 + i, " ".join(p), True) for i, p in enumerate(probes)]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    seen = len({w for t in texts for w in t}) + 1
+    flat = [p for w in probes for p in zip(["end", *w], [*w, "end"], strict=True)]
+    chance = iter(brute_probabilities([[*t, "end"] for t in texts], flat, seen, 300, rng))
+    want = [sum(math.log10(next(chance)) for _ in range(len(w) + 1)) for w in probes]
+    away = [abs(got[100 + i] - x) for i, x in enumerate(want)]
+    assert max(away) < 0.35 and sum(away) / len(away) < 0.12, (max(away), sum(away) / len(away))
 
 
 def test_gibbs_samples_the_posterior():
@@ -507,7 +751,8 @@ def test_gibbs_samples_the_posterior():
     n = 3000
     many_c, many_p = np.tile(c, n), np.tile(p, n)
     of = np.repeat(np.arange(n), 2)
-    t = lm.gibbs(many_c, np.ones(2 * n, np.int64), of, np.ones(n), many_p, d, strength, np.random.default_rng(0), 60)
+    whole, key = np.full(n, np.nan), np.arange(2 * n, dtype=np.uint64)
+    t = lm.gibbs(many_c, np.ones(2 * n, np.int64), of, many_p, d, strength, np.zeros(n), whole, key, 0, 60)
     assert t.min() >= 1 and (t <= many_c).all()
     assert t.sum() / n == pytest.approx(mean, rel=0.05)
 
@@ -529,16 +774,29 @@ def test_seatings_have_as_many_tables_as_the_posterior():
     want = (share.sum(1) @ np.arange(1, 201)) / share.sum(), (share.sum(0) @ np.arange(1, 801)) / share.sum()
     n = 400
     of = np.repeat(np.arange(n), 2)
-    for t in lm._seatings(np.tile([200, 800], n), of, np.ones(n), np.tile([0.05, 0.95], n), d, strength, 1):
+    for t in production(np.tile([200, 800], n), of, n, np.tile([0.05, 0.95], n)):
         assert t[::2].mean() == pytest.approx(want[0], rel=0.15) and t[1::2].mean() == pytest.approx(want[1], rel=0.15)
     zipf = 1 / np.arange(1, 5001)
     zipf /= zipf.sum()
     for total in (10**4, 10**6, 10**7):  # the commonest dish has a tenth
         c = np.random.default_rng(3).multinomial(total, zipf)
-        c, p = c[c > 0], zipf[c > 0]
+        once = (c == 1).sum()
+        c, p = c[c > 1], zipf[c > 1]
         of = np.zeros(len(c), np.int64)
-        start = lm.seated(c, of, np.ones(1), p, d, strength)
-        long = lm.gibbs(c, start, of, np.ones(1), p, d, strength, np.random.default_rng(7), 600, start)
-        for t in lm._seatings(c, of, np.ones(1), p, d, strength, 5):
+        where = (of, p, d, strength, np.array([float(once)]), np.array([np.nan]))
+        start = lm.seated(c, *where)
+        long = lm.gibbs(c, start, *where, np.arange(len(c), dtype=np.uint64), 9, 600, start)
+        for t in production(c, of, 1, p, once):
             assert t.min() >= 1 and (t <= c).all() and t.max() > 100
             assert t.sum() == pytest.approx(long.sum(), rel=0.1) and t[:20].sum() == pytest.approx(long[:20].sum(), rel=0.1)
+
+
+def production(c, of, n, parent, once=0):
+    """The numbers of tables that are averaged, round by round, with parents that stay as they are."""
+    key = np.arange(len(c), dtype=np.uint64)
+    where = (of, parent, lm.DISCOUNT, lm.STRENGTH, np.full(n, float(once)), np.full(n, np.nan))
+    t = lm.seated(c, *where)
+    for k in range(lm.ROUNDS):
+        t = lm.gibbs(c, t, *where, key, k, lm.SWEEPS, t)
+        if k in lm.SAMPLED:
+            yield t
