@@ -9,7 +9,8 @@ from quarrymill.functions import code_columns as C
 from quarrymill.functions import text as X
 from quarrymill.operators import relational
 from quarrymill.operators.stats import hash_draw
-from quarrymill.plans.scoring import control_passes, with_spec
+from quarrymill.plans import templates as T
+from quarrymill.plans.scoring import ANALYSIS_FIELDS, PATCH_FIELDS, control_passes
 from quarrymill.scratch import materialize
 
 # Weakness, slug, ecosystem, text that repaired code must not hold, text that it must hold.
@@ -76,9 +77,28 @@ SHAPES = [
 SPLITS = ["train", "val", "test", "holdout"]
 
 
+SOURCE_LICENSE = "Apache-2.0"
+SYSTEM = "You review Python code for security and answer with one JSON object and nothing else."
+
+
 def specs(spark: SparkSession) -> DataFrame:
-    rows = [(*s, i) for i, s in enumerate(SPECS)]
-    return spark.createDataFrame(rows, "cwe string, slug string, ecosystem string, forbidden_test_text string, required_test_text string, ord int")
+    """The weaknesses with their templates; repr columns are the control texts as Python literals."""
+    by_slug = {t.slug: t for t in T.TEMPLATES}
+    rows = []
+    for i, (cwe, slug, ecosystem, forbidden, required) in enumerate(SPECS):
+        t = by_slug[slug]
+        literals = [None if x is None else repr(x) for x in (forbidden, required)]
+        kind = slug.replace("_", " ")
+        rows.append((cwe, slug, ecosystem, forbidden, required, i, *literals, kind, t.args, t.imports_before, t.imports_after, t.before, t.after, t.risk, t.repair))
+    return spark.createDataFrame(
+        rows,
+        "cwe string, slug string, ecosystem string, forbidden_test_text string, required_test_text string, ord int, forbidden_repr string, "
+        "required_repr string, vuln_type string, n_args int, imports_before string, imports_after string, before string, after string, risk string, repair string",
+    )
+
+
+def forms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f.shape, f.head, f.indent, f.tail, f.entry) for f in T.FORMS], "shape string, head string, width int, tail string, entry string")
 
 
 def plan(spark: SparkSession) -> DataFrame:
@@ -94,48 +114,90 @@ def task_of(occurrence: Column) -> tuple[Column, Column]:
     return F.when(turn < 4, "repair").when(turn < 8, "detect").otherwise("repo_patch"), ~((turn >= 6) & (turn < 8))
 
 
-def _code(name: Column, shape: Column, note: Column, call: str) -> Column:
-    """One function around one marked statement, as a method, an async function or a plain one as the shape asks."""
-    def body(pad: str, head: str) -> Column:
-        return F.concat(F.lit(f"{pad}{head}"), name, F.lit("(value):\n"), F.lit(f"{pad}    note = r'''"), note, F.lit(f"'''\n{pad}    return {call}(note, value)\n"))
+def _fill(text: Column, marks: dict[str, Column]) -> Column:
+    for mark, value in marks.items():
+        text = F.replace(text, F.lit(f"@{mark}@"), value)
+    return text
+
 
-    def method(pad: str) -> Column:
-        return F.concat(F.lit("class Holder:\n"), F.lit(f"{pad}def "), name, F.lit("(self, value):\n"), F.lit(f"{pad}    note = r'''"), note, F.lit(f"'''\n{pad}    return {call}(note, value)\n"))
+def _indented(body: Column, width: Column) -> Column:
+    return F.array_join(F.transform(F.split(body, "\n"), lambda x: F.when(x != "", F.concat(F.repeat(F.lit(" "), width), x)).otherwise(x)), "\n")
 
-    held = shape.rlike("method|object|service")
-    return F.when(held, method("    ")).when(shape.startswith("async"), body("", "async def ")).otherwise(body("", "def "))
+
+def wrap(imports: Column, body: Column, marks: dict[str, Column]) -> Column:
+    """A body in its form (columns head, width, tail), imports first."""
+    top = F.when(imports != "", F.concat(imports, F.lit("\n\n\n"))).otherwise("")
+    return _fill(F.concat(top, F.col("head"), _indented(body, F.col("width")), F.lit("\n"), F.col("tail")), marks)
+
+
+def names(draw: Column, occurrence: Column) -> dict[str, Column]:
+    """Names of function, class and arguments, and a number, all from one draw and the occurrence."""
+    word = lambda words, shift: F.element_at(F.array(*map(F.lit, words)), (F.shiftright(draw, shift) % len(words) + 1).cast("int"))
+    mark = F.lower(F.lpad(F.hex(draw % (1 << 40)), 10, "0"))
+    title = F.replace(F.initcap(F.replace("slug", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+    args = [F.concat_ws("_", word(nouns, 8 + 6 * i), F.substring(mark, 1 + 3 * i, 3)) for i, nouns in enumerate(T.NOUNS)]
+    joined = F.array_join(F.slice(F.array(*args), 1, F.col("n_args")), ", ")
+    return {
+        "args": joined, "def": F.concat_ws("_", word(T.VERBS, 2), "slug", mark), "class": F.concat(word(T.KINDS, 5), title, F.upper(F.substring(mark, 1, 4))),
+        "a": args[0], "b": args[1], "c": args[2], "n": (draw % 89 + 10 + occurrence).cast("string"),
+    }
+
+
+def safe_test(entry: Column, mark: Column) -> Column:
+    """Source of a test that looks for the control in the code's own source."""
+    lines = F.array_compact(
+        F.array(
+            F.concat(F.lit("def test_"), "slug", F.lit("_"), mark, F.lit("():")), F.lit("    import inspect"), F.concat(F.lit("    shown = inspect.getsource("), entry, F.lit(")")),
+            F.concat(F.lit("    assert "), "forbidden_repr", F.lit(" not in shown")), F.concat(F.lit("    assert "), "required_repr", F.lit(" in shown")),
+        )
+    )
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
 def records(indexed: DataFrame, seed: int) -> DataFrame:
     """Rows (idx, attempt) to records. All of a record follows from seed, family, occurrence and attempt."""
     spark = indexed.sparkSession
-    table = F.broadcast(plan(spark))  # 750 rows, fixed
     n = len(SPECS) * len(SHAPES)
-    rows = indexed.withColumn("plan_ord", F.pmod("idx", F.lit(n)).cast("int")).join(table, "plan_ord").withColumn("occurrence", F.expr(f"idx div {n}"))
-    draw = hash_draw(F.lit(seed), F.col("family"), F.col("occurrence"), F.col("attempt"))
-    name = F.concat("slug", F.lit("_"), F.lower(F.hex(draw % (1 << 40))))
-    bad = F.coalesce("forbidden_test_text", F.lit("unchecked"))
-    good = F.coalesce("required_test_text", F.lit("checked"))
+    rows = indexed.withColumn("plan_ord", F.pmod("idx", F.lit(n)).cast("int")).join(F.broadcast(plan(spark)), "plan_ord")  # 750 rows, fixed
+    text = specs(spark).drop("cwe", "ecosystem", "forbidden_test_text", "required_test_text", "ord")
+    rows = rows.join(F.broadcast(text), "slug").join(F.broadcast(forms(spark)), "shape").withColumn("occurrence", F.expr(f"idx div {n}"))  # 50 and 15 rows
+    key = [F.lit(seed), F.col("family"), F.col("occurrence"), F.col("attempt")]
+    rows = rows.withColumn("_draw", hash_draw(*key))
+    marks = names(F.col("_draw"), F.col("occurrence"))
     task, positive = task_of(F.col("occurrence"))
-    fixed = _code(name, F.col("shape"), good, "guard")
-    made = rows.withColumns({"task": task, "is_vulnerable": positive, "fixed_code": fixed, "vulnerable_code": F.when(positive, _code(name, F.col("shape"), bad, "handle")).otherwise(fixed)})
+    fixed = wrap(F.col("imports_after"), F.col("after"), marks)
+    rid = X.record_id(F.col("cwe"), F.lit(seed), *key[1:])
+    clean = F.concat(F.lit("Nothing to find for "), "cwe", F.lit(": the control that is needed is there."))
+    made = rows.withColumns(
+        {
+            "id": rid, "task": task, "is_vulnerable": positive, "fixed_code": fixed,
+            "vulnerable_code": F.when(positive, wrap(F.col("imports_before"), F.col("before"), marks)).otherwise(fixed),
+            "explanation": F.when(positive, F.col("risk")).otherwise(clean), "patch_summary": F.when(positive, F.col("repair")).otherwise("The code stays as it is."),
+            "safe_test": safe_test(_fill(F.col("entry"), marks), F.substring(F.substring_index(rid, "-", -1), 1, 8)),
+        }
+    )
     return made.select(
-        "idx", "attempt", X.record_id(F.col("cwe"), F.lit(seed), F.col("family"), F.col("occurrence"), F.col("attempt")).alias("id"), "family", "split", F.lit("python").alias("language"),
-        "cwe", "ecosystem", "task", "is_vulnerable", "vulnerable_code", "fixed_code", "forbidden_test_text", "required_test_text",
+        "idx", "attempt", "id", "family", "split", F.lit("python").alias("language"), "cwe", "vuln_type", "ecosystem", "task", "is_vulnerable",
+        "vulnerable_code", "fixed_code", "explanation", "patch_summary", "safe_test", "forbidden_test_text", "required_test_text",
     )
 
 
 def build(spark: SparkSession, count: int, seed: int = 42, attempts: int = 100) -> DataFrame:
-    """`count` records, no two with the same pair of token forms. A record that repeats an earlier pair is made again."""
+    """`count` records, no two with the same pair of token forms."""
     if count < len(SPECS) * len(SHAPES):
         raise ValueError("fewer records than families")
+    return build_from(spark.range(count).select(F.col("id").alias("idx")), seed, attempts)
+
+
+def build_from(indexed: DataFrame, seed: int = 42, attempts: int = 100) -> DataFrame:
+    """A record for each idx, no two with the same pair of token forms. A record that repeats an earlier pair is made again."""
     held = None
-    todo = spark.range(count).select(F.col("id").alias("idx"), F.lit(0).alias("attempt"))
+    todo = indexed.select("idx", F.lit(0).alias("attempt"))
     for attempt in range(attempts):
         made = records(todo, seed).withColumn("pair_sha256", F.sha2(F.concat_ws("\0", C.norm_code("vulnerable_code"), C.norm_code("fixed_code")), 256))
         every = made if held is None else held.unionByName(made)
         held = materialize(relational.keep_first(every, ["pair_sha256"], ["idx"]), "records")
-        lost = spark.range(count).select(F.col("id").alias("idx")).join(held, "idx", "left_anti")
+        lost = indexed.select("idx").join(held, "idx", "left_anti")
         if not lost.limit(1).count():
             return held
         todo = lost.select("idx", F.lit(attempt + 1).alias("attempt"))
@@ -143,34 +205,112 @@ def build(spark: SparkSession, count: int, seed: int = 42, attempts: int = 100)
 
 
 def features(built: DataFrame) -> DataFrame:
-    """Patch, changed lines, and digests of token and structure forms of each record."""
+    """Patch, changed lines, and digests of token and structure forms of each record. Clean records have no patch and no lines."""
     sha = lambda c: F.sha2(c, 256)
     return built.withColumns(
-        {"patch": C.make_patch("vulnerable_code", "fixed_code"), "vulnerable_lines": C.vulnerable_lines("vulnerable_code", "fixed_code"),
+        {"patch": F.when(F.col("is_vulnerable"), C.make_patch("vulnerable_code", "fixed_code")).otherwise(""),
+         "vulnerable_lines": C.vulnerable_lines("vulnerable_code", "fixed_code"),
          "vulnerable_sha256": sha(C.norm_code("vulnerable_code")), "fixed_sha256": sha(C.norm_code("fixed_code")),
          "vulnerable_structure_sha256": sha(C.struct_code("vulnerable_code")), "fixed_structure_sha256": sha(C.struct_code("fixed_code"))}
     )
 
 
-def self_check(built: DataFrame) -> DataFrame:
-    """Records that break a rule of their making: code that does not parse, controls that fail, patches that do not round-trip."""
+# Conversations ------------------------------------------------------------------------------------------------------------
+
+
+def analysis_target() -> Column:
+    """The eight fields of an analysis, as compact JSON in their order."""
+    return F.to_json(F.struct(*ANALYSIS_FIELDS), {"ignoreNullFields": "false"})
+
+
+def patch_target() -> Column:
+    return F.to_json(F.struct(finding_id().alias("finding_id"), F.col("patch_summary").alias("summary"), "patch"))
+
+
+def finding_id() -> Column:
+    return F.concat(F.lit("synthetic-"), "id")
+
+
+def template_prompt() -> Column:
+    """What is asked, by task, of a record's code."""
+    keys = ", ".join(ANALYSIS_FIELDS)
+    ask = {
+        "repo_patch": F.concat(
+            F.lit("Repair one finding in a repository. Answer with a JSON object that has the text keys finding_id, summary and patch and no other; "
+                  "the patch is the smallest unified diff from the repository's root and changes app.py only.\n\nFinding "),
+            finding_id(), F.lit(" ("), "cwe", F.lit("): "), "explanation", F.lit("\n\napp.py:\n"), "vulnerable_code",
+        ),
+        "detect": F.concat(
+            F.lit("Say whether this Python code is vulnerable and where. Code that is defended already is clean and stays as it is. "
+                  f"Answer with a JSON object that has the keys {keys} and no other.\n\nCode:\n"), "vulnerable_code",
+        ),
+    }
+    repair = F.concat(
+        F.lit(f"Find and repair the weakness of this Python code and change nothing else. Answer with a JSON object that has the keys {keys} and no other.\n\nCode:\n"), "vulnerable_code"
+    )
+    out = repair
+    for task, text in ask.items():
+        out = F.when(F.col("task") == task, text).otherwise(out)
+    return out
+
+
+def prompt_of(stored: Column) -> Column:
+    """A record's own prompt, or the template's where it has none."""
+    return F.coalesce(F.nullif(stored, F.lit("")), template_prompt())
+
+
+def converse(featured: DataFrame) -> DataFrame:
+    """featured with prompt, target and messages (system, user, assistant), by task."""
+    patching = F.col("task") == "repo_patch"
+    said = featured.withColumn("target", F.when(patching, patch_target()).otherwise(analysis_target())).withColumn("prompt", template_prompt())
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return said.withColumn("messages", F.array(turn("system", F.lit(SYSTEM)), turn("user", F.col("prompt")), turn("assistant", F.col("target"))))
+
+
+def finish(featured: DataFrame) -> DataFrame:
+    """Whole records, as they are written: conversation, what was verified, source and license."""
+    again = C.apply_patch("vulnerable_code", "patch")
+    talked = converse(featured).withColumn("_again", again)
+    spec = F.struct("forbidden_test_text", "required_test_text")
+    checks = F.struct(
+        C.py_parses("vulnerable_code").alias("vulnerable_ast_parse"), C.py_parses("fixed_code").alias("fixed_ast_parse"), C.py_parses("safe_test").alias("safe_test_ast_parse"),
+        control_passes(F.col("fixed_code"), spec).alias("security_oracle_pass"), (F.col("is_vulnerable") & F.coalesce(F.col("_again.text") == F.col("fixed_code"), F.lit(False))).alias("patch_round_trip"),
+        F.when(F.col("task") == "repo_patch", "agent-v1").otherwise("analysis-v1").alias("target_schema"),
+    )
+    return talked.withColumns({"verification": checks, "source": F.lit("generated"), "source_license": F.lit(SOURCE_LICENSE)}).drop("_again")
+
+
+RULES = ("parses", "control", "round_trip", "lines", "target", "roles")
+
+
+def self_check(finished: DataFrame) -> DataFrame:
+    """id and rule of records that break a rule of their making."""
     from quarrymill.sources.readers import violations
 
-    rows = with_spec(features(built), specs(built.sparkSession)).withColumn("again", C.apply_patch("vulnerable_code", "patch"))
-    unchanged = (F.col("patch") == "") & (F.col("vulnerable_code") == F.col("fixed_code"))
+    v = F.col("verification")
+    kinds = F.when(F.col("task") == "repo_patch", X.has_schema(F.col("target"), PATCH_FIELDS)).otherwise(X.has_schema(F.col("target"), ANALYSIS_FIELDS))
+    roles = F.transform("messages", lambda m: m["role"]) == F.array(*map(F.lit, ("system", "user", "assistant")))
     rules = {
-        "parses": ~(C.py_parses("vulnerable_code") & C.py_parses("fixed_code")), "control": ~control_passes(F.col("fixed_code"), F.col("spec")),
-        "round_trip": ~(unchanged | F.coalesce(F.col("again.text") == F.col("fixed_code"), F.lit(False))),
+        "parses": ~(v["vulnerable_ast_parse"] & v["fixed_ast_parse"] & v["safe_test_ast_parse"]), "control": ~v["security_oracle_pass"],
+        "round_trip": v["patch_round_trip"] != F.col("is_vulnerable"), "lines": (F.size("vulnerable_lines") > 0) != F.col("is_vulnerable"), "target": ~kinds, "roles": ~roles,
     }
-    return violations(rows, "id", rules)
+    return violations(finished, "id", rules)
 
 
 def gate(featured: DataFrame) -> DataFrame:
-    """One row: what splits share of families and vulnerable pairs' token forms; passed if nothing."""
-    pair = F.concat_ws(":", "vulnerable_sha256", "fixed_sha256")
-    rows = featured.select("split", "family", pair.alias("pair"))
-    shared = [relational.group_overlaps(rows, "split", v, SPLITS).agg(F.sum("shared").alias(f"shared_{v}")) for v in ("family", "pair")]
-    return shared[0].join(F.broadcast(shared[1])).withColumn("passed", (F.col("shared_family") == 0) & (F.col("shared_pair") == 0))  # one row each
+    """One row: what splits share of families, of pairs' token forms and of pairs' structures; passed if nothing."""
+    pair = lambda kind: F.concat_ws(":", f"vulnerable_{kind}", f"fixed_{kind}")
+    rows = featured.select("split", "family", pair("sha256").alias("pair"), pair("structure_sha256").alias("structure"))
+    out = None
+    for v in ("family", "pair", "structure"):
+        shared = relational.group_overlaps(rows, "split", v, SPLITS).agg(F.sum("shared").alias(f"shared_{v}"))
+        out = shared if out is None else out.join(F.broadcast(shared))  # one row each
+    return out.withColumn("passed", F.expr("shared_family + shared_pair + shared_structure = 0"))
+
+
+def hash_manifest(featured: DataFrame) -> DataFrame:
+    """Digests of each record, for a manifest in order of id."""
+    return featured.select("id", "split", "family", "vulnerable_sha256", "fixed_sha256", "vulnerable_structure_sha256", "fixed_structure_sha256")
 
 
 def statistics(built: DataFrame) -> DataFrame:
