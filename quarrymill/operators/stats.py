@@ -35,37 +35,109 @@ def quantile_floor_count(values: Column, q: float) -> Column:
     return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(q) * F.size(ordered)).cast("int")))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n // 2; null over no values."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, (F.size(ordered) / 2).cast("int"))
+def upper_median(column: str) -> Column:
+    """The element at n // 2 of a column of whole numbers; null over no values.
+
+    Twice the median less the lower of the two middle elements: both keep a count for each distinct value, not a list.
+    """
+    lower = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}`)")
+    return (2 * F.median(column) - lower).cast("long")
 
 
 # Resampling -------------------------------------------------------------------------------------------------------------
 
 
 def replicates(clusters: DataFrame, by: list[str], sums: list[str], samples: int, seed: int) -> DataFrame:
-    """replicate and resampled sums. clusters: one row per unit to draw, in the order `by`.
+    """replicate and resampled sums. clusters: one row per unit to draw (a family, of which there are few), in the order `by`.
 
     Units are aggregated before they are drawn, so the work is samples x units whatever the rows behind them. The
-    units' ordinals are drawn by hash and joined; replicates are summed where they are made.
+    units' ordinals are drawn by hash, spread over tasks, and joined; replicates are summed where they are made.
     """
     spark = clusters.sparkSession
     numbered = clusters.withColumn("_i", F.row_number().over(Window.orderBy(*by)) - 1)
-    n = numbered.agg(F.count("*").alias("_n"))
-    draws = spark.range(samples).select(F.col("id").alias("replicate")).join(F.broadcast(n))  # one row
-    draws = draws.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    drawn = draws.select("replicate", (hash_draw(F.lit(seed), F.col("replicate"), F.col("_k")) % F.col("_n")).cast("int").alias("_i"))
+    n = clusters.count()
+    draws = spark.range(samples * n).select(F.expr(f"id div {max(1, n)}").alias("replicate"), F.pmod("id", F.lit(max(1, n))).alias("_k"))
+    drawn = draws.select("replicate", (hash_draw(F.lit(seed), F.col("replicate"), F.col("_k")) % max(1, n)).cast("int").alias("_i"))
     return drawn.join(numbered, "_i").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def binary_replicates(rows: DataFrame, flag: Column, samples: int, seed: int) -> DataFrame:
-    """replicate and mean of a resampled boolean: only counts matter, so no row is drawn or joined."""
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(flag).alias("k"))
-    made = rows.sparkSession.range(samples).select(F.col("id").alias("replicate")).join(F.broadcast(counts)).where("n > 0")
-    drawn = made.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    hit = hash_draw(F.lit(seed), F.col("replicate"), F.col("_j")) % F.col("n") < F.col("k")
-    return drawn.groupBy("replicate").agg(F.avg(hit.cast("double")).alias("mean"))
+def typed_replicates(types: DataFrame, count: str, sums: list[str], samples: int, seed: int, most: int = 1000) -> DataFrame:
+    """As replicates(), of units that fall into few types: a type's units are alike, so their number is all that matters.
+
+    types: a row for each type, its number of units in `count` and a unit's values in `sums`. They are put in order of
+    these values, and a draw below a type's running count takes it: draws are not joined, and no unit is numbered.
+    """
+    rows = types.select(count, *sums).orderBy(*sums).limit(most + 1).collect()  # types, not units
+    if len(rows) > most:
+        raise ValueError(f"more than {most} types of units")
+    n = sum(r[count] for r in rows)
+    spark = types.sparkSession
+    draw = hash_draw(F.lit(seed), F.expr(f"id div {max(1, n)}"), F.pmod("id", F.lit(max(1, n)))) % max(1, n)
+    drawn = spark.range(samples * n).select(F.expr(f"id div {max(1, n)}").alias("replicate"), draw.alias("_d"))
+    ends, at = [], 0
+    for r in rows:
+        at += r[count]
+        ends.append(at)
+    pick = lambda c: _branches([(F.col("_d") < e, F.lit(r[c])) for e, r in zip(ends, rows, strict=True)])
+    return drawn.groupBy("replicate").agg(*[F.sum(pick(c)).alias(c) for c in sums])
+
+
+def _branches(cases: list[tuple[Column, Column]]) -> Column:
+    out = F.lit(None)
+    for condition, value in reversed(cases):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def binomial_draws(wanted: DataFrame, into: str) -> DataFrame:
+    """wanted (n, p, u and more) with a number of hits out of n of probability p: the least whose chance to be reached is u or more.
+
+    Chances are summed up once for each (n, p), from 12 deviations below the mean to 12 above (what lies beyond is less
+    than 1e-30), so the work grows with the root of n, not with n, and no row is drawn.
+    """
+    mean, spread = F.col("n") * F.col("p"), 12 * F.sqrt(F.col("n") * F.col("p") * (1 - F.col("p"))) + 24
+    lowest = F.greatest(F.lit(0), F.floor(mean - spread)).cast("long")
+    highest = F.least(F.col("n"), F.ceil(mean + spread)).cast("long")
+    cells = wanted.select("n", "p").distinct().withColumn("_k", F.explode(F.sequence(lowest, highest)))
+    n, k, p = F.col("n"), F.col("_k"), F.col("p")
+    times = lambda count, chance: F.when(count == 0, F.lit(0.0)).otherwise(count * F.log(chance))
+    log = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + times(k, p) + times(n - k, 1 - p)
+    chance = F.when((p <= 0) & (k > 0), F.lit(0.0)).when((p >= 1) & (k < n), F.lit(0.0)).otherwise(F.exp(log))
+    run = Window.partitionBy("n", "p").orderBy("_k")
+    table = cells.withColumn("_c", chance).withColumn("_v", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    # rounding must not leave the last chance below 1
+    table = table.withColumn("_v", F.when(k == highest, F.lit(2.0)).otherwise(F.col("_v"))).select("n", "p", "_v", "_k", F.lit(1).alias("_side"))
+    rest = [c for c in wanted.columns if c not in ("n", "p")]
+    both = table.withColumn("_w", F.lit(None).cast(wanted.select(F.struct(*rest).alias("w")).schema["w"].dataType)).unionByName(
+        wanted.select("n", "p", F.col("u").alias("_v"), F.lit(None).cast("long").alias("_k"), F.lit(0).alias("_side"), F.struct(*rest).alias("_w"))
+    )
+    # from the highest chance down: the last number passed is the least that reaches u
+    down = Window.partitionBy("n", "p").orderBy(F.desc("_v"), F.desc("_side"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn(into, F.last_value("_k", F.lit(True)).over(down)).where("_side = 0")
+    return met.select("n", "p", "_w.*", into)
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) of the hash of parts."""
+    return hash_draw(*parts).cast("double") / float(1 << 60)
+
+
+def counted_replicates(counts: DataFrame, total: str, classes: list[str], samples: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, replicate, total and resampled counts of classes, of `total` rows drawn with replacement: only counts matter.
+
+    counts: one row (one for each of a few keys) with the number of rows in all and in each class. Classes are drawn one
+    after another, each out of what the earlier ones left.
+    """
+    spark = counts.sparkSession
+    kept = counts.select(*keys, F.col(total).alias("_total"), *[F.col(c).alias(f"_all_{c}") for c in classes])
+    rows = spark.range(samples).select(F.col("id").alias("replicate")).join(F.broadcast(kept)).where("_total > 0")  # a few rows
+    rows = rows.withColumn("_rows", F.col("_total")).withColumn("_left", F.col("_total"))
+    for i, c in enumerate(classes):
+        share = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col(f"_all_{c}").cast("double"), F.col("_rows").cast("double")), F.lit(0.0)))
+        asked = rows.withColumns({"n": F.col("_left"), "p": share, "u": uniform(F.lit(seed), F.col("replicate"), F.lit(i))})
+        rows = binomial_draws(asked, c).drop("n", "p", "u")
+        rows = rows.withColumns({"_left": F.col("_left") - F.col(c), "_rows": F.col("_rows") - F.col(f"_all_{c}")})
+    return rows.select(*keys, "replicate", F.col("_total").alias(total), *classes)
 
 
 # Tests ------------------------------------------------------------------------------------------------------------------

@@ -110,7 +110,8 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str, samples: int = SAMPLES)
 
 def row_bootstrap(spark: SparkSession, sf_dir: str, samples: int = SAMPLES) -> DataFrame:
     """Rows drawn with replacement; one set of replicates under the three quantile rules."""
-    drawn = stats.binary_replicates(_marked(spark, sf_dir), F.col("final_ok"), samples, SEED)
+    counts = _marked(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if("final_ok").alias("hits"))
+    drawn = stats.counted_replicates(counts, "rows", ["hits"], samples, SEED).withColumn("mean", F.col("hits") / F.col("rows"))
     rules = {"linear": stats.quantile_linear, "floor_last": stats.quantile_floor_last, "floor_count": stats.quantile_floor_count}
     return drawn.agg(*[F.round(f(F.col("mean"), q), 9).alias(f"{name}_{side}") for name, f in rules.items() for side, q in (("low", 0.025), ("high", 0.975))])
 
@@ -118,19 +119,31 @@ def row_bootstrap(spark: SparkSession, sf_dir: str, samples: int = SAMPLES) -> D
 def paired_row_bootstrap(spark: SparkSession, sf_dir: str, samples: int = SAMPLES) -> DataFrame:
     """Mean paired difference, rows drawn: rows with equal differences are alike, so counts of -1, 0, 1 are drawn from."""
     counts = _marked(spark, sf_dir).agg(
-        F.count("*").alias("n"), F.count_if(F.col("base_ok") & ~F.col("final_ok")).alias("worse"), F.count_if(~F.col("base_ok") & F.col("final_ok")).alias("better")
+        F.count("*").alias("rows"), F.count_if(F.col("base_ok") & ~F.col("final_ok")).alias("worse"), F.count_if(~F.col("base_ok") & F.col("final_ok")).alias("better")
     )
-    made = spark.range(samples).select(F.col("id").alias("replicate")).join(F.broadcast(counts)).where("n > 0")  # one row
-    drawn = made.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = stats.hash_draw(F.lit(SEED), F.col("replicate"), F.col("j")) % F.col("n")
-    step = F.when(at < F.col("worse"), -1.0).when(at < F.col("worse") + F.col("better"), 1.0).otherwise(0.0)
-    means = drawn.groupBy("replicate").agg(F.avg(step).alias("mean"))
+    drawn = stats.counted_replicates(counts, "rows", ["worse", "better"], samples, SEED)
+    means = drawn.withColumn("mean", (F.col("better") - F.col("worse")) / F.col("rows"))
     return means.agg(F.round(stats.quantile_linear(F.col("mean"), 0.025), 9).alias("lower_95"), F.round(stats.quantile_linear(F.col("mean"), 0.975), 9).alias("upper_95"))
 
 
 _DRAW = "CAST(('0x' || substr(md5('42:' || b || ':' || j), 1, 15)) AS BIGINT)"
 
 
+def binomial_sql(wanted: str, into: str, name: str) -> str:
+    """SQL of stats.binomial_draws: tables `{into}_c` of chances and `{into}` of draws, from `wanted` (n, p, u and more)."""
+    return f"""{into}_k AS (SELECT n, p, unnest(range(greatest(0, floor(n * p - 12 * sqrt(n * p * (1 - p)) - 24))::BIGINT, least(n, ceil(n * p + 12 * sqrt(n * p * (1 - p)) + 24))::BIGINT + 1)) AS k
+    FROM (SELECT DISTINCT n, p FROM {wanted})),
+  {into}_x AS (SELECT n, p, k, CASE WHEN (p <= 0 AND k > 0) OR (p >= 1 AND k < n) THEN 0.0 ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    + CASE WHEN k = 0 THEN 0.0 ELSE k * ln(p) END + CASE WHEN n = k THEN 0.0 ELSE (n - k) * ln(1 - p) END) END AS c FROM {into}_k),
+  {into}_y AS (SELECT n, p, k, CASE WHEN k = max(k) OVER (PARTITION BY n, p) THEN 2.0 ELSE sum(c) OVER (PARTITION BY n, p ORDER BY k) END AS v FROM {into}_x),
+  {into}_c AS (SELECT n, p, v, min(k) AS k FROM {into}_y GROUP BY 1, 2, 3),
+  {into} AS (SELECT w.*, c.k AS {name} FROM {wanted} w ASOF JOIN {into}_c c ON w.n = c.n AND w.p = c.p AND w.u <= c.v)"""
+
+
+def uniform_sql(i: int) -> str:
+    return f"CAST(('0x' || substr(md5('42:' || b || ':' || {i}), 1, 15)) AS BIGINT) / CAST(1152921504606846976 AS DOUBLE)"
+
+
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table row of text for each stratum."""
     rates = per_stratum_rates(spark, sf_dir)
@@ -175,10 +188,11 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases as a repository suite's: confusion over findings, changed lines' upper median over vulnerable ones, nulls left out."""
     f = frame(spark, sf_dir).withColumn("changed", F.when(F.col("id") % 5 != 0, F.col("id") % 37))
     v = F.col("is_vulnerable")
+    f = f.withColumn("changed_vulnerable", F.when(v, F.col("changed")))
     return f.agg(
         F.count_if(v & F.coalesce("final", F.lit(False))).alias("tp"), F.count_if(~v & F.coalesce("final", F.lit(False))).alias("fp"),
         F.count_if(v & ~F.coalesce("final", F.lit(False))).alias("fn"), F.count_if(~v & ~F.coalesce("final", F.lit(False))).alias("tn"),
-        stats.upper_median(F.when(v, F.col("changed"))).alias("upper_median"), F.max("changed").alias("most"),
+        stats.upper_median("changed_vulnerable").alias("upper_median"), F.max("changed").alias("most"),
         F.round(F.median(F.when(v, F.col("changed"))), 6).alias("median"), F.count_if(F.coalesce("changed", F.lit(0)) > 30).alias("n_large"),
     )
 
@@ -242,14 +256,16 @@ SELECT stratum, {", ".join(f"round(coalesce({1 + b * b} * p * r / nullif({b * b}
   r AS (SELECT b, sum(n) AS n, sum(base) AS base, sum(final) AS final FROM d JOIN k USING (i) GROUP BY b)
 SELECT round(quantile_cont((final - base)::DOUBLE / n, 0.025), 9) AS lower_95, round(quantile_cont((final - base)::DOUBLE / n, 0.975), 9) AS upper_95 FROM r""",
         "row_bootstrap": f"""WITH {_MARKED}, t AS (SELECT count(*) AS n, count(*) FILTER (final_ok) AS k FROM marked),
-  r AS (SELECT b, avg(({_DRAW} % n < k)::INT) AS mean FROM t, range({SAMPLES}) x(b), range((SELECT n FROM t)) y(j) GROUP BY b),
+  w AS (SELECT b, n, k::DOUBLE / n AS p, {uniform_sql(0)} AS u FROM t, range({SAMPLES}) x(b)), {binomial_sql("w", "d", "hits")},
+  r AS (SELECT hits::DOUBLE / n AS mean FROM d),
   l AS (SELECT list_sort(list(mean)) AS m, quantile_cont(mean, 0.025) AS a, quantile_cont(mean, 0.975) AS z FROM r)
 SELECT round(a, 9) AS linear_low, round(z, 9) AS linear_high, round(m[1 + floor(0.025 * {SAMPLES - 1})::INT], 9) AS floor_last_low,
   round(m[1 + floor(0.975 * {SAMPLES - 1})::INT], 9) AS floor_last_high, round(m[1 + floor(0.025 * {SAMPLES})::INT], 9) AS floor_count_low,
   round(m[1 + least({SAMPLES - 1}, floor(0.975 * {SAMPLES})::INT)], 9) AS floor_count_high FROM l""",
-        "paired_row_bootstrap": f"""WITH {_MARKED}, t AS (SELECT count(*) AS n, count(*) FILTER (base_ok AND NOT final_ok) AS worse, count(*) FILTER (NOT base_ok AND final_ok) AS better FROM marked),
-  d AS (SELECT b, {_DRAW} % n AS i, worse, better FROM t, range({SAMPLES}) x(b), range((SELECT n FROM t)) y(j)),
-  r AS (SELECT b, avg(CASE WHEN i < worse THEN -1.0 WHEN i < worse + better THEN 1.0 ELSE 0.0 END::DOUBLE) AS mean FROM d GROUP BY b)
+        "paired_row_bootstrap": f"""WITH {_MARKED}, t AS (SELECT count(*) AS m, count(*) FILTER (base_ok AND NOT final_ok) AS worse, count(*) FILTER (NOT base_ok AND final_ok) AS better FROM marked),
+  w1 AS (SELECT b, m, worse AS all_worse, better, m AS n, worse::DOUBLE / m AS p, {uniform_sql(0)} AS u FROM t, range({SAMPLES}) x(b)), {binomial_sql("w1", "d1", "hits")},
+  w2 AS (SELECT b, m, hits AS worse, m - hits AS n, least(1.0, coalesce(better::DOUBLE / nullif(m - all_worse, 0), 0.0)) AS p, {uniform_sql(1)} AS u FROM d1), {binomial_sql("w2", "d2", "gains")},
+  r AS (SELECT (gains - worse)::DOUBLE / m AS mean FROM d2)
 SELECT round(quantile_cont(mean, 0.025), 9) AS lower_95, round(quantile_cont(mean, 0.975), 9) AS upper_95 FROM r""",
         "report_markdown": f"""{_STRATA} SELECT stratum, '| ' || replace(replace(coalesce(stratum, ''), '|', '\\|'), chr(10), ' ') || ' | ' || n || ' | '
   || format('{{:.4f}}', accuracy) || ' | ' || format('{{:.4f}}', recall) || ' |' AS line FROM rates""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as X
 from quarrymill.operators import metrics, relational, stats
+from quarrymill.scratch import materialize
 
 # What checks are instances of, and terms that restrict a license.
 CHECK_CWE = {
@@ -36,14 +37,14 @@ def summarize(runs: DataFrame) -> DataFrame:
     """One row for a suite's run. runs: F7's columns as they are stored."""
     v = F.col("is_vulnerable")
     part = lambda flag: metrics.rate(F.when(v, flag))
-    counted = runs.agg(
+    counted = runs.withColumn("_changed", F.when(v, F.col("patch_changed_lines"))).agg(
         F.count("*").alias("records"), F.count_if(v).alias("vulnerable"), F.count_if(~v).alias("clean"),
         F.count_if(v & F.col("expected_finding_detected")).alias("tp"), F.count_if(v & ~F.col("expected_finding_detected")).alias("fn"),
         F.count_if(~v & (F.col("initial_finding_count") > 0)).alias("fp"), F.count_if(~v & (F.coalesce("initial_finding_count", F.lit(0)) == 0)).alias("tn"),
         part(~F.col("invalid_json")).alias("strict_json_rate"), part(F.col("patch_accepted")).alias("patch_acceptance_rate"), part(F.col("repair_success")).alias("repair_rate"),
         F.count_if(v & F.col("repair_success")).alias("repaired"), F.count_if(~v & F.col("clean_preserved")).alias("preserved"),
         metrics.rate(F.when(~v, F.col("clean_preserved"))).alias("preservation_rate"), F.coalesce(F.sum(F.size("unrelated_file_rewrites")), F.lit(0)).alias("unrelated_rewrites"),
-        F.count_if(F.coalesce("bandit_delta", F.lit(0)) > 0).alias("regressions"), stats.upper_median(F.when(v, F.col("patch_changed_lines"))).alias("median_changed_lines"),
+        F.count_if(F.coalesce("bandit_delta", F.lit(0)) > 0).alias("regressions"), stats.upper_median("_changed").alias("median_changed_lines"),
         F.sum("runtime_seconds").alias("runtime_seconds"), F.max("peak_gpu_memory_bytes").alias("peak_memory_bytes"),
     )
     p, r = metrics.ratio(F.col("tp"), F.col("tp") + F.col("fp")), metrics.ratio(F.col("tp"), F.col("vulnerable"))
@@ -55,14 +56,18 @@ def summarize(runs: DataFrame) -> DataFrame:
 
 
 def compare_suites(base: DataFrame, other: DataFrame, samples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Paired vulnerable cases of two runs: rates, effect, its interval (elements at int(q (n - 1))), and the exact test."""
+    """Paired vulnerable cases of two runs: rates, effect, its interval (elements at int(q (n - 1))), and the exact test.
+
+    A case's difference is -1, 0 or 1, so cases are resampled by how many there are of each.
+    """
     relational.require_none(relational.missing_and_extra(base, other, ["id"]), "runs have different cases")
     side = lambda runs, name: runs.where("is_vulnerable").select("id", F.col("repair_success").cast("int").alias(name))
     met = side(base, "b").join(side(other, "o"), "id").withColumn("d", F.col("o") - F.col("b"))
-    drawn = stats.replicates(met.select("id", "d", F.lit(1).alias("n")), ["id"], ["d", "n"], samples, seed)
-    effect = F.col("d") / F.col("n")
-    interval = drawn.agg(stats.quantile_floor_last(effect, 0.025).alias("lower_95"), stats.quantile_floor_last(effect, 0.975).alias("upper_95"))
     sums = met.agg(F.count("*").alias("cases"), F.avg("b").alias("base_rate"), F.avg("o").alias("other_rate"), F.avg("d").alias("effect"), F.count_if(F.col("d") < 0).alias("base_only"), F.count_if(F.col("d") > 0).alias("other_only"))
+    sums = materialize(sums, "paired")
+    drawn = stats.counted_replicates(sums, "cases", ["base_only", "other_only"], samples, seed)
+    effect = (F.col("other_only") - F.col("base_only")) / F.col("cases")
+    interval = drawn.agg(stats.quantile_floor_last(effect, 0.025).alias("lower_95"), stats.quantile_floor_last(effect, 0.975).alias("upper_95"))
     tested = stats.mcnemar_log10(sums, "base_only", "other_only")
     return tested.withColumn("p", stats.mcnemar_p(F.col("log10_p"))).join(F.broadcast(interval))  # one row each
 
@@ -139,7 +144,8 @@ def prompt_bootstrap(rows: DataFrame, flag: str, samples: int = 10_000, seed: in
     """An interval for a rate, prompts drawn with replacement: elements at int(q (B - 1)) of ratios of sums."""
     totals = rows.where("status <> 'upstream_fixture_missing'").groupBy("id").agg(F.count("*").alias("n"), F.count_if(flag).alias("k"))
     ratio = F.col("k") / F.col("n")
-    drawn = stats.replicates(totals, ["id"], ["n", "k"], samples, seed)
+    # a prompt has few samples, so prompts are of few types
+    drawn = stats.typed_replicates(totals.groupBy("n", "k").agg(F.count("*").alias("prompts")), "prompts", ["n", "k"], samples, seed)
     return drawn.agg(stats.quantile_floor_last(ratio, 0.025).alias("lower_95"), stats.quantile_floor_last(ratio, 0.975).alias("upper_95"))
 
 
