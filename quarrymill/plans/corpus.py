@@ -79,29 +79,63 @@ def language_counts(spark, sf_dir):
     return R.dense_counts(_table(spark, sf_dir, "documents"), "lang", ["de", "en", "es", "fr", "it"])
 
 
-def contamination_contains(spark, sf_dir):
-    """Documents that hold a benchmark item's text. Items are few and short-listed by a bound; beyond it a shuffle by shared words would be needed.
+#: Words of a long item's key, and characters of a short one's.
+KEY_WORDS, KEY_CHARS = 5, 3
+
+
+def contains_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs (text, ...) x items (item, ...) where the text holds the item, inside words too; columns of both.
 
-    Here the benchmark is broadcast only if it has at most 10,000 items.
+    Each item has one key that every text which holds it must have as well, so that texts and items meet by an equi-join
+    and are compared after it. The first and the last word of an item may stand inside longer words, those between may
+    not: the key is the first up to KEY_WORDS of these. An item of one or two words has the first up to KEY_CHARS
+    characters of its first word, which every text has within a word; one of white space alone has its first character.
+    A text makes keys of those kinds only that items have (one kind for each number of words or characters). Null and
+    empty items are held by nothing.
     """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    words = split(F.col("item"))
+    keyed = items.where("length(item) > 0").withColumn("_w", words)
+    inner = F.least(F.lit(KEY_WORDS), F.size("_w") - 2)
+    first = F.get("_w", F.lit(0))
+    kind = F.when(F.size("_w") > 2, F.concat(F.lit("w"), inner.cast("string"))).when(F.size("_w") > 0, F.concat(F.lit("c"), F.least(F.lit(KEY_CHARS), F.length(first)).cast("string"))).otherwise("b")
+    key = F.when(F.size("_w") > 2, F.array_join(F.slice("_w", 2, inner), " ")).when(F.size("_w") > 0, F.substring(first, 1, KEY_CHARS)).otherwise(F.substring("item", 1, 1))
+    keyed = keyed.withColumn("_kind", kind).withColumn("_key", F.xxhash64("_kind", key)).drop("_w")
+    kinds = sorted(r[0] for r in keyed.select("_kind").distinct().collect())  # at most KEY_WORDS + KEY_CHARS + 1
+
+    def keys_of(name: str) -> Column:
+        if name == "b":
+            found = F.filter(F.array(*[F.lit(x) for x in " \t\n\x0b\f\r"]), lambda x: F.contains("text", x))
+            return F.transform(found, lambda x: F.xxhash64(F.lit(name), x))
+        n = int(name[1:])
+        whole = lambda many, make: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), many - n + 1)), lambda i: i <= many - n + 1), make)
+        if name[0] == "w":
+            return whole(F.size("_w"), lambda i: F.xxhash64(F.lit(name), F.array_join(F.slice("_w", i, n), " ")))
+        parts = F.transform(F.array_distinct("_w"), lambda w: whole(F.length(w), lambda i: F.xxhash64(F.lit(name), F.substr(w, i, F.lit(n)))))
+        return F.flatten(parts)
+
+    if not kinds:
+        return docs.crossJoin(items.limit(0))
+    made = docs.where("text IS NOT NULL").withColumn("_w", split(F.col("text")))
+    made = made.withColumn("_key", F.explode(F.array_distinct(F.concat(*[keys_of(k) for k in kinds])))).drop("_w")
+    return made.join(keyed.drop("_kind"), "_key").where(F.contains("text", "item")).drop("_key")
+
+
+def contamination_contains(spark, sf_dir):
+    """Documents that hold a benchmark item's text."""
     docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    items = items.where("length(item) > 0")
-    small = items.limit(10_001).count() <= 10_000
-    if small:
-        return docs.join(F.broadcast(items), F.contains("text", "item")).select("doc_id", "item_id")
-    # an item's rarest way in: its first five words must stand in the document
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    head = F.array_join(F.slice(words(F.col("item")), 1, 5), " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words(F.col("text"))) - 4)), lambda i: F.array_join(F.slice(words(F.col("text")), i, 5), " "))
-    keyed = docs.withColumn("head", F.explode(F.array_distinct(grams)))
-    return keyed.join(items.withColumn("head", head), "head").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    return contains_pairs(docs, items).select("doc_id", "item_id")
 
 
 def contamination_exact(spark, sf_dir):
-    """Documents whose normal form is a benchmark item's, by semi-join on digests."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(normal_form(F.col("text")), 256).alias("h"))
-    items = _table(spark, sf_dir, "benchmark").select(F.sha2(normal_form(F.col("text")), 256).alias("h"))
-    return docs.join(items, "h", "left_semi").select("doc_id")
+    """Benchmark items and turns of conversations whose normal form is a document's, by semi-join on digests."""
+    form = F.sha2(normal_form(F.col("text")), 256).alias("h")
+    asked = _table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").cast("string").alias("id"), form)
+    turns = _table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("id"), form)
+    # a document's own words without its first one are asked for as well, and found where they stand alone
+    rest = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), form)
+    held = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(form, "source").distinct().groupBy("h").agg(F.count("*").alias("sources")).where("sources > 1")
+    return asked.unionByName(turns).unionByName(rest).join(held.select("h"), "h", "left_semi").select("kind", "id")
 
 
 def contamination_gate(spark, sf_dir):
@@ -130,9 +164,9 @@ def completed_semi(spark, sf_dir):
 
 
 def snapshot_diff(spark, sf_dir):
-    """Users whose number of events differs between even and odd event ids, absent ones included."""
+    """Users whose number of events differs between even and odd event ids (two snapshots), absent ones included."""
     events = _table(spark, sf_dir, "events")
-    day = lambda k: events.where(f"event_id % 2 = {k} AND event_id % 5 <> {k}").groupBy("user_id").agg(F.count("*").alias("n"))
+    day = lambda k: events.where(f"event_id % 2 = {k}").groupBy("user_id").agg(F.count("*").alias("n"))
     return R.changed(day(0), day(1), "user_id", "n")
 
 
@@ -173,8 +207,10 @@ def sha_manifest(spark, sf_dir):
 
 
 def tree_digest(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return docs.groupBy("source").agg(X.tree_digest(F.col("path"), F.col("h")).alias("tree_sha256"))
+    """Trees of a thousand files each, by their source."""
+    path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    docs = _table(spark, sf_dir, "documents").select("source", F.expr("doc_id div 1000").alias("tree"), path.alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return docs.groupBy("source", "tree").agg(X.tree_digest(F.col("path"), F.col("h")).alias("tree_sha256"))
 
 
 def star_join(spark, sf_dir):
@@ -229,15 +265,17 @@ def oracle_sql() -> dict[str, str]:
   FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())""",
         "language_counts": "SELECT ord, v.lang, count(d.doc_id) AS n FROM (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr'), (4, 'it')) v(ord, lang) LEFT JOIN documents d ON d.lang = v.lang GROUP BY 1, 2",
         "contamination_contains": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0",
-        "contamination_exact": f"SELECT doc_id FROM documents WHERE sha256({_NORMAL}) IN (SELECT sha256({_NORMAL}) FROM benchmark)",
+        "contamination_exact": f"""WITH h AS (SELECT sha256({_NORMAL}) AS h FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1),
+  a AS (SELECT 'item' AS kind, item_id::VARCHAR AS id, sha256({_NORMAL}) AS h FROM benchmark UNION ALL SELECT 'turn', conv_id || '/' || turn, sha256({_NORMAL}) FROM conversations
+  UNION ALL SELECT 'document', doc_id::VARCHAR, sha256({_NORMAL}) FROM documents WHERE text IS NOT NULL) SELECT kind, id FROM a WHERE h IN (SELECT h FROM h)""",
         "contamination_gate": f"WITH {overlap}, g AS ({groups}), r AS (SELECT (SELECT CAST(sum(shared) AS BIGINT) FROM overlap) AS shared, (SELECT count(*) FROM g) AS repeated) SELECT *, shared = 0 AND repeated = 0 AS passed FROM r",
         "stratified_round_robin": """SELECT doc_id, lang, quality, turn FROM (SELECT doc_id, lang, quality, row_number() OVER (PARTITION BY lang, quality ORDER BY md5('42:' || doc_id), doc_id) AS turn
   FROM labels JOIN documents USING (doc_id)) ORDER BY turn, lang, quality LIMIT 60""",
         "seeded_order": "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100",
         "resume_pending": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "completed_semi": "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-        "snapshot_diff": """SELECT user_id, b.n AS before, a.n AS after FROM (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 AND event_id % 5 <> 0 GROUP BY 1) b
-  FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_id % 5 <> 1 GROUP BY 1) a USING (user_id) WHERE b.n IS DISTINCT FROM a.n""",
+        "snapshot_diff": """SELECT user_id, b.n AS before, a.n AS after FROM (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1) b
+  FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) a USING (user_id) WHERE b.n IS DISTINCT FROM a.n""",
         "completeness_gate": """WITH f AS (SELECT CASE WHEN doc_id % 50 = 1 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id FROM labels)
 SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f) UNION SELECT doc_id, 'extra' FROM f WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
         "positional_compare": """WITH t AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations)
@@ -246,7 +284,8 @@ WHERE a.role IS DISTINCT FROM b.role OR a.n IS DISTINCT FROM b.n""",
         "family_plan": f"WITH {plan} SELECT * FROM plan",
         "record_ids": f"WITH {plan} SELECT p_partkey, 'psp-089-' || substr(sha256('42:' || family || ':' || occurrence || ':0'), 1, 16) AS id FROM plan",
         "sha_manifest": "SELECT sha256(coalesce(text, '')) || '  ' || source || '/' || doc_id || '.txt' AS line FROM documents",
-        "tree_digest": """SELECT source, sha256(string_agg(lpad(doc_id::VARCHAR, 12, '0') || sha256(coalesce(text, '')), '' ORDER BY lpad(doc_id::VARCHAR, 12, '0'))) AS tree_sha256 FROM documents GROUP BY source""",
+        "tree_digest": """SELECT source, doc_id // 1000 AS tree, sha256(string_agg(lpad(doc_id::VARCHAR, 12, '0') || sha256(coalesce(text, '')), '' ORDER BY lpad(doc_id::VARCHAR, 12, '0'))) AS tree_sha256
+  FROM documents GROUP BY 1, 2""",
         "star_join": """SELECT r_name, o_orderpriority, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS lines,
   round(count(*) FILTER (l_returnflag = 'R') / count(*), 9) AS returned_rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import code_columns as C
 from quarrymill.functions import text as X
-from quarrymill.functions.code import BANNED_ADDITIONS
+from quarrymill.functions.code import BANNED_ADDITIONS, SECRET_NAME
 from quarrymill.operators import relational as R
 
 
+#: A secret's name with a value after it.
+SECRET_ASSIGNED = "(?i)" + SECRET_NAME.pattern.removesuffix("$") + r"\s*[:=]"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,18 +74,17 @@ def cwe_ids(spark, sf_dir):
 
 
 def fence_extract(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 7 = 0")
-    t = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "`", ""), 1, 200)
+    docs = _table(spark, sf_dir, "documents")
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "`", "")
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```python\n"), t, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("code: "), t))
     return docs.select("doc_id", F.sha2(X.fenced_code(raw), 256).alias("code_sha256"))
 
 
 def pattern_scan(spark, sf_dir):
     """Secret-like assignments and banned calls in documents and pages."""
-    secret = r"(?i)(?:password|passwd|pwd|secret|api_?key|access_?key|auth_?token|private_?key)\s*[:=]"
     d = _table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     p = _table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return d.unionByName(p).select("kind", "id", F.coalesce(F.col("text").rlike(secret), F.lit(False)).alias("secret"), F.coalesce(F.col("text").rlike("|".join(BANNED_ADDITIONS)), F.lit(False)).alias("banned"))
+    return d.unionByName(p).select("kind", "id", F.coalesce(F.col("text").rlike(SECRET_ASSIGNED), F.lit(False)).alias("secret"), F.coalesce(F.col("text").rlike("|".join(BANNED_ADDITIONS)), F.lit(False)).alias("banned"))
 
 
 def context_lines(spark, sf_dir):
@@ -100,8 +103,8 @@ def finding_rank(spark, sf_dir):
 def suffix_join(spark, sf_dir):
     """Pages' paths met with the first path that they end with."""
     pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("uri"))
-    nation = _table(spark, sf_dir, "part").where("p_partkey <= 999").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_partkey").alias("ord"))
-    return R.suffix_match(pages, "uri", nation, "path", "ord").select("page_id", "path")
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_partkey").alias("ord"))
+    return R.suffix_match(pages, "uri", parts, "path", "ord").select("page_id", "path")
 
 
 def predict_map(spark, sf_dir):
@@ -163,7 +166,7 @@ def structural_code(spark, sf_dir):
 
 def patch_round_trip(spark, sf_dir):
     """Documents' patches to changed copies: they apply, give the copy, and touch the lines that changed."""
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 5 = 0 AND text IS NOT NULL").select("doc_id", F.concat(F.regexp_replace("text", r"[\r\x0b\x0c\x1c-\x1e\x85  ]", " "), F.lit("\n")).alias("a"))
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.regexp_replace("text", r"[\r\x0b\x0c\x1c-\x1e\x85  ]", " "), F.lit("\n")).alias("a"))
     docs = docs.withColumn("b", F.concat(F.lit("first line\n"), F.col("a"))).withColumn("patch", C.make_patch("a", "b"))
     done = docs.withColumn("r", C.apply_patch("a", "patch"))
     return done.select("doc_id", F.col("r.ok").alias("ok"), (F.col("r.text") == F.col("b")).alias("same"), C.changed_lines("a", "b").alias("changed"), F.array_join(C.vulnerable_lines("a", "b"), ",").alias("lines"), F.size(X.patch_changes(F.col("patch"))).cast("long").alias("patch_lines"))
@@ -185,7 +188,6 @@ def oracle_sql() -> dict[str, str]:
   coalesce(array_to_string(list_sort(list_filter(['license', 'copyright', 'all rights reserved', 'non-commercial', 'research only'], lambda x: contains(low, x))), ','), '') AS terms
   FROM (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents)"""
     banned = "|".join(BANNED_ADDITIONS)
-    secret = r"(?i)(?:password|passwd|pwd|secret|api_?key|access_?key|auth_?token|private_?key)\s*[:=]"
     found = """k AS (SELECT p_partkey, p_partkey % 10 AS k FROM part), f AS (SELECT * FROM (VALUES (0, 'os-system', 'HIGH', 3), (1, 'subprocess-shell-true', 'HIGH', 2), (2, 'unsafe-pickle-load', 'HIGH', 2),
   (4, 'unsafe-yaml-load', 'HIGH', 2), (5, 'hardcoded-secret', 'HIGH', 1), (6, 'sql-string-format', 'HIGH', 3), (9, 'path-traversal-open', 'MEDIUM', 1), (9, 'dynamic-execution', 'HIGH', 2)) t(k, "check", severity, line))
   SELECT p_partkey, "check", severity, line FROM k JOIN f USING (k)"""
@@ -205,21 +207,21 @@ SELECT ord, v.status, count(s.status) AS n FROM (VALUES (0, 'train_allowed'), (1
   regexp_matches(url, '^https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(?:\.git)?/?$') AS is_repository FROM pages""",
         "cwe_ids": r"""SELECT p_partkey, 'CWE-' || lpad(p_size::VARCHAR, 3, '0') AS cwe, nullif(regexp_extract(id, '^[^_]*_[^_]*_(.+\.py)$', 1), '') AS file, regexp_replace(id, '\s+', '', 'g') AS bare
   FROM (SELECT *, 'x_' || replace(p_name, ' ', '_') || '_cwe' || p_size || '.py' AS id FROM part)""",
-        "fence_extract": r"SELECT doc_id, sha256(trim(substr(replace(coalesce(text, ''), '`', ''), 1, 200), chr(32) || chr(9) || chr(10) || chr(13))) AS code_sha256 FROM documents WHERE doc_id % 7 = 0",
-        "pattern_scan": f"""SELECT 'document' AS kind, doc_id AS id, coalesce(regexp_matches(text, '{secret}'), false) AS secret, coalesce(regexp_matches(text, '{banned}'), false) AS banned FROM documents
-  UNION ALL SELECT 'page', page_id, coalesce(regexp_matches(html, '{secret}'), false), coalesce(regexp_matches(html, '{banned}'), false) FROM pages""",
+        "fence_extract": "SELECT doc_id, sha256(trim(replace(coalesce(text, ''), '`', ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS code_sha256 FROM documents",
+        "pattern_scan": f"""SELECT 'document' AS kind, doc_id AS id, coalesce(regexp_matches(text, '{SECRET_ASSIGNED}'), false) AS secret, coalesce(regexp_matches(text, '{banned}'), false) AS banned FROM documents
+  UNION ALL SELECT 'page', page_id, coalesce(regexp_matches(html, '{SECRET_ASSIGNED}'), false), coalesce(regexp_matches(html, '{banned}'), false) FROM pages""",
         "context_lines": r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), a AS (SELECT *, doc_id % len(l) + 1 AS n FROM l)
 SELECT doc_id, md5(array_to_string(list_transform(range(greatest(1, n - 2), least(len(l), n + 2) + 1), lambda i: lpad(i::VARCHAR, 5, ' ') || ': ' || l[i]), chr(10))) AS context_md5, right(text, 40) AS tail FROM a""",
         "finding_rank": r"""WITH f AS (SELECT lpad(doc_id::VARCHAR, 10, '0') AS file, regexp_extract_all(text, '[0-9]+') AS n FROM documents WHERE text IS NOT NULL),
   u AS (SELECT file, unnest(range(len(n))) AS place, unnest(n) AS number FROM f)
 SELECT file, place, number, 'AST-' || CASE WHEN row_number() OVER (ORDER BY file, place) < 10000 THEN lpad((row_number() OVER (ORDER BY file, place))::VARCHAR, 4, '0') ELSE (row_number() OVER (ORDER BY file, place))::VARCHAR END AS id FROM u""",
         "suffix_join": r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS uri FROM pages), m AS (SELECT page_id, p_partkey::VARCHAR AS path, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) AS r
-  FROM p JOIN part ON p_partkey <= 999 AND (uri = p_partkey::VARCHAR OR ends_with(uri, '/' || p_partkey)))
+  FROM p JOIN part ON uri = p_partkey::VARCHAR OR ends_with(uri, '/' || p_partkey))
 SELECT p.page_id, m.path FROM p LEFT JOIN m ON m.page_id = p.page_id AND r = 1""",
         "predict_map": "SELECT doc_id AS id, length(trim(coalesce(text, ''))) = 0 AS invalid_json, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN NULL WHEN length(coalesce(text, '')) < 40 THEN 'short' ELSE 'long' END AS label FROM documents",
         "stream_resume": "SELECT user_id, count(*) AS n, round(sum(value), 6) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1",
         "scan_findings": f"WITH {found}",
         "scan_findings_sql": f"WITH {found}",
         "structural_code": "SELECT p_partkey % 10 AS k, count(*) AS n, p_partkey % 10 <> 8 AS parses, CASE WHEN p_partkey % 10 = 8 THEN 0 ELSE 1 END AS token_forms, CASE WHEN p_partkey % 10 = 8 THEN 0 ELSE 1 END AS structures FROM part GROUP BY p_partkey % 10",
-        "patch_round_trip": "SELECT doc_id, true AS ok, true AS same, 1 AS changed, '1' AS lines, 1 AS patch_lines FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL",
+        "patch_round_trip": "SELECT doc_id, true AS ok, true AS same, 1 AS changed, '1' AS lines, 1 AS patch_lines FROM documents WHERE text IS NOT NULL",
     }
