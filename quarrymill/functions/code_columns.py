@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,12 @@ def extract_code(raw: pa.Array, prompt: pa.Array) -> pa.Array:
     return _each(lambda a, b: vars(code.extract_code(a, b)), _PATCHED)(raw, prompt)
 
 
+@F.arrow_udf(T.StringType())
+def canonical_json(source: pa.Array) -> pa.Array:
+    """JSON with keys in order at all levels, no blanks, ASCII only; null for what is no JSON."""
+    return _each(code.canonical_json, pa.string())(source)
+
+
 @F.arrow_udf(T.ArrayType(_ROW))
 def code_findings(source: pa.Array) -> pa.Array:
     """Null where the source does not parse."""
@@ -74,7 +80,7 @@ def code_findings(source: pa.Array) -> pa.Array:
 FUNCTIONS = {
     "py_parses": py_parses, "norm_code": norm_code, "struct_code": struct_code, "changed_lines": changed_lines,
     "vulnerable_lines": vulnerable_lines, "make_patch": make_patch, "apply_patch": apply_patch,
-    "extract_code": extract_code, "code_findings": code_findings,
+    "extract_code": extract_code, "code_findings": code_findings, "canonical_json": canonical_json,
 }
 
 
@@ -100,6 +106,30 @@ def finding_counts(source: pa.Array) -> pa.Array:
     return pa.array([list(code.finding_counts(x).items()) for x in source.to_pylist()], pa.map_(pa.string(), pa.int64()))
 
 
+def tree_digest_raw(files: DataFrame, by: str) -> DataFrame:
+    """by and tree_sha256: of a tree's files (path, content as binary) in order of path: path, a zero byte, content.
+
+    A tree is one task's; its files are hashed one after another.
+    """
+    import hashlib
+
+    def run(table: pa.Table) -> pa.Table:
+        digest = hashlib.sha256()
+        for path, content in sorted(zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True)):
+            digest.update(path.encode() + b"\0" + (content or b""))
+        return pa.Table.from_arrays([table.column(by).slice(0, 1), pa.array([digest.hexdigest()])], [by, "tree_sha256"])
+
+    kind = files.schema[by].dataType.simpleString()
+    return files.select(by, "path", F.col("content").cast("binary").alias("content")).groupBy(by).applyInArrow(run, f"{by} {kind}, tree_sha256 string")
+
+
+def tree_digest_json(files: DataFrame, by: str) -> DataFrame:
+    """by and tree_sha256: of a tree's JSON files (path, content) in order of path: path, content in canonical form."""
+    from quarrymill.functions.text import tree_digest
+
+    return files.withColumn("_c", canonical_json("content")).groupBy(by).agg(tree_digest(F.col("path"), F.col("_c")).alias("tree_sha256"))
+
+
 def no_more_findings(before: Column, after: Column) -> Column:
     """No check has more findings after than before; true if there is none after."""
     more = F.map_zip_with(before, after, lambda _, b, a: F.coalesce(a, F.lit(0)) > F.coalesce(b, F.lit(0)))
@@ -122,13 +152,7 @@ def number_rows(rows: DataFrame, order: list[str], pattern: str, into: str = "id
     """Rows with ids 1, 2, ... in a total order, without one task seeing all rows."""
     sorted_ = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     sorted_ = materialize(sorted_, "numbered")  # sizes and numbers must be of one run
-    sizes = sorted_.groupBy("_part").count().orderBy("_part").collect()  # a row for each partition
-    starts, before = [], 0
-    for r in sizes:
-        starts += [F.lit(r["_part"]), F.lit(before)]
-        before += r["count"]
-    if not starts:
-        return rows.withColumn(into, F.lit(None).cast("string"))
-    base = F.element_at(F.create_map(*starts), F.col("_part"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sorted_.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))  # a row for each partition
     at = F.col("_at").bitwiseAND((1 << 33) - 1)
-    return sorted_.withColumn(into, F.format_string(pattern, base + at + 1)).drop("_part", "_at")
+    return sorted_.join(F.broadcast(starts), "_part").withColumn(into, F.format_string(pattern, F.col("_start") + at + 1)).drop("_part", "_at", "_start")
