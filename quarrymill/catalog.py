@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.plans import corpus, evaluation, labs, texts
+from quarrymill.plans import corpus, evaluation, flows, labs, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (evaluation, corpus, texts, labs)
+_MODULES = (evaluation, corpus, texts, labs, flows)
 
 
 def queries() -> dict[str, Query]:

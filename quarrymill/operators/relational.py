@@ -123,6 +123,42 @@ def unpack_samples(rows: DataFrame, array: str, position: str = "sample_index")
     return rows.select("*", F.posexplode(array).alias(position, "sample")).drop(array)
 
 
+def in_order(rows: DataFrame, records: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each record that has one, in the records' order."""
+    return records.select(key, F.col(order).alias("_order")).join(rows, key).orderBy("_order").drop("_order")
+
+
+def shard(records: DataFrame, index: str, count: int, k: int) -> DataFrame:
+    """The records of shard k of `count`: those whose index leaves the rest k."""
+    if not 0 <= k < count:
+        raise ValueError("a shard's number lies below the number of shards")
+    return records.where(F.pmod(F.col(index), F.lit(count)) == k)
+
+
+def shard_progress(records: DataFrame, done: DataFrame, key: str, index: str, count: int) -> DataFrame:
+    """shard, expected and done rows of all shards, empty ones included."""
+    number = F.pmod(F.col(index), F.lit(count)).cast("int").alias("shard")
+    marked = records.select(key, number).join(done.select(key).distinct().withColumn("_done", F.lit(1)), key, "left")
+    sums = marked.groupBy("shard").agg(F.count("*").alias("expected"), F.count("_done").alias("done"))
+    every = records.sparkSession.range(count).select(F.col("id").cast("int").alias("shard"))
+    return every.join(sums, "shard", "left").select("shard", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("done", F.lit(0)).alias("done"))
+
+
+def inventory(files: DataFrame, by: list[str]) -> DataFrame:
+    """Files, Python files and lines of each group of files (path, content); unreadable content has no lines."""
+    lines = F.regexp_count(F.col("content"), F.lit("\n")) + F.when(F.col("content").rlike(r"[^\n]\z"), 1).otherwise(0)
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.count_if(F.col("path").endswith(".py")).alias("python_files"), F.coalesce(F.sum(lines), F.lit(0)).alias("lines"))
+
+
+def first_allowed(audited: DataFrame, wanted: list[str]) -> str:
+    """The first of the wanted models that an audit (model_id, train_allowed) allows; an error if it allows none."""
+    order = audited.sparkSession.createDataFrame([(i, w) for i, w in enumerate(wanted)], "_order int, model_id string")
+    found = order.join(audited.where("train_allowed"), "model_id").orderBy("_order").limit(1).collect()
+    if not found:
+        raise ValueError(f"none of {wanted} is allowed for training")
+    return found[0].model_id
+
+
 def pack_samples(rows: DataFrame, keys: list[str], order: str, columns: list[str], into: str = "output") -> DataFrame:
     entry = F.struct(order, *columns)
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(into))

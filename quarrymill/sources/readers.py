@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.code import SKIP_DIRS
 from quarrymill.functions.text import license_id
+from quarrymill.scratch import materialize
 
 RECORD_DDL = (
     "id STRING, family STRING, split STRING, language STRING, cwe STRING, vuln_type STRING, is_vulnerable BOOLEAN, vulnerable_code STRING, "
@@ -38,6 +39,51 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def strict_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Every line must parse, blank ones too, which none can."""
+    lines = spark.read.text(path)
+    text = F.when(F.trim("value") == "", F.raise_error(F.lit("a blank line is no JSON")).cast("string")).otherwise(F.col("value"))
+    return lines.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of each line of text files, blank ones included.
+
+    A file is read in splits; a line's number is its place in its split after the numbers of lines of earlier ones.
+    """
+    meta = F.col("_metadata")
+    read = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    read = materialize(read, "lines")  # places and counts must be of one run
+    sizes = read.groupBy("file", "_start").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each split
+    place = F.row_number().over(Window.partitionBy("file", "_start").orderBy("_at"))
+    return read.withColumn("_place", place).join(F.broadcast(starts), ["file", "_start"]).select("file", (F.col("_before") + F.col("_place")).alias("line"), "value")
+
+
+def read_split(spark: SparkSession, path: str, split: str, tasks: tuple[str, ...] = ("detect", "repair", "repo_patch")) -> DataFrame:
+    """A split's records of the given tasks. Any record that breaks a rule, of whatever task, is an error with its line; so is an empty split."""
+    lines = numbered_lines(spark, path).withColumn("r", F.from_json("value", RECORD_DDL))
+    whole = F.try_parse_json("value").isNotNull()
+    rows = lines.where(whole).select("line", "r.*")
+    broken = lines.where(~whole).select("line", F.lit("json").alias("rule")).unionByName(split_violations(rows, split, "line"))
+    first = broken.orderBy("line", "rule").limit(1).collect()
+    if first:
+        raise ValueError(f"{path}:{first[0].line}: {first[0].rule}")
+    kept = rows.drop("line")
+    if not kept.limit(1).count():
+        raise ValueError(f"{path}: no records")
+    return kept.where(F.col("task").isin(*tasks))
+
+
+def patch_split(spark: SparkSession, path: str, split: str, most: int = 0, seed: int = 42) -> DataFrame:
+    """A split's repository patches; at most so many if a number is given, one of each weakness in turn."""
+    from quarrymill.operators.relational import stratified_round_robin
+
+    rows = read_split(spark, path, split, ("repo_patch",))
+    return stratified_round_robin(rows, ["cwe"], F.col("id"), most, seed).select(*rows.columns)
+
+
 def json_lines_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As json_lines, and no rows where there is no file."""
     return json_lines(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
@@ -108,19 +154,31 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     return rows.select(key, F.explode(broken).alias("rule"))
 
 
-def split_violations(records: DataFrame, split: str) -> DataFrame:
+#: The target's keys by kind of task.
+TARGET_KEYS = {
+    "agent": ("finding_id", "patch", "summary"),
+    "analysis": ("cwe", "explanation", "fixed_code", "is_vulnerable", "patch_summary", "safe_test", "vuln_type", "vulnerable_lines"),
+}
+
+
+def split_violations(records: DataFrame, split: str, key: str = "id") -> DataFrame:
+    """key and rule of each rule of a training split that a record breaks."""
     roles = F.transform("messages", lambda m: m["role"]) == F.array(*map(F.lit, ("system", "user", "assistant")))
     answer = F.try_parse_json(F.get("messages", F.lit(2))["content"]).cast("string") == F.try_parse_json("target").cast("string")
+    keys = lambda kind: F.array(*map(F.lit, TARGET_KEYS[kind]))
+    wanted = F.when(F.col("task") == "repo_patch", keys("agent")).otherwise(keys("analysis"))
     return violations(
-        records, "id",
-        {"split": F.col("split") != split, "task": ~F.col("task").isin("detect", "repair", "repo_patch"), "roles": ~roles, "answer": ~answer,
-         "provenance": F.col("source").isNull() | (F.trim("source") == ""), "license": F.col("source_license").isNull() | (F.trim("source_license") == "")},
+        records, key,
+        {"split": F.col("split") != split, "language": F.col("language") != "python", "provenance": F.col("source") != "generated", "license": F.col("source_license") != "Apache-2.0",
+         "task": ~F.col("task").isin("detect", "repair", "repo_patch"), "roles": ~roles, "target": F.array_sort(F.json_object_keys("target")) != wanted, "answer": ~answer},
     )
 
 
 def suite_violations(cases: DataFrame, languages: tuple[str, ...], licenses: tuple[str, ...]) -> DataFrame:
     """Broken rules of cases: repeated ids, languages and licenses that are not allowed, pairs that are not one of each kind."""
-    rows = violations(cases, "id", {"language": ~F.col("language").isin(*languages), "license": ~F.col("source_license").isin(*licenses)})
+    needed = [c for c in ("pair_id", "family", "framework", "cwe", "expected_check", "is_vulnerable", "target_file", "files") if c in cases.columns]
+    whole = {f"no {c}": F.col(c).isNull() for c in needed}
+    rows = violations(cases, "id", whole | {"language": ~F.col("language").isin(*languages), "license": ~F.col("source_license").isin(*licenses)})
     repeated = cases.groupBy("id").count().where("count > 1").select("id", F.lit("repeated").alias("rule"))
     pairs = cases.groupBy("pair_id").agg(F.sort_array(F.collect_list("is_vulnerable")).alias("kinds"))
     uneven = pairs.where(~F.col("kinds").eqNullSafe(F.array(F.lit(False), F.lit(True)))).select(F.col("pair_id").alias("id"), F.lit("pair").alias("rule"))

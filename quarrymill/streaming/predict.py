@@ -10,7 +10,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SCHEMA = "id long, prompt string, invalid_json boolean, output string, raw_output string, error string, latency_seconds double, batch_latency_seconds double, batch_size int"
+SCHEMA = "prompt string, invalid_json boolean, output string, raw_output string, error string, latency_seconds double, batch_latency_seconds double, batch_size int"
 
 
 class Predictor(Protocol):
@@ -29,6 +29,17 @@ class RulePredictor:
         return [json.dumps({"label": "short" if len(p) < self.short else "long"}) if p.strip(" ") else "?" for p in prompts]
 
 
+class KeepPredictor:
+    """Calls all code clean and gives it back as it is: what an answer scores that changes nothing."""
+
+    def infer_batch(self, prompts: list[str]) -> list[str]:
+        texts = ("cwe", "vuln_type", "explanation", "patch_summary")
+        return [
+            json.dumps({"is_vulnerable": False, **dict.fromkeys(texts, "none"), "vulnerable_lines": [], "fixed_code": p.partition("Code:\n")[2], "safe_test": "assert True\n"})
+            for p in prompts
+        ]
+
+
 def parse_answer(raw: str) -> tuple[str | None, str | None]:
     """A JSON object as text, or why there is none."""
     try:
@@ -45,7 +56,7 @@ def predictions(records: DataFrame, predictor: Predictor, batch_size: int = 64)
         for whole in batches:
             for k in range(0, whole.num_rows, batch_size):
                 part = whole.slice(k, batch_size)
-                ids, prompts = part.column("id").to_pylist(), part.column("prompt").to_pylist()
+                prompts = part.column("prompt").to_pylist()
                 began = time.monotonic()
                 try:
                     raw: list[tuple[str | None, str | None]] = [(x, None) for x in predictor.infer_batch(prompts)]
@@ -60,13 +71,14 @@ def predictions(records: DataFrame, predictor: Predictor, batch_size: int = 64)
                             raw.append((None, f"{type(e).__name__}: {e}"))
                 took = time.monotonic() - began
                 parsed = [parse_answer(r) if r is not None else (None, e) for r, e in raw]
-                n = len(ids)
+                n = len(prompts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()), pa.array(prompts, pa.string()), pa.array([o is None for o, _ in parsed], pa.bool_()), pa.array([o for o, _ in parsed], pa.string()),
+                        part.column("id"), pa.array(prompts, pa.string()), pa.array([o is None for o, _ in parsed], pa.bool_()), pa.array([o for o, _ in parsed], pa.string()),
                         pa.array([r for r, _ in raw], pa.string()), pa.array([e for _, e in parsed], pa.string()), pa.array([took / n] * n, pa.float64()), pa.array([took] * n, pa.float64()), pa.array([n] * n, pa.int32()),
                     ],
-                    [x.split()[0] for x in SCHEMA.split(", ")],
+                    ["id", *[x.split()[0] for x in SCHEMA.split(", ")]],
                 )
 
-    return records.select("id", "prompt").mapInArrow(run, SCHEMA)
+    kind = records.schema["id"].dataType.simpleString()
+    return records.select("id", "prompt").mapInArrow(run, f"id {kind}, {SCHEMA}")

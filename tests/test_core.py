@@ -55,9 +55,9 @@ def test_interval_and_sampling_figures(spark):
 
 def test_quantiles_and_medians_differ(spark):
     rows = spark.createDataFrame([(float(x),) for x in (1, 2, 10, 11)], "x double")
-    got = rows.agg(stats.quantile_linear(F.col("x"), 0.95), stats.quantile_floor_last(F.col("x"), 0.95), stats.quantile_floor_count(F.col("x"), 0.95), stats.upper_median(F.col("x")), F.median("x")).first()
+    got = rows.agg(stats.quantile_linear(F.col("x"), 0.95), stats.quantile_floor_last(F.col("x"), 0.95), stats.quantile_floor_count(F.col("x"), 0.95), stats.upper_median("x"), F.median("x")).first()
     assert tuple(got) == pytest.approx((10.85, 10, 11, 10, 6))
-    assert rows.where("x < 0").agg(stats.upper_median(F.col("x"))).first()[0] is None
+    assert rows.where("x < 0").agg(stats.upper_median("x")).first()[0] is None
 
 
 def test_holm_runs_up(spark):
@@ -203,12 +203,12 @@ def test_round_robin_takes_strata_in_turn(spark):
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    return builder.features(builder.build(spark, 760, 7)).cache()
+    return builder.finish(builder.features(builder.build(spark, 760, 7))).cache()
 
 
 def test_corpus_is_sound_and_apart(spark, corpus):
     assert corpus.count() == 760 and corpus.select("id").distinct().count() == 760
-    assert builder.self_check(corpus.select("id", "family", "vulnerable_code", "fixed_code")).count() == 0
+    assert builder.self_check(corpus).count() == 0
     gate = builder.gate(corpus).first()
     assert gate.passed and corpus.select("family").distinct().count() == 750
     again = builder.build(spark, 760, 7)
@@ -220,7 +220,8 @@ def test_corpus_is_sound_and_apart(spark, corpus):
 
 
 def test_oracle_answers_score_one(spark, corpus):
-    refs = corpus.withColumn("safe_test", F.lit("assert True")).limit(60).cache()
+    refs = corpus.limit(60).cache()
+
     def answer(code):
         return F.to_json(F.struct("is_vulnerable", "cwe", F.lit("t").alias("vuln_type"), "vulnerable_lines", F.lit("e").alias("explanation"), code.alias("fixed_code"), F.lit("s").alias("patch_summary"), "safe_test"))
 
@@ -243,7 +244,7 @@ def test_oracle_answers_score_one(spark, corpus):
 def test_patch_answers(spark, corpus):
     refs = corpus.limit(4).withColumn("finding_id", F.lit("F1"))
     r = F.row_number().over(__import__("pyspark").sql.Window.orderBy("id"))
-    patch = F.when(r == 2, F.replace("patch", F.lit("a/app.py"), F.lit("a/b.py"))).when(r == 3, F.replace("patch", F.lit("note"), F.lit("nope"))).otherwise(F.col("patch"))
+    patch = F.when(r == 2, F.replace("patch", F.lit("a/app.py"), F.lit("a/b.py"))).when(r == 3, F.regexp_replace("patch", "\n-", "\n-nope ")).otherwise(F.col("patch"))
     said = refs.select("id", F.lit(False).alias("invalid_json"), F.to_json(F.struct("finding_id", F.when(r == 4, " ").otherwise("s").alias("summary"), patch.alias("patch"))).alias("output"))
     got = [x.scores for x in scoring.score_patch(said, refs, builder.specs(spark)).orderBy("id").collect()]
     assert all(v for k, v in got[0].asDict().items()), got[0]
@@ -367,7 +368,7 @@ def test_suite_rules(spark):
     ddl = "id string, pair_id string, language string, is_vulnerable boolean, source_license string"
     rows = [("1", "p", "python", True, "MIT"), ("2", "p", "python", False, "MIT"), ("3", "q", "python", True, "MIT"), ("4", "q", "python", True, "GPL"), ("1", "r", "ruby", None, "MIT")]
     got = readers.suite_violations(spark.createDataFrame(rows, ddl), ("python",), ("MIT",))
-    assert {tuple(r) for r in got.collect()} == {("4", "license"), ("1", "language"), ("1", "repeated"), ("q", "pair"), ("r", "pair")}
+    assert {tuple(r) for r in got.collect()} == {("4", "license"), ("1", "language"), ("1", "no is_vulnerable"), ("1", "repeated"), ("q", "pair"), ("r", "pair")}
 
 
 class FailsOn:
