@@ -50,7 +50,7 @@ HOT_CUSTOMERS = 200_000
 #: Tokens held by a task before it sorts and sends them.
 HELD = 700_000
 #: Tokens of a bucket.
-BUCKET_TOKENS = 1_500_000
+BUCKET_TOKENS = 600_000
 #: Discount and strength of contexts and root.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0, 0.6, 1.0
 #: Rounds of contexts and root, sweeps over a restaurant in each, and last rounds that are averaged.
@@ -461,8 +461,10 @@ def _seat(words: _Words, sizes: _Sizes, buckets: int, n_hot: int):
         also = np.maximum.reduceat(also[order], at)
         u, w, pair = u[order][at], w[order][at], pair[at]
         once = np.sort(pair[(c == 1) & also])
+        del also, at
         order = np.argsort(u, kind="stable")
         u, w, pair, c = u[order], w[order], pair[order], c[order]
+        del order
         at, n = runs(u)
         of = np.repeat(np.arange(len(at)), n)
         named, word_of = np.unique(w, return_inverse=True)
@@ -787,10 +789,15 @@ def _score_bucket(model):
             cu[hot] = m.counts[hot_u]
             for s, k in enumerate(SAMPLED):
                 tu[s][hot] = m.context_tables[k][hot_u]
-            root = [m.root_of_words(w, x, k) for x, k in zip(answered, SAMPLED, strict=True)]
             rare = w >= _RARE
+            common = w[~rare].astype(np.int64)
             at, there = _find(word, w[rare])
             cw = np.where(there, word_c[at], 0).astype(np.int64) if len(word) else np.zeros(len(at), np.int64)
+            root = [np.empty(len(w)) for _ in SAMPLED]
+            for r, known_root, k in zip(root, answered, SAMPLED, strict=True):  # owners answer for the same words in all rounds
+                unknown = m.root_of(np.zeros(1), np.zeros(1), k)[0]
+                r[~rare] = m.root[k][common]
+                r[rare] = np.where(there, known_root[2][at], unknown) if len(word) else unknown
             known, base = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
             known[rare], base[rare] = cw > 0, m.base(cw)
             rows.append(_sums(doc, [known, base, m.log(c, t, cu, tu, root)], int(part[0])))
