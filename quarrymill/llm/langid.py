@@ -80,11 +80,11 @@ def _grams(letters: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         code = np.full(len(part[0]), np.uint64(k) << tag)
         for i, x in enumerate(part):
             code |= x << np.uint64(16 * (k - 1 - i))
-        if far:
-            wide = np.full(len(code), (np.uint64(1) << np.uint64(63)) | (_NONE << np.uint64(42) if k == 2 else np.uint64(0)))
+        if far and len(where := np.flatnonzero(np.logical_or.reduce([x > 0xFFFF for x in part]))):
+            wide = np.full(len(where), (np.uint64(1) << np.uint64(63)) | (_NONE << np.uint64(42) if k == 2 else np.uint64(0)))
             for i, x in enumerate(part):
-                wide |= x << np.uint64(21 * (k - 1 - i))
-            code = np.where(np.max(part, axis=0) > 0xFFFF, wide, code)
+                wide |= x[where] << np.uint64(21 * (k - 1 - i))
+            code[where] = wide
         codes.append(code)
     # the letter, not the gap before it, tells the text
     texts = [of[one], np.where(some[two], of[two], of[np.minimum(two + 1, len(of) - 1)]), of[three + 1]]
@@ -96,15 +96,23 @@ def _counts(data: np.ndarray, offsets: np.ndarray, key: np.ndarray | None = None
     letters, of = _codes(data, offsets)
     grams, texts = _grams(letters, of)
     owner = texts if key is None else key[texts]
-    if len(grams) and grams.max() >> np.uint64(50):  # letters beyond the basic plane
-        order = np.lexsort((grams, owner))
-        owner, grams = owner[order], grams[order]
-        at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])))
-        return owner[at].astype(np.int64), grams[at], np.diff(np.append(at, len(grams)))
+    far = np.flatnonzero(grams >> np.uint64(50)) if len(grams) and grams.max() >> np.uint64(50) else None
+    if far is not None:  # the few with letters beyond the basic plane are counted apart
+        apart = np.lexsort((grams[far], owner[far]))
+        far_owner, far_grams = owner[far][apart], grams[far][apart]
+        at = np.flatnonzero(np.append(True, (far_owner[1:] != far_owner[:-1]) | (far_grams[1:] != far_grams[:-1])))
+        rest = np.delete(np.arange(len(grams)), far)
+        owner, grams, far_n = owner[rest], grams[rest], np.diff(np.append(at, len(far_grams)))
+        far_owner, far_grams = far_owner[at], far_grams[at]
     packed = np.sort(owner.astype(np.uint64) << np.uint64(50) | grams)
     at, n = runs(packed)
     packed = packed[at]
-    return (packed >> np.uint64(50)).astype(np.int64), packed & np.uint64((1 << 50) - 1), n
+    owner, grams = (packed >> np.uint64(50)).astype(np.int64), packed & np.uint64((1 << 50) - 1)
+    if far is None:
+        return owner, grams, n
+    owner, grams, n = np.concatenate([owner, far_owner]).astype(np.int64), np.concatenate([grams, far_grams]), np.concatenate([n, far_n])
+    order = np.lexsort((grams, owner))
+    return owner[order], grams[order], n[order]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
