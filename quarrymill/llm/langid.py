@@ -62,30 +62,30 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _NONE = np.uint64(0x1FFFFF)
 
 
-def _grams(letters: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(letters: np.ndarray, of: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of 1 to 3 letters as numbers, and their texts. Edges of words count, gaps do not.
 
-    Numbers are below 2 ** 50 (16 bits a letter) unless a letter lies beyond the basic plane, and from 2 ** 63 on (21
-    bits a letter) if one does.
+    Numbers are below 2 ** 50 (16 bits a letter) unless a letter lies beyond the basic plane (far: there are some), and
+    from 2 ** 63 on (21 bits a letter) if one does.
     """
     some = letters != 0
-    tag = np.uint64(48)
+    sixteen, tag = np.uint64(16), np.uint64(48)
     one = np.flatnonzero(some)
     two = np.flatnonzero(some[:-1] | some[1:])
     three = np.flatnonzero(some[1:-1])
-    parts = [(letters[one],), (letters[two], letters[two + 1]), (letters[three], letters[three + 1], letters[three + 2])]
-    codes = []
-    far = bool((letters > 0xFFFF).any())
-    for k, part in enumerate(parts, 1):
-        code = np.full(len(part[0]), np.uint64(k) << tag)
-        for i, x in enumerate(part):
-            code |= x << np.uint64(16 * (k - 1 - i))
-        if far and len(where := np.flatnonzero(np.logical_or.reduce([x > 0xFFFF for x in part]))):
+    codes = [
+        letters[one] | (np.uint64(1) << tag),
+        letters[two] << sixteen | letters[two + 1] | (np.uint64(2) << tag),
+        letters[three] << np.uint64(32) | letters[three + 1] << sixteen | letters[three + 2] | (np.uint64(3) << tag),
+    ]
+    if far:
+        high = letters > 0xFFFF
+        for k, (code, at) in enumerate(zip(codes, (one, two, three), strict=True), 1):
+            where = np.flatnonzero(np.logical_or.reduce([high[at + i] for i in range(k)]))
             wide = np.full(len(where), (np.uint64(1) << np.uint64(63)) | (_NONE << np.uint64(42) if k == 2 else np.uint64(0)))
-            for i, x in enumerate(part):
-                wide |= x[where] << np.uint64(21 * (k - 1 - i))
+            for i in range(k):
+                wide |= letters[at[where] + i] << np.uint64(21 * (k - 1 - i))
             code[where] = wide
-        codes.append(code)
     # the letter, not the gap before it, tells the text
     texts = [of[one], np.where(some[two], of[two], of[np.minimum(two + 1, len(of) - 1)]), of[three + 1]]
     return np.concatenate(codes), np.concatenate(texts)
@@ -94,10 +94,11 @@ def _grams(letters: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _counts(data: np.ndarray, offsets: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text or its key, n-gram, count), by key and n-gram."""
     letters, of = _codes(data, offsets)
-    grams, texts = _grams(letters, of)
+    beyond = bool(letters.max(initial=0) > 0xFFFF)
+    grams, texts = _grams(letters, of, beyond)
     owner = texts if key is None else key[texts]
-    far = np.flatnonzero(grams >> np.uint64(50)) if len(grams) and grams.max() >> np.uint64(50) else None
-    if far is not None:  # the few with letters beyond the basic plane are counted apart
+    if beyond:  # the few with letters beyond the basic plane are counted apart
+        far = np.flatnonzero(grams >> np.uint64(50))
         apart = np.lexsort((grams[far], owner[far]))
         far_owner, far_grams = owner[far][apart], grams[far][apart]
         at = np.flatnonzero(np.append(True, (far_owner[1:] != far_owner[:-1]) | (far_grams[1:] != far_grams[:-1])))
@@ -108,7 +109,7 @@ def _counts(data: np.ndarray, offsets: np.ndarray, key: np.ndarray | None = None
     at, n = runs(packed)
     packed = packed[at]
     owner, grams = (packed >> np.uint64(50)).astype(np.int64), packed & np.uint64((1 << 50) - 1)
-    if far is None:
+    if not beyond:
         return owner, grams, n
     owner, grams, n = np.concatenate([owner, far_owner]).astype(np.int64), np.concatenate([grams, far_grams]), np.concatenate([n, far_n])
     order = np.lexsort((grams, owner))
