@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import bpe, htmltext, jaccard, langid, lm, media, mixing, quality, substrings, tokenfiles
+from quarrymill.llm import bpe, htmltext, jaccard, langid, lm, media, mixing, quality, resample, substrings, tokenfiles
 from quarrymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,9 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": _over("documents", bpe.digest),
         "op9_substring_dedup": _over("documents", substrings.digest),
         "op10_lm_scoring": _over("documents", lm.digest),
+        "op12_importance_resampling": lambda spark, sf_dir: resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE, "op6_source_mixing": mixing.ORACLE}
+    return {"op4_quality_rules": quality.ORACLE, "op6_source_mixing": mixing.ORACLE, "op12_importance_resampling": resample.ORACLE}

@@ -76,12 +76,12 @@ class Words:
         return np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
-    """Text i is data[offsets[i]:offsets[i + 1]]; words never reach from one text into the next."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, blank: np.ndarray = _BLANK) -> Words:
+    """Text i is data[offsets[i]:offsets[i + 1]]; words never reach from one text into the next. blank: bytes between words."""
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     n = len(offsets) - 1
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
