@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import bpe, htmltext, jaccard, langid, lm, media, mixing, periodic, quality, resample, substrings, tokenfiles
+from quarrymill.llm import bpe, bytespans, htmltext, jaccard, langid, lm, media, mixing, periodic, quality, resample, substrings, tokenfiles
 from quarrymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": _over("documents", bpe.digest),
         "op9_substring_dedup": _over("documents", substrings.digest),
         "op10_lm_scoring": _over("documents", lm.digest),
+        "op11_suffix_array_dedup": _over("documents", bytespans.digest),
         "op13_periodic_runs": _over("documents", periodic.digest),
         "op12_importance_resampling": lambda spark, sf_dir: resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }

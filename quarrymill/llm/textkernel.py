@@ -19,11 +19,13 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTES = _BYTE.copy()  # white space counted
 _BYTE[_BLANK] = 0
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _BASE, _STEP, _LENGTH = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 _powers = np.ones(1, np.uint64)
+_inverses = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,6 +46,16 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Powers of the number that undoes _BASE, modulo 2^64."""
+    global _inverses
+    if len(_inverses) < n:
+        table = np.full(max(n, 256), pow(int(_BASE), -1, 1 << 64), np.uint64)
+        table[0] = 1
+        _inverses = np.multiply.accumulate(table)
+    return _inverses
+
+
 @dataclass
 class Words:
     """Words of several texts: bytes [start, end) of data, and the text that each is in (0, 1, ...)."""
@@ -109,10 +121,10 @@ def shingle(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; nulls are empty."""
+    """Bytes and offsets of a string or binary column; nulls are empty."""
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offs, data = column.buffers()
     offsets = np.frombuffer(offs, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
