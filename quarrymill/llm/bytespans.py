@@ -30,20 +30,29 @@ from quarrymill.llm.suffixes import RunIndex
 WIDTH = 400
 
 
-def repeated_windows(texts: list[bytes], n: np.ndarray, width: int) -> np.ndarray:
-    """For the first n[i] windows of each text: does it start at another place of these texts as well?"""
+def repeated(texts: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Span, first byte and byte after the last of what is covered by windows that start at another place of these texts too.
+
+    Each of a text's first n[i] positions is asked about: those are the windows that are the span's own.
+    """
     sizes = np.array([len(x) for x in texts], np.int64)
     ends = np.cumsum(sizes + 1)
-    symbols = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
-    index = RunIndex.build(symbols, ends - 1)[0]
-    starts = ends - sizes - 1
-    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return index.matching_statistics()[at] >= width
+    index = RunIndex.build(np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8), ends - 1)[0]
+    n = n.astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    long = index.matching_statistics()[(ends - sizes - 1)[of] + within] >= width
+    of, within = of[long], within[long]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (within[1:] != within[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(of))[: len(first)] - 1
+    return of[first], within[first], within[last] + width
 
 
 def plan(width: int = WIDTH, **sizes: int) -> Plan:
     levels = (max(1, width * 4 // 25), max(1, width * 16 // 25), width)
-    return Plan(Bytes, width, levels, repeated_windows, earlier=False, **sizes)
+    return Plan(Bytes, width, levels, repeated, earlier=False, **sizes)
 
 
 def _kept(batch: pa.RecordBatch, ranges: str) -> Iterator[tuple[int, int, int, bytes]]:

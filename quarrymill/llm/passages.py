@@ -36,9 +36,11 @@ from quarrymill.llm.packing import release
 from quarrymill.scratch import forget, materialize
 
 #: Bytes of different spans of one gram that meet in one task; beyond, the gram's windows pick longer grams.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: Bytes of spans in a block of the index.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 18
 _NULL_ID = -(1 << 63)
 _U = np.uint64
 
@@ -84,7 +86,8 @@ class Plan:
     units: type
     width: int
     levels: tuple[int, ...]
-    #: decides about a block: (texts, document order of spans, windows of each) -> bool per window, one after the other
+    #: decides about a block: (spans' texts in order of documents, windows of each, width) -> ranges that repeat, as arrays
+    #: span, first unit, unit after the last; and, if `earlier`, the span and unit where the same units start earlier
     decide: Callable
     #: a window repeats only if it starts earlier too, not if it starts anywhere else
     earlier: bool
@@ -168,14 +171,14 @@ def _grams(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tie = batch.column("doc"), batch.column("tie")
-            for rows, data, offsets in tk.chunks(batch):
+            for rows, data, offsets in tk.chunks(batch, size=CHUNK):
                 text = plan.units(data, offsets)
                 gram, of, start, n, inner = pick(text.grams(plan.levels[0]), text.bounds, plan.levels[0], plan.width)
                 if len(gram):
                     at = pa.array(of)
                     arrays = [pa.array(gram.view(np.int64)), doc[rows].take(at), tie[rows].take(at), pa.array(start - text.bounds[of]), pa.array(n, pa.int32()), pa.array(inner)]
                     yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc", "tie", "start", "n", "inner"])
-        release()
+            release()
 
     return run
 
@@ -200,7 +203,7 @@ def _cut_out(plan: Plan):
         for batch in batches:
             cut, (gram, start, n, inner) = lists(batch.column("found"), "gram", "start", "n", "inner")
             doc, tie = _long(batch.column("doc")), _long(batch.column("tie"))
-            for rows, data, offsets in tk.chunks(batch):
+            for rows, data, offsets in tk.chunks(batch, size=CHUNK):
                 text = plan.units(data, offsets)
                 s = slice(int(cut[rows.start]), int(cut[rows.stop]))
                 of = np.repeat(np.arange(rows.stop - rows.start), np.diff(cut[rows.start : rows.stop + 1]))
@@ -208,7 +211,7 @@ def _cut_out(plan: Plan):
                     begin = text.bounds[of] + start[s]
                     texts = text.pieces(begin, begin + n[s] + plan.width - 1)
                     yield _span_batch(gram[s], doc[rows][of], tie[rows][of], start[s], n[s], inner[s], np.zeros(len(of), bool), texts)
-        release()
+            release()
 
     return run
 
@@ -219,18 +222,19 @@ def _pick_again(plan: Plan, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tie, at, many = (_long(batch.column(c)) for c in ("doc", "tie", "start", "many"))
-            for rows, data, offsets in tk.chunks(batch):
+            for rows, data, offsets in tk.chunks(batch, size=CHUNK):
                 text = plan.units(data, offsets)
                 gram, of, start, n, inner = pick(text.grams(plan.levels[level]), text.bounds, plan.levels[level], plan.width)
                 if len(gram):
                     texts = text.pieces(start, start + n + plan.width - 1)
                     yield _span_batch(gram.view(np.int64), doc[rows][of], tie[rows][of], at[rows][of] + start - text.bounds[of], n, inner, many[rows][of], texts)
-        release()
+            release()
 
     return run
 
 
 _RANGES = "doc long, tie int, a long, b long"
+_SOURCE = ", ref long, ref_start long"
 
 
 def _place() -> Column:
@@ -245,22 +249,16 @@ def _marks_of(plan: Plan):
         doc, tie, start, n, many = (table.column(c).to_numpy() for c in ("doc", "tie", "start", "n", "many"))
         order = np.lexsort((start, tie, doc))
         doc, tie, start, n, many = (x[order] for x in (doc, tie, start, n, many))
-        n = n.astype(np.int64)
         texts = table.column("text").take(pa.array(order)).to_pylist()
-        repeats = plan.decide(texts, n, plan.width)
-        of = np.repeat(np.arange(len(n)), n)
+        of, a, b, *source = plan.decide(texts, n, plan.width)
         if not plan.earlier:  # those that occur more than once are marked wherever they occur
-            repeats &= ~many[of]
-        at = np.flatnonzero(repeats)
-        begin = (np.cumsum(n) - n)[of[at]]
-        at, of = start[of[at]] + at - begin, of[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1 if len(at) else first
-        columns = [pa.array(doc[of[first]]), pa.array(tie[of[first]]), pa.array(at[first], pa.int64()), pa.array(at[last] + plan.width, pa.int64())]
+            once = ~many[of]
+            of, a, b = of[once], a[once], b[once]
+        columns = [doc[of], tie[of], start[of] + a, start[of] + b]
+        if plan.earlier:
+            columns += [doc[source[0]], start[source[0]] + source[1]]
         release()
-        return pa.Table.from_arrays(columns, ["doc", "tie", "a", "b"])
+        return pa.Table.from_arrays([pa.array(x) for x in columns], ["doc", "tie", "a", "b", "ref", "ref_start"][: len(columns)])
 
     return run
 
@@ -278,14 +276,15 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
     full = spans.drop("text").join(again, key)
     if plan.earlier:
         full = full.where("not (doc = first_doc and tie = first_tie and start = first_start)")
-    whole = full.select("doc", "tie", F.col("start").alias("a"), (F.col("start") + F.col("n") + plan.width - 1).alias("b"))
+    source = [F.col("first_doc").alias("ref"), F.col("first_start").alias("ref_start")] if plan.earlier else []
+    whole = full.select("doc", "tie", F.col("start").alias("a"), (F.col("start") + F.col("n") + plan.width - 1).alias("b"), *source)
     groups = different.groupBy("gram").agg(F.count("*").alias("spans"), F.sum(F.octet_length("text")).alias("bytes"), F.max("inner").alias("inner")).where("spans > 1 or inner")
     groups = materialize(groups, "groups")
     common = F.col("bytes") > plan.group_bytes
     sizes = groups.agg(F.sum(F.when(~common, F.col("bytes"))), F.count(F.when(common, 1))).first()
     blocks = max(1, -(-int(sizes[0] or 0) // plan.block_bytes))
     met = different.join(groups.where(~common).select("gram"), "gram").select(F.pmod(F.xxhash64("gram"), F.lit(blocks)).alias("block"), "doc", "tie", "start", "n", "many", "text")
-    out = whole.unionByName(met.groupBy("block").applyInArrow(_marks_of(plan), _RANGES))
+    out = whole.unionByName(met.groupBy("block").applyInArrow(_marks_of(plan), _RANGES + _SOURCE * plan.earlier))
     if sizes[1]:
         hot = different.join(groups.where(common).select("gram"), "gram").select("doc", "tie", "start", "many", "text")
         longer = materialize(hot.mapInArrow(_pick_again(plan, level + 1), _SPANS), "longer")
@@ -295,14 +294,14 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
 
 
 def marks(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc, tie and the ranges (a, b) of units that windows which repeat cover; docs: text, doc, tie."""
+    """doc, tie and the ranges (a, b; and their sources) of units that windows which repeat cover; docs: text, doc, tie."""
     found = materialize(docs.mapInArrow(_grams(plan), _GRAMS), "grams")
     repeated = found.groupBy("gram").agg(F.min(_place()).alias("x"), F.max(_place()).alias("y"), F.max("inner").alias("inner")).where("x <> y or inner").select("gram")
     by_doc = found.join(repeated, "gram").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "start", "n", "inner")).alias("found"))
     spans = materialize(docs.join(by_doc, ["doc", "tie"]).mapInArrow(_cut_out(plan), _SPANS), "spans")
     forget(found)
     ranges = _settle(spans, plan, 0)
-    return materialize(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "marks")
+    return materialize(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b", *(["ref", "ref_start"] if plan.earlier else []))).alias("ranges")), "marks")
 
 
 def with_marks(docs: DataFrame, plan: Plan) -> tuple[DataFrame, str]:

@@ -31,36 +31,12 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import textkernel as tk
 from quarrymill.llm.packing import release
-from quarrymill.llm.suffixes import Minimum, RunIndex, suffix_array
+from quarrymill.llm.suffixes import Minimum, RunIndex, next_smaller, suffix_array
 
 EXPONENT = 4
 LEAST = 6
 
 
-def _word_ids(w: tk.Words) -> np.ndarray:
-    """Equal numbers for equal words."""
-    lengths = w.ends - w.starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    solid = ~tk._BLANK[w.data]
-    packed = np.ascontiguousarray(w.data[solid])
-    made = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
-    return made.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
-def _next_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place, the next one of a smaller value; the number of values where there is none."""
-    out = [len(values)] * len(values)
-    open_: list[int] = []
-    of: list[int] = []
-    for i, v in enumerate(values.tolist()):
-        while of and of[-1] > v:
-            of.pop()
-            out[open_.pop()] = i
-        of.append(v)
-        open_.append(i)
-    return np.array(out, np.int64)
-
-
 class _Extensions:
     """Longest common extensions of pairs of positions: LCP array and sparse table."""
 
@@ -86,7 +62,7 @@ def runs_of(symbols: np.ndarray, stops: np.ndarray, exponent: int = EXPONENT, le
     at, period = [], []
     string = np.searchsorted(stops, np.arange(n))
     for rank in (forward.rank, turned):
-        p = _next_smaller(rank) - np.arange(n)
+        p = next_smaller(rank) - np.arange(n)
         i = np.arange(n)
         i, p = i[i + p < n], p[i + p < n]
         # a wanted run's root stands there once more
@@ -159,7 +135,7 @@ def _texts(batch: pa.RecordBatch, exponent: int, least: int, plant: bool):
     ids_of = batch.column("doc_id").to_pylist() if plant else [None] * batch.num_rows
     for rows, data, offsets in tk.chunks(batch):
         w = tk.words(data, offsets, lower=False)
-        ids, bounds = _word_ids(w), w.bounds
+        ids, bounds = w.ids, w.bounds
         source = _planted(ids, bounds, ids_of[rows]) if plant else np.arange(len(ids))
         start, length, period = find(ids[source], w.doc, exponent, least)
         edge = np.zeros(len(ids) + 1, np.int64)

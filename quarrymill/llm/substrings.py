@@ -1,22 +1,19 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The reference is the collection itself in order of doc_id, each sequence of `window` words at the place where it starts
-first. It is indexed in blocks: a task's run of documents, and then, over all documents, ranges of the windows' hashes.
-Every document is looked up in every block. A window has one place in a block, so the longest match from a word on is
-found by following that place: parsing goes greedily from left to right, a factor lasting as long as the next window's
-place is the next one. Factors of at least `window` words are duplicate spans and are what is cut. At factor boundaries
-the windows that lie across are looked up as well and begin factors of their own, which may overlap the ones beside
-them, so spans are exact there. (A factor also ends where one block's place gives way to another's; spans do not.)
-Windows are judged on the input, not on what is left of it.
-
-Windows are compared by 64-bit hash. Each task sends a window once however often it sees it (the later ones are
-known to be duplicates there and then), so that a passage in a third of all documents makes one record a task. Texts
-and their spans meet in groups of about HOME_BYTES, however many partitions there are.
-
-Defined results: null and blank texts have no words and lose none; texts shorter than a window lose none. Rows are told
-apart by id and text: rows with equal id and text are one document and lose the same words, none because of each other;
-other texts of the same id are documents of their own, in order of their texts' xxhash64 (31 bits of it). A null id is no
-name: null ids come before all ids above -2^62, in order of their texts' xxhash64. An empty table gives an empty result;
+Spans of documents that can hold a window of `window` words which starts earlier meet in blocks (passages.py); copies of
+one span are one, at the place where it starts first. A block is indexed by the suffix array of its spans' words, told
+apart by their bytes, with longest common prefixes. Every span is parsed greedily from left to right against all that
+stands earlier in its block: a factor is the longest string of words from a position on that also starts earlier (its
+nearest earlier neighbours in suffix order tell which), or one word where there is none. Factors of `window` words or
+more are duplicate spans. At factor boundaries the windows that lie across are looked up as well, and those that start
+earlier, too, begin factors of their own, so what is cut is exact. Windows are judged on the input, not on what is left.
+
+A window's span holds all of its words, and an earlier place of it is in a span of the same block, so nothing is asked of
+other blocks. factors() joins factors of spans beside each other where they go on in the same source.
+
+Defined results: null and blank texts have no words and lose none; texts shorter than a window lose none. Rows with equal
+id and text are one document and lose the same words, none because of each other; other texts of the same id are
+documents of their own, and null ids are no names (passages.py has their order). An empty table gives an empty result;
 further columns pass through dedup() untouched, whatever their names.
 """
 
@@ -32,257 +29,154 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import textkernel as tk
-from quarrymill.llm.common import fresh, partitions
-from quarrymill.llm.packing import pack, release, runs, unpack
+from quarrymill.llm.packing import release
+from quarrymill.llm.passages import Plan, Words, gone, lists, with_marks
+from quarrymill.llm.suffixes import Minimum, RunIndex, next_smaller
 
 WINDOW = 20
-#: Windows held by a task before it sorts and sends them.
-HELD = 600_000
-#: Bytes of text in a group that meets its spans in one task.
-HOME_BYTES = 48 << 20
-_NULL_ID = -(1 << 63)
 
 
-def _named(docs: DataFrame, homes: int, doc: str, tie: str, home: str) -> DataFrame:
-    """docs with what tells its rows apart and orders them (doc, tie), and the group that each row meets its spans in."""
-    digest = F.xxhash64("text")
-    docs = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID) + F.shiftrightunsigned(digest, 2)))
-    docs = docs.withColumn(tie, F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.pmod(digest, F.lit((1 << 31) - 2))).cast("int"))
-    both = F.col(doc).bitwiseXOR(F.col(tie).cast("long"))
-    return docs.withColumn(home, F.pmod(both.bitwiseXOR(F.shiftrightunsigned(both, 17)), F.lit(homes)).cast("int"))
-
-
-def _home_of(doc: np.ndarray, tie: np.ndarray, homes: int) -> np.ndarray:
-    both = doc ^ tie.astype(np.int64)
-    return (both ^ (both.view(np.uint64) >> np.uint64(17)).view(np.int64)) % homes
-
-
-def _longs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
-
-
-def _pack_marks(doc, tie, pos, ref, ref_pos) -> bytes:
-    at, n = _rows(doc, tie)
-    return pack(doc[at], tie[at], n.astype(np.uint32), pos, ref, ref_pos)
-
-
-def _unpack_marks(blob: bytes) -> tuple[np.ndarray, ...]:
-    doc, tie, n, pos, ref, ref_pos = unpack(blob)
-    return np.repeat(doc, n), np.repeat(tie, n), pos, ref, ref_pos
-
-
-def _rows(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of one document begins, and how long it is."""
-    if not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])) + 1])
-    return at, np.diff(np.append(at, len(doc)))
-
-
-def _by_home(doc, tie, pos, ref, ref_pos, homes: int) -> Iterator[tuple[int, bytes]]:
-    home = _home_of(doc, tie, homes)
-    order = np.lexsort((pos, tie, doc, home))
-    home, doc, tie, pos, ref, ref_pos = (x[order] for x in (home, doc, tie, pos, ref, ref_pos))
-    for at, n in zip(*runs(home), strict=True):
-        s = slice(at, at + n)
-        yield int(home[at]), _pack_marks(doc[s], tie[s], pos[s], ref[s], ref_pos[s])
-
-
-def _later(doc, tie, pos, source) -> np.ndarray:
-    """Windows that are not at their source's place: equal rows have windows at one and the same place."""
-    return (doc != doc[source]) | (tie != tie[source]) | (pos != pos[source])
-
-
-_ROWS = "bucket int, marks boolean, data binary"
-
-
-def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], ["bucket", "marks", "data"])
-
-
-def _windows(window: int, buckets: int, homes: int):
-    """Tasks' side: windows by bucket of their hash, and marks for those seen before in the same task."""
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes, doc, tie, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        if np.any((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (tie[1:] != tie[:-1]))):
-            order = np.lexsort((tie, doc))
-            hashes, doc, tie, pos = hashes[order], doc[order], tie[order], pos[order]
-        order = np.argsort(hashes, kind="stable")  # equal windows stay in order of (doc, tie, pos)
-        at, n = runs(hashes[order])
-        first = np.zeros(len(hashes), bool)
-        first[order[at]] = True
-        source = np.empty(len(hashes), np.int64)
-        source[order] = np.repeat(order[at], n)
-        later = ~first & _later(doc, tie, pos, source)
-        rows = []
-        if later.any():
-            s = source[later]
-            rows += [(b, True, x) for b, x in _by_home(doc[later], tie[later], pos[later], doc[s], pos[s], homes)]
-        keep = np.flatnonzero(first)
-        bucket = (hashes[keep] % np.uint64(buckets)).astype(np.int64)
-        order, cut = tk.parts_of(bucket, buckets)
-        keep = keep[order]
-        for b in range(buckets):
-            mine = keep[cut[b] : cut[b + 1]]
-            if len(mine):
-                d, t = doc[mine], tie[mine]
-                start, count = _rows(d, t)
-                rows.append((b, False, pack(hashes[mine], d[start], t[start], count.astype(np.uint32), pos[mine], raw=(0,))))
-        for k in range(0, len(rows), 64):
-            yield _row_batch(rows[k : k + 64])
-        del hashes, doc, tie, pos, order, source, keep, rows
-        release()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            docs, ties = _longs(batch.column("doc")), _longs(batch.column("tie"))
-            for rows, data, offsets in tk.chunks(batch):
-                w = tk.words(data, offsets, lower=False)
-                if len(w.starts) < window:
-                    continue
-                hashes = tk.shingle(w.hashes, window)
-                whole = np.flatnonzero(w.doc[: len(hashes)] == w.doc[window - 1 :])
-                if len(whole):
-                    of = w.doc[whole]
-                    held.append((hashes[whole], docs[rows][of], ties[rows][of], (whole - w.bounds[of]).astype(np.uint32)))
-                    size += len(whole)
-                if size >= HELD:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    return run
-
-
-def _look_up(homes: int):
-    """A block of the index: first starts of its windows, and marks for all later ones by their document's home."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out, held = [], []
-        key = table.column("bucket")[0].as_py()
-        for mark, data in zip(table.column("marks").to_pylist(), table.column("data").to_pylist(), strict=True):
-            if mark:
-                out.append((key, data))
-            else:
-                held.append(unpack(data))
-        if held:
-            hashes = np.concatenate([h[0] for h in held])
-            doc, tie = (np.concatenate([np.repeat(h[i], h[3]) for h in held]) for i in (1, 2))
-            pos = np.concatenate([h[4] for h in held])
-            order = np.argsort(hashes)
-            at, n = runs(hashes[order])
-            order = order[np.repeat(n > 1, n)]
-            hashes, doc, tie, pos = hashes[order], doc[order], tie[order], pos[order]
-            order = np.lexsort((pos, tie, doc, hashes))
-            hashes, doc, tie, pos = hashes[order], doc[order], tie[order], pos[order]
-            at, n = runs(hashes)
-            source = np.repeat(at, n)
-            later = _later(doc, tie, pos, source)
-            if later.any():
-                s = source[later]
-                out += list(_by_home(doc[later], tie[later], pos[later], doc[s], pos[s], homes))
-            del held, hashes, doc, tie, pos, order, source
-        release()
-        return pa.Table.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["home", "marks"])
-
-    return run
-
-
-def parse(doc, tie, pos, ref, ref_pos, window: int) -> tuple[np.ndarray, ...]:
-    """Greedy factors of documents: doc, tie, start, length in words, ref, ref_start; in order of (doc, tie, start)."""
-    order = np.lexsort((pos, tie, doc))
-    doc, tie, ref = doc[order], tie[order], ref[order]
-    pos, ref_pos = pos[order].astype(np.int64), ref_pos[order].astype(np.int64)
-    if not len(doc):
-        return doc, tie, pos, pos, ref, ref_pos
-    goes_on = (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (pos[1:] == pos[:-1] + 1) & (ref[1:] == ref[:-1]) & (ref_pos[1:] == ref_pos[:-1] + 1)
-    at = np.concatenate([[0], np.flatnonzero(~goes_on) + 1])
-    n = np.diff(np.append(at, len(doc)))
-    return doc[at], tie[at], pos[at], n + window - 1, ref[at], ref_pos[at]
-
-
-def _spans(marks: pa.Table, window: int):
-    """Factors of a home's documents, as arrays by document."""
-    parts = [_unpack_marks(x) for x in marks.column("marks").to_pylist()]
-    if not parts:
-        empty = np.zeros(0, np.int64)
-        return parse(empty, empty, empty, empty, empty, window)
-    return parse(*(np.concatenate(x) for x in zip(*parts, strict=True)), window)
-
-
-def _kept(table: pa.Table, marks: pa.Table, names: list[str], window: int) -> Iterator[tuple[int, int, bytes]]:
-    """Per row of table: words, removed words, and the kept words joined by one space."""
-    doc, tie, start, n, _, _ = _spans(marks, window)
-    at, count = _rows(doc, tie)
-    of = {key: (a, a + k) for key, a, k in zip(zip(doc[at].tolist(), tie[at].tolist(), strict=True), at.tolist(), count.tolist(), strict=True)}
-    for batch in table.combine_chunks().to_batches():
-        keys = zip(batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist(), strict=True)
-        for key, value in zip(keys, batch.column("text").cast(pa.binary()), strict=True):
-            words = (value.as_py() or b"").split()
-            if key not in of:
-                yield len(words), 0, b" ".join(words)
-                continue
-            a, b = of[key]
-            edge = np.zeros(len(words) + 1, np.int32)
-            np.add.at(edge, start[a:b], 1)
-            np.add.at(edge, start[a:b] + n[a:b], -1)
-            stays = np.cumsum(edge[:-1]) == 0
-            yield len(words), int(len(words) - stays.sum()), b" ".join(compress(words, stays))
-
-
-def _together(docs: DataFrame, columns: list[str], window: int, finish, schema) -> DataFrame:
-    """Texts and their marks meet by home; finish(table, marks, names of doc, tie and home) makes the rows."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
-    names = fresh(docs, "_doc", "_tie", "_home")
-    # every block of the index may have something for every home: the fewer homes, the fewer and larger the messages
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    homes = max(partitions(docs.sparkSession), -(-int(size) // HOME_BYTES))
-    docs = _named(docs, homes, *names)
-    sent = docs.select("text", F.col(names[0]).alias("doc"), F.col(names[1]).alias("tie")).mapInArrow(_windows(window, 2 * homes, homes), _ROWS)
-    marks = sent.groupBy("bucket").applyInArrow(_look_up(homes), "home int, marks binary")
-    return docs.groupBy(names[2]).cogroup(marks.groupBy("home")).applyInArrow(lambda table, found: finish(table, found, names), schema)
-
-
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def longest_earlier(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position, the length of the longest string from there on that starts earlier as well, and where.
+
+    Of all earlier positions, the one above and the one below in suffix order have most in common with it.
+    """
+    index, order, rank = RunIndex.build(symbols, stops)
+    n = len(order)
+    common = Minimum(index.above[order])
+    below = next_smaller(order)
+    above = n - 1 - next_smaller(order[::-1])[::-1]
+    length, source = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = np.arange(n)
+    for other, there, low, high in ((above, above >= 0, above + 1, at), (below, below < n, at + 1, below)):
+        k = np.flatnonzero(there)
+        found = common.of(low[k], high[k])
+        better = found > length[k]
+        length[k[better]], source[k[better]] = found[better], order[other[k[better]]]
+    return length[rank], source[rank]
+
+
+def parse(length: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy factors of strings [starts[i], ends[i]): string and position of each, in no order; all strings a step at a time."""
+    of, at = np.arange(len(starts)), starts.copy()
+    found = []
+    while len(of):
+        inside = at < ends[of]
+        of, at = of[inside], at[inside]
+        found.append((of, at))
+        at = at + np.maximum(length[at], 1)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (of, at)
+
+
+def duplicate_factors(texts: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Factors of `width` words or more of spans in order of their documents: span, first word, word after the last, and
+    span and word of the source."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+    offsets[-1] -= 1
+    w = tk.words(data, offsets, lower=False)
+    count = np.diff(w.bounds)
+    stops = np.cumsum(count + 1) - 1
+    starts = stops - count
+    symbols = np.zeros(int(stops[-1]) + 1, np.int64)
+    is_word = np.ones(len(symbols), bool)
+    is_word[stops] = False
+    symbols[is_word] = w.ids
+    length, source = longest_earlier(symbols, stops)
+    span, at = parse(length, starts, stops)
+    whole = length[at] >= width
+    # windows that a boundary between factors cuts are looked up as well
+    inner = at > starts[span]
+    cut = np.zeros(len(symbols) + 1, np.int64)
+    np.add.at(cut, np.maximum(at[inner] - width + 1, starts[span[inner]]), 1)
+    np.add.at(cut, at[inner], -1)
+    across = np.flatnonzero((np.cumsum(cut[:-1]) > 0) & (length >= width))
+    if len(across):  # of neighbours with neighbouring sources the first has all
+        new = np.ones(len(across), bool)
+        new[1:] = (across[1:] != across[:-1] + 1) | (source[across[1:]] != source[across[:-1]] + 1)
+        across = across[new]
+    at = np.concatenate([at[whole], across])
+    span = np.searchsorted(stops, at)
+    ref = np.searchsorted(stops, source[at])
+    return span, at - starts[span], at - starts[span] + length[at], ref, source[at] - starts[ref]
+
+
+def plan(window: int = WINDOW, **sizes: int) -> Plan:
+    levels = (max(1, window * 2 // 5), max(1, window * 7 // 10), window)
+    return Plan(Words, window, levels, duplicate_factors, earlier=True, **sizes)
+
+
+def _kept(batch: pa.RecordBatch, ranges: str) -> Iterator[tuple[int, int, bytes]]:
+    """Per row: words, removed words, and the kept words joined by one space."""
+    cut, (a, b) = lists(batch.column(ranges), "a", "b")
+    for i, text in enumerate(batch.column("text").cast(pa.binary())):
+        words = (text.as_py() or b"").split()
+        if cut[i] == cut[i + 1]:
+            yield len(words), 0, b" ".join(words)
+            continue
+        s = slice(int(cut[i]), int(cut[i + 1]))
+        out = gone((a[s], b[s]), len(words))
+        yield len(words), int(out.sum()), b" ".join(compress(words, (~out).tolist()))
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """docs with text replaced by the kept words, joined by one space, and n_chars (if there) by its length."""
-
-    def finish(table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Table:
-        texts = [x[2].decode() for x in _kept(table, marks, names, window)]
-        release()
-        table = table.drop_columns(names)
-        table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
-        if "n_chars" in table.column_names:
-            table = table.set_column(table.column_names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], pa.int64()))
-        return table
-
     out = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in docs.columns else docs
-    return _together(out, out.columns, window, finish, out.schema)
-
+    found, ranges = with_marks(out, plan(window, **sizes))
 
-def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x[2].decode() for x in _kept(batch, ranges)]
+            columns = {name: column for name, column in zip(batch.schema.names, batch.columns, strict=True) if name != ranges}
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            release()
+
+    return found.mapInArrow(run, out.schema)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, ref: np.ndarray, ref_start: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Factors (start, n_words, ref, ref_start), those that go on in the same source made one; longest of each first."""
+    shift = ref_start - a
+    order = np.lexsort((-b, a, shift, ref))
+    a, b, ref, shift = a[order], b[order], ref[order], shift[order]
+    k = 0
+    while k < len(a):
+        start, end, first = a[k], b[k], k
+        while k + 1 < len(a) and ref[k + 1] == ref[first] and shift[k + 1] == shift[first] and a[k + 1] <= end:
+            k += 1
+            end = max(end, b[k])
+        yield int(start), int(end - start), int(ref[first]), int(start + shift[first])
+        k += 1
+
+
+def factors(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """The duplicate spans: doc_id, start and n_words of each factor, and where it starts earlier (ref_id, ref_start)."""
+    found, ranges = with_marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), plan(window, **sizes))
 
-    def finish(table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Table:
-        doc, tie, start, n, ref, ref_start = _spans(marks, window)
-        columns = [pa.array(doc, pa.int64(), mask=tie == 0), *[pa.array(x, pa.int64()) for x in (start, n)]]
-        columns += [pa.array(ref, pa.int64(), mask=ref < -(1 << 62)), pa.array(ref_start, pa.int64())]
-        return pa.Table.from_arrays(columns, ["doc_id", "start", "n_words", "ref_id", "ref_start"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut, fields = lists(batch.column(ranges), "a", "b", "ref", "ref_start")
+            rows = [(i, *x) for i in np.flatnonzero(np.diff(cut)).tolist() for x in _joined(*(f[cut[i] : cut[i + 1]] for f in fields))]
+            at, start, n, ref, ref_start = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 5
+            columns = [batch.column("doc_id").take(pa.array(at)), pa.array(start), pa.array(n), pa.array(ref, mask=ref < -(1 << 62)), pa.array(ref_start)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "ref_id", "ref_start"])
 
-    return _together(docs, ["doc_id", "text"], window, finish, "doc_id long, start long, n_words long, ref_id long, ref_start long")
+    return found.select("doc_id", ranges).mapInArrow(run, "doc_id long, start long, n_words long, ref_id long, ref_start long")
 
 
-def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digest(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
+    found, ranges = with_marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), plan(window, **sizes))
 
-    def finish(table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Table:
-        rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept(table, marks, names, window)]
-        n, gone, sha = zip(*rows, strict=True) if rows else ((), (), ())
-        release()
-        columns = [table.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
-        return pa.Table.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, out, hashlib.sha256(kept).hexdigest()) for n, out, kept in _kept(batch, ranges)]
+            n, out, sha = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            release()
 
-    return _together(docs, ["doc_id", "text"], window, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

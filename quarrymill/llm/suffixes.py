@@ -149,6 +149,20 @@ class RunIndex:
         return np.maximum(self.above, self.below)
 
 
+def next_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place, the next one of a smaller value; the number of values where there is none."""
+    out = [len(values)] * len(values)
+    open_: list[int] = []
+    of: list[int] = []
+    for i, v in enumerate(values.tolist()):
+        while of and of[-1] > v:
+            of.pop()
+            out[open_.pop()] = i
+        of.append(v)
+        open_.append(i)
+    return np.array(out, np.int64)
+
+
 class Minimum:
     """Range minima by a sparse table."""
 

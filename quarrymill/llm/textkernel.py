@@ -82,6 +82,18 @@ class Words:
         values = (_LOWER if self.lower else _BYTE)[data] * _power_table(longest + 1)[within]
         return mix(np.add.reduceat(values, starts) + (self.ends - self.starts).astype(np.uint64) * _LENGTH)
 
+    @property
+    def ids(self) -> np.ndarray:
+        """Equal numbers for equal words, which are told apart by their bytes."""
+        lengths = self.ends - self.starts
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        at = np.zeros(len(self.data) + 1, np.int8)
+        at[self.starts] = 1
+        at[self.ends] -= 1
+        packed = np.ascontiguousarray(self.data[np.cumsum(at[:-1], dtype=np.int8).view(bool)])
+        made = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+        return made.dictionary_encode().indices.to_numpy().astype(np.int64)
+
     @property
     def bounds(self) -> np.ndarray:
         """Words of text i are [bounds[i], bounds[i + 1])."""

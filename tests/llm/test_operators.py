@@ -571,24 +571,66 @@ def test_substring_dedup(clashes, window):
         assert found == sorted((str(d), t, len(t), "h") for d, t in kept)
 
 
-@pytest.mark.parametrize("tasks", [1, 5])
-def test_substring_factors_are_earlier_matches(docs, rows, tasks):
-    """In one task, where all is one block, they are the longest ones too."""
+@pytest.mark.parametrize("sizes", [{}, {"group_bytes": 60, "block_bytes": 400}])
+def test_substring_factors_are_earlier_matches(docs, rows, sizes):
     some = {r[0]: words(r[1]) for r in rows if r[0] is not None}
     want = brute_spans([r for r in rows if r[0] is not None], 20)
     gone = defaultdict(set)
-    for f in substrings.factors(docs.where("doc_id IS NOT NULL").coalesce(tasks)).collect():
+    for f in substrings.factors(docs.where("doc_id IS NOT NULL").coalesce(2), **sizes).collect():
         mine, theirs, end, ref_end = some[f.doc_id], some[f.ref_id], f.start + f.n_words, f.ref_start + f.n_words
         assert mine[f.start : end] == theirs[f.ref_start : ref_end]
         assert f.n_words >= 20 and (f.ref_id, f.ref_start) < (f.doc_id, f.start)
-        if tasks == 1 and end < len(mine):
-            assert first_place(some, mine[end - 19 : end + 1]) != (f.ref_id, ref_end - 19)
         gone[f.doc_id].update(range(f.start, end))
     assert {d: len(gone[d]) for d in some} == {d: next(x[1] for (i, _), x in want.items() if i == d) for d in some}
 
 
-def first_place(texts, window):
-    return next((d, i) for d in sorted(texts) for i in range(len(texts[d]) - 19) if texts[d][i : i + 20] == window)
+def brute_parse(block, width):
+    """Greedy longest earlier match, word by word: (text, start, length) of factors of `width` words or more."""
+    places = [(t, i) for t, w in enumerate(block) for i in range(len(w))]
+
+    def longest(t, i):
+        best = 0
+        for u, j in places:
+            if (u, j) >= (t, i):
+                return best
+            n = 0
+            while i + n < len(block[t]) and j + n < len(block[u]) and block[t][i + n] == block[u][j + n]:
+                n += 1
+            best = max(best, n)
+        return best
+
+    out = set()
+    for t, w in enumerate(block):
+        i = 0
+        while i < len(w):
+            n = longest(t, i)
+            if n >= width:
+                out.add((t, i, n))
+            i += max(n, 1)
+    across = {(t, i) for t, i in places if longest(t, i) >= width}
+    return out, across
+
+
+def test_parse_is_the_greedy_longest_match_parse(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(150):
+        width = rng.randrange(2, 6)
+        vocabulary = ["a", "b", "é", "ab", "c"][: rng.randrange(2, 6)]
+        block = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))] for _ in range(rng.randrange(1, 7))]
+        block += [block[0][1:] or ["z"], block[-1] + block[0]]
+        factors, across = brute_parse(block, width)
+        span, a, b, ref, at = substrings.duplicate_factors([" ".join(w).encode() for w in block], None, width)
+        found = list(zip(*(x.tolist() for x in (span, a, b, ref, at)), strict=True))
+        assert factors <= {(t, i, j - i) for t, i, j, _, _ in found}
+        held = lambda some: {(t, k) for t, i, j in some for k in range(i, j - width + 1)}
+        assert held((t, i, j) for t, i, j, _, _ in found) == across
+        # what is found beside the factors begins outside of them: at their boundaries
+        assert all((t, i) not in held((u, k, k + n) for u, k, n in factors) for t, i, j, _, _ in found if (t, i, j - i) not in factors)
+        for t, i, j, u, k in found:
+            assert block[t][i:j] == block[u][k : k + j - i] and (u, k) < (t, i)
+    # factors and boundaries both come from the parse
+    monkeypatch.setattr(substrings, "parse", lambda length, starts, ends: (starts[:0], starts[:0]))
+    assert len(substrings.duplicate_factors([b"a b c d a b c d"], None, 3)[0]) == 0
 
 
 def test_substring_dedup_of_nothing(docs, empty):
