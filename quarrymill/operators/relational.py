@@ -46,14 +46,15 @@ def changed(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFr
 def suffix_match(findings: DataFrame, uri: str, paths: DataFrame, path: str, order: str) -> DataFrame:
     """findings with the first path (by order) that equals their uri or that it ends with after a '/'; null if none.
 
-    A uri is exploded into its own suffixes, so that paths are met by an equi-join and not by a nested loop.
+    A uri is exploded into its own suffixes, so that paths are met by an equi-join and not by a nested loop; findings of one
+    uri are asked about once, and met by it.
     """
-    keyed = findings.withColumn("_f", F.monotonically_increasing_id())
-    parts = F.split(F.col(uri), "/")
+    parts = F.split(F.col("_u"), "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    met = keyed.select("_f", F.explode(tails).alias(path)).join(paths.select(path, order), path)
-    first = met.groupBy("_f").agg(F.min_by(path, order).alias(path))
-    return keyed.join(first, "_f", "left").drop("_f")
+    asked = findings.select(F.col(uri).alias("_u")).distinct()
+    met = asked.select("_u", F.explode(tails).alias(path)).join(paths.select(path, order), path)
+    first = met.groupBy("_u").agg(F.min_by(path, order).alias(path))
+    return findings.join(first, findings[uri] == first["_u"], "left").drop("_u")
 
 
 def group_overlaps(values: DataFrame, group: str, value: str, groups: list[str]) -> DataFrame:

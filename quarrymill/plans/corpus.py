@@ -127,15 +127,23 @@ def contamination_contains(spark, sf_dir):
     return contains_pairs(docs, items).select("doc_id", "item_id")
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
 def contamination_exact(spark, sf_dir):
-    """Benchmark items and turns of conversations whose normal form is a document's, by semi-join on digests."""
-    form = F.sha2(normal_form(F.col("text")), 256).alias("h")
-    asked = _table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").cast("string").alias("id"), form)
-    turns = _table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("id"), form)
-    # a document's own words without its first one are asked for as well, and found where they stand alone
-    rest = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), form)
-    held = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(form, "source").distinct().groupBy("h").agg(F.count("*").alias("sources")).where("sources > 1")
-    return asked.unionByName(turns).unionByName(rest).join(held.select("h"), "h", "left_semi").select("kind", "id")
+    """Items of the benchmark, turns of conversations and planted copies whose normal form is a document's, by semi-join on digests.
+
+    Planted copies are of documents with labels: in capitals, with marks between the words, and where the label says
+    toxic with one word more, which no document has. An empty form is no match.
+    """
+    held = _table(spark, sf_dir, "documents").select(normal_form(F.col("text")).alias("form")).where("form <> ''").select(F.sha2("form", 256).alias("h"))
+    asked = _table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").cast("string").alias("id"), "text")
+    turns = _table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    copies = _table(spark, sf_dir, "labels").select("doc_id", "toxic").join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    more = F.when(F.col("toxic") == 1, " zzplanted").otherwise("")
+    planted = copies.select(F.lit("planted").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("<< "), F.replace(F.translate("text", _SMALL, _SMALL.upper()), F.lit(" "), F.lit(" - ")), more, F.lit(" >>")).alias("text"))
+    every = asked.unionByName(turns).unionByName(planted).select("kind", "id", F.sha2(normal_form(F.col("text")), 256).alias("h"))
+    return every.join(held, "h", "left_semi").select("kind", "id")
 
 
 def contamination_gate(spark, sf_dir):
@@ -265,9 +273,10 @@ def oracle_sql() -> dict[str, str]:
   FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())""",
         "language_counts": "SELECT ord, v.lang, count(d.doc_id) AS n FROM (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr'), (4, 'it')) v(ord, lang) LEFT JOIN documents d ON d.lang = v.lang GROUP BY 1, 2",
         "contamination_contains": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0",
-        "contamination_exact": f"""WITH h AS (SELECT sha256({_NORMAL}) AS h FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1),
-  a AS (SELECT 'item' AS kind, item_id::VARCHAR AS id, sha256({_NORMAL}) AS h FROM benchmark UNION ALL SELECT 'turn', conv_id || '/' || turn, sha256({_NORMAL}) FROM conversations
-  UNION ALL SELECT 'document', doc_id::VARCHAR, sha256({_NORMAL}) FROM documents WHERE text IS NOT NULL) SELECT kind, id FROM a WHERE h IN (SELECT h FROM h)""",
+        "contamination_exact": f"""WITH h AS (SELECT DISTINCT {_NORMAL} AS form FROM documents),
+  p AS (SELECT doc_id::VARCHAR AS id, '<< ' || replace(translate(text, '{_SMALL}', '{_SMALL.upper()}'), ' ', ' - ') || CASE WHEN toxic = 1 THEN ' zzplanted' ELSE '' END || ' >>' AS text FROM labels JOIN documents USING (doc_id)),
+  a AS (SELECT 'item' AS kind, item_id::VARCHAR AS id, {_NORMAL} AS form FROM benchmark UNION ALL SELECT 'turn', conv_id || '/' || turn, {_NORMAL} FROM conversations
+  UNION ALL SELECT 'planted', id, {_NORMAL} FROM p) SELECT kind, id FROM a WHERE form <> '' AND form IN (SELECT form FROM h)""",
         "contamination_gate": f"WITH {overlap}, g AS ({groups}), r AS (SELECT (SELECT CAST(sum(shared) AS BIGINT) FROM overlap) AS shared, (SELECT count(*) FROM g) AS repeated) SELECT *, shared = 0 AND repeated = 0 AS passed FROM r",
         "stratified_round_robin": """SELECT doc_id, lang, quality, turn FROM (SELECT doc_id, lang, quality, row_number() OVER (PARTITION BY lang, quality ORDER BY md5('42:' || doc_id), doc_id) AS turn
   FROM labels JOIN documents USING (doc_id)) ORDER BY turn, lang, quality LIMIT 60""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import code_columns as C
 from quarrymill.functions import text as X
 from quarrymill.operators import relational
-from quarrymill.plans import builder, evaluation, labs, runs, scoring, suites
+from quarrymill.plans import builder, evaluation, labs, repair, runs, scoring, suites
 from quarrymill.plans.evaluation import SAMPLES, binomial_sql, uniform_sql
 from quarrymill.sources import reports
 from quarrymill.streaming import predict, resume
@@ -104,7 +104,7 @@ def shard_progress(spark, sf_dir):
 def ordered_rows(spark, sf_dir):
     """Labels in the order of their documents' digests, as places."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("place"))
-    rows = relational.in_order(_table(spark, sf_dir, "labels").where("doc_id % 3 = 0").select("doc_id", "quality"), docs.where("doc_id % 2 = 0"), "doc_id", "place")
+    rows = relational.in_order(_table(spark, sf_dir, "labels").select("doc_id", "quality"), docs, "doc_id", "place")
     return C.number_rows(rows.join(docs, "doc_id"), ["place"], "%06d", "at").select("doc_id", "quality", "at")
 
 
@@ -147,6 +147,37 @@ def evaluate_run(spark, sf_dir):
     return report.join(F.broadcast(asked)).select("rows", "answers", "ids", "tp", "tn", "fp", "fn", *[F.round(c, 6).alias(c) for c in rates])  # one row each
 
 
+def code_of(docs):
+    """A file of Python for each document: which weak lines it has follows from the document's text."""
+    has = lambda pattern, line: F.when(F.coalesce(F.col("text").rlike(pattern), F.lit(False)), F.lit(line)).otherwise("")
+    body = F.concat(
+        F.lit("import ast\nimport os\nimport subprocess\n\n\ndef run_"), F.col("doc_id").cast("string"), F.lit("(value):\n    total = len(value)\n"),
+        has("ing", "    total = eval(value)\n"), has("sch", "    os.system(value)\n"), F.lit("    one = 1\n    two = 2\n    three = 3\n    four = 4\n"),
+        has("[0-9]", '    password = "never-to-be-told"\n'), F.lit("    return total, one, two, three, four\n"),
+    )
+    return docs.select(F.format_string("%09d.py", "doc_id").alias("path"), body.alias("content"))
+
+
+def _repaired(spark, sf_dir):
+    from quarrymill.scratch import scratch_path
+
+    files = code_of(_table(spark, sf_dir, "documents"))
+    return (files, *repair.repair(files, repair.RulePatcher(), scratch_path(spark, "repair")))
+
+
+def repair_attempts(spark, sf_dir):
+    """Every attempt at every finding of documents' files, by a predictor whose first answers fail for some."""
+    _, found, attempts, _ = _repaired(spark, sf_dir)
+    return attempts.join(found, "id").select("id", "file", F.col("check").alias("what"), "line", "attempt", "invalid_json", "accepted", F.substring_index("reason", ":", 1).alias("reason"))
+
+
+def repair_outcome(spark, sf_dir):
+    """What the loop leaves of all findings, and how many files it changed."""
+    files, found, attempts, after = _repaired(spark, sf_dir)
+    changed = after.join(files.withColumnRenamed("content", "was"), "path").agg(F.count_if(F.col("content") != F.col("was")).alias("changed_files"))
+    return repair.summary(files, found, attempts, after).join(F.broadcast(changed))  # one row each
+
+
 def sample_report(spark, sf_dir):
     """Samples from validation to static findings' rates."""
     rows = labs._samples(spark, sf_dir).drop("is_gap")
@@ -196,11 +227,23 @@ def event_windows(spark, sf_dir):
 def queries() -> dict:
     names = (
         benchmark_pairs, paired_compare, preflight, repo_outcomes, exported_findings, repo_scan, resume_samples, shard_progress, ordered_rows, base_selection, inventory, canonical_form, tree_digests,
-        evaluate_run, sample_report, suite_manifest, suite_validation, report_layouts, event_windows,
+        evaluate_run, repair_attempts, repair_outcome, sample_report, suite_manifest, suite_validation, report_layouts, event_windows,
     )
     return {f.__name__: f for f in names}
 
 
+#: Findings of documents' files with the round that settles them, and their attempts.
+_REPAIRS = """d AS (SELECT doc_id AS n, printf('%09d.py', doc_id) AS file, coalesce(text LIKE '%ing%', false) AS e, coalesce(text LIKE '%sch%', false) AS s, coalesce(regexp_matches(text, '[0-9]'), false) AS p FROM documents),
+  w AS (SELECT n, file, 'dynamic-execution' AS what, 8 AS line, CASE WHEN n % 2 = 1 THEN 1 ELSE 2 END AS settled FROM d WHERE e
+    UNION ALL SELECT n, file, 'os-system', 8 + e::INT, CASE WHEN n % 3 = 0 THEN 3 WHEN e AND n % 2 = 1 THEN 2 ELSE 1 END FROM d WHERE s
+    UNION ALL SELECT n, file, 'hardcoded-secret', 12 + e::INT + s::INT, 4 FROM d WHERE p),
+  i AS (SELECT *, row_number() OVER (ORDER BY file, line, what) AS k FROM w),
+  f AS (SELECT *, 'AST-' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END AS id FROM i),
+  a AS (SELECT *, attempt = settled AS accepted, what = 'dynamic-execution' AND attempt < settled AS invalid_json,
+    CASE WHEN attempt = settled THEN 'accepted' WHEN what = 'dynamic-execution' THEN 'no JSON object' WHEN what = 'os-system' THEN 'does not apply' ELSE 'no longer parses' END AS reason
+    FROM f, (SELECT unnest([1, 2, 3]) AS attempt) WHERE attempt <= settled)"""
+
+
 def oracle_sql() -> dict[str, str]:
     long = f"""{evaluation.FRAME}, long AS (SELECT stratum AS split, 'base' AS tag, id, coalesce(base = is_vulnerable, false) AS ok FROM frame UNION ALL
   SELECT stratum, 'final', id, coalesce(final = is_vulnerable, false) FROM frame UNION ALL SELECT stratum, 'third', id, is_vulnerable = (id % 3 = 0) FROM frame WHERE id % 13 <> 0)"""
@@ -245,7 +288,7 @@ UNION ALL SELECT NULL, file, 'syntax error', NULL FROM f WHERE k = 2""",
         "resume_samples": "SELECT j::INT AS sample_index, count(*) AS pending FROM labels, range(3) r(j) WHERE (doc_id + j) % 4 = 0 GROUP BY 1",
         "shard_progress": """WITH d AS (SELECT doc_id % 8 AS shard, doc_id IN (SELECT doc_id FROM labels) AS done FROM documents)
 SELECT r.s::INT AS shard, count(d.shard) AS expected, count(*) FILTER (done) AS done FROM range(8) r(s) LEFT JOIN d ON d.shard = r.s GROUP BY 1""",
-        "ordered_rows": """SELECT doc_id, quality, lpad((row_number() OVER (ORDER BY md5(doc_id::VARCHAR)))::VARCHAR, 6, '0') AS at FROM labels JOIN documents USING (doc_id) WHERE doc_id % 6 = 0""",
+        "ordered_rows": """SELECT doc_id, quality, lpad((row_number() OVER (ORDER BY md5(doc_id::VARCHAR)))::VARCHAR, 6, '0') AS at FROM labels JOIN documents USING (doc_id)""",
         "base_selection": "SELECT n_name AS model_id FROM nation WHERE n_regionkey = 1 AND n_name IN ('NATION_7', 'NATION_16', 'NATION_11') ORDER BY CASE n_name WHEN 'NATION_7' THEN 0 WHEN 'NATION_16' THEN 1 ELSE 2 END LIMIT 1",
         "inventory": """SELECT source, count(*) AS files, count(*) FILTER (doc_id % 2 = 0) AS python_files,
   CAST(coalesce(sum(len(text) - len(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END), 0) AS BIGINT) AS lines FROM documents GROUP BY 1""",
@@ -254,6 +297,10 @@ SELECT r.s::INT AS shard, count(d.shard) AS expected, count(*) FILTER (done) AS
 SELECT tree, sha256(string_agg(path || chr(0) || content, '' ORDER BY path)) AS raw_sha256, sha256(string_agg(path || '{"d":"' || path || '","n":' || n || '}', '' ORDER BY path)) AS json_sha256 FROM d GROUP BY 1""",
         "evaluate_run": f"""WITH {records} SELECT count(*) AS rows, count(*) AS answers, count(*) AS ids, 0 AS tp, count(*) FILTER (NOT v) AS tn, 0 AS fp, count(*) FILTER (v) AS fn, 1.0::DOUBLE AS schema_valid_rate,
   round(coalesce(avg((NOT v)::INT), 0), 6) AS classification_correct_rate, 1.0::DOUBLE AS fixed_code_parseable_rate, CASE WHEN count(*) FILTER (NOT v) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS negative_preserved_rate, 0.0::DOUBLE AS overpatch_rate FROM r""",
+        "repair_attempts": f"""WITH {_REPAIRS} SELECT id, file, what, line, attempt, invalid_json, accepted, reason FROM a""",
+        "repair_outcome": f"""WITH {_REPAIRS} SELECT (SELECT count(*) FROM documents) AS python_files, (SELECT count(*) FROM f) AS ast_findings, (SELECT count(*) FROM f WHERE settled > 3) AS final_ast_findings,
+  (SELECT count(*) FROM f WHERE settled <= 3) AS accepted_patches, (SELECT count(*) FROM f WHERE settled > 3) AS rejected_patches, (SELECT count(*) FROM a) AS attempts,
+  (SELECT count(DISTINCT n) FROM f WHERE settled <= 3) AS changed_files""",
         "sample_report": f"""WITH {samples}, c AS (SELECT count(DISTINCT doc_id) AS prompts, count(*) AS scored, avg((doc_id % 20 <> 10 AND x % 3 = 0)::INT) AS f FROM s),
   t AS (SELECT (doc_id + j) % 4 AS n FROM s WHERE doc_id % 3 <> 0)
 SELECT prompts, scored, round(f, 9) AS functional_rate, (SELECT round(avg((n = 0)::INT), 9) FROM t) AS finding_free_rate, (SELECT round(avg((n > 0)::INT), 9) FROM t) AS direct_finding_rate,
