@@ -7,7 +7,8 @@ of a restaurant the number of tables is drawn given all else, in steps of all sc
 numbers (exact up to STIRLING customers, beyond by their saddle point), from likely numbers on. A pair's probability is
 the average of its predictive probability over the last SAMPLES rounds; a text's score is the sum of their logarithms.
 
-How it is spread. Counts of pairs go to buckets of contexts as packed arrays, summed by task before. In each round a
+How it is spread. Counts of pairs go to buckets of contexts as packed arrays, summed by task before; beyond ROUTES
+buckets all that is sent goes in two steps (routing.py), so a token costs the same however many buckets there are. In each round a
 bucket seats its restaurants and sends each word's tables to the word's owner, who adds them up, seats the root's part
 and answers the buckets that asked. Then tokens go to the buckets and sums of logarithms come back to documents. The
 FREQUENT commonest words are broadcast with their counts (a bound that does not grow with the data), so that tokens
@@ -41,6 +42,7 @@ from quarrymill.llm import textkernel as tk
 from quarrymill.llm.common import partitions
 from quarrymill.llm.langid import held_out
 from quarrymill.llm.packing import pack, release, runs, unpack
+from quarrymill.llm.routing import ROUTES, ROWS, Router, row_batches, table
 from quarrymill.scratch import forget, materialize
 
 #: Commonest words, which every task knows; a pair that is such a part of all tokens (2 to the minus) is known as well.
@@ -49,6 +51,8 @@ FREQUENT, HOT_PAIR_LOG2 = 262_143, 17
 HOT_CUSTOMERS = 200_000
 #: Tokens held by a task before it sorts and sends them.
 HELD = 700_000
+#: Bytes of text whose words one task adds up.
+WORD_BYTES = 64 << 20
 #: Tokens of a bucket.
 BUCKET_TOKENS = 600_000
 #: Discount and strength of contexts and root.
@@ -62,24 +66,15 @@ _RARE = _U(1) << _U(63)
 _END = int(tk.mix(np.array([0x5EED], np.uint64))[0])
 _UNIT = 1e8
 
-_ROWS = "key long, kind int, data binary"
-_PAIRS, _STATE, _ONCE, _SUMS, _CONTEXT, _HOT, _ANSWER, _COMMON, _TOTAL, _TOKENS, _SCORES, _DOCS = range(12)
+_PAIRS, _STATE, _ONCE, _SUMS, _CONTEXT, _HOT, _COMMON, _TOTAL, _TOKENS, _SCORES, _DOCS = range(11)
+_ANSWER = 100  # and the round
 
 
-def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(rows), 128):
-        yield pa.RecordBatch.from_arrays(list(_table(rows[k : k + 128]).combine_chunks().columns[i].chunk(0) for i in range(3)), ["key", "kind", "data"])
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    key, kind, data = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.Table.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["key", "kind", "data"])
-
-
-def _of_kind(table: pa.Table) -> dict[int, list[list[np.ndarray]]]:
+def _of_kind(group: pa.Table) -> dict[int, list[list[np.ndarray]]]:
+    """Arrays of each row, by kind: records of a kind that is sent, or what was packed."""
     out: dict[int, list[list[np.ndarray]]] = {}
-    for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
-        out.setdefault(kind, []).append(unpack(data))
+    for kind, data in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True):
+        out.setdefault(kind, []).append(_CODECS[kind][1](data) if kind in _CODECS else unpack(data))
     return out
 
 
@@ -99,6 +94,62 @@ def _long(short: np.ndarray, rare: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed_pairs(u, w, c, also) -> bytes:
+    return pack(*_short(u), *_short(w), c.astype(np.uint32), also, raw=(1, 3))
+
+
+def _pairs_of(data: bytes) -> list[np.ndarray]:
+    us, ur, ws, wr, c, also = unpack(data)
+    return [_long(us, ur), _long(ws, wr), c, also]
+
+
+def _packed_sums(source, word, customers, tables) -> bytes:
+    return pack(source, *_short(word), customers, tables, raw=(2,))
+
+
+def _sums_of(data: bytes) -> list[np.ndarray]:
+    source, short, rare, *rest = unpack(data)
+    return [source, _long(short, rare), *rest]
+
+
+def _packed_answer(word, *facts) -> bytes:
+    return pack(word, *facts, raw=(0,))
+
+
+def _packed_tokens(part, doc, learn, u, w) -> bytes:
+    at, n = _texts(part, doc)
+    return pack(part[at], np.diff(doc[at], prepend=np.uint32(0)), learn[at], n.astype(np.uint32), *_short(u), *_short(w), raw=(5, 7))
+
+
+def _tokens_of(data: bytes) -> list[np.ndarray]:
+    part, steps, learn, n, us, ur, ws, wr = unpack(data)
+    doc = np.cumsum(steps, dtype=np.uint32)
+    return [np.repeat(part, n), np.repeat(doc, n), np.repeat(learn, n), _long(us, ur), _long(ws, wr)]
+
+
+def _packed_scores(doc, *sums) -> bytes:
+    return pack(np.diff(doc, prepend=np.uint32(0)), *sums)
+
+
+def _scores_of(data: bytes) -> list[np.ndarray]:
+    steps, *sums = unpack(data)
+    return [np.cumsum(steps, dtype=np.uint32), *sums]
+
+
+def _texts(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of one text's tokens begins, and how long it is."""
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.flatnonzero((part[1:] != part[:-1]) | (doc[1:] != doc[:-1])) + 1])
+    return at, np.diff(np.append(at, len(doc)))
+
+
+_CODECS = {
+    _PAIRS: (_packed_pairs, _pairs_of), _SUMS: (_packed_sums, _sums_of), _CONTEXT: (pack, unpack), _TOKENS: (_packed_tokens, _tokens_of),
+    _SCORES: (_packed_scores, _scores_of), **{_ANSWER + k: (_packed_answer, unpack) for k in range(ROUNDS)},
+}
+
+
 def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return tk.mix(tk.mix(u) + w * _U(0x9E3779B97F4A7C15))
 
@@ -164,7 +215,9 @@ class _Sizes:
 
 def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, _Sizes]:
     """The commonest words of the training texts, and sizes. All texts are counted; `most` words reach the driver."""
-    buckets = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-int(size) // WORD_BYTES))
+    router = Router(_CODECS, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, total = [], 0, 0
@@ -173,8 +226,7 @@ def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, _Sizes]
             words = np.sort(np.concatenate(held))
             at, n = runs(words)
             words = words[at]
-            order, cut = tk.parts_of((words % _U(buckets)).astype(np.int64), buckets)
-            yield from _batches([(b, 0, pack(words[m], n[m].astype(np.uint32), raw=(0,))) for b in range(buckets) if len(m := order[cut[b] : cut[b + 1]])])
+            yield from row_batches(router.send(_ANSWER, (words % _U(buckets)).astype(np.int64), words, n.astype(np.uint32)))
 
         for batch in batches:
             learn = _flags(batch)
@@ -187,12 +239,12 @@ def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, _Sizes]
                     held, size = [], 0
         if size:
             yield from send()
-        yield from _batches([(0, 1, pack(np.array([total])))])
+        yield from row_batches([(TaskContext.get().partitionId() % buckets, _TOTAL, pack(np.array([total])))])
 
-    def top(table: pa.Table) -> pa.Table:
-        found = _of_kind(table)
-        tokens = sum(int(x[0][0]) for x in found.get(1, []))
-        words, n = _joined(found[0]) if 0 in found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    def top(rows: pa.Table) -> pa.Table:
+        found = _of_kind(rows)
+        tokens = sum(int(x[0][0]) for x in found.get(_TOTAL, []))
+        words, n = _joined(found[_ANSWER]) if _ANSWER in found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         order = np.argsort(words)
         at, _ = runs(words[order])
         total = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
@@ -203,8 +255,8 @@ def common_words(docs: DataFrame, most: int = FREQUENT) -> tuple[_Words, _Sizes]
         kind = np.concatenate([np.zeros(len(best), np.int32), np.arange(1, 4, dtype=np.int32)])
         return pa.Table.from_arrays([pa.array(word), pa.array(count), pa.array(kind)], ["word", "n", "kind"])
 
-    sent = docs.select("text", "held_out").mapInArrow(count, _ROWS)
-    found = materialize(sent.groupBy("key").applyInArrow(top, "word long, n long, kind int"), "common")
+    sent = docs.select("text", "held_out").mapInArrow(count, ROWS)
+    found = materialize(router.delivered(sent).groupBy("key").applyInArrow(top, "word long, n long, kind int"), "common")
     sums = {r.kind: int(r.n) for r in found.where("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     rows = found.where("kind = 0").orderBy(F.desc("n"), "word").limit(most).toArrow()
     words = rows.column("word").to_numpy().view(np.uint64)
@@ -341,7 +393,7 @@ def _bucket(u: np.ndarray, pair: np.ndarray, buckets: int, n_hot: int) -> np.nda
     return (np.where(u < n_hot, pair, tk.mix(u)) % _U(buckets)).astype(np.int64)
 
 
-def _count_pairs(words: _Words, buckets: int, n_hot: int):
+def _count_pairs(words: _Words, buckets: int, n_hot: int, router: Router):
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         u, w, learn = (np.concatenate(x) for x in zip(*held, strict=True))
         pair = _pair(u, w)
@@ -350,14 +402,7 @@ def _count_pairs(words: _Words, buckets: int, n_hot: int):
         c = np.add.reduceat(learn[order].astype(np.int64), at)
         first = order[at]
         u, w, pair, also = u[first], w[first], pair[first], c < n
-        order, cut = tk.parts_of(_bucket(u, pair, buckets, n_hot), buckets)
-        rows = []
-        for b in range(buckets):
-            m = order[cut[b] : cut[b + 1]]
-            if len(m):
-                (us, ur), (ws, wr) = _short(u[m]), _short(w[m])
-                rows.append((b, _PAIRS, pack(us, ur, ws, wr, c[m].astype(np.uint32), also[m], raw=(1, 3))))
-        yield from _batches(rows)
+        yield from row_batches(router.send(_PAIRS, _bucket(u, pair, buckets, n_hot), u, w, c, also))
         del u, w, learn, pair, order
         release()
 
@@ -422,37 +467,24 @@ class _Bucket:
         out[hot] = hot_tables[self.contexts[hot].astype(np.int64)]
         return out
 
-    def messages(self, key: int, buckets: int, n_hot: int) -> list[tuple]:
+    def messages(self, key: int, buckets: int, n_hot: int, router: Router) -> list[tuple]:
         """Words' customers and tables for their owners, and hot contexts' tables for theirs."""
+        owner = lambda ids: (tk.mix(ids) % _U(buckets)).astype(np.int64)
         tables = self.word_single + np.bincount(self.word_of, self.t[-1], len(self.words)).astype(np.int64)
-        rows = []
-        order, cut = tk.parts_of((tk.mix(self.words) % _U(buckets)).astype(np.int64), buckets)
-        for b in range(buckets):
-            m = order[cut[b] : cut[b + 1]]
-            if len(m):
-                short, rare = _short(self.words[m])
-                rows.append((b, _SUMS, pack(np.array([key]), short, rare, self.word_customers[m], tables[m], raw=(2,))))
+        rows = router.send(_SUMS, owner(self.words), np.full(len(self.words), key), self.words, self.word_customers, tables)
         hot = np.flatnonzero(self.contexts < n_hot)
-        order, cut = tk.parts_of((tk.mix(self.contexts[hot]) % _U(buckets)).astype(np.int64), buckets)
-        tables = self.tables(self.t[-1])
-        for b in range(buckets):
-            m = hot[order[cut[b] : cut[b + 1]]]
-            if len(m):
-                rows.append((b, _CONTEXT, pack(self.contexts[m].astype(np.int64), tables[m])))
-        return rows
+        return rows + router.send(_CONTEXT, owner(self.contexts[hot]), self.contexts[hot].astype(np.int64), self.tables(self.t[-1])[hot])
 
 
-def _seat(words: _Words, sizes: _Sizes, buckets: int, n_hot: int):
+def _seat(words: _Words, sizes: _Sizes, buckets: int, n_hot: int, router: Router):
     """Round 0 of a bucket's restaurants, from pairs on."""
     share = words.counts / max(1, sizes.n_train)
     rare_share = float(share[-1]) / 2 if len(share) else 1.0
     hot_tables = words.counts[:n_hot] ** 0.8  # a guess for this round; the next has their sum
 
-    def run(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        parts = [[_long(x[0], x[1]), _long(x[2], x[3]), x[4], x[5]] for x in _of_kind(table)[_PAIRS]]
-        u, w, c, also = _joined(parts)
-        del parts
+    def run(group: pa.Table) -> pa.Table:
+        key = group.column("key")[0].as_py()
+        u, w, c, also = _joined(_of_kind(group)[_PAIRS])
         pair = _pair(u, w)
         order = np.argsort(pair)
         pair = pair[order]
@@ -480,28 +512,28 @@ def _seat(words: _Words, sizes: _Sizes, buckets: int, n_hot: int):
         where = (held.c, held.of, guess, DISCOUNT, STRENGTH, held.single.astype(float), frozen)
         t = seated(*where)
         held.t = [gibbs(held.c, t, *where[1:], pair[free], 0, SWEEPS, t)]
-        rows = [(key, _STATE, held.pack()), (key, _ONCE, pack(once, raw=(0,))), *held.messages(key, buckets, n_hot)]
+        rows = [(key, _STATE, held.pack()), (key, _ONCE, pack(once, raw=(0,))), *held.messages(key, buckets, n_hot, router)]
         release()
-        return _table(rows)
+        return table(rows)
 
     return run
 
 
-def _reseat(model, k: int, buckets: int):
+def _reseat(model, k: int, buckets: int, router: Router):
     """Round k of a bucket's restaurants, given the root of the round before."""
     last = k == ROUNDS - 1
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
         m: Model = model.value
-        found = _of_kind(table)
+        found = _of_kind(group)
         if _STATE not in found:  # no pair of the bucket was ever seen in training
-            return _table([])
-        key, held = table.column("key")[0].as_py(), _Bucket.unpack(found[_STATE][0])
-        root = m.root_of_words(held.words, m.answered(found.get(_ANSWER, []), k - 1), k - 1)
+            return table([])
+        key, held = group.column("key")[0].as_py(), _Bucket.unpack(found[_STATE][0])
+        root = m.root_of_words(held.words, m.answered(found.get(_ANSWER + k - 1, []), k - 1), k - 1)
         t, pair = held.t[-1], held.pairs
         where = (held.of, root[held.word_of], DISCOUNT, STRENGTH, held.single.astype(float), held.frozen(m.context_tables[k - 1]))
         held.t = [*held.t[-SAMPLES + 1 :], gibbs(held.c, t, *where, pair, k, SWEEPS, t)]
-        rows = [(key, _STATE, held.pack()), *held.messages(key, buckets, m.n_hot)]
+        rows = [(key, _STATE, held.pack()), *held.messages(key, buckets, m.n_hot, router)]
         if last:
             u, w = np.repeat(held.contexts, held.n_free), held.words[held.word_of]
             hot = np.flatnonzero((u < _RARE) & (w < _RARE) & (held.c >= max(16, m.n_train >> HOT_PAIR_LOG2)))
@@ -509,7 +541,7 @@ def _reseat(model, k: int, buckets: int):
                 tables = [held.tables(t)[held.of[hot]] for t in held.t]
                 rows.append((key, _HOT, pack(pair[hot], u[hot], w[hot], held.c[hot], *[t[hot] for t in held.t], *tables, raw=(0,))))
         release()
-        return _table(rows)
+        return table(rows)
 
     return run
 
@@ -526,21 +558,18 @@ def root_tables(word: np.ndarray, customers: np.ndarray, k: int, total: float, v
     return out
 
 
-def _own(buckets: int, k: int, total: float, vocabulary: int):
+def _own(k: int, total: float, vocabulary: int, router: Router):
     """A word's owner: its customers at the root and its tables there, for the buckets that have the word."""
 
-    def run(table: pa.Table) -> pa.Table:
-        key, found = table.column("key")[0].as_py(), _of_kind(table)
+    def run(group: pa.Table) -> pa.Table:
+        key, found = group.column("key")[0].as_py(), _of_kind(group)
         rows = []
         if _CONTEXT in found:
             context, tables = _joined(found[_CONTEXT])
             names, at = np.unique(context, return_inverse=True)
             rows.append((key, _CONTEXT, pack(names, np.bincount(at, tables).astype(np.int64))))
         if _SUMS in found:
-            parts = [(x[0][0], _long(x[1], x[2]), x[3:]) for x in found[_SUMS]]
-            source = np.concatenate([np.full(len(w), s, np.int64) for s, w, _ in parts])
-            word = np.concatenate([w for _, w, _ in parts])
-            sums = _joined([x for _, _, x in parts])
+            source, word, *sums = _joined(found[_SUMS])
             order = np.lexsort((source, word))
             source, word, sums = source[order], word[order], [x[order] for x in sums]
             at, n = runs(word)
@@ -548,19 +577,14 @@ def _own(buckets: int, k: int, total: float, vocabulary: int):
             count, customers = (np.add.reduceat(x, at) for x in sums)
             word = word[at]
             tables = root_tables(word, customers, k, total, vocabulary)
-            rows.append((key, _TOTAL, pack(np.array([customers.sum(), tables.sum()], np.int64))))
+            rows.append((key, _TOTAL, pack(np.array([customers.sum()], np.int64), np.array([tables.sum()], np.int64))))
             rare = word >= _RARE
             if not rare.all():
                 rows.append((key, _COMMON, pack(*[x[~rare].astype(np.int64) for x in (word, count, customers, tables)])))
             asked = rare[of]
-            source, of = source[asked], of[asked]
-            order, cut = tk.parts_of(source, buckets)
-            of = of[order]
-            for b in range(buckets):
-                m = of[cut[b] : cut[b + 1]]
-                if len(m):
-                    rows.append((b, _ANSWER, pack(np.array([k]), word[m], count[m], customers[m], tables[m], raw=(1,))))
-        return _table(rows)
+            of = of[asked]
+            rows += router.send(_ANSWER + k, source[asked], word[of], count[of], customers[of], tables[of])
+        return table(rows)
 
     return run
 
@@ -588,10 +612,9 @@ class Model:
 
     def answered(self, answers: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of words that owners told of in round k, in order: their hashes, training counts, and the root's probabilities."""
-        mine = [x[1:] for x in answers if x[0][0] == k]
-        if not mine:
+        if not answers:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-        word, count, customers, tables = _joined(mine)
+        word, count, customers, tables = _joined(answers)
         order = np.argsort(word)
         return word[order], count[order], self.root_of(customers, tables, k)[order]
 
@@ -622,45 +645,55 @@ SAMPLED = range(ROUNDS - SAMPLES, ROUNDS)
 
 
 def _collected(found: DataFrame, kind: int) -> list[list[np.ndarray]]:
-    """Rows of a kind whose number and size are bounded by a parameter or by the number of buckets."""
-    return [unpack(bytes(r.data)) for r in found.where(F.col("kind") == kind).select("data").collect()]
+    """Rows of a kind whose content is bounded by a parameter, put together in tasks first: the driver gets 64 at most."""
+
+    def merged(group: pa.Table) -> pa.Table:
+        parts = _of_kind(group)[kind]
+        joined = [x.sum(keepdims=True) for x in _joined(parts)] if kind == _TOTAL else _joined(parts)
+        return table([(group.column("key")[0].as_py(), kind, pack(*joined))])
+
+    rows = found.where(F.col("kind") == kind)
+    for groups in (4096, 64):
+        rows = rows.select((F.pmod("key", F.lit(groups))).alias("key"), "kind", "data").groupBy("key").applyInArrow(merged, ROWS)
+    return [unpack(bytes(r.data)) for r in rows.select("data").collect()]
 
 
-def train(docs: DataFrame, frequent: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS, hot_customers: int = HOT_CUSTOMERS) -> tuple[Model, DataFrame, int]:
-    """The model from docs (text, held_out): what tasks know, and rows for buckets. frequent: words to broadcast, at most FREQUENT."""
+def train(docs: DataFrame, frequent: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS, hot_customers: int = HOT_CUSTOMERS, routes: int = ROUTES) -> tuple[Model, DataFrame, Router]:
+    """The model from docs (text, held_out): what tasks know, rows for buckets, and what sends to them. frequent: words to broadcast, at most FREQUENT."""
     spark = docs.sparkSession
     words, sizes = common_words(docs, frequent)
     buckets = max(1, -(-sizes.tokens // bucket_tokens))
+    router = Router(_CODECS, buckets, routes)
     n_hot = int((words.counts >= hot_customers).sum())
     n = len(words.counts)
     model = Model(
         words, sizes.n_train, sizes.vocabulary, n_hot, np.zeros(ROUNDS), np.zeros(ROUNDS), words.counts.astype(np.int64),
         np.zeros((ROUNDS, n)), np.zeros((ROUNDS, n_hot)), np.zeros(0, np.uint64), np.zeros(0, np.int64),
     )
-    pairs = docs.select("text", "held_out").mapInArrow(_count_pairs(words, buckets, n_hot), _ROWS)
-    seats = pairs.groupBy("key").applyInArrow(_seat(words, sizes, buckets, n_hot), _ROWS)
+    pairs = docs.select("text", "held_out").mapInArrow(_count_pairs(words, buckets, n_hot, router), ROWS)
+    seats = router.delivered(pairs).groupBy("key").applyInArrow(_seat(words, sizes, buckets, n_hot, router), ROWS)
     total, answers, once, before = 1.3 * sizes.vocabulary, [], None, []
     for k in range(ROUNDS):
         seats = materialize(seats, "seated")
-        for table in before:  # of the round before, which is settled
-            forget(table)
+        for settled in before:  # of the round before
+            forget(settled)
         if once is None:
             once = materialize(seats.where(F.col("kind") == _ONCE), "once")
         sums = seats.where(F.col("kind").isin(_SUMS, _CONTEXT))
-        owned = materialize(sums.groupBy("key").applyInArrow(_own(buckets, k, total, sizes.vocabulary), _ROWS), "owned")
+        owned = materialize(router.delivered(sums).groupBy("key").applyInArrow(_own(k, total, sizes.vocabulary, router), ROWS), "owned")
         before = [seats] if k in SAMPLED else [seats, owned]
-        model.root_customers[k], model.root_tables[k] = np.sum([x[0] for x in _collected(owned, _TOTAL)] or [np.zeros(2)], axis=0)
+        model.root_customers[k], model.root_tables[k] = np.sum([[x[0][0], x[1][0]] for x in _collected(owned, _TOTAL)] or [np.zeros(2)], axis=0)
         total = float(model.root_tables[k])
         if common := _collected(owned, _COMMON):
             rank, _, customers, tables = _joined(common)
             model.root[k, rank] = model.root_of(customers, tables, k)
         for names, tables in _collected(owned, _CONTEXT):
             model.context_tables[k, names] = tables
-        answers.append(owned.where(F.col("kind") == _ANSWER))
+        answers.append(owned.where(F.col("kind") == _ANSWER + k))
         state = seats.where(F.col("kind") == _STATE)
         if k + 1 < ROUNDS:
             shared = spark.sparkContext.broadcast(model)
-            seats = state.unionByName(answers[-1]).groupBy("key").applyInArrow(_reseat(shared, k + 1, buckets), _ROWS)
+            seats = state.unionByName(router.delivered(answers[-1])).groupBy("key").applyInArrow(_reseat(shared, k + 1, buckets, router), ROWS)
     if hot := _collected(seats, _HOT):
         pair, u, w, c, *rest = _joined(hot)
         order = np.argsort(pair)
@@ -672,8 +705,8 @@ def train(docs: DataFrame, frequent: int = FREQUENT, bucket_tokens: int = BUCKET
         model.hot_pairs, model.hot_logs = pair, model.log(c, rest[:SAMPLES], model.counts[u], tables, [model.root[k, w] for k in SAMPLED])
     rows = state.unionByName(once)
     for k in SAMPLED:
-        rows = rows.unionByName(answers[k])
-    return model, rows, buckets
+        rows = rows.unionByName(router.delivered(answers[k]))
+    return model, rows, router
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -684,18 +717,17 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _sums(doc: np.ndarray, values: list[np.ndarray], part: int) -> tuple:
-    """Values summed by document (doc ascends), as a row for the part that the documents are of."""
-    at, _ = runs(doc)
-    sums = [np.add.reduceat(v, at) if len(at) else v for v in values]
-    return part, _SCORES, pack(np.diff(doc[at], prepend=0).astype(np.uint32), *sums)
+def _sums(part: np.ndarray, doc: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """part, doc and values summed by text, whose tokens stand together."""
+    at, _ = _texts(part, doc)
+    return [part[at], doc[at].astype(np.uint32), *(np.add.reduceat(v, at) if len(at) else v for v in values)]
 
 
 #: Keys of parts (documents that a task sent together) lie beyond those of buckets.
 _PART = 1 << 40
 
 
-def _send_tokens(model, buckets: int):
+def _send_tokens(model, buckets: int, router: Router):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         task = TaskContext.get().partitionId()
@@ -706,7 +738,7 @@ def _send_tokens(model, buckets: int):
             # a retried task reads the same rows and so makes the same parts
             part = _PART + (task << 20) + sent
             u, w, n, ids, known, learn = (np.concatenate(x) for x in zip(*held, strict=True))
-            doc = np.repeat(np.arange(len(n)), n)
+            doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
             pair = _pair(u, w)
             common = w < _RARE
             c = m.counts[w[common].astype(np.int64)]
@@ -714,20 +746,12 @@ def _send_tokens(model, buckets: int):
             seen[common], base[common] = c > 0, m.base(c)
             at, hot = _find(m.hot_pairs, pair)
             log = np.where(hot, m.hot_logs[at], 0) if len(m.hot_pairs) else np.zeros(len(w), np.int64)
-            rows = [(part, _DOCS, pack(ids, known, learn, n)), _sums(doc, [seen, base, log], part)]
+            parts = np.full(len(w), part)
+            rows = [(part, _DOCS, pack(ids, known, learn, n)), (part, _SCORES, _packed_scores(*_sums(parts, doc, [seen, base, log])[1:]))]
             rest = np.flatnonzero(~hot)
-            order, cut = tk.parts_of(_bucket(u[rest], pair[rest], buckets, m.n_hot), buckets)
-            rest = rest[order]
-            for b in range(buckets):
-                mine = rest[cut[b] : cut[b + 1]]
-                if len(mine):
-                    (us, ur), (ws, wr) = _short(u[mine]), _short(w[mine])
-                    start, count = runs(doc[mine])
-                    d = doc[mine][start]
-                    data = pack(np.array([part]), np.diff(d, prepend=0).astype(np.uint32), learn[d], count.astype(np.uint32), us, ur, ws, wr, raw=(5, 7))
-                    rows.append((b, _TOKENS, data))
-            yield from _batches(rows)
-            del u, w, n, doc, pair, rest, order
+            rows += router.send(_TOKENS, _bucket(u[rest], pair[rest], buckets, m.n_hot), parts[rest], doc[rest], learn[doc[rest]], u[rest], w[rest])
+            yield from row_batches(rows)
+            del u, w, n, doc, pair, rest, parts
             release()
 
         for batch in batches:
@@ -749,12 +773,12 @@ def _send_tokens(model, buckets: int):
     return run
 
 
-def _score_bucket(model):
-    def run(table: pa.Table) -> pa.Table:
+def _score_bucket(model, router: Router):
+    def run(group: pa.Table) -> pa.Table:
         m: Model = model.value
-        if table.column("key")[0].as_py() >= _PART:  # a part's documents and sums wait for the rest
-            return table.select(["key", "kind", "data"])
-        found = _of_kind(table)
+        if group.column("key")[0].as_py() >= _PART:  # a part's documents and sums wait for the rest
+            return group.select(["key", "kind", "data"])
+        found = _of_kind(group)
         rows = []
         empty = np.zeros(0, np.uint64)
         names, customers, tables = empty, empty, [empty] * SAMPLES
@@ -771,11 +795,9 @@ def _score_bucket(model):
         pairs, pair_c, seats = np.concatenate(pairs), np.concatenate(pair_c), [np.concatenate(x) for x in seats]
         order = np.argsort(pairs)
         pairs, pair_c, seats = pairs[order], pair_c[order], [x[order] for x in seats]
-        answered = [m.answered(found.get(_ANSWER, []), k) for k in SAMPLED]
+        answered = [m.answered(found.get(_ANSWER + k, []), k) for k in SAMPLED]
         word, word_c, _ = answered[-1]
-        for part, docs, learn, n, us, ur, ws, wr in found.get(_TOKENS, []):
-            u, w = _long(us, ur), _long(ws, wr)
-            doc, learn = np.repeat(np.cumsum(docs.astype(np.int64)), n), np.repeat(learn, n)
+        for part, doc, learn, u, w in found.get(_TOKENS, []):
             at, there = _find(pairs, _pair(u, w))
             # a training text's pair that is not in the model occurs there and nowhere else
             alone = learn.astype(np.int64)
@@ -800,9 +822,10 @@ def _score_bucket(model):
                 r[rare] = np.where(there, known_root[2][at], unknown) if len(word) else unknown
             known, base = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
             known[rare], base[rare] = cw > 0, m.base(cw)
-            rows.append(_sums(doc, [known, base, m.log(c, t, cu, tu, root)], int(part[0])))
+            part, *sums = _sums(part, doc, [known, base, m.log(c, t, cu, tu, root)])
+            rows += router.send(_SCORES, part, *sums)
         release()
-        return _table(rows)
+        return table(rows)
 
     return run
 
@@ -813,14 +836,13 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 def _gather(n_train: int):
     """A part's documents, and what all buckets have of them."""
 
-    def run(table: pa.Table) -> pa.Table:
-        found = _of_kind(table)
+    def run(group: pa.Table) -> pa.Table:
+        found = _of_kind(group)
         ids, known, learn, n = found[_DOCS][0]
         sums = [np.zeros(len(n), np.int64) for _ in range(3)]
-        for docs, *values in found[_SCORES]:
-            where = np.cumsum(docs.astype(np.int64))
+        for where, *values in found[_SCORES]:
             for s, v in zip(sums, values, strict=True):
-                s[where] += v
+                np.add.at(s, where, v)
         columns = [
             pa.array(ids, mask=~known), pa.array(~learn), pa.array(n.astype(np.int64)), pa.array(sums[0]),
             pa.array(np.full(len(n), n_train, np.int64)), pa.array(sums[1] / _UNIT), pa.array(sums[2] / _UNIT),
@@ -833,10 +855,10 @@ def _gather(n_train: int):
 def score(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text, held_out)."""
     spark = docs.sparkSession
-    model, rows, buckets = train(docs, **options)
+    model, rows, router = train(docs, **options)
     shared = spark.sparkContext.broadcast(model)
-    sent = docs.select("doc_id", "text", "held_out").mapInArrow(_send_tokens(shared, buckets), _ROWS)
-    scored = sent.unionByName(rows).groupBy("key").applyInArrow(_score_bucket(shared), _ROWS)
+    sent = router.delivered(docs.select("doc_id", "text", "held_out").mapInArrow(_send_tokens(shared, router.receivers, router), ROWS))
+    scored = router.delivered(sent.unionByName(rows).groupBy("key").applyInArrow(_score_bucket(shared, router), ROWS))
     return scored.groupBy("key").applyInArrow(_gather(model.n_train), _OUT)
 
 

@@ -159,7 +159,7 @@ def named(docs: DataFrame, doc: str, tie: str) -> DataFrame:
     return docs.withColumn(tie, F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.pmod(digest, F.lit((1 << 31) - 2))).cast("int"))
 
 
-_GRAMS = "gram long, doc long, tie int, start long, n int, inner boolean"
+_GRAMS = "gram long, doc long, tie int, start int, n int, inner boolean"
 _SPANS = f"{_GRAMS}, many boolean, high long, low long, text binary"
 
 
@@ -176,7 +176,7 @@ def _grams(plan: Plan):
                 gram, of, start, n, inner = pick(text.grams(plan.levels[0]), text.bounds, plan.levels[0], plan.width)
                 if len(gram):
                     at = pa.array(of)
-                    arrays = [pa.array(gram.view(np.int64)), doc[rows].take(at), tie[rows].take(at), pa.array(start - text.bounds[of]), pa.array(n, pa.int32()), pa.array(inner)]
+                    arrays = [pa.array(gram.view(np.int64)), doc[rows].take(at), tie[rows].take(at), pa.array(start - text.bounds[of], pa.int32()), pa.array(n, pa.int32()), pa.array(inner)]
                     yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc", "tie", "start", "n", "inner"])
             release()
 
@@ -185,7 +185,7 @@ def _grams(plan: Plan):
 
 def _span_batch(gram, doc, tie, start, n, inner, many, texts: list[bytes]) -> pa.RecordBatch:
     digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in texts), np.int64).reshape(-1, 2)
-    arrays = [pa.array(x) for x in (gram, doc, tie.astype(np.int32), start, n.astype(np.int32), inner, many, digests[:, 0], digests[:, 1])]
+    arrays = [pa.array(x) for x in (gram, doc, tie.astype(np.int32), start.astype(np.int32), n.astype(np.int32), inner, many, digests[:, 0], digests[:, 1])]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary())], ["gram", "doc", "tie", "start", "n", "inner", "many", "high", "low", "text"])
 
 
@@ -248,7 +248,7 @@ def _marks_of(plan: Plan):
         table = table.combine_chunks()
         doc, tie, start, n, many = (table.column(c).to_numpy() for c in ("doc", "tie", "start", "n", "many"))
         order = np.lexsort((start, tie, doc))
-        doc, tie, start, n, many = (x[order] for x in (doc, tie, start, n, many))
+        doc, tie, start, n, many = (x[order] for x in (doc, tie, start.astype(np.int64), n, many))
         texts = table.column("text").take(pa.array(order)).to_pylist()
         of, a, b, *source = plan.decide(texts, n, plan.width)
         if not plan.earlier:  # those that occur more than once are marked wherever they occur
@@ -263,8 +263,8 @@ def _marks_of(plan: Plan):
     return run
 
 
-def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
-    """Ranges of all windows that repeat among spans (whose grams repeat)."""
+def _settle(spans: DataFrame, plan: Plan, level: int, made: list[DataFrame]) -> DataFrame:
+    """Ranges of all windows that repeat among spans (whose grams repeat); tables written for them are added to made."""
     key = ["gram", "high", "low"]
     place = F.struct("doc", "tie", "start")
     different = spans.groupBy(*key).agg(
@@ -276,10 +276,11 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
     full = spans.drop("text").join(again, key)
     if plan.earlier:
         full = full.where("not (doc = first_doc and tie = first_tie and start = first_start)")
-    source = [F.col("first_doc").alias("ref"), F.col("first_start").alias("ref_start")] if plan.earlier else []
-    whole = full.select("doc", "tie", F.col("start").alias("a"), (F.col("start") + F.col("n") + plan.width - 1).alias("b"), *source)
+    source = [F.col("first_doc").alias("ref"), F.col("first_start").cast("long").alias("ref_start")] if plan.earlier else []
+    whole = full.select("doc", "tie", F.col("start").cast("long").alias("a"), (F.col("start").cast("long") + F.col("n") + plan.width - 1).alias("b"), *source)
     groups = different.groupBy("gram").agg(F.count("*").alias("spans"), F.sum(F.octet_length("text")).alias("bytes"), F.max("inner").alias("inner")).where("spans > 1 or inner")
     groups = materialize(groups, "groups")
+    made += [different, groups]
     common = F.col("bytes") > plan.group_bytes
     sizes = groups.agg(F.sum(F.when(~common, F.col("bytes"))), F.count(F.when(common, 1))).first()
     blocks = max(1, -(-int(sizes[0] or 0) // plan.block_bytes))
@@ -288,20 +289,28 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
     if sizes[1]:
         hot = different.join(groups.where(common).select("gram"), "gram").select("doc", "tie", "start", "many", "text")
         longer = materialize(hot.mapInArrow(_pick_again(plan, level + 1), _SPANS), "longer")
+        made.append(longer)
         repeated = longer.groupBy("gram").agg(F.min(_place()).alias("x"), F.max(_place()).alias("y"), F.max("many").alias("many"), F.max("inner").alias("inner")).where("x <> y or many or inner").select("gram")
-        out = out.unionByName(_settle(longer.join(repeated, "gram"), plan, level + 1))
+        out = out.unionByName(_settle(longer.join(repeated, "gram"), plan, level + 1, made))
     return out
 
 
 def marks(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc, tie and the ranges (a, b; and their sources) of units that windows which repeat cover; docs: text, doc, tie."""
     found = materialize(docs.mapInArrow(_grams(plan), _GRAMS), "grams")
-    repeated = found.groupBy("gram").agg(F.min(_place()).alias("x"), F.max(_place()).alias("y"), F.max("inner").alias("inner")).where("x <> y or inner").select("gram")
-    by_doc = found.join(repeated, "gram").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "start", "n", "inner")).alias("found"))
+    # rows told twice of one place count here; which spans repeat is found by place
+    repeated = found.groupBy("gram").agg(F.count("*").alias("places"), F.max("inner").alias("inner")).where("places > 1 or inner").select("gram")
+    kept = materialize(found.join(repeated, "gram"), "kept")
+    forget(found)  # before the texts move
+    by_doc = kept.groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "start", "n", "inner")).alias("found"))
     spans = materialize(docs.join(by_doc, ["doc", "tie"]).mapInArrow(_cut_out(plan), _SPANS), "spans")
-    forget(found)
-    ranges = _settle(spans, plan, 0)
-    return materialize(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b", *(["ref", "ref_start"] if plan.earlier else []))).alias("ranges")), "marks")
+    forget(kept)
+    made = [spans]
+    ranges = _settle(spans, plan, 0, made)
+    out = materialize(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b", *(["ref", "ref_start"] if plan.earlier else []))).alias("ranges")), "marks")
+    for table in made:
+        forget(table)
+    return out
 
 
 def with_marks(docs: DataFrame, plan: Plan) -> tuple[DataFrame, str]:
