@@ -150,6 +150,33 @@ def test_html_labels_against_brute_force():
         assert [b.label for b in htmltext.classify(found)] == want
 
 
+PROSE = "It was the best of times and it was the worst of times for all of us who were there to see it."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<div class="social-studies"><p>{PROSE}</p></div>', PROSE),
+        (f'<div class="search-history post"><p>{PROSE}</p><p>So.</p></div>', f"{PROSE} So."),
+        (f'<article><p>{PROSE}</p><div class="comment-list"><p>{PROSE}</p></div><div id="main-sidebar-2">{PROSE}</div></article>', PROSE),
+        (f'<p>{PROSE}</p><div class="social-buttons">Tell others</div><p>{PROSE}</p>', f"{PROSE} {PROSE}"),
+        ("<article><p>The area is <math><mi>r</mi><mo>*</mo><mi>r</mi></math> now.</p></article>", "The area is r*r now."),
+        ("<article><p>See <svg><title>t</title><text>a &amp; b</text></svg> and <object>this</object> <noscript>or that</noscript>.</p></article>", "See a & b and this or that."),
+        (f"<body><form><select><option>one<option>two</form><button>Go<article><p>{PROSE}</p></article><article><p>More.</p></article></body>", f"{PROSE} More."),
+        (f"<select><option>one<p>{PROSE}</p><button><div>Press</div></button><p>{PROSE}</p>", f"{PROSE} {PROSE}"),
+        (f"<textarea>typed <b>x</b><p>{PROSE}</p>" + "<textarea>" * 50_000, PROSE),
+        (f"<textarea>typed <p>{PROSE}</p></textarea><p>{PROSE}</p><template><p>{PROSE}</p></template>", PROSE),
+        ("<nav><a href=/>Дом</a> <a href=/b>Всё</a></nav><div><h1>Заголовок</h1><p>Мы шли по длинной улице весь день, и никто не знал, куда она ведёт нас.</p><p>Да.</p><p>Вечером пошёл дождь, "
+         "река поднялась, люди вышли на берег и долго смотрели на воду и огни.</p></div><footer>Все права</footer>",
+         "Заголовок Мы шли по длинной улице весь день, и никто не знал, куда она ведёт нас. Да. Вечером пошёл дождь, река поднялась, люди вышли на берег и долго смотрели на воду и огни."),
+        ("<ul><li><a href=/>家</a><li><a href=/b>本</a></ul><p>今日はとても良い天気なので、私たちは朝から山へ歩いて行きました。</p><p>夕方には雨が降り始めて、みんなで急いで家へ帰ることにしました。</p>",
+         "今日はとても良い天気なので、私たちは朝から山へ歩いて行きました。 夕方には雨が降り始めて、みんなで急いで家へ帰ることにしました。"),
+    ],
+)
+def test_html_keeps_articles_whatever_their_names_elements_and_language(html, want):
+    assert htmltext.main_text(html) == want
+
+
 def test_html_needs_no_article_tag(spark):
     """The same page with and without the tag; prose beside the article, long pages, and columns of any name."""
     prose = "It was the best of times and it was the worst of times for all of us who were there to see it."
