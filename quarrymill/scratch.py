@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,15 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def settle(make: Callable[[], DataFrame], name: str = "cut") -> DataFrame:
+    """make() written and read back as by materialize(); what was written on the way to it is removed."""
+    before = set(_written)
+    out = materialize(make(), name)
+    for path in set(_written) - before - {out._scratch_path}:
+        discard(_written.pop(path), path)
+    return out
+
+
 def forget(table: DataFrame) -> None:
     """Remove a materialized table that nothing will read again."""
     path = table._scratch_path
