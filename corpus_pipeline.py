@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrymill.llm import bpe, jaccard, mixing, quality, substrings
 from quarrymill.llm.common import table
-from quarrymill.scratch import materialize
+from quarrymill.scratch import forget, settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each one's result is written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settle(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if i:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

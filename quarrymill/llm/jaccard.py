@@ -39,12 +39,14 @@ from quarrymill.llm import textkernel as tk
 from quarrymill.llm.common import fresh, partitions
 from quarrymill.llm.components import components
 from quarrymill.llm.packing import pack, release, runs, unpack
-from quarrymill.scratch import materialize
+from quarrymill.scratch import materialize, settle
 
 #: Signatures held by a task before it sorts and sends them.
 HELD = 600_000
 #: A signature with more sets than this in one task makes a star there.
 LOCAL_STAR = 64
+#: Bytes of text whose sets one task brings together.
+BUCKET_BYTES = 32 << 20
 #: A family's blocks.
 BLOCK_SETS, BLOCK_GRAMS = 2000, 1_500_000
 #: Bits of the filter that tells which sets are in any family (8 MB, whatever the data; false positives do no harm).
@@ -508,14 +510,20 @@ def _complete(groups: DataFrame, links: DataFrame, sets: DataFrame, num: int, de
     return _joined(cells[0].unionByName(cells[1]), num, den, True)
 
 
-def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS, local_star: int = LOCAL_STAR) -> DataFrame:
+def _buckets(docs: DataFrame, bucket_bytes: int) -> int:
+    """Groups of about bucket_bytes of text each, and two for each task at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * partitions(docs.sparkSession), -(-int(size) // bucket_bytes))
+
+
+def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS, local_star: int = LOCAL_STAR, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of each document.
 
     Two documents link when den * |intersection| >= num * |union| over their sets of word n-grams.
     """
     if not 0.7 * den <= num <= den:
         raise ValueError("the threshold must lie in [0.7, 1]: below, small sets may differ in as many n-grams as they have")
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets = _buckets(docs, bucket_bytes)
     sent = docs.select("doc_id", "text").mapInArrow(_tasks(n, num, den, buckets, local_star), _SENT)
     found = materialize(sent.groupBy("bucket").applyInArrow(_meet, _FOUND), "met")
     table = found.where(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("set"))
@@ -552,7 +560,7 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     Rows of null id stay.
     """
     gone_id, turn = fresh(docs, "_gone", "_turn")
-    gone = materialize(classes(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    gone = settle(lambda: classes(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     left = docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
     if left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm import textkernel as tk
 from quarrymill.llm.common import fresh
 from quarrymill.llm.packing import release
-from quarrymill.scratch import forget, materialize
+from quarrymill.scratch import forget, materialize, settle
 
 #: Bytes of different spans of one gram that meet in one task; beyond, the gram's windows pick longer grams.
 GROUP_BYTES = 1 << 19
@@ -263,8 +263,8 @@ def _marks_of(plan: Plan):
     return run
 
 
-def _settle(spans: DataFrame, plan: Plan, level: int, made: list[DataFrame]) -> DataFrame:
-    """Ranges of all windows that repeat among spans (whose grams repeat); tables written for them are added to made."""
+def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
+    """Ranges of all windows that repeat among spans (whose grams repeat)."""
     key = ["gram", "high", "low"]
     place = F.struct("doc", "tie", "start")
     different = spans.groupBy(*key).agg(
@@ -280,7 +280,6 @@ def _settle(spans: DataFrame, plan: Plan, level: int, made: list[DataFrame]) ->
     whole = full.select("doc", "tie", F.col("start").cast("long").alias("a"), (F.col("start").cast("long") + F.col("n") + plan.width - 1).alias("b"), *source)
     groups = different.groupBy("gram").agg(F.count("*").alias("spans"), F.sum(F.octet_length("text")).alias("bytes"), F.max("inner").alias("inner")).where("spans > 1 or inner")
     groups = materialize(groups, "groups")
-    made += [different, groups]
     common = F.col("bytes") > plan.group_bytes
     sizes = groups.agg(F.sum(F.when(~common, F.col("bytes"))), F.count(F.when(common, 1))).first()
     blocks = max(1, -(-int(sizes[0] or 0) // plan.block_bytes))
@@ -289,9 +288,8 @@ def _settle(spans: DataFrame, plan: Plan, level: int, made: list[DataFrame]) ->
     if sizes[1]:
         hot = different.join(groups.where(common).select("gram"), "gram").select("doc", "tie", "start", "many", "text")
         longer = materialize(hot.mapInArrow(_pick_again(plan, level + 1), _SPANS), "longer")
-        made.append(longer)
         repeated = longer.groupBy("gram").agg(F.min(_place()).alias("x"), F.max(_place()).alias("y"), F.max("many").alias("many"), F.max("inner").alias("inner")).where("x <> y or many or inner").select("gram")
-        out = out.unionByName(_settle(longer.join(repeated, "gram"), plan, level + 1, made))
+        out = out.unionByName(_settle(longer.join(repeated, "gram"), plan, level + 1))
     return out
 
 
@@ -305,11 +303,9 @@ def marks(docs: DataFrame, plan: Plan) -> DataFrame:
     by_doc = kept.groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "start", "n", "inner")).alias("found"))
     spans = materialize(docs.join(by_doc, ["doc", "tie"]).mapInArrow(_cut_out(plan), _SPANS), "spans")
     forget(kept)
-    made = [spans]
-    ranges = _settle(spans, plan, 0, made)
-    out = materialize(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b", *(["ref", "ref_start"] if plan.earlier else []))).alias("ranges")), "marks")
-    for table in made:
-        forget(table)
+    ranges = F.collect_list(F.struct("a", "b", *(["ref", "ref_start"] if plan.earlier else []))).alias("ranges")
+    out = settle(lambda: _settle(spans, plan, 0).groupBy("doc", "tie").agg(ranges), "marks")
+    forget(spans)
     return out
 
 

@@ -217,7 +217,7 @@ def brute_classes(rows, k, num, den):
     return sorted(((r[0], len(sets[i]), min(least[find(i)], default=r[0])) for i, r in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("k", "num", "options"), [(4, 85, {}), (5, 80, {"block_sets": 2, "local_star": 1}), (2, 75, {"block_sets": 3, "block_grams": 500})])
+@pytest.mark.parametrize(("k", "num", "options"), [(4, 85, {}), (5, 80, {"block_sets": 2, "local_star": 1}), (2, 75, {"block_sets": 3, "block_grams": 500}), (5, 80, {"bucket_bytes": 2_000})])
 def test_jaccard_classes(docs, rows, k, num, options):
     got = jaccard.classes(docs, k, num, 100, **options).collect()
     want = brute_classes(rows, k, num, 100)
