@@ -11,8 +11,8 @@ windows pick again, by longer grams (levels[1], ...); at the last level a gram i
 span, so every group is bounded, and no pairs are made. Hashes of grams only say where windows meet; a collision makes a
 block larger, not a result wrong. Equal spans are those of equal 128-bit digests.
 
-What is shuffled: some 30 bytes a gram (one for each (width - gram) / 2 units), the spans of grams that repeat, and the
-texts twice, to cut spans out and to apply marks. Everything is rows by key: messages do not grow with blocks.
+What is shuffled: some 20 bytes a gram (one for each (width - gram) / 2 units), once; the spans of grams that repeat; and
+the texts twice, to cut spans out and to apply marks. Everything is rows by key: messages do not grow with blocks.
 
 Rows are told apart by id and text: rows with equal id and text are one document; other texts of the same id are
 documents of their own, in order of their texts' xxhash64 (31 bits of it). A null id is no name: null ids come before all
@@ -39,6 +39,8 @@ from quarrymill.scratch import forget, materialize, settle
 GROUP_BYTES = 1 << 19
 #: Bytes of spans in a block of the index.
 BLOCK_BYTES = 1 << 20
+#: Digests that a task remembers, so as not to send a text twice.
+TOLD = 300_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 18
 _NULL_ID = -(1 << 63)
@@ -160,6 +162,7 @@ def named(docs: DataFrame, doc: str, tie: str) -> DataFrame:
 
 
 _GRAMS = "gram long, doc long, tie int, start int, n int, inner boolean"
+_SENT = ["gram", "doc", "tie", "start", "n", "inner", "known", "salt"]
 _SPANS = f"{_GRAMS}, many boolean, high long, low long, text binary"
 
 
@@ -167,24 +170,77 @@ def _long(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _grams(plan: Plan):
+def _grams(plan: Plan, held_rows: int = 500_000):
+    """Spans of texts by gram, as they are found. A gram that a task has seen twice is known to repeat: one of its rows goes
+    to where the gram's rows meet (salt 0), the others anywhere, so that a common gram makes one row a task there."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        gram, doc, tie, start, n, inner = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(gram)
+        found = gram[order]
+        same = found[1:] == found[:-1]
+        known = np.zeros(len(gram), bool)
+        known[order[1:]] = same
+        known[order[:-1]] |= same
+        later = np.zeros(len(gram), bool)
+        later[order[1:]] = same
+        salt = np.where(later, 1 + (tk.mix(doc.view(np.uint64)) & _U(0xFFFF)).astype(np.int32), 0).astype(np.int32)
+        arrays = [gram.view(np.int64), doc, tie, start.astype(np.int32), n.astype(np.int32), inner, known | inner, salt]
+        for k in range(0, len(gram), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in arrays], _SENT)
+        release()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            doc, tie = batch.column("doc"), batch.column("tie")
+            doc, tie = _long(batch.column("doc")), _long(batch.column("tie"))
             for rows, data, offsets in tk.chunks(batch, size=CHUNK):
                 text = plan.units(data, offsets)
                 gram, of, start, n, inner = pick(text.grams(plan.levels[0]), text.bounds, plan.levels[0], plan.width)
                 if len(gram):
-                    at = pa.array(of)
-                    arrays = [pa.array(gram.view(np.int64)), doc[rows].take(at), tie[rows].take(at), pa.array(start - text.bounds[of], pa.int32()), pa.array(n, pa.int32()), pa.array(inner)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc", "tie", "start", "n", "inner"])
-            release()
+                    held.append((gram, doc[rows][of], tie[rows][of], start - text.bounds[of], n, inner))
+                    size += len(gram)
+                if size >= held_rows:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def _span_batch(gram, doc, tie, start, n, inner, many, texts: list[bytes]) -> pa.RecordBatch:
-    digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in texts), np.int64).reshape(-1, 2)
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of gram: those known to repeat, and those beside another of the same gram."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        gram, keep = _long(batch.column("gram")), _long(batch.column("known")).copy()
+        same = gram[1:] == gram[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        # the last row's next neighbour is still to come; what it knows of the one before it goes with it
+        out = batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        last = batch.slice(batch.num_rows - 1)
+        last = last.set_column(_SENT.index("known"), "known", pa.array(keep[-1:]))
+        yield out.select(_SENT[:6])
+    if last is not None:
+        yield last.filter(last.column("known")).select(_SENT[:6])
+
+
+def _span_batch(gram, doc, tie, start, n, inner, many, texts: list[bytes], told: set[bytes] | None = None) -> pa.RecordBatch:
+    """Spans with their digests; told: digests of texts that the task has sent, which are not sent again."""
+    keys = [hashlib.blake2b(x, digest_size=16).digest() for x in texts]
+    digests = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    if told is not None:
+        if len(told) > TOLD:
+            told.clear()
+        for i, key in enumerate(keys):
+            if key in told:
+                texts[i] = None
+            told.add(key)
     arrays = [pa.array(x) for x in (gram, doc, tie.astype(np.int32), start.astype(np.int32), n.astype(np.int32), inner, many, digests[:, 0], digests[:, 1])]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary())], ["gram", "doc", "tie", "start", "n", "inner", "many", "high", "low", "text"])
 
@@ -200,6 +256,7 @@ def _cut_out(plan: Plan):
     """Spans of each document's grams that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for batch in batches:
             cut, (gram, start, n, inner) = lists(batch.column("found"), "gram", "start", "n", "inner")
             doc, tie = _long(batch.column("doc")), _long(batch.column("tie"))
@@ -210,7 +267,7 @@ def _cut_out(plan: Plan):
                 if len(of):
                     begin = text.bounds[of] + start[s]
                     texts = text.pieces(begin, begin + n[s] + plan.width - 1)
-                    yield _span_batch(gram[s], doc[rows][of], tie[rows][of], start[s], n[s], inner[s], np.zeros(len(of), bool), texts)
+                    yield _span_batch(gram[s], doc[rows][of], tie[rows][of], start[s], n[s], inner[s], np.zeros(len(of), bool), texts, told)
             release()
 
     return run
@@ -268,7 +325,7 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
     key = ["gram", "high", "low"]
     place = F.struct("doc", "tie", "start")
     different = spans.groupBy(*key).agg(
-        F.min(place).alias("place"), F.first("n").alias("n"), ((F.min(_place()) != F.max(_place())) | F.max("many")).alias("many"), F.max("inner").alias("inner"), F.first("text").alias("text")
+        F.min(place).alias("place"), F.first("n").alias("n"), ((F.min(_place()) != F.max(_place())) | F.max("many")).alias("many"), F.max("inner").alias("inner"), F.first("text", ignorenulls=True).alias("text")
     )
     different = materialize(different.select(*key, "place.*", "n", "many", "inner", "text"), "different")
     # equal spans: all of their windows repeat
@@ -295,11 +352,10 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
 
 def marks(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc, tie and the ranges (a, b; and their sources) of units that windows which repeat cover; docs: text, doc, tie."""
-    found = materialize(docs.mapInArrow(_grams(plan), _GRAMS), "grams")
-    # rows told twice of one place count here; which spans repeat is found by place
-    repeated = found.groupBy("gram").agg(F.count("*").alias("places"), F.max("inner").alias("inner")).where("places > 1 or inner").select("gram")
-    kept = materialize(found.join(repeated, "gram"), "kept")
-    forget(found)  # before the texts move
+    found = docs.mapInArrow(_grams(plan), f"{_GRAMS}, known boolean, salt int")
+    met = found.repartition("gram", "salt").sortWithinPartitions("gram")
+    # rows of one place told twice count here; which spans repeat is found by place
+    kept = materialize(met.mapInArrow(_repeated, _GRAMS), "kept")
     by_doc = kept.groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "start", "n", "inner")).alias("found"))
     spans = materialize(docs.join(by_doc, ["doc", "tie"]).mapInArrow(_cut_out(plan), _SPANS), "spans")
     forget(kept)
