@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,28 +108,62 @@ def finding_counts(source: pa.Array) -> pa.Array:
     return pa.array([list(code.finding_counts(x).items()) for x in source.to_pylist()], pa.map_(pa.string(), pa.int64()))
 
 
-def tree_digest_raw(files: DataFrame, by: str) -> DataFrame:
-    """by and tree_sha256: of a tree's files (path, content as binary) in order of path: path, a zero byte, content.
+#: Bytes of a file that are one row while its tree is hashed.
+PIECE = 1 << 16
 
-    A tree is one task's; its files are hashed one after another.
-    """
+
+def _digest_in_order(by: str):
+    """Rows in order of their tree to the tree's digest; the state goes on from batch to batch."""
     import hashlib
 
-    def run(table: pa.Table) -> pa.Table:
-        digest = hashlib.sha256()
-        for path, content in sorted(zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True)):
-            digest.update(path.encode() + b"\0" + (content or b""))
-        return pa.Table.from_arrays([table.column(by).slice(0, 1), pa.array([digest.hexdigest()])], [by, "tree_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, digest, kind = None, None, None
+        line = lambda: pa.RecordBatch.from_arrays([pa.array([tree], kind), pa.array([digest.hexdigest()])], [by, "tree_sha256"])
+        for batch in batches:
+            kind = batch.column(by).type
+            for name, piece in zip(batch.column(by).to_pylist(), batch.column("piece"), strict=True):
+                if digest is None or name != tree:
+                    if digest is not None:
+                        yield line()
+                    tree, digest = name, hashlib.sha256()
+                digest.update(piece.as_buffer() if piece.is_valid else b"")
+        if digest is not None:
+            yield line()
+
+    return run
+
 
-    kind = files.schema[by].dataType.simpleString()
-    return files.select(by, "path", F.col("content").cast("binary").alias("content")).groupBy(by).applyInArrow(run, f"{by} {kind}, tree_sha256 string")
+def tree_digest_streamed(rows: DataFrame, by: str, order: list[str], piece: Column) -> DataFrame:
+    """by and tree_sha256: of the pieces (binary) of a tree's rows, one after another in a total order.
+
+    A tree's rows meet sorted in one partition and are hashed as they pass: a task holds a batch, however large the tree.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+    sorted_ = rows.select(by, *order, piece.alias("piece")).repartition(by).sortWithinPartitions(by, *order)
+    return sorted_.select(by, "piece").mapInArrow(_digest_in_order(by), f"{by} {kind}, tree_sha256 string")
+
+
+def tree_digest_hashes(files: DataFrame, by: str) -> DataFrame:
+    """by and tree_sha256: of a tree's files (path, sha256 as hex) in order of path: path, digest."""
+    return tree_digest_streamed(files, by, ["path"], F.concat("path", "sha256").cast("binary"))
+
+
+def tree_digest_raw(files: DataFrame, by: str, size: int = PIECE) -> DataFrame:
+    """by and tree_sha256: of a tree's files (path, content) in order of path: path, a zero byte, content.
+
+    Files are cut into pieces of `size` bytes; a null content is empty.
+    """
+    content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("content") / size).cast("int") - 1)), lambda i: F.substring(F.col("content"), i * size + 1, F.lit(size)))
+    pieces = files.select(by, "path", content.alias("content")).select(by, "path", F.posexplode(cut).alias("n", "part"))
+    head = F.when(F.col("n") == 0, F.concat(F.col("path").cast("binary"), F.lit(b"\0"))).otherwise(F.lit(b""))
+    return tree_digest_streamed(pieces, by, ["path", "n"], F.concat(head, "part"))
 
 
 def tree_digest_json(files: DataFrame, by: str) -> DataFrame:
     """by and tree_sha256: of a tree's JSON files (path, content) in order of path: path, content in canonical form."""
-    from quarrymill.functions.text import tree_digest
-
-    return files.withColumn("_c", canonical_json("content")).groupBy(by).agg(tree_digest(F.col("path"), F.col("_c")).alias("tree_sha256"))
+    shaped = files.withColumn("_c", canonical_json("content"))
+    return tree_digest_streamed(shaped, by, ["path"], F.concat("path", F.coalesce("_c", F.lit(""))).cast("binary"))
 
 
 def no_more_findings(before: Column, after: Column) -> Column:

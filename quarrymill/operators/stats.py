@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.functions.code_columns import number_rows
 from quarrymill.operators.metrics import ratio
+from quarrymill.scratch import forget, materialize
 
 Z95 = 1.959963984540054
+#: Levels of a tree of types at least.
+LEVELS = 3
 
 
 def hash_draw(*parts: Column) -> Column:
@@ -61,32 +65,31 @@ def replicates(clusters: DataFrame, by: list[str], sums: list[str], samples: int
     return drawn.join(numbered, "_i").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def typed_replicates(types: DataFrame, count: str, sums: list[str], samples: int, seed: int, most: int = 1000) -> DataFrame:
-    """As replicates(), of units that fall into few types: a type's units are alike, so their number is all that matters.
+def typed_replicates(types: DataFrame, count: str, sums: list[str], samples: int, seed: int) -> DataFrame:
+    """As replicates(), of units that fall into types: a type's units are alike, so their number is all that matters.
 
-    types: a row for each type, its number of units in `count` and a unit's values in `sums`. They are put in order of
-    these values, and a draw below a type's running count takes it: draws are not joined, and no unit is numbered.
+    types: a row for each type, its number of units in `count` and a unit's values in `sums`. Types in order of these values
+    are the leaves of a tree; from the root down, the units drawn in a node are split between its halves by a binomial draw
+    from their shares. So the work grows with types and with the root of units, no unit is drawn, and there may be any number
+    of types. Trees have LEVELS at least; halves without units cost nothing.
     """
-    rows = types.select(count, *sums).orderBy(*sums).limit(most + 1).collect()  # types, not units
-    if len(rows) > most:
-        raise ValueError(f"more than {most} types of units")
-    n = sum(r[count] for r in rows)
     spark = types.sparkSession
-    draw = hash_draw(F.lit(seed), F.expr(f"id div {max(1, n)}"), F.pmod("id", F.lit(max(1, n)))) % max(1, n)
-    drawn = spark.range(samples * n).select(F.expr(f"id div {max(1, n)}").alias("replicate"), draw.alias("_d"))
-    ends, at = [], 0
-    for r in rows:
-        at += r[count]
-        ends.append(at)
-    pick = lambda c: _branches([(F.col("_d") < e, F.lit(r[c])) for e, r in zip(ends, rows, strict=True)])
-    return drawn.groupBy("replicate").agg(*[F.sum(pick(c)).alias(c) for c in sums])
-
-
-def _branches(cases: list[tuple[Column, Column]]) -> Column:
-    out = F.lit(None)
-    for condition, value in reversed(cases):
-        out = F.when(condition, value).otherwise(out)
-    return out
+    leaves = number_rows(types.where(F.col(count) > 0).select(F.col(count).cast("long").alias("_c"), *sums), [*sums, "_c"], "%d", "_i").withColumn("_i", F.col("_i").cast("long") - 1)
+    n_types, units = leaves.agg(F.count("*"), F.sum("_c")).first()
+    levels = max(LEVELS, (max(1, n_types) - 1).bit_length())
+    state = spark.range(samples).select(F.col("id").alias("replicate"), F.lit(0).cast("long").alias("_node"), F.lit(int(units or 0)).alias("_n")).where("_n > 0")
+    for level in range(levels):
+        down = levels - level - 1  # leaves below a child: 2 ** down
+        half = F.shiftright("_i", down)
+        shares = leaves.groupBy(F.shiftright(half, 1).alias("_node")).agg((F.sum(F.when(half % 2 == 0, F.col("_c")).otherwise(0)) / F.sum("_c")).alias("p"))
+        drawn = state.join(shares, "_node").withColumnsRenamed({"_n": "n"})
+        drawn = binomial_draws(drawn.withColumn("u", uniform(F.lit(seed), F.col("replicate"), F.lit(1 << level) + F.col("_node"))), "_left")
+        halves = F.array(F.struct((F.col("_node") * 2).alias("_node"), F.col("_left").alias("_n")), F.struct((F.col("_node") * 2 + 1).alias("_node"), (F.col("n") - F.col("_left")).alias("_n")))
+        before, state = state, materialize(drawn.select("replicate", F.inline(halves)).where("_n > 0"), "halves")
+        if level:
+            forget(before)
+    met = state.join(leaves, state["_node"] == leaves["_i"])
+    return met.groupBy("replicate").agg(*[F.sum(F.col("_n") * F.col(c)).alias(c) for c in sums])
 
 
 def binomial_draws(wanted: DataFrame, into: str) -> DataFrame:

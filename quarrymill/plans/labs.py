@@ -117,8 +117,7 @@ def _samples(spark, sf_dir):
 
 def sample_scores(spark, sf_dir):
     rows = _samples(spark, sf_dir)
-    gap = F.col("is_gap")
-    norm = suites.normalise_status(rows, []).withColumn("status", F.when(gap, "upstream_fixture_missing").otherwise("complete"))
+    norm = suites.normalise_status(rows, F.col("is_gap"))
     got = suites.sample_metrics(norm)
     return got.select(
         "prompts", "scored_prompts", "scored", "samples", F.round("functional_pass_rate", 9).alias("functional_rate"), F.round("compilable_rate", 9).alias("compilable_rate"),
@@ -202,6 +201,20 @@ _CONSTANTS_ONLY = ", ".join(str(i) for i, s in enumerate(builder.SPECS) if s[1]
 _SPEC_ROWS = "spec AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s[0]}', '{s[2]}')" for i, s in enumerate(builder.SPECS)) + ") t(spec, cwe, ecosystem))"
 
 
+def _tree_sql(levels: int) -> str:
+    """SQL of stats.typed_replicates: draws of s0 (b, node, n) down a tree over o (i, c), level by level."""
+    steps = []
+    for level in range(levels):
+        down = levels - level - 1
+        heap = f"({1 << level} + s.node)"
+        steps.append(
+            f"""h{level} AS (SELECT i >> {down + 1} AS node, sum(CASE WHEN (i >> {down}) % 2 = 0 THEN c ELSE 0 END)::DOUBLE / sum(c) AS p FROM o GROUP BY 1),
+  w{level} AS (SELECT s.b, s.node, s.n, h.p, {uniform_sql(heap).replace("|| b ||", "|| s.b ||")} AS u FROM s{level} s JOIN h{level} h USING (node)), {binomial_sql(f"w{level}", f"d{level}", "got")},
+  s{level + 1} AS (SELECT b, node * 2 AS node, got AS n FROM d{level} WHERE got > 0 UNION ALL SELECT b, node * 2 + 1, n - got FROM d{level} WHERE n > got)"""
+        )
+    return ", ".join(steps)
+
+
 def oracle_sql() -> dict[str, str]:
     runs = "runs AS (SELECT doc_id AS i, quality = 0 AS v FROM labels)"
     z = stats.Z95
@@ -248,9 +261,11 @@ SELECT cases, base_only, other_only, round(effect, 9) AS effect, round(e[1 + flo
   avg({p('f', 1)}) FILTER (n > 0) AS p1, avg({p('f', 3)}) FILTER (n > 0) AS p3, avg({p('f', 5)}) FILTER (n > 0) AS p5, avg({p('sf', 1)}) FILTER (n > 0) AS s1, avg({p('vul', 3)}) FILTER (n > 0) AS v3 FROM g)
 SELECT prompts, scored_prompts, scored, samples, round(fs / scored, 9) AS functional_rate, round(comp / scored, 9) AS compilable_rate, round(p1, 9) AS pass_at_1, round(p3, 9) AS pass_at_3, round(p5, 9) AS pass_at_5,
   round(s1, 9) AS secure_pass_at_1, round(v3, 9) AS vulnerable_at_3, round(p3 * scored_prompts / prompts, 9) AS pass_at_3_low, round((p3 * scored_prompts + prompts - scored_prompts) / prompts, 9) AS pass_at_3_high FROM m""",
-        "sample_bootstrap": f"""WITH {samples}, g AS (SELECT doc_id::VARCHAR AS id, count(*) AS n, count(*) FILTER (f) AS k FROM n WHERE NOT gap GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n, k) - 1 AS i FROM g),
-  t AS (SELECT b, sum(k) / sum(n) AS r FROM (SELECT b, CAST(('0x' || substr(md5('42:' || b || ':' || j), 1, 15)) AS BIGINT) % (SELECT count(*) FROM g) AS i FROM range(100) x(b), range((SELECT count(*) FROM g)) y(j)) JOIN o USING (i) GROUP BY b),
-  l AS (SELECT list_sort(list(r)) AS r FROM t) SELECT round(r[1 + floor(0.025 * 99)::INT], 9) AS lower_95, round(r[1 + floor(0.975 * 99)::INT], 9) AS upper_95 FROM l""",
+        "sample_bootstrap": f"""WITH {samples}, g AS (SELECT doc_id AS id, count(*) AS n, count(*) FILTER (f) AS k FROM n WHERE NOT gap GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY n, k) - 1 AS i FROM (SELECT n, k, count(*) AS c FROM g GROUP BY 1, 2)),
+  s0 AS (SELECT b, 0 AS node, (SELECT sum(c)::BIGINT FROM o) AS n FROM range(100) x(b)), {_tree_sql(stats.LEVELS)},
+  l AS (SELECT list_sort(list(r)) AS r FROM (SELECT b, sum(d.n * o.k) / sum(d.n * o.n) AS r FROM s{stats.LEVELS} d JOIN o ON d.node = o.i GROUP BY b))
+SELECT round(r[1 + floor(0.025 * 99)::INT], 9) AS lower_95, round(r[1 + floor(0.975 * 99)::INT], 9) AS upper_95 FROM l""",
         "static_rollup": """WITH f AS (SELECT printf('p%03d/s%02d_code.py', p_partkey % 25, p_partkey // 25) AS path, printf('CWE-%03d', p_size) AS cwe, p_partkey FROM part),
   x AS (SELECT l_partkey, 'r' || l_linenumber AS rule, printf('CWE-%03d', l_quantity::INT) AS cwe FROM lineitem)
 SELECT path, count(rule) AS findings, count(*) FILTER (x.cwe = f.cwe) AS direct_findings, count(rule) - count(*) FILTER (x.cwe = f.cwe) AS indirect_findings, count(rule) = 0 AS finding_free,

@@ -89,10 +89,14 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 # Several samples a prompt -----------------------------------------------------------------------------------------------------
 
 
-def normalise_status(rows: DataFrame, gaps: list[str]) -> DataFrame:
-    """Rows whose run was not completed, by cause: the benchmark's own gap, an answer that broke before a result, or infrastructure."""
+def normalise_status(rows: DataFrame, gaps: list[str] | Column) -> DataFrame:
+    """Rows whose run was not completed, by cause: the benchmark's own gap, an answer that broke before a result, or infrastructure.
+
+    gaps: ids of prompts that the benchmark cannot build, or a condition that tells them.
+    """
     error, done = F.coalesce("error", F.lit("")), F.col("status") == "complete"
-    gap = ~done & F.col("id").isin(*gaps) & error.startswith("docker build exited") if gaps else F.lit(False)
+    listed = gaps if isinstance(gaps, Column) else F.col("id").isin(*gaps) if gaps else F.lit(False)
+    gap = ~done & listed & error.startswith("docker build exited")
     broke = ~done & ~gap & error.endswith("test result CSV was not produced.")
     status = F.when(done | broke, "complete").when(gap, "upstream_fixture_missing").otherwise("infrastructure")
     result = F.when(broke, F.when(F.col("compilable"), "error").otherwise("SyntaxError"))
@@ -144,7 +148,6 @@ def prompt_bootstrap(rows: DataFrame, flag: str, samples: int = 10_000, seed: in
     """An interval for a rate, prompts drawn with replacement: elements at int(q (B - 1)) of ratios of sums."""
     totals = rows.where("status <> 'upstream_fixture_missing'").groupBy("id").agg(F.count("*").alias("n"), F.count_if(flag).alias("k"))
     ratio = F.col("k") / F.col("n")
-    # a prompt has few samples, so prompts are of few types
     drawn = stats.typed_replicates(totals.groupBy("n", "k").agg(F.count("*").alias("prompts")), "prompts", ["n", "k"], samples, seed)
     return drawn.agg(stats.quantile_floor_last(ratio, 0.025).alias("lower_95"), stats.quantile_floor_last(ratio, 0.975).alias("upper_95"))
 

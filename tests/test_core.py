@@ -38,6 +38,17 @@ def test_paired_test_figures(spark):
     assert got[21, 2770] == pytest.approx(-787.2505300492555, abs=1e-9) and got[0, 0] == 0
     assert 10 ** got[3, 5] == pytest.approx(2 * sum(math.comb(8, i) for i in range(4)) / 2**8)
     assert 10 ** got[700, 700] > 1  # not capped
+    exact = lambda a, b: (math.log(sum(math.comb(a + b, i) for i in range(min(a, b) + 1))) - (a + b - 1) * math.log(2)) / math.log(10)
+    cases = [(a, b) for a in (0, 1, 2, 7, 19, 20, 21, 60, 333) for b in (1, 3, 20, 25, 400)]
+    found = stats.mcnemar_log10(spark.createDataFrame(cases, "l long, r long"), "l", "r").collect()
+    assert all(r.log10_p == pytest.approx(exact(r.l, r.r), abs=1e-9, rel=1e-12) for r in found)
+    large = stats.mcnemar_log10(spark.createDataFrame([(500_000_000, 500_000_000), (499_950_000, 500_050_000), (10**9, 0), (10**8, 9 * 10**8)], "l long, r long"), "l", "r")
+    p = [r.log10_p for r in large.collect()]
+    assert p[0] == pytest.approx(math.log10(1 + math.sqrt(2 / (math.pi * 1e9))), abs=1e-9)
+    assert p[1] == pytest.approx(math.log10(math.erfc((100_000 - 1) / math.sqrt(2e9))), abs=1e-6)  # the normal tail, with its continuity
+    assert p[2] == pytest.approx(-(10**9 - 1) * math.log10(2), rel=1e-12) and -2e8 < p[3] < -1e8
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Generate", "Join", "Exchange"))
     assert spark.createDataFrame([(got[700, 700],)], "p double").select(stats.mcnemar_p(F.col("p"))).first()[0] == 1
 
 

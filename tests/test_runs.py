@@ -62,6 +62,14 @@ def test_replicates_by_types_and_counts(spark):
     rows = stats.typed_replicates(types, "prompts", ["n", "k"], 400, 3).collect()
     assert len(rows) == 400 and all(r.n == 50 for r in rows)
     assert sum(r.k for r in rows) / 400 == pytest.approx(23, abs=0.8)
+    # any number of types, and of units
+    many = spark.range(2000).selectExpr("50 AS prompts", "7 AS n", "id % 8 AS k")
+    rows = stats.typed_replicates(many.groupBy("n", "k").agg(F.sum("prompts").alias("prompts")).unionByName(many.selectExpr("n", "8 + k AS k", "0 AS prompts")), "prompts", ["n", "k"], 30, 3).collect()
+    assert len(rows) == 30 and all(r.n == 700_000 for r in rows)
+    rows = stats.typed_replicates(spark.range(200).selectExpr("500 AS prompts", "id AS k"), "prompts", ["k"], 10, 3).collect()
+    assert all(r.k == pytest.approx(100_000 * 99.5, rel=0.01) for r in rows) and len({r.k for r in rows}) == 10
+    rows = stats.typed_replicates(spark.createDataFrame([(600_000_000, 1), (400_000_000, 0)], "prompts long, k long"), "prompts", ["k"], 20, 3).collect()
+    assert all(abs(r.k - 6e8) < 10 * math.sqrt(2.4e8) for r in rows) and len({r.k for r in rows}) == 20
     counts = spark.createDataFrame([("a", 40, 10, 20), ("b", 9, 0, 9)], "g string, n long, x long, y long")
     drawn = stats.counted_replicates(counts, "n", ["x", "y"], 400, 3, ("g",)).collect()
     a = [r for r in drawn if r.g == "a"]
