@@ -321,20 +321,22 @@ def _marks_of(plan: Plan):
 
 
 def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
-    """Ranges of all windows that repeat among spans (whose grams repeat)."""
-    key = ["gram", "high", "low"]
+    """Ranges of all windows that repeat among spans (a table, which is removed when it has been read)."""
+    key = ["high", "low"]
     place = F.struct("doc", "tie", "start")
     different = spans.groupBy(*key).agg(
-        F.min(place).alias("place"), F.first("n").alias("n"), ((F.min(_place()) != F.max(_place())) | F.max("many")).alias("many"), F.max("inner").alias("inner"), F.first("text", ignorenulls=True).alias("text")
+        F.first("gram").alias("gram"), F.min(place).alias("place"), F.first("n").alias("n"), ((F.min(_place()) != F.max(_place())) | F.max("many")).alias("many"), F.max("inner").alias("inner"), F.first("text", ignorenulls=True).alias("text")
     )
-    different = materialize(different.select(*key, "place.*", "n", "many", "inner", "text"), "different")
+    different = materialize(different.select(*key, "gram", "place.*", "n", "many", "inner", "text"), "different")
     # equal spans: all of their windows repeat
     again = different.where("many").select(*key, *[F.col(c).alias(f"first_{c}") for c in ("doc", "tie", "start")])
-    full = spans.drop("text").join(again, key)
+    full = spans.select(*key, "doc", "tie", "start", "n").join(again, key)
     if plan.earlier:
         full = full.where("not (doc = first_doc and tie = first_tie and start = first_start)")
     source = [F.col("first_doc").alias("ref"), F.col("first_start").cast("long").alias("ref_start")] if plan.earlier else []
     whole = full.select("doc", "tie", F.col("start").cast("long").alias("a"), (F.col("start").cast("long") + F.col("n") + plan.width - 1).alias("b"), *source)
+    whole = materialize(whole, "whole")
+    forget(spans)
     groups = different.groupBy("gram").agg(F.count("*").alias("spans"), F.sum(F.octet_length("text")).alias("bytes"), F.max("inner").alias("inner")).where("spans > 1 or inner")
     groups = materialize(groups, "groups")
     common = F.col("bytes") > plan.group_bytes
@@ -346,7 +348,7 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
         hot = different.join(groups.where(common).select("gram"), "gram").select("doc", "tie", "start", "many", "text")
         longer = materialize(hot.mapInArrow(_pick_again(plan, level + 1), _SPANS), "longer")
         repeated = longer.groupBy("gram").agg(F.min(_place()).alias("x"), F.max(_place()).alias("y"), F.max("many").alias("many"), F.max("inner").alias("inner")).where("x <> y or many or inner").select("gram")
-        out = out.unionByName(_settle(longer.join(repeated, "gram"), plan, level + 1))
+        out = out.unionByName(_settle(materialize(longer.join(repeated, "gram"), "longer"), plan, level + 1))
     return out
 
 
@@ -360,9 +362,7 @@ def marks(docs: DataFrame, plan: Plan) -> DataFrame:
     spans = materialize(docs.join(by_doc, ["doc", "tie"]).mapInArrow(_cut_out(plan), _SPANS), "spans")
     forget(kept)
     ranges = F.collect_list(F.struct("a", "b", *(["ref", "ref_start"] if plan.earlier else []))).alias("ranges")
-    out = settle(lambda: _settle(spans, plan, 0).groupBy("doc", "tie").agg(ranges), "marks")
-    forget(spans)
-    return out
+    return settle(lambda: _settle(spans, plan, 0).groupBy("doc", "tie").agg(ranges), "marks")
 
 
 def with_marks(docs: DataFrame, plan: Plan) -> tuple[DataFrame, str]:
