@@ -172,10 +172,31 @@ def patch_round_trip(spark, sf_dir):
     return done.select("doc_id", F.col("r.ok").alias("ok"), (F.col("r.text") == F.col("b")).alias("same"), C.changed_lines("a", "b").alias("changed"), F.array_join(C.vulnerable_lines("a", "b"), ",").alias("lines"), F.size(X.patch_changes(F.col("patch"))).cast("long").alias("patch_lines"))
 
 
+def patch_edits(spark, sf_dir):
+    """Documents as a word a line, with lines taken out, replaced and put in all along: many hunks, and last lines without an end."""
+    clean = F.regexp_replace("text", r"[\x1c-\x1e\x85\u2028\u2029]", " ")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(clean, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w")).where("size(w) > 0")
+    numbered = F.transform("w", lambda w, i: F.concat(w, F.lit(":"), i.cast("string")))
+
+    def edited(line, i):
+        mark = lambda name: F.concat(F.lit(name), i.cast("string"))
+        none = F.array().cast("array<string>")
+        return F.when(i % 100 == 3, none).when(i % 100 == 7, F.array(mark("edit:"))).when(i % 250 == 0, F.array(mark("new:"), line)).otherwise(F.array(line))
+
+    end = F.when((F.col("doc_id") % 2 == 0) | (F.size("w") % 100 == 4), "\n").otherwise("")  # a last line that is taken out leaves no line without an end
+    text = lambda lines: F.concat(F.array_join(lines, "\n"), end)
+    docs = docs.withColumn("lines", numbered).select("doc_id", text(F.col("lines")).alias("a"), text(F.flatten(F.transform("lines", edited))).alias("b"))
+    done = docs.withColumn("patch", C.make_patch("a", "b")).withColumn("r", C.apply_patch("a", "patch"))
+    return done.select(
+        "doc_id", F.col("r.ok").alias("ok"), (F.col("r.text") == F.col("b")).alias("same"), C.changed_lines("a", "b").alias("changed"),
+        F.md5(F.array_join(C.vulnerable_lines("a", "b"), ",")).alias("lines_md5"), F.size(X.patch_changes(F.col("patch"))).cast("long").alias("patch_lines"),
+    )
+
+
 def queries() -> dict:
     names = (
         conversation_roles, conversation_violations, chat_render, strict_json, license_detect, license_status, slugs, cwe_ids, fence_extract,
-        pattern_scan, context_lines, finding_rank, suffix_join, predict_map, stream_resume, scan_findings, scan_findings_sql, structural_code, patch_round_trip,
+        pattern_scan, context_lines, finding_rank, suffix_join, predict_map, stream_resume, scan_findings, scan_findings_sql, structural_code, patch_round_trip, patch_edits,
     )
     return {f.__name__: f for f in names}
 
@@ -223,5 +244,9 @@ SELECT p.page_id, m.path FROM p LEFT JOIN m ON m.page_id = p.page_id AND r = 1""
         "scan_findings": f"WITH {found}",
         "scan_findings_sql": f"WITH {found}",
         "structural_code": "SELECT p_partkey % 10 AS k, count(*) AS n, p_partkey % 10 <> 8 AS parses, CASE WHEN p_partkey % 10 = 8 THEN 0 ELSE 1 END AS token_forms, CASE WHEN p_partkey % 10 = 8 THEN 0 ELSE 1 END AS structures FROM part GROUP BY p_partkey % 10",
+        "patch_edits": r"""WITH d AS (SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[\x1c-\x1e\x{85}\x{2028}\x{2029}]', ' ', 'g'), '[^\x20\x09-\x0D]+')) AS n FROM documents WHERE text IS NOT NULL),
+  e AS (SELECT doc_id, list_filter(range(n), lambda i: i % 100 IN (3, 7) OR i % 250 = 0) AS e FROM d WHERE n > 0)
+SELECT doc_id, true AS ok, true AS same, len(e) AS changed, md5(array_to_string(list_transform(e, lambda i: i + 1), ',')) AS lines_md5,
+  len(e) + len(list_filter(e, lambda i: i % 100 = 7)) AS patch_lines FROM e""",
         "patch_round_trip": "SELECT doc_id, true AS ok, true AS same, 1 AS changed, '1' AS lines, 1 AS patch_lines FROM documents WHERE text IS NOT NULL",
     }

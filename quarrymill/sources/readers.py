@@ -115,14 +115,40 @@ def sarif(spark: SparkSession, root: str) -> DataFrame:
 
 
 def python_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), content (null if it is no UTF-8) and digest of Python files; skipped folders and links' targets left out."""
+    """path (below root), content (null if it is no UTF-8) and digest of Python files; skipped folders left out, and so are links, to files
+    or folders, where the file system is one that tells of them (file:)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
     base = root.rstrip("/").split(":", 1)[-1].replace("//", "/")
     path = F.regexp_replace(F.regexp_extract("path", f"{base}/(.*)$", 1), "%20", " ")
     kept = files.where(~F.arrays_overlap(F.split(F.col("path"), "/"), F.array(*map(F.lit, SKIP_DIRS))))
+    kept = kept.where(~_is_link(base)("path"))
     return kept.select(path.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
+def _is_link(base: str):
+    """Whether a file below base, or a folder between them, is a symbolic link."""
+    import pyarrow as pa
+
+    @F.arrow_udf("boolean")
+    def found(path: pa.Array) -> pa.Array:
+        import os
+        from urllib.parse import unquote, urlsplit
+
+        def linked(uri: str) -> bool:
+            if not uri.startswith("file:"):
+                return False
+            name = unquote(urlsplit(uri).path)
+            while len(name) > len(base):
+                if os.path.islink(name):
+                    return True
+                name = os.path.dirname(name)
+            return False
+
+        return pa.array([linked(x) for x in path.to_pylist()], pa.bool_())
+
+    return found
+
+
 def test_results(spark: SparkSession, path: str) -> DataFrame:
     """One row: the last result of a test whose name holds 'correctness', and of one that holds 'vulnerability' and not that."""
     rows = spark.read.option("header", True).csv(path).withColumn("_n", F.monotonically_increasing_id())
@@ -175,8 +201,15 @@ def split_violations(records: DataFrame, split: str, key: str = "id") -> DataFra
 
 
 def suite_violations(cases: DataFrame, languages: tuple[str, ...], licenses: tuple[str, ...]) -> DataFrame:
-    """Broken rules of cases: repeated ids, languages and licenses that are not allowed, pairs that are not one of each kind."""
-    needed = [c for c in ("pair_id", "family", "framework", "cwe", "expected_check", "is_vulnerable", "target_file", "files") if c in cases.columns]
+    """Broken rules of cases: keys that are not there, repeated ids, languages and licenses that are not allowed, pairs that are not one of each kind.
+
+    A key that the whole suite lacks is a rule that every case breaks.
+    """
+    needed = ("pair_id", "family", "framework", "cwe", "expected_check", "is_vulnerable", "target_file", "files")
+    kinds = {"is_vulnerable": "boolean", "files": "map<string,string>"}
+    for c in ("language", "source_license", *needed):
+        if c not in cases.columns:
+            cases = cases.withColumn(c, F.lit(None).cast(kinds.get(c, "string")))
     whole = {f"no {c}": F.col(c).isNull() for c in needed}
     rows = violations(cases, "id", whole | {"language": ~F.col("language").isin(*languages), "license": ~F.col("source_license").isin(*licenses)})
     repeated = cases.groupBy("id").count().where("count > 1").select("id", F.lit("repeated").alias("rule"))

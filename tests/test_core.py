@@ -32,6 +32,48 @@ def test_invalid_answers_are_wrong_in_both_classes(spark):
     assert tuple(rows.agg(*metrics.confusion_counts(F.col("a"), F.col("p"))).first()) == (1, 0, 1, 1)
 
 
+def test_trees_are_hashed_as_their_rows_pass():
+    """A tree of 400 MB in batches of a piece each: memory stays at a few pieces."""
+    import hashlib
+    import tracemalloc
+
+    import pyarrow as pa
+    from quarrymill.functions import code_columns
+
+    piece = bytes(range(256)) * 256
+    batch = lambda tree: pa.RecordBatch.from_pydict({"tree": [tree] * 4, "piece": pa.array([piece] * 4, pa.binary())})
+    tracemalloc.start()
+    got = [tuple(r.values()) for b in code_columns._digest_in_order("tree")(batch(i // 1600) for i in range(1601)) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = hashlib.sha256()
+    for _ in range(6400):
+        whole.update(piece)
+    assert got == [(0, whole.hexdigest()), (1, hashlib.sha256(piece * 4).hexdigest())] and peak < 64 << 20
+
+
+def test_tree_digests_in_pieces(spark):
+    import hashlib
+
+    from quarrymill.functions import code_columns
+
+    files = [(1, "b", b"x" * 1000), (1, "a", b""), (1, "c", None), (None, "z", "é".encode()), (2, "only", bytes(range(256)))]
+    frame = spark.createDataFrame(files, "tree int, path string, content binary").repartition(3)
+    want = {}
+    for tree, path, content in sorted(files, key=lambda x: (str(x[0]), x[1])):
+        want.setdefault(tree, hashlib.sha256()).update(path.encode() + b"\0" + (content or b""))
+    for size in (7, 1000, 1 << 16):
+        assert {r.tree: r.tree_sha256 for r in code_columns.tree_digest_raw(frame, "tree", size).collect()} == {k: v.hexdigest() for k, v in want.items()}
+
+
+def test_patches_of_texts_without_a_last_line_end():
+    from quarrymill.functions import code
+
+    for before, after in (("a\nb", "a\nc"), ("a\nb\n", "a\nb"), ("a\nb", "a\nb\n"), ("a", ""), ("", "a"), ("x\ny\nz", "y\nz")):
+        got = code.apply_patch(before, code.make_patch(before, after))
+        assert got.ok and got.text == after, (before, after, code.make_patch(before, after))
+
+
 def test_paired_test_figures(spark):
     rows = spark.createDataFrame([(21, 2770), (0, 0), (3, 5), (700, 700)], "l long, r long")
     got = {(r.l, r.r): r.log10_p for r in stats.mcnemar_log10(rows, "l", "r").collect()}
@@ -356,6 +398,9 @@ def test_sources_and_sinks(spark, tmp_path):
     (src / ".git" / "no.py").write_text("x")
     (src / "pkg" / "yes.py").write_text("eval('1')\n")
     (src / "latin.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "outside.py").write_text("x = 1\n")
+    (src / "link.py").symlink_to(tmp_path / "outside.py")
+    (src / "linked").symlink_to(src / "pkg", target_is_directory=True)
     files = {r.path: r.content for r in readers.python_files(spark, str(src)).collect()}
     assert files == {"pkg/yes.py": "eval('1')\n", "latin.py": None}
     (tmp_path / "t.csv").write_text("TestName,Result\na_Correctness_1,ok\nvulnerability,failure\ncorrectness_vulnerability,last\n")
@@ -378,7 +423,12 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_suite_rules(spark):
     ddl = "id string, pair_id string, language string, is_vulnerable boolean, source_license string"
     rows = [("1", "p", "python", True, "MIT"), ("2", "p", "python", False, "MIT"), ("3", "q", "python", True, "MIT"), ("4", "q", "python", True, "GPL"), ("1", "r", "ruby", None, "MIT")]
-    got = readers.suite_violations(spark.createDataFrame(rows, ddl), ("python",), ("MIT",))
+    bare = spark.createDataFrame(rows, ddl)
+    rest = {c: F.lit("x") for c in ("family", "framework", "cwe", "expected_check", "target_file")} | {"files": F.create_map(F.lit("x"), F.lit("y"))}
+    got = readers.suite_violations(bare.withColumns(rest), ("python",), ("MIT",))
+    # a key that the whole suite lacks is broken by every case
+    lacking = readers.suite_violations(bare, ("python",), ("MIT",))
+    assert {r.rule for r in lacking.collect()} >= {f"no {c}" for c in rest}
     assert {tuple(r) for r in got.collect()} == {("4", "license"), ("1", "language"), ("1", "no is_vulnerable"), ("1", "repeated"), ("q", "pair"), ("r", "pair")}
 
 
