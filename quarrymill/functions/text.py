@@ -117,15 +117,6 @@ def record_id(cwe: Column, seed: Column, family: Column, occurrence: Column, att
     return F.concat(F.lit("psp-"), F.substr(cwe, F.lit(5)), F.lit("-"), F.substring(digest, 1, 16))
 
 
-def tree_digest(path: Column, digest: Column) -> Column:
-    """Aggregate: a digest of all (path, digest) of one tree, in order of path.
-
-    The digest is of one text, so a tree's files stand in one row: 2 GB hold some 20 million of them.
-    """
-    pairs = F.array_sort(F.collect_list(F.struct(path.alias("p"), digest.alias("d"))))
-    return F.sha2(F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], x["d"])), ""), 256)
-
-
 def line_f1(expected: Column, predicted: Column) -> Column:
     """F1 of two arrays of lines as sets; both empty 1, one empty or null 0."""
     a, b = F.array_distinct(expected), F.array_distinct(predicted)
