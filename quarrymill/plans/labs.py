@@ -63,9 +63,11 @@ def corpus_self_check(spark, sf_dir):
 
 
 def analysis_rubric(spark, sf_dir):
-    """References as answers, every tenth broken: rates over all records."""
+    """References as answers, every tenth broken and every tenth with two hundred lines more: rates over all records."""
     refs = builder.features(_records(spark, sf_dir))
-    said = refs.select("id", F.lit(False).alias("invalid_json"), F.when(F.col("idx") % 10 == 0, F.lit("{}")).otherwise(builder.analysis_target()).alias("output"))
+    longer = F.concat("fixed_code", F.lit("\n"), F.repeat(F.lit("# and more\n"), 200))
+    answers = refs.withColumn("fixed_code", F.when(F.col("idx") % 10 == 1, longer).otherwise(F.col("fixed_code")))
+    said = answers.select("id", F.lit(False).alias("invalid_json"), F.when(F.col("idx") % 10 == 0, F.lit("{}")).otherwise(builder.analysis_target()).alias("output"))
     got = scoring.aggregate_analysis(scoring.score_analysis(said, refs, builder.specs(spark)))
     rates = {"schema_valid_rate": "valid_rate", "fixed_structural_exact_rate": "exact_rate", "security_control_pass_rate": "control_rate", "safe_test_parseable_rate": "test_rate", "no_dangerous_regression_rate": "safe_rate", "overpatch_rate": "overpatch_rate", "negative_preserved_rate": "preserved_rate", "line_f1_mean": "line_f1"}
     return got.select("rows", "tp", "tn", "fp", "fn", *[F.round(c, 6).alias(name) for c, name in rates.items()])
@@ -237,10 +239,10 @@ SELECT count(DISTINCT idx % 750) AS shared_family, count(*) AS shared_pair, coun
   count(*) FILTER (NOT v AND (idx % 7 = 0 OR idx % 19 = 0)) AS d, count(*) FILTER (idx % 13 = 0) AS e, count(*) FILTER (idx % 17 = 0) AS f FROM r)
 SELECT 0 AS ord, 'parses' AS rule, a AS n FROM n UNION ALL SELECT 1, 'control', b FROM n UNION ALL SELECT 2, 'round_trip', c FROM n UNION ALL SELECT 3, 'lines', d FROM n
 UNION ALL SELECT 4, 'target', e FROM n UNION ALL SELECT 5, 'roles', f FROM n""",
-        "analysis_rubric": f"""WITH {_RECORDS}, k AS (SELECT v, idx % 10 <> 0 AS ok FROM r)
+        "analysis_rubric": f"""WITH {_RECORDS}, k AS (SELECT v, idx % 10 <> 0 AS ok, v AND idx % 10 = 1 AS long FROM r)
 SELECT count(*) AS rows, count(*) FILTER (v AND ok) AS tp, count(*) FILTER (NOT v AND ok) AS tn, count(*) FILTER (NOT v AND NOT ok) AS fp, count(*) FILTER (v AND NOT ok) AS fn,
   round(avg(ok::INT), 6) AS valid_rate, round(avg(ok::INT) FILTER (v), 6) AS exact_rate, round(avg(ok::INT) FILTER (v), 6) AS control_rate, round(avg(ok::INT) FILTER (v), 6) AS test_rate,
-  round(avg(ok::INT), 6) AS safe_rate, 0.0::DOUBLE AS overpatch_rate, round(coalesce(avg(ok::INT) FILTER (NOT v), 0.0), 6) AS preserved_rate, round(avg(ok::INT) FILTER (v), 6) AS line_f1 FROM k""",
+  round(avg(ok::INT), 6) AS safe_rate, round(avg(long::INT), 6) AS overpatch_rate, round(coalesce(avg(ok::INT) FILTER (NOT v), 0.0), 6) AS preserved_rate, round(avg(ok::INT) FILTER (v), 6) AS line_f1 FROM k""",
         "patch_rubric": f"""WITH {_RECORDS}, n AS (SELECT count(*) AS a, count(*) FILTER (idx % 10 <> 0) AS b FROM r WHERE v)
 SELECT a AS schema_valid, a AS finding_id_exact, b AS relevant_file_only, b AS patch_applies, b AS patched_code_exact, b AS security_control_pass, b AS no_dangerous_regression FROM n""",
         "suite_summary": f"""WITH {runs}, c AS (SELECT count(*) AS records, count(*) FILTER (v) AS vulnerable, count(*) FILTER (NOT v) AS clean, count(*) FILTER (v AND i % 3 <> 0) AS tp, count(*) FILTER (v AND i % 3 = 0) AS fn,
