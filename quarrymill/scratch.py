@@ -35,7 +35,7 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: later steps survive lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # the shared folder holds it, and it is read once or twice
     # what was shuffled for it is not needed again: let Spark's cleaner see that now, not when the heap is full
     gc.collect()
     spark.sparkContext._jvm.System.gc()
