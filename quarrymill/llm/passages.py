@@ -325,7 +325,7 @@ def _settle(spans: DataFrame, plan: Plan, level: int) -> DataFrame:
     key = ["high", "low"]
     place = F.struct("doc", "tie", "start")
     different = spans.groupBy(*key).agg(
-        F.first("gram").alias("gram"), F.min(place).alias("place"), F.first("n").alias("n"), ((F.min(_place()) != F.max(_place())) | F.max("many")).alias("many"), F.max("inner").alias("inner"), F.first("text", ignorenulls=True).alias("text")
+        F.first("gram").alias("gram"), F.min(place).alias("place"), F.first("n").alias("n"), ((F.min(place) != F.max(place)) | F.max("many")).alias("many"), F.max("inner").alias("inner"), F.first("text", ignorenulls=True).alias("text")
     )
     different = materialize(different.select(*key, "gram", "place.*", "n", "many", "inner", "text"), "different")
     # equal spans: all of their windows repeat
