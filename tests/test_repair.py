@@ -19,14 +19,14 @@ class Counting(repair.RulePatcher):
 
 
 class Fixed:
-    """One answer for all findings, by check."""
+    """One answer for all findings of a file, by its number."""
 
     def __init__(self, answers):
         self.answers = answers
 
     def infer_batch(self, prompts):
         fact = lambda p, name: p.split(f"{name}: ", 1)[1].split("\n")[0]
-        return [self.answers.replace("ID", fact(p, "Finding ID")).replace("FILE", fact(p, "File")) for p in prompts]
+        return [self.answers[int(fact(p, "File")[1])].replace("ID", fact(p, "Finding ID")).replace("FILE", fact(p, "File")) for p in prompts]
 
 
 def told(attempts):
@@ -63,7 +63,6 @@ def test_a_cut_off_run_goes_on_after_its_last_whole_table(spark, tmp_path):
 
 
 def test_answers_are_refused_for_what_they_are(spark, tmp_path):
-    files = spark.createDataFrame([FILES[0]], "path string, content string")
     head = "--- a/FILE\n+++ b/FILE\n"
     cases = {
         "keys or kinds are wrong": {"finding_id": "ID", "summary": "s"},
@@ -77,11 +76,12 @@ def test_answers_are_refused_for_what_they_are(spark, tmp_path):
         "more findings": {"finding_id": "ID", "summary": "s", "patch": f"{head}@@ -1 +1,2 @@\n import os\n+password = 'not-to-be-told'\n"},
         "is not accepted": {"finding_id": "ID", "summary": "s", "patch": f"{head}@@ -1 +1,2 @@\n import os\n+import ast\n"},
     }
-    for i, (why, answer) in enumerate(cases.items()):
-        accept = ~F.col("patch").contains("import ast")
-        _, attempts, after = repair.repair(files, Fixed(json.dumps(answer)), str(tmp_path / str(i)), rounds=1, accept=accept)
-        assert {x[3] for x in told(attempts)} == {why}
-        assert after.first().content == FILES[0][1]
+    files = spark.createDataFrame([(f"f{i}.py", FILES[0][1]) for i in range(len(cases))], "path string, content string")
+    accept = ~F.col("patch").contains("import ast")
+    found, attempts, after = repair.repair(files, Fixed([json.dumps(x) for x in cases.values()]), str(tmp_path / "state"), rounds=1, accept=accept)
+    got = {(r.file, r.reason.partition(":")[0]) for r in attempts.join(found, "id").collect()}
+    assert got == {(f"f{i}.py", why) for i, why in enumerate(cases)}
+    assert {r.content for r in after.collect()} == {FILES[0][1]}
 
 
 def test_nothing_to_repair(spark, tmp_path):
