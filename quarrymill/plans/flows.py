@@ -201,8 +201,8 @@ def suite_validation(spark, sf_dir):
     """A stored run in which some rows contradict themselves, are missing or stand twice."""
     i = F.col("id").cast("long")
     rows = labs._runs(spark, sf_dir)
-    stored = rows.where(i % 31 != 0)
-    stored = stored.withColumns({"patch_accepted": F.col("patch_accepted") & (i % 37 != 0), "clean_preserved": F.col("clean_preserved") | (i % 41 == 0)}).unionByName(stored.where(i % 43 == 0).withColumn("repair_success", F.lit(False)))
+    once = rows.where(i % 31 != 0).withColumns({"patch_accepted": F.col("patch_accepted") & (i % 37 != 0), "clean_preserved": F.col("clean_preserved") | (i % 41 == 0)})
+    stored = once.unionByName(once.where(i % 43 == 0).withColumn("repair_success", F.lit(False)))
     return relational.dense_counts(runs.run_violations(stored, rows), "rule", list(runs.RUN_RULES))
 
 
