@@ -167,9 +167,8 @@ def structural_code(spark, sf_dir):
 def patch_round_trip(spark, sf_dir):
     """Documents' patches to changed copies: they apply, give the copy, and touch the lines that changed."""
     docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.regexp_replace("text", r"[\r\x0b\x0c\x1c-\x1e\x85  ]", " "), F.lit("\n")).alias("a"))
-    docs = docs.withColumn("b", F.concat(F.lit("first line\n"), F.col("a"))).withColumn("patch", C.make_patch("a", "b"))
-    done = docs.withColumn("r", C.apply_patch("a", "patch"))
-    return done.select("doc_id", F.col("r.ok").alias("ok"), (F.col("r.text") == F.col("b")).alias("same"), C.changed_lines("a", "b").alias("changed"), F.array_join(C.vulnerable_lines("a", "b"), ",").alias("lines"), F.size(X.patch_changes(F.col("patch"))).cast("long").alias("patch_lines"))
+    done = docs.select("doc_id", C.try_patch("a", F.concat(F.lit("first line\n"), "a")).alias("t"))
+    return done.select("doc_id", "t.ok", "t.same", "t.changed", F.array_join("t.lines", ",").alias("lines"), F.size(X.patch_changes(F.col("t.patch"))).cast("long").alias("patch_lines"))
 
 
 def patch_edits(spark, sf_dir):
@@ -186,11 +185,8 @@ def patch_edits(spark, sf_dir):
     end = F.when((F.col("doc_id") % 2 == 0) | (F.size("w") % 100 == 4), "\n").otherwise("")  # a last line that is taken out leaves no line without an end
     text = lambda lines: F.concat(F.array_join(lines, "\n"), end)
     docs = docs.withColumn("lines", numbered).select("doc_id", text(F.col("lines")).alias("a"), text(F.flatten(F.transform("lines", edited))).alias("b"))
-    done = docs.withColumn("patch", C.make_patch("a", "b")).withColumn("r", C.apply_patch("a", "patch"))
-    return done.select(
-        "doc_id", F.col("r.ok").alias("ok"), (F.col("r.text") == F.col("b")).alias("same"), C.changed_lines("a", "b").alias("changed"),
-        F.md5(F.array_join(C.vulnerable_lines("a", "b"), ",")).alias("lines_md5"), F.size(X.patch_changes(F.col("patch"))).cast("long").alias("patch_lines"),
-    )
+    done = docs.select("doc_id", C.try_patch("a", "b").alias("t"))
+    return done.select("doc_id", "t.ok", "t.same", "t.changed", F.md5(F.array_join("t.lines", ",")).alias("lines_md5"), F.size(X.patch_changes(F.col("t.patch"))).cast("long").alias("patch_lines"))
 
 
 def queries() -> dict:

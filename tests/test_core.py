@@ -466,3 +466,42 @@ def test_driver_entry(spark):
     found, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 50
     assert entry.entry(spark).count() == 1
+
+
+def test_batches_are_python_objects_a_few_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    from quarrymill.functions import code_columns
+
+    texts = pa.array(["line\n" * 4_000] * 1_000)  # 20 MB
+    tracemalloc.start()
+    got = code_columns._each(len, pa.int64())(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [20_000] * 1_000 and peak < 5_000_000
+    assert code_columns._each(len, pa.int64())(texts.slice(0, 0)).to_pylist() == []
+
+
+def test_a_tried_patch_is_what_its_parts_give():
+    import random
+
+    from quarrymill.functions import code
+
+    rng = random.Random(3)
+    ends = ["\n", "\n", "\r\n", "\r", "\x0b"]
+    for n in range(3_000):
+        text = lambda n=n: "".join(rng.choice("abcd") + (rng.choice(ends) if n % 2 else "\n") for _ in range(rng.randrange(0, 14))) + rng.choice(["", "x"])
+        a, b = text(), text()
+        got, patch = code.try_patch(a, b), code.make_patch(a, b)
+        done = code.apply_patch(a, patch)
+        assert (got.patch, got.ok, got.same, got.changed, got.lines) == (patch, done.ok, done.text == b, code.changed_lines(a, b), code.edited_lines(a, b))
+    assert code.try_patch(None, "a") is None and code.try_patch("a", "a").patch == ""
+
+
+def test_patch_queries_send_their_texts_to_python_once(spark):
+    from quarrymill.plans import texts
+
+    for query in (texts.patch_round_trip, texts.patch_edits):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
