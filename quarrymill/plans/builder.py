@@ -154,8 +154,8 @@ def safe_test(entry: Column, mark: Column) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
-def records(indexed: DataFrame, seed: int) -> DataFrame:
-    """Rows (idx, attempt) to records. All of a record follows from seed, family, occurrence and attempt."""
+def records(indexed: DataFrame, seed: int, *kept: str) -> DataFrame:
+    """Rows (idx, attempt, and columns to keep) to records. All of a record follows from seed, family, occurrence and attempt."""
     spark = indexed.sparkSession
     n = len(SPECS) * len(SHAPES)
     rows = indexed.withColumn("plan_ord", F.pmod("idx", F.lit(n)).cast("int")).join(F.broadcast(plan(spark)), "plan_ord")  # 750 rows, fixed
@@ -178,7 +178,7 @@ def records(indexed: DataFrame, seed: int) -> DataFrame:
     )
     return made.select(
         "idx", "attempt", "id", "family", "split", F.lit("python").alias("language"), "cwe", "vuln_type", "ecosystem", "task", "is_vulnerable",
-        "vulnerable_code", "fixed_code", "explanation", "patch_summary", "safe_test", "forbidden_test_text", "required_test_text",
+        "vulnerable_code", "fixed_code", "explanation", "patch_summary", "safe_test", "forbidden_test_text", "required_test_text", *kept,
     )
 
 
@@ -189,17 +189,35 @@ def build(spark: SparkSession, count: int, seed: int = 42, attempts: int = 100)
     return build_from(spark.range(count).select(F.col("id").alias("idx")), seed, attempts)
 
 
+#: Records of a task at most: few bytes say which record it is, and some kilobytes and several parses follow from them.
+TASK_RECORDS = 20_000
+
+
+def _spread(indexed: DataFrame) -> DataFrame:
+    """Rows by idx over tasks of TASK_RECORDS at most, and over all tasks that the session has."""
+    n = max(int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-indexed.count() // TASK_RECORDS))
+    return indexed.repartition(n, "idx")
+
+
 def build_from(indexed: DataFrame, seed: int = 42, attempts: int = 100) -> DataFrame:
-    """A record for each idx, no two with the same pair of token forms. A record that repeats an earlier pair is made again."""
-    held = None
-    todo = indexed.select("idx", F.lit(0).alias("attempt"))
+    """A record for each idx, no two with the same pair of token forms. A record that repeats an earlier pair is made again.
+
+    Records follow from idx and attempt, so that only these and pairs' digests are written, shuffled and compared; whole
+    records are made anew where they are used, and pass through a task one by one.
+    """
+    held, todo = None, indexed.select("idx", F.lit(0).alias("attempt"))
     for attempt in range(attempts):
-        made = records(todo, seed).withColumn("pair_sha256", F.sha2(F.concat_ws("\0", C.norm_code("vulnerable_code"), C.norm_code("fixed_code")), 256))
+        pair = F.sha2(F.concat_ws("\0", C.norm_code("vulnerable_code"), C.norm_code("fixed_code")), 256)
+        made = materialize(records(_spread(todo), seed).select("idx", "attempt", pair.alias("pair_sha256")), "pairs")
         every = made if held is None else held.unionByName(made)
-        held = materialize(relational.keep_first(every, ["pair_sha256"], ["idx"]), "records")
-        lost = indexed.select("idx").join(held, "idx", "left_anti")
+        first = every.groupBy("pair_sha256").agg(F.min("idx").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        met = materialize(every.join(first, "pair_sha256").select("idx", "_first"), "met")  # of pairs that repeat
+        if met.where("idx = _first").groupBy("idx").count().where("count > 1").limit(1).count():  # an idx stands twice
+            return build_from(indexed.select("idx").distinct(), seed, attempts)
+        lost = met.where("idx <> _first").select("idx")
         if not lost.limit(1).count():
-            return held
+            return records(_spread(every), seed, "pair_sha256")
+        held = materialize(every.join(lost, "idx", "left_anti"), "held")
         todo = lost.select("idx", F.lit(attempt + 1).alias("attempt"))
     raise ValueError("records repeat after all attempts")
 

@@ -244,3 +244,20 @@ def test_repeated_rows_of_a_stored_run_are_those_stored(spark, tmp_path):
     spark.createDataFrame([(2002 * 43 * 37, 0, 0)], "doc_id long, quality int, toxic int").write.mode("append").parquet(f"{tmp_path}/labels.parquet")  # repaired, invalid, never accepted
     got = {r.rule: r.n for r in flows.suite_validation(spark, str(tmp_path)).collect()}
     assert got == {"unknown": 0, "missing": 0, "repeated": 3, "repair": 1, "preserved": 2, "invalid": 0, "lines": 0}
+
+
+def test_whole_records_are_neither_written_nor_shuffled_to_be_told_apart(spark, monkeypatch):
+    written, drawn = [], []
+    keep = builder.materialize
+    monkeypatch.setattr(builder, "materialize", lambda df, name="cut": (written.append(df.columns), keep(df, name))[1])
+    # at first a family's records have one draw, so that some repeat a pair and are made again
+    own = stats.hash_draw
+    monkeypatch.setattr(builder, "hash_draw", lambda seed, family, n, attempt: (drawn.append(1), F.when(attempt == 0, own(seed, family)).otherwise(own(seed, family, n, attempt)))[1])
+    idx = [(i + 750 * k,) for i in range(0, 60, 7) for k in range(4)]
+    made = builder.build_from(spark.createDataFrame([*idx, idx[3]], "idx long"))
+    assert {c for columns in written for c in columns} <= {"idx", "attempt", "pair_sha256", "_first"}
+    exchanges = [x for x in made._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert exchanges and all("hashpartitioning(idx" in x for x in exchanges)
+    got = made.collect()
+    assert sorted(r.idx for r in got) == sorted(i for (i,) in idx) and len({r.pair_sha256 for r in got}) == len(got)
+    assert {r.attempt for r in got} == {0, 1} and all(r.attempt == 0 for r in got if r.idx < 60)
