@@ -134,6 +134,16 @@ def finding_counts(source: pa.Array) -> pa.Array:
     return _each(lambda x: list(code.finding_counts(x).items()), pa.map_(pa.string(), pa.int64()))(source)
 
 
+_FACTS = T.StructType([T.StructField(n, t) for n, t in (("parses", T.BooleanType()), ("tokens", T.StringType()), ("tree", T.StringType()), ("found", T.MapType(T.StringType(), T.LongType())))])
+_TOLD = pa.struct([("parses", pa.bool_()), ("tokens", pa.string()), ("tree", pa.string()), ("found", pa.map_(pa.string(), pa.int64()))])
+
+
+@F.arrow_udf(_FACTS)
+def code_facts(source: pa.Array) -> pa.Array:
+    """py_parses(), digests of norm_code() and struct_code(), and finding_counts(), of one text in one pass."""
+    return _each(code.facts, _TOLD)(source)
+
+
 #: Bytes of a file that are one row while its tree is hashed.
 PIECE = 1 << 16
 

@@ -20,6 +20,12 @@ def evaluate(records: DataFrame, predictor: Predictor, log: str, settings: dict,
 
     The log belongs to one set of settings. Records that it has are not asked again; answers to others are left out.
     """
+    rows = answer(records, predictor, log, settings, batch_size, force)
+    return relational.in_order(rows, records, "id", "idx"), report(rows, records)
+
+
+def answer(records: DataFrame, predictor: Predictor, log: str, settings: dict, batch_size: int = 8, force: bool = False) -> DataFrame:
+    """The step of evaluate() that asks: the log's answers to records, those that it lacked included."""
     spark = records.sparkSession
     if force:
         for path in (log, f"{log}.settings"):
@@ -27,8 +33,7 @@ def evaluate(records: DataFrame, predictor: Predictor, log: str, settings: dict,
     resume.frozen_settings(spark, f"{log}.settings", settings)
     asked = records.select("id", builder.prompt_of(F.col("prompt")).alias("prompt"), "idx") if "prompt" in records.columns else records.select("id", builder.template_prompt().alias("prompt"), "idx")
     answers = resume.append_missing(asked, log, ["id"], lambda todo: predictions(todo, predictor, batch_size))
-    rows = relational.completed(answers, records, ["id"])
-    return relational.in_order(rows, records, "id", "idx"), report(rows, records)
+    return relational.completed(answers, records, ["id"])
 
 
 def report(answers: DataFrame, records: DataFrame) -> DataFrame:

@@ -505,3 +505,19 @@ def test_patch_queries_send_their_texts_to_python_once(spark):
     for query in (texts.patch_round_trip, texts.patch_edits):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1
+
+
+def test_facts_of_code_are_those_of_its_single_functions(monkeypatch):
+    import hashlib
+
+    from quarrymill.functions import code
+
+    digest = lambda form: None if form is None else hashlib.sha256(form.encode()).hexdigest()
+    for x in (None, "", "def (", "x = 'é'\neval(x)\nexec(x)\n", "async def f(a): return 1\n", "'unended"):
+        got = code.facts(x)
+        assert (got["parses"], got["tokens"], got["tree"], dict(got["found"])) == (code.parses(x), digest(code.token_form(x)), digest(code.structure_form(x)), code.finding_counts(x))
+    parsed = []
+    parse = code.ast.parse
+    monkeypatch.setattr(code.ast, "parse", lambda text: (parsed.append(text), parse(text))[1])
+    code.facts("eval('one text')\n")
+    assert len(parsed) == 1
