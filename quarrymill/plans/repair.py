@@ -63,7 +63,7 @@ def _why_not(most: int) -> Column:
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """file, content and tries (in order of findings) to file, new content (null if unchanged) and results."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in C.slices(whole)):
         after, results = [], []
         for content, tries in zip(batch.column("content").to_pylist(), batch.column("tries").to_pylist(), strict=True):
             now, told = content, []

@@ -89,3 +89,14 @@ def test_nothing_to_repair(spark, tmp_path):
     for part in (files, files.limit(0)):
         found, attempts, after = repair.repair(part, Counting(), str(tmp_path / str(part.count())))
         assert (found.count(), attempts.count(), after.count()) == (0, 0, part.count())
+
+
+def test_files_are_tried_a_few_rows_at_a_time():
+    import pyarrow as pa
+    from quarrymill.functions import code_columns
+    from quarrymill.plans import repair as loop
+
+    tries = pa.list_(pa.struct([("line", pa.int32()), ("id", pa.string()), ("patch", pa.string()), ("why", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}.py" for i in range(200)]), pa.array(["x = 1\n"] * 200), pa.array([[]] * 200, tries)], ["file", "content", "tries"])
+    out = list(loop._apply(iter([batch])))
+    assert sum(len(b) for b in out) == 200 and max(len(b) for b in out) <= code_columns.SLICE
