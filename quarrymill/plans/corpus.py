@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import code_columns as C
+from quarrymill.functions import grams
 from quarrymill.functions import text as X
 from quarrymill.operators import relational as R
 from quarrymill.scratch import materialize
@@ -81,93 +82,33 @@ def language_counts(spark, sf_dir):
     return R.dense_counts(_table(spark, sf_dir, "documents"), "lang", ["de", "en", "es", "fr", "it"])
 
 
-#: Words of a key of several words, and characters of keys within and across words.
-KEY_WORDS, KEY_CHARS = 5, 3
-
-
-def _split(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
-def _windows(count: Column, n: Column | int, make) -> Column:
-    """make(i) for the first of each n neighbours among count, from 1 on."""
-    last = count - n + 1
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: i <= last), make)
-
-
-def _item_keys(words: Column, item: Column) -> Column:
-    """All keys (kind, text) that every text which holds the item must have as well.
-
-    The first and the last word of an item may stand inside longer words of a text, those between may not. Of three words
-    or more: each up to KEY_WORDS of those between. Of two or more: each two neighbours' last and first up to KEY_CHARS
-    characters. Of one: each up to KEY_CHARS of its characters. Of white space alone: its first character.
-    """
-    key = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
-    n = F.size(words)
-    inner = F.least(F.lit(KEY_WORDS), n - 2)
-    between = F.slice(words, 2, F.greatest(F.lit(0), n - 2))
-    runs = F.when(n > 2, _windows(n - 2, inner, lambda i: key(F.concat(F.lit("w"), inner.cast("string")), F.array_join(F.slice(between, i, inner), " "))))
-    some = lambda w: F.least(F.lit(KEY_CHARS), F.length(w))
-
-    def meeting(i: Column) -> Column:
-        left, right = F.get(words, i - 1), F.get(words, i)
-        kind = F.concat(F.lit("p"), some(left).cast("string"), some(right).cast("string"))
-        return key(kind, F.concat(F.substr(left, F.length(left) - some(left) + 1), F.lit(" "), F.substr(right, F.lit(1), some(right))))
-
-    pairs = F.when(n > 1, _windows(n, 2, meeting))
-    only = F.get(words, F.lit(0))
-    chars = F.when(n == 1, _windows(F.length(only), some(only), lambda i: key(F.concat(F.lit("c"), some(only).cast("string")), F.substr(only, i, some(only)))))
-    blank = F.when(n == 0, F.array(key(F.lit("b"), F.substring(item, 1, 1))))
-    return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<struct<kind:string,text:string>>")) for x in (runs, pairs, chars, blank)]))
-
-
-def _text_keys(kind: str) -> Column:
-    """Hashes of a text's keys of a kind; columns text and _w (its words)."""
-    words = F.col("_w")
-    hashed = lambda text: F.xxhash64(F.lit(kind), text)
-    if kind == "b":
-        return F.transform(F.filter(F.array(*[F.lit(x) for x in " \t\n\x0b\f\r"]), lambda x: F.contains("text", x)), hashed)
-    if kind[0] == "w":
-        n = int(kind[1])
-        return _windows(F.size(words), n, lambda i: hashed(F.array_join(F.slice(words, i, n), " ")))
-    if kind[0] == "c":
-        n = int(kind[1])
-        return F.flatten(F.transform(F.array_distinct(words), lambda w: _windows(F.length(w), n, lambda i: hashed(F.substr(w, i, F.lit(n))))))
-    a, b = int(kind[1]), int(kind[2])
-    ends = lambda i: (F.get(words, i - 1), F.get(words, i))
-    return F.transform(
-        F.filter(_windows(F.size(words), 2, lambda i: i), lambda i: (F.length(ends(i)[0]) >= a) & (F.length(ends(i)[1]) >= b)),
-        lambda i: hashed(F.concat(F.substr(ends(i)[0], F.length(ends(i)[0]) - a + 1), F.lit(" "), F.substr(ends(i)[1], F.lit(1), F.lit(b)))),
-    )
-
-
 def contains_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (text, ...) x items (item, ...) where the text holds the item, inside words too; columns of both.
 
-    An item has keys that every text which holds it must have as well. Texts that have a key are counted first, and each
-    item takes the rarest of its keys; an item with a key that no text has is done with. Texts and items then meet by that
-    key in an equi-join and are compared after it, so an item meets few texts that do not hold it, whatever common words
-    it has. A text makes keys of those kinds only that items have. Null and empty items are held by nothing.
+    An item has keys that every text which holds it must have as well: what its windows of bytes pick (grams.py). Texts
+    that have a key are counted first, and each item takes the rarest of its keys; an item with a key that no text has is
+    done with. Texts and items then meet by that key in an equi-join and are compared after it, so an item meets few
+    texts that do not hold it, whatever common words it has. A text makes keys of those widths only that items have. Null
+    and empty items are held by nothing.
     """
-    keyed = items.where("length(item) > 0").withColumn("_w", _split(F.col("item"))).withColumn("_keys", _item_keys(F.col("_w"), F.col("item"))).drop("_w")
-    asked = keyed.select(F.xxhash64("item").alias("_item"), F.explode("_keys").alias("k")).select("_item", F.col("k.kind").alias("_kind"), F.xxhash64("k.kind", "k.text").alias("_key")).distinct()
-    kinds = sorted(r[0] for r in asked.select("_kind").distinct().collect())  # at most KEY_WORDS + KEY_CHARS ** 2 + KEY_CHARS + 1
-    if not kinds:
+    asked = grams.keys(items.where("length(item) > 0").select(F.xxhash64("item").alias("_item"), "item"), "_item", "item", own=True).distinct()
+    asked = materialize(asked.select("_item", F.col("width").alias("_width"), F.col("key").alias("_key")), "asked")
+    widths = sorted(r[0] for r in asked.select("_width").distinct().collect())  # at most as many as there are
+    if not widths:
         return docs.crossJoin(items.limit(0))
-    words = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("_text"), _split(F.col("text")).alias("_w"))
-    made = lambda some: words.select("_text", F.explode(F.array_distinct(F.concat(*[_text_keys(k) for k in some]))).alias("_key"))
-    known = asked.select("_key").distinct()
-    counts = made(kinds).groupBy("_key").agg(F.count("*").alias("_n")).join(known, "_key", "left_semi")
-    best = asked.join(counts, "_key", "left").groupBy("_item").agg(F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.min_by(F.struct("_key", "_kind"), F.struct(F.coalesce("_n", F.lit(0)), "_key")).alias("_b"))
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("_text"), "text")
+    made = lambda some: grams.keys(texts, "_text", "text", some).select("_text", F.col("key").alias("_key"))
+    counts = made(widths).join(asked.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"))
+    best = asked.join(counts, "_key", "left").groupBy("_item").agg(F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.min_by(F.struct("_key", "_width"), F.struct(F.coalesce("_n", F.lit(0)), "_key")).alias("_b"))
     best = materialize(best.where("_least > 0").select("_item", "_b.*"), "keys")
-    chosen = sorted(r[0] for r in best.select("_kind").distinct().collect())
+    chosen = sorted(r[0] for r in best.select("_width").distinct().collect())
     if not chosen:
         return docs.crossJoin(items.limit(0))
     # keys travel with their text's hash alone; texts and items follow for pairs that met, and are compared
-    met = made(chosen).join(best.drop("_kind"), "_key").select("_text", "_item").distinct()
+    met = made(chosen).join(best.drop("_width"), "_key").select("_text", "_item").distinct()
     held = docs.where("text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
-    asked = items.where("length(item) > 0").withColumn("_item", F.xxhash64("item"))
-    return held.join(met.join(asked, "_item"), "_text").where(F.contains("text", "item")).drop("_text", "_item")
+    named = items.where("length(item) > 0").withColumn("_item", F.xxhash64("item"))
+    return held.join(met.join(named, "_item"), "_text").where(F.contains("text", "item")).drop("_text", "_item")
 
 
 def contamination_contains(spark, sf_dir):

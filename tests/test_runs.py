@@ -7,6 +7,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quarrymill.functions import code
@@ -40,6 +41,35 @@ def test_containment_is_that_of_text(spark):
     assert corpus.contains_pairs(texts, many.limit(0)).count() == 0
 
 
+def test_texts_make_few_keys_and_all_of_a_string_that_they_hold(spark, monkeypatch):
+    from quarrymill.functions import grams
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.randrange(0, 400))) for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    for chunk in (grams.CHUNK, 100):
+        monkeypatch.setattr(grams, "CHUNK", chunk)
+        for width in grams.WIDTHS:
+            found = {}
+            for of, key in grams.picked(data, bounds, width):
+                for i, k in zip(of.tolist(), key.tolist(), strict=True):
+                    found.setdefault(i, set()).add(k)
+            for i, t in enumerate(raw):
+                assert (i in found) == (len(t) >= width)
+                if i in found:
+                    part = t[(a := rng.randrange(len(t) - width + 1)) : a + rng.randrange(width, 200)]
+                    own = np.frombuffer(part, np.uint8)
+                    assert {k for _, key in grams.picked(own, np.array([0, len(own)]), width) for k in key.tolist()} <= found[i]
+    long = np.frombuffer(rng.randbytes(200_000), np.uint8)
+    assert sum(len(key) for _, key in grams.picked(long, np.array([0, len(long)]), 64)) < 200_000 / 12
+    # a text makes keys in one Python pass, and no rows of its words
+    got = corpus.contains_pairs(spark.createDataFrame([(1, "a text of some length, held " * 9)], "doc_id long, text string"), spark.createDataFrame([(1, "some length, held a text")], "item_id long, item string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and got.count() == 1
+
+
 def test_binomial_draws(spark):
     rows = [(n, p, i / 500 + 0.001) for n, p in ((1, 0.5), (20, 0.3), (1000, 0.01), (10**9, 0.4), (7, 0.0), (7, 1.0), (0, 0.5)) for i in range(500)]
     got = stats.binomial_draws(spark.createDataFrame(rows, "n long, p double, u double"), "k").collect()
