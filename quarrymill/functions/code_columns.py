@@ -212,9 +212,10 @@ def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files (path, content) to findings and to files that do not parse.
 
     Findings have ids in order of (file, line, check). Sorting by range spreads them over tasks; a running count
-    needs only the number of findings of each earlier range.
+    needs only the number of findings of each earlier range. Files are scanned once: what is found is written before it
+    is sorted, as sorting reads its input twice.
     """
-    scanned = files.select("path", code_findings("content").alias("found"), F.col("content").isNull().alias("unreadable"))
+    scanned = materialize(files.select("path", code_findings("content").alias("found"), F.col("content").isNull().alias("unreadable")), "scanned")
     errors = scanned.where("found IS NULL").select(F.col("path").alias("file"), F.when(F.col("unreadable"), "not decodable").otherwise("syntax error").alias("error"))
     rows = scanned.select(F.col("path").alias("file"), F.posexplode("found").alias("ord", "f")).select("file", "ord", "f.*")
     return number_rows(rows, ["file", "line", "check", "ord"], "AST-%04d").drop("ord"), errors
