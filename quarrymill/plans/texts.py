@@ -164,9 +164,19 @@ def structural_code(spark, sf_dir):
     return s.groupBy("k").agg(F.count("*").alias("n"), F.bool_and("parses").alias("parses"), F.countDistinct("tokens").alias("token_forms"), F.countDistinct("tree").alias("structures"))
 
 
+#: Documents of a task that makes patches: what a Python worker is sent at once follows from it, not from the table's size.
+DOCS_A_TASK = 500
+
+
+def _spread(spark, sf_dir):
+    """Documents, a few in each task."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "text").repartition(max(1, -(-docs.count() // DOCS_A_TASK)), "doc_id")
+
+
 def patch_round_trip(spark, sf_dir):
     """Documents' patches to changed copies: they apply, give the copy, and touch the lines that changed."""
-    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.regexp_replace("text", r"[\r\x0b\x0c\x1c-\x1e\x85  ]", " "), F.lit("\n")).alias("a"))
+    docs = _spread(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(F.regexp_replace("text", r"[\r\x0b\x0c\x1c-\x1e\x85  ]", " "), F.lit("\n")).alias("a"))
     done = docs.select("doc_id", C.try_patch("a", F.concat(F.lit("first line\n"), "a")).alias("t"))
     return done.select("doc_id", "t.ok", "t.same", "t.changed", F.array_join("t.lines", ",").alias("lines"), F.size(X.patch_changes(F.col("t.patch"))).cast("long").alias("patch_lines"))
 
@@ -174,7 +184,7 @@ def patch_round_trip(spark, sf_dir):
 def patch_edits(spark, sf_dir):
     """Documents as a word a line, with lines taken out, replaced and put in all along: many hunks, and last lines without an end."""
     clean = F.regexp_replace("text", r"[\x1c-\x1e\x85\u2028\u2029]", " ")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(clean, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w")).where("size(w) > 0")
+    docs = _spread(spark, sf_dir).select("doc_id", F.filter(F.split(clean, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w")).where("size(w) > 0")
     numbered = F.transform("w", lambda w, i: F.concat(w, F.lit(":"), i.cast("string")))
 
     def edited(line, i):

@@ -507,6 +507,16 @@ def test_patch_queries_send_their_texts_to_python_once(spark):
         assert plan.count("ArrowEvalPython") == 1
 
 
+def test_patch_queries_send_few_documents_at_once(spark, monkeypatch):
+    from quarrymill.plans import texts
+
+    monkeypatch.setattr(texts, "DOCS_A_TASK", 30)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for query in (texts.patch_round_trip, texts.patch_edits):
+        rows = query(spark, "/root/testdata/sf0.001")
+        assert rows._jdf.queryExecution().toRdd().getNumPartitions() == -(-docs // 30)
+
+
 def test_facts_of_code_are_those_of_its_single_functions(monkeypatch):
     import hashlib
 
