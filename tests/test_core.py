@@ -420,6 +420,13 @@ def test_sources_and_sinks(spark, tmp_path):
         readers.config(str(tmp_path / "c.json"), ("b",))
 
 
+def test_python_files_leaves_links_out(spark, tmp_path):
+    (tmp_path / "src" / "pkg").mkdir(parents=True)
+    (tmp_path / "src" / "pkg" / "a.py").write_text("x = 1\n")
+    (tmp_path / "src" / "b.py").symlink_to(tmp_path / "src" / "pkg" / "a.py")
+    assert [(r.path, r.content) for r in readers.python_files(spark, str(tmp_path / "src")).collect()] == [("pkg/a.py", "x = 1\n")]
+
+
 def test_suite_rules(spark):
     ddl = "id string, pair_id string, language string, is_vulnerable boolean, source_license string"
     rows = [("1", "p", "python", True, "MIT"), ("2", "p", "python", False, "MIT"), ("3", "q", "python", True, "MIT"), ("4", "q", "python", True, "GPL"), ("1", "r", "ruby", None, "MIT")]
