@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from quarrymill.llm import bytespans, passages, suffixes
 from quarrymill.llm import textkernel as tk
 
@@ -137,6 +140,21 @@ def test_byte_spans(spark, width, sizes):
         assert sum(n for _, _, n in spans) == sum(int(gone[r[:2]].sum()) for r in rows)
 
 
+def test_a_task_has_few_blocks(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def noted(texts, n, width):
+        at = TaskContext.get()
+        open(f"{folder}/{at.stageId()}-{at.partitionId()}-{uuid.uuid4().hex}", "w").close()
+        return bytespans.repeated(texts, n, width)
+
+    docs = spark.createDataFrame(rows_of(make_texts(20), random.Random(4)), SCHEMA).select("doc_id", "text")
+    passages.with_marks(docs, replace(bytespans.plan(20, block_bytes=300), decide=noted))[0].collect()
+    tasks = Counter(x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir())
+    assert sum(tasks.values()) > 6 * passages.TASK_BLOCKS
+    assert max(tasks.values()) <= passages.TASK_BLOCKS
+
+
 def test_byte_spans_of_nothing_and_of_long_texts(spark, monkeypatch):
     empty = spark.createDataFrame([], SCHEMA)
     assert bytespans.digest(empty).collect() == []
